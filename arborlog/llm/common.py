@@ -66,3 +66,18 @@ def saved(df: DataFrame) -> DataFrame:
     """The rows computed now and cut from their lineage, in the shared folder, so that a lost executor costs no recomputation."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def filter_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], list[bool]]], text_col: str = "text") -> DataFrame:
+    """The rows whose text a predicate keeps, with all their columns; ``make`` builds the predicate once in each task."""
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = make()
+        for batch in batches:
+            start = 0
+            for _, texts in chunks([None] * batch.num_rows, batch.column(at).to_pylist()):
+                yield batch.slice(start, len(texts)).filter(pa.array(keep(texts), pa.bool_()))
+                start += len(texts)
+
+    return df.mapInArrow(run, df.schema)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sentencepiece_bpe
+from . import decontam, sentencepiece_bpe, simhash
 from .common import table
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -18,14 +18,22 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(simhash.components(table(spark, sf_dir, "documents")))
+
+
+def op3_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.digest(decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return sentencepiece_bpe.digest(sentencepiece_bpe.encode_decode(docs, tokenizer_path()))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_sentencepiece": op5_sentencepiece}
+    return {"op1_simhash": op1_simhash, "op3_decontam": op3_decontam, "op5_sentencepiece": op5_sentencepiece}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_decontam": decontam.oracle()}
