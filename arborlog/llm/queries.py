@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, sentencepiece_bpe, simhash
+from . import decontam, sentencepiece_bpe, simhash, toxicity
 from .common import table
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -31,8 +31,14 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.digest(sentencepiece_bpe.encode_decode(docs, tokenizer_path()))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.digest(toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op3_decontam": op3_decontam, "op5_sentencepiece": op5_sentencepiece}
+    every = (op1_simhash, op3_decontam, op5_sentencepiece, op10_toxicity)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
