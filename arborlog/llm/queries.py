@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, sentencepiece_bpe, simhash, toxicity
+from . import decontam, line_dedup, pii, sentencepiece_bpe, simhash, toxicity, warc_audit
 from .common import table
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -22,6 +22,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.components(table(spark, sf_dir, "documents")))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.personal_data(table(spark, sf_dir, "documents")))
+
+
 def op3_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -31,15 +35,26 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.digest(sentencepiece_bpe.encode_decode(docs, tokenizer_path()))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    primary = warc_audit.records(pages)
+    replica = warc_audit.replica(pages)
+    return warc_audit.fixity(primary, replica)
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(line_dedup.drop_boilerplate(table(spark, sf_dir, "documents")))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.digest(toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_simhash, op3_decontam, op5_sentencepiece, op10_toxicity)
+    every = (op1_simhash, op2_pii, op3_decontam, op5_sentencepiece, op6_warc, op7_line_dedup, op10_toxicity)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontam": decontam.oracle()}
+    return {"op3_decontam": decontam.oracle(), "op6_warc": warc_audit.oracle(), "op7_line_dedup": line_dedup.oracle()}
