@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, line_dedup, pii, sentencepiece_bpe, simhash, toxicity, warc_audit
+from . import ann, decontam, line_dedup, pii, sentencepiece_bpe, simhash, toxicity, warc_audit
 from .common import table
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -30,6 +31,10 @@ def op3_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op4_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return sentencepiece_bpe.digest(sentencepiece_bpe.encode_decode(docs, tokenizer_path()))
@@ -52,7 +57,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_simhash, op2_pii, op3_decontam, op5_sentencepiece, op6_warc, op7_line_dedup, op10_toxicity)
+    every = (op1_simhash, op2_pii, op3_decontam, op4_multi_index, op5_sentencepiece, op6_warc, op7_line_dedup, op10_toxicity)
     return {f.__name__: f for f in every}
 
 
