@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, line_dedup, pii, sentencepiece_bpe, simhash, toxicity, warc_audit
+from . import ann, decontam, line_dedup, pii, sentencepiece_bpe, simhash, substring_dedup, toxicity, warc_audit
 from .common import table
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -51,15 +51,19 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(line_dedup.drop_boilerplate(table(spark, sf_dir, "documents")))
 
 
+def op9_superkmer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(substring_dedup.dedup(table(spark, sf_dir, "documents")))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.digest(toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_simhash, op2_pii, op3_decontam, op4_multi_index, op5_sentencepiece, op6_warc, op7_line_dedup, op10_toxicity)
+    every = (op1_simhash, op2_pii, op3_decontam, op4_multi_index, op5_sentencepiece, op6_warc, op7_line_dedup, op9_superkmer, op10_toxicity)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontam": decontam.oracle(), "op6_warc": warc_audit.oracle(), "op7_line_dedup": line_dedup.oracle()}
+    return {"op3_decontam": decontam.oracle(), "op6_warc": warc_audit.oracle(), "op7_line_dedup": line_dedup.oracle(), "op9_superkmer": substring_dedup.oracle()}
