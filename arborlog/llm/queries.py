@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, line_dedup, pii, sentencepiece_bpe, simhash, substring_dedup, toxicity, warc_audit
+from . import ann, decontam, line_dedup, pii, sentencepiece_bpe, simhash, substring_dedup, suffix_dedup, toxicity, warc_audit
 from .common import table
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -51,6 +51,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(line_dedup.drop_boilerplate(table(spark, sf_dir, "documents")))
 
 
+def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.dedup(table(spark, sf_dir, "documents")))
+
+
 def op9_superkmer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.dedup(table(spark, sf_dir, "documents")))
 
@@ -61,7 +65,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_simhash, op2_pii, op3_decontam, op4_multi_index, op5_sentencepiece, op6_warc, op7_line_dedup, op9_superkmer, op10_toxicity)
+    every = (op1_simhash, op2_pii, op3_decontam, op4_multi_index, op5_sentencepiece, op6_warc, op7_line_dedup, op8_suffix_array, op9_superkmer, op10_toxicity)
     return {f.__name__: f for f in every}
 
 
