@@ -8,10 +8,16 @@ search follows only the edges within the radius of the distance at hand.
 A subtree whose edge is within the radius is linked to its parent as a whole, so a search that has met the
 parent passes it over: what is sought are the components, not each pair, and dense groups stay cheap. Shards of more
 than ``SHARD`` fingerprints are cut into parts of which each pair has its tree, so no task gets an unbounded shard.
+
+For radii too wide for blocks (``similar``: 128 bits, an estimated similarity of 0.8 or more of runs of five words), shards are
+formed by samples of bits instead, in as many tables as let a pair at the radius itself meet with a chance of ``MEET``;
+closer pairs meet almost surely.
 """
 
 from __future__ import annotations
 
+import math
+import random
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -32,62 +38,85 @@ MEAN_SHARD = 256
 #: Rows of the list of large shards that are broadcast at most.
 BROADCAST_ROWS = 200_000
 FRONTIER = 400_000
+#: Of ``similar``: words of a shingle, bits that may differ of two fingerprints of 64 bits, least chance to meet at that radius.
+SIMILAR_SHINGLE, SIMILAR_RADIUS, SIMILAR_SEEDS, MEET = 5, 20, (42, 43), 0.98
 
 
-def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """Words are runs without ASCII white space, A-Z in lower case; a bit is set if over half the shingles' XXH64 have it."""
+def fingerprint(text: str, shingle: int = SHINGLE, seeds: tuple[int, ...] = (SEED,)) -> list[int]:
+    """Words are runs without ASCII white space, A-Z in lower case; a bit is set if over half the shingles' XXH64 have it. 64 bits for each seed."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return [0] * len(seeds)
     joined, n = b" ".join(words), max(1, len(words) - shingle + 1)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    last = ends[min(shingle, len(words)) - 1 :]
+    starts = np.concatenate([[0], ends[:-1] + 1])[:n].tolist()
+    last = ends[min(shingle, len(words)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), last.tolist(), strict=True)], "<u8")
-    bits = np.zeros(64, np.int64)
-    for k in range(0, n, 65536):
-        bits += np.unpackbits(h[k : k + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * bits > n, bitorder="little").view("<u8")[0])
-
-
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): one row for each row of ``docs``; null and empty texts have fingerprint zero."""
+    out = []
+    for seed in seeds:
+        h = np.array([digest(joined[a:b], seed) for a, b in zip(starts, last, strict=True)], "<u8")
+        bits = np.zeros(64, np.int64)
+        for k in range(0, n, 65536):
+            bits += np.unpackbits(h[k : k + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * bits > n, bitorder="little").view("<u8")[0]))
+    return out
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
+    """(doc_id, fp0, fp1, ...): one row for each row of ``docs``; null and empty texts have fingerprint zero."""
     kind = docs.schema[id_col].dataType.simpleString()
+    names = [f"fp{k}" for k in range(len(seeds))]
 
     def make():
         def work(ids: list, texts: list[str]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64))], names=["doc_id", "fp"])
+            found = np.array([fingerprint(t, shingle, seeds) for t in texts], np.uint64).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(ids), *(pa.array(found[:, k]) for k in range(len(seeds)))], names=["doc_id", *names])
 
         return work
 
-    return map_texts(docs, make, f"doc_id {kind}, fp long", id_col, text_col)
+    return map_texts(docs, make, f"doc_id {kind}, " + ", ".join(f"{x} long" for x in names), id_col, text_col)
 
 
-def masks(radius: int, agree: int) -> list[int]:
+def masks(radius: int, agree: int) -> list[tuple[int, ...]]:
     """For each choice of ``agree`` among ``radius + agree`` blocks, the mask of their bits."""
     n = radius + agree
     edges = [64 * k // n for k in range(n + 1)]
     block = [(1 << edges[k + 1]) - (1 << edges[k]) for k in range(n)]
-    return [sum(block[k] for k in c) for c in combinations(range(n), agree)]
+    return [(sum(block[k] for k in c),) for c in combinations(range(n), agree)]
+
+
+def sampled_masks(words: int, radius: int, n: int) -> list[tuple[int, ...]]:
+    """Masks of randomly drawn bits: enough of them to keep shards of n fingerprints small, in enough tables for ``MEET``."""
+    size = max(12, math.ceil(math.log2(max(1, n) / 64)))
+    alike = (1 - radius / (64 * words)) ** size
+    rng, out = random.Random(5), []
+    for _ in range(math.ceil(math.log(1 - MEET) / math.log(1 - alike))):
+        bits = rng.sample(range(64 * words), size)
+        out.append(tuple(sum(1 << (b % 64) for b in bits if b // 64 == w) for w in range(words)))
+    return out
 
 
 def forest_links(fp: np.ndarray, root: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that join what is within the radius, in trees of their own: root[i] is the first index of i's tree.
 
-    The fingerprints of a tree must differ.
+    ``fp`` has a row of words for each fingerprint; those of a tree must differ.
     """
+    fp = fp.reshape(len(fp), -1)
     n = len(fp)
+
+    def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return sum(np.bitwise_count(fp[a, w] ^ fp[b, w]).astype(np.int64) for w in range(fp.shape[1]))
+
     at = np.arange(n)
     points, cur = at[root != at], root[root != at]
     linked = np.zeros(n, bool)
     links, edges = [], []
     while len(points):
-        d = np.bitwise_count(fp[points] ^ fp[cur]).astype(np.int64)
+        d = distance(points, cur)
         near = (d <= radius) & ~linked[points]
         links.append((points[near], cur[near]))
         linked[points[near]] = True
-        key = cur * 128 + d
+        key = cur * 256 + d
         order = np.argsort(key, kind="stable")
         points, key = points[order], key[order]
         first = np.concatenate([[True], key[1:] != key[:-1]])
@@ -105,12 +134,12 @@ def forest_links(fp: np.ndarray, root: np.ndarray, radius: int) -> tuple[np.ndar
             if len(q) > FRONTIER:
                 stack += [(q[k : k + FRONTIER // 2], v[k : k + FRONTIER // 2]) for k in range(0, len(q), FRONTIER // 2)]
                 continue
-            d = np.bitwise_count(fp[q] ^ fp[v]).astype(np.int64)
+            d = distance(q, v)
             near = d <= radius
             other = near & (q != v)
             links.append((q[other], v[other]))
-            low = np.searchsorted(keys, v * 128 + np.where(near, radius + 1, d - radius))
-            high = np.searchsorted(keys, v * 128 + d + radius, "right")
+            low = np.searchsorted(keys, v * 256 + np.where(near, radius + 1, d - radius))
+            high = np.searchsorted(keys, v * 256 + np.minimum(d + radius, 255), "right")
             many = np.maximum(high - low, 0)
             total = int(many.sum())
             if total:
@@ -138,16 +167,16 @@ def least_reached(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _shard_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Rows (shard, fp, node) sorted by shard: links of each node to the least it reaches in its shard."""
+    """Rows (shard, node, fp0, ...) sorted by shard: links of each node to the least it reaches in its shard."""
 
-    def solve(shard: np.ndarray, fp: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+    def solve(shard: np.ndarray, node: np.ndarray, *fp: np.ndarray) -> pa.RecordBatch:
         order = np.lexsort((node, shard))
-        shard, fp, node = shard[order], fp[order], node[order]
+        shard, node = shard[order], node[order]
         first = np.concatenate([[True], shard[1:] != shard[:-1]])
         root = np.flatnonzero(first)[np.cumsum(first) - 1]
-        a, b = forest_links(fp, root, radius)
-        label = least_reached(len(fp), a, b)
-        far = np.flatnonzero(label != np.arange(len(fp)))
+        a, b = forest_links(np.stack([x[order].view(np.uint64) for x in fp], axis=1), root, radius)
+        label = least_reached(len(node), a, b)
+        far = np.flatnonzero(label != np.arange(len(node)))
         return pa.RecordBatch.from_arrays([pa.array(node[far]), pa.array(node[label[far]])], names=["a", "b"])
 
     held: list[list[np.ndarray]] = []
@@ -155,8 +184,7 @@ def _shard_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.
     for batch in batches:
         if not batch.num_rows:
             continue
-        cols = [batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy()]
-        held.append(cols)
+        held.append([c.to_numpy() for c in batch.columns])
         size += batch.num_rows
         if size >= 4 * SHARD:
             cols = [np.concatenate(x) for x in zip(*held, strict=True)]
@@ -168,46 +196,72 @@ def _shard_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.
         yield solve(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
-    """(doc_id, fp, component_id): one row for each row of ``docs``.
+def _signed(m: int) -> int:
+    return m - (1 << 64) if m >> 63 else m
+
+
+def components(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = SHINGLE,
+    radius: int = RADIUS,
+    seeds: tuple[int, ...] = (SEED,),
+    sampled: bool = False,
+    shard: int = SHARD,
+) -> DataFrame:
+    """(doc_id, fp0, ..., component_id): one row for each row of ``docs``.
 
     component_id is the least doc_id reached over links between fingerprints that differ in at most ``radius`` bits;
     a document linked to nothing is its own component. Null and empty texts share fingerprint zero and are linked like
     any other. Rows without an id have no part in links; they get the component of their fingerprint, or null. Rows
-    that repeat a doc_id with other texts link these texts. Ids must be integers.
+    that repeat a doc_id with other texts link these texts. Ids must be integers. ``sampled`` shards by samples of bits.
     """
-    rows = saved(fingerprints(docs.withColumn(id_col, docs[id_col].cast("long")), id_col, text_col, shingle))
-    prints = saved(rows.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")))
+    fps = [f"fp{k}" for k in range(len(seeds))]
+    rows = saved(fingerprints(docs.select(docs[id_col].cast("long").alias("i"), docs[text_col].alias("t")), "i", "t", shingle, seeds))
+    prints = saved(rows.where("doc_id is not null").groupBy(*fps).agg(F.min("doc_id").alias("node")))
     n = prints.count()
-    agree = 1
-    while agree < 4 and n > MEAN_SHARD << (64 * agree // (radius + agree)):
-        agree += 1
-    keys = F.explode(F.array(*[F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(m - (1 << 64) if m >> 63 else m).alias("bits")) for k, m in enumerate(masks(radius, agree))]))
-    parts = prints.select("fp", "node", keys.alias("s")).select("fp", "node", F.xxhash64("s.t", "s.bits").alias("shard"))
+    if sampled:
+        tables = sampled_masks(len(seeds), radius, n)
+    else:
+        agree = 1
+        while agree < 4 and n > MEAN_SHARD << (64 * agree // (radius + agree)):
+            agree += 1
+        tables = masks(radius, agree)
     # an equal hash of two shards only makes them share a tree
+    keys = F.explode(F.array(*[F.xxhash64(F.lit(k), *[F.col(x).bitwiseAND(_signed(m)) for x, m in zip(fps, mask, strict=True)]) for k, mask in enumerate(tables)]))
+    parts = prints.select(*fps, "node", keys.alias("shard"))
     big = saved(parts.groupBy("shard").count().where(F.col("count") > shard).select("shard", F.ceil(F.col("count") / shard).cast("int").alias("cuts")))
     n_big = big.count()
     if n_big:
         parts = parts.join(F.broadcast(big) if n_big <= BROADCAST_ROWS else big, "shard", "left")
-        mine = F.pmod(F.xxhash64("fp"), F.col("cuts")).cast("int")
+        mine = F.pmod(F.xxhash64(*fps), F.col("cuts")).cast("int")
         pairs = F.transform(F.filter(F.sequence(F.lit(0), F.col("cuts") - 1), lambda j: j != mine), lambda j: F.xxhash64("shard", F.least(mine, j), F.greatest(mine, j)))
-        parts = parts.select("fp", "node", F.explode(F.when(F.col("cuts").isNull(), F.array("shard")).otherwise(pairs)).alias("shard"))
-    parts = parts.select("shard", "fp", "node").repartition("shard").sortWithinPartitions("shard")
+        parts = parts.select(*fps, "node", F.explode(F.when(F.col("cuts").isNull(), F.array("shard")).otherwise(pairs)).alias("shard"))
+    parts = parts.select("shard", "node", *fps).repartition("shard").sortWithinPartitions("shard")
     links = parts.mapInArrow(lambda batches: _shard_links(batches, radius), "a long, b long")
     # an id with several texts links their fingerprints
-    several = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x <> y").select("doc_id")
-    ties = rows.join(several, "doc_id", "left_semi").join(prints, "fp").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    named = rows.where("doc_id is not null")
+    several = named.groupBy("doc_id").agg(F.count_distinct(*fps).alias("n")).where("n > 1").select("doc_id")
+    ties = named.join(several, "doc_id", "left_semi").join(prints, fps).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     found = connected_components(links.union(ties))
-    labelled = prints.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return rows.join(labelled, "fp", "left").select("doc_id", "fp", "component_id")
+    labelled = prints.join(found, "node", "left").select(*fps, F.coalesce("component", "node").alias("component_id"))
+    return rows.join(labelled, fps, "left").select("doc_id", *fps, "component_id")
+
 
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As components, for texts whose runs of five words are alike by an estimated 0.8 or more."""
+    return components(docs, id_col, text_col, SIMILAR_SHINGLE, SIMILAR_RADIUS, SIMILAR_SEEDS, sampled=True)
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The documents that are the least of their component, with all their columns; rows without an id stay."""
-    found = components(docs, id_col, **how)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find=similar) -> DataFrame:
+    """The documents that are the least of their component, with all their columns; rows without an id stay.
+
+    Of rows that share a doc_id none or all stay.
+    """
+    gone = find(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
     return docs.join(gone, id_col, "left_anti").select(*docs.columns)
 
 
 def digest(found: DataFrame) -> DataFrame:
-    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp0")), 16, "0").alias("fingerprint"), "component_id")
