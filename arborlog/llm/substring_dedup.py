@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from .common import saved
 from .superkmer import Packed, covered, gram_hashes, runs, sliding_min, text_mark, windows_seen, with_spans
 
-WINDOW, GRAM = 13, 3
-BROADCAST_SPANS = 1_000_000
+WINDOW, GRAM = 13, 2
+#: Spans (8 bytes each) and documents with spans that are broadcast at most; beyond, documents are joined by id.
+BROADCAST_SPANS = 4_000_000
 
 
 def pack(rows: list[tuple[int, str]], window: int = WINDOW, gram: int = GRAM) -> tuple[Packed, list[tuple[int, int, int, int]]]:

@@ -28,7 +28,8 @@ WINDOW, GRAM = 200, 32
 BETWEEN = 255
 #: Bytes of a shard at most.
 SHARD_BYTES = 4_000_000
-BROADCAST_SPANS = 1_000_000
+#: Spans (8 bytes each) and documents with spans that are broadcast at most; beyond, documents are joined by id.
+BROADCAST_SPANS = 4_000_000
 #: Of a string: all its windows are known to go; its windows may be equal to one another.
 KNOWN, TURNS = 1, 2
 _rng = np.random.default_rng(20)

@@ -91,7 +91,7 @@ class Packed:
 
         lens = np.array([len(s) for s in self.strings], np.uint32)
         raw = pickle.dumps((self.h, self.doc_id, self.mark, self.start, self.n, self.flag, lens, b"".join(self.strings)), protocol=5)
-        return zstandard.ZstdCompressor(level=1).compress(raw)
+        return zstandard.ZstdCompressor(level=3).compress(raw)
 
     @staticmethod
     def load(blobs: list[bytes]) -> Packed:
@@ -115,11 +115,13 @@ def windows_seen(
     pack_chars: int = PACK_CHARS,
     bucket_chars: int = BUCKET_CHARS,
 ) -> DataFrame:
-    """(doc_id, mark, spans): what ``pack`` marks within a run of documents and ``solve`` within a bucket; mark is the hash of the text.
+    """(doc_id, mark, spans): what ``pack`` marks within a run of documents and ``solve`` within a bucket.
 
     ``pack`` gets (doc_id, text) sorted by doc_id and gives the strings that must travel (h holds the whole minimiser) and the spans
-    already known, as rows (doc_id, mark, start, stop).
+    already known, as rows (doc_id, mark, start, stop). mark is the hash of the text where a doc_id comes with several texts, and
+    else 0, as it is the one column of a string's row that doesn't compress.
     """
+    several = not unique_ids(docs, id_col)
     rows = docs.select(docs[id_col].cast("long").alias("i"), docs[text_col].alias("t")).where("i is not null and t is not null")
     size = rows.agg(F.sum(F.length("t"))).first()[0] or 0
     buckets = max(64, -(-size // bucket_chars))
@@ -128,6 +130,9 @@ def windows_seen(
         def out(held: list[tuple[int, str]]) -> pa.RecordBatch:
             held.sort(key=lambda r: r[0])
             p, known = pack(held)
+            if not several:
+                p.mark[:] = 0
+                known = [(d, 0, a, b) for d, _, a, b in known]
             bucket = ((p.h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             ids, blobs = [], []
@@ -173,14 +178,35 @@ def windows_seen(
 
     packed = rows.mapInArrow(packing, "bucket long, blob binary").repartition("bucket").sortWithinPartitions("bucket")
     found = packed.mapInArrow(solving, MARKS)
-    spans = F.array_sort(F.collect_list(F.struct("start", "stop")))
-    return found.groupBy("doc_id", "mark").agg(spans.alias("spans"))
+    grouped = found.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    return grouped.mapInArrow(merged, "doc_id long, mark long, spans array<struct<start:int,stop:int>>")
+
+
+def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Joins spans that overlap or touch."""
+    for batch in batches:
+        out = []
+        for spans in batch.column(2).to_pylist():
+            joined: list[list[int]] = []
+            for a, b in sorted((x["start"], x["stop"]) for x in spans):
+                if joined and a <= joined[-1][1]:
+                    joined[-1][1] = max(b, joined[-1][1])
+                else:
+                    joined.append([a, b])
+            out.append([{"start": a, "stop": b} for a, b in joined])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))], names=["doc_id", "mark", "spans"])
+
+
+def unique_ids(docs: DataFrame, id_col: str) -> bool:
+    ids = docs.select(docs[id_col].cast("long").alias("i")).where("i is not null")
+    return ids.groupBy("i").count().where("count > 1").isEmpty()
 
 
 def with_spans(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, broadcast_rows: int) -> DataFrame:
     """(i, t, spans) of all rows of ``docs``; ``found`` is broadcast if it has few spans."""
-    n = found.agg(F.sum(F.size("spans"))).first()[0] or 0
-    rows = docs.select(docs[id_col].alias("i"), docs[text_col].alias("t"), docs[id_col].cast("long").alias("doc_id"), F.xxhash64(docs[text_col]).alias("mark"))
+    n = found.agg(F.sum(F.size("spans") + 2)).first()[0] or 0
+    mark = F.lit(0).cast("long") if unique_ids(docs, id_col) else F.xxhash64(docs[text_col])
+    rows = docs.select(docs[id_col].alias("i"), docs[text_col].alias("t"), docs[id_col].cast("long").alias("doc_id"), mark.alias("mark"))
     return rows.join(F.broadcast(found) if n <= broadcast_rows else found, ["doc_id", "mark"], "left").select("i", "t", "spans")
 
 
