@@ -1,9 +1,260 @@
-"""Queries of the tree, sequence, graph and mining operators."""
+"""Queries of the sequence, tree, alignment, graph, mining and export operators."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import sequences
+from ..operators import alignment, graphs, mining, stats, trace, trees
+from ..sources import sinks
+from . import templates
+from .registry import EDGES, LOG, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+W = "(PARTITION BY attempt ORDER BY t, id)"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _log(spark, d):
+    return trace.log_of(table(spark, d, "events"))
+
+
+# --- sequences ---
+@query(f"""WITH {LOG}, s AS (SELECT attempt, string_agg(message[1], '' ORDER BY t, id) AS m FROM log GROUP BY 1)
+SELECT attempt, levenshtein(m, lag(m) OVER (ORDER BY attempt))::DOUBLE AS cost FROM s QUALIFY lag(m) OVER (ORDER BY attempt) IS NOT NULL""")
+def seq_align_cost(spark, d):
+    """An attempt's actions against those of the attempt before it, found by an equi-join on its number."""
+    s = _log(spark, d).groupBy("attempt").agg(F.array_sort(F.collect_list(F.struct("t", "id", "message"))).alias("m")).select("attempt", F.col("m.message").alias("m"))
+    ids = s.select("attempt", F.lag("attempt").over(Window.orderBy("attempt")).alias("before")).where("before is not null")
+    pairs = s.join(ids, "attempt").join(s.select(F.col("attempt").alias("before"), F.col("m").alias("b")), "before")
+    return pairs.select("attempt", sequences.align_cost_col(F.col("b"), F.col("m")).alias("cost"))
+
+
+@query("SELECT p_partkey, levenshtein(p_brand, p_type) AS cost FROM part")
+def seq_word_distance(spark, d):
+    return table(spark, d, "part").select("p_partkey", sequences.word_align_cost(F.col("p_brand"), F.col("p_type")).cast("long").alias("cost"))
+
+
+@query(f"""WITH {LOG}, c AS (SELECT attempt, message, count_if(t % 2 = 0) AS a, count_if(t % 2 = 1) AS b FROM log GROUP BY 1, 2) SELECT attempt, sum(greatest(b - a, 0))::BIGINT AS missing FROM c GROUP BY 1""")
+def seq_missing(spark, d):
+    part = lambda r: F.collect_list(F.when(F.col("t") % 2 == r, F.col("message")))
+    rows = _log(spark, d).groupBy("attempt").agg(part(0).alias("a"), part(1).alias("b"))
+    return rows.select("attempt", sequences.missing_count_col(F.col("a"), F.col("b")).cast("long").alias("missing"))
+
+
+@query("SELECT event_id, round(0.25 / power(0.5 + value / 100, 2), 9) AS w FROM events WHERE value IS NOT NULL")
+def seq_distance_weight(spark, d):
+    return table(spark, d, "events").where("value is not null").select("event_id", F.round(sequences.distance_weight_col(F.col("value") / 100), 9).alias("w"))
+
+
+@query("SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events")
+def payload_field(spark, d):
+    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS shown, (epoch(make_timestamp(year(ts), month(ts), day(ts), 0, 0, 0)))::BIGINT AS day FROM events")
+def date_functions(spark, d):
+    day = trace.seconds("date_trunc('DAY', ts)")
+    return table(spark, d, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("shown"), day.cast("long").alias("day"))
+
+
+@query()
+def seq_progress(spark, d):
+    """How far an attempt's first actions go along the usual order of first actions."""
+    firsts = trace.first_seen(_log(spark, d), "message").groupBy("attempt").agg(F.array_sort(F.collect_list(F.struct("code", "message"))).alias("m")).select("attempt", F.col("m.message").alias("m"))
+    goal = F.array(*[F.lit(x) for x in ("signup", "view", "click", "purchase")])
+    return firsts.select("attempt", sequences.progress_col(F.col("m"), goal).alias("progress"))
+
+
+# --- trees ---
+def _pages(spark, d):
+    return table(spark, d, "pages").select("page_id", trees.packed(F.col("html"), "html").alias("tree"))
+
+
+def _talks(spark, d):
+    """A tree for each conversation: its turns, and under each the sign it ends with."""
+    rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.substring(F.trim("text"), -1, 1).alias("last")))).alias("t"))
+    node = lambda kind, value, parent, idx: F.struct(kind.alias("type"), value.alias("value"), F.lit(None).cast("string").alias("ext_id"), parent.cast("int").alias("parent"), idx.cast("int").alias("idx"))
+    none = F.lit(None).cast("string")
+    turns = F.flatten(F.transform("t", lambda x, i: F.array(node(x["role"], none, F.lit(0), i), node(F.when(x["last"].rlike("[.!?]"), x["last"]).otherwise("other"), none, 2 * i + 1, F.lit(0)))))
+    return rows.select("conv_id", F.concat(F.array(node(F.lit("script"), none, F.lit(-1), F.lit(0))), turns).alias("tree"))
+
+
+@query()
+def tree_nodes(spark, d):
+    nodes = trees.node_table(_pages(spark, d), keys=["page_id"])
+    return nodes.select("page_id", "node", "parent", "idx", "type", "depth", "post", "tree_size", trees.root_path(3).alias("path"))
+
+
+@query("""SELECT conv_id, 1 + 2 * count(*) AS nodes, count(*) AS turns, 2 AS depth FROM conversations GROUP BY 1""")
+def tree_sizes(spark, d):
+    nodes = trees.node_table(_talks(spark, d), keys=["conv_id"])
+    return nodes.groupBy("conv_id").agg(F.count("*").alias("nodes"), F.count_if(F.col("depth") == 1).alias("turns"), F.max("depth").alias("depth"))
+
+
+@query("""SELECT role, CASE WHEN regexp_matches(trim(text, ' '), '[.!?]$') THEN right(trim(text, ' '), 1) ELSE 'other' END AS sign, count(*) AS n FROM conversations GROUP BY 1, 2""")
+def tree_backbone(spark, d):
+    nodes = trees.node_table(_talks(spark, d), keys=["conv_id"]).where(trees.backbone(["script", "user|assistant|system|tool", ".|!|?|other"]))
+    return nodes.groupBy(F.element_at("path", 2).alias("role"), F.col("type").alias("sign")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT conv_id, turn AS idx, count(*) OVER (PARTITION BY conv_id, role ORDER BY turn) - 1 AS rank FROM conversations")
+def tree_sibling_rank(spark, d):
+    nodes = trees.node_table(_talks(spark, d), keys=["conv_id"]).where("depth = 1")
+    return nodes.select("conv_id", F.col("idx").cast("long").alias("idx"), trees.sibling_rank(["conv_id"]).cast("long").alias("rank"))
+
+
+@query()
+def tree_descendants(spark, d):
+    nodes = trees.node_table(_pages(spark, d), keys=["page_id"])
+    return trees.descendants(nodes.where("type = 'nav'"), nodes, ["page_id"]).select("page_id", "node", "type")
+
+
+@query()
+def tree_canonical(spark, d):
+    pages = _pages(spark, d)
+    slim = trees.mapped(F.col("tree"), lambda n: trees.pruned_leaves(trees.canonical(n), {"a", "b", "br", "meta"}))
+    return pages.select("page_id", F.size("tree").alias("before"), F.size(slim).alias("after"), F.md5(trees.canonical_text(slim)).alias("canon"))
+
+
+# --- alignment ---
+@query()
+def align_nearest(spark, d):
+    talks = _talks(spark, d)
+    near = alignment.nearest(talks.withColumnRenamed("conv_id", "query"), talks.where("conv_id % 10 = 0").withColumnRenamed("conv_id", "solution"), 3)
+    return near.select("query", "solution", F.round("cost", 6).alias("cost"), F.size("edits").alias("n_edits"), "rank")
+
+
+@query()
+def align_consensus(spark, d):
+    talks = _talks(spark, d)
+    near = alignment.nearest(talks.withColumnRenamed("conv_id", "query"), talks.where("conv_id % 10 = 0").withColumnRenamed("conv_id", "solution"), 5)
+    return alignment.consensus(near)
+
+
+@query()
+def align_tree_distance(spark, d):
+    talks = _talks(spark, d)
+    pairs = talks.join(talks.select((F.col("conv_id") + 1).alias("conv_id"), F.col("tree").alias("before")), "conv_id")
+    return alignment.edit_distance_columns(pairs, "before", "tree", trees.tree_distance).select("conv_id", "distance")
+
+
+@query()
+def template_solutions(spark, d):
+    rows = templates.solutions(spark, {"greet": "script { ask @optional { wait } @or { say shout } @anyOrder { a b } }"})
+    return rows.select("template", "solution", trees.canonical_text(F.col("tree")).alias("text"))
+
+
+# --- graphs ---
+@query()
+def graph_values(spark, d):
+    log = _log(spark, d)
+    v = stats.vertex_weights(log, "props").select(F.lit("all").alias("graph"), F.col("props").alias("state"), "goals")
+    e = stats.edge_weights(log, "props").select(F.lit("all").alias("graph"), "source", "target", "weight")
+    return graphs.values(v, e)
+
+
+@query()
+def graph_best_steps(spark, d):
+    log = _log(spark, d)
+    v = stats.vertex_weights(log, "message").select(F.lit("all").alias("graph"), F.col("message").alias("state"), "goals")
+    e = stats.edge_weights(log, "message").select(F.lit("all").alias("graph"), "source", "target", "weight")
+    return graphs.best_steps(e, graphs.values(v, e))
+
+
+@query(f"WITH {LOG}, {EDGES} SELECT 'all' AS graph, source, target, 2 * weight AS weight FROM e")
+def graph_union(spark, d):
+    e = stats.edge_weights(_log(spark, d), "props").select(F.lit("all").alias("graph"), "source", "target", "weight")
+    return graphs.union([e, e])
+
+
+# --- mining ---
+@query()
+def mine_grams(spark, d):
+    return mining.grams(_talks(spark, d), "conv_id", p=2, q=2)
+
+
+@query("""WITH t AS (SELECT conv_id, turn, role FROM conversations), p AS (SELECT conv_id, list_concat(['*'], list_concat(list(role ORDER BY turn), ['*'])) AS r FROM t GROUP BY 1),
+g AS (SELECT conv_id, '* script ' || r[i] || ' ' || r[i + 1] AS gram FROM (SELECT conv_id, r, unnest(range(1, len(r))) AS i FROM p)) SELECT conv_id, gram, count(*) AS n FROM g GROUP BY 1, 2""")
+def mine_root_grams(spark, d):
+    nodes = trees.node_table(_talks(spark, d), keys=["conv_id"]).where("depth = 0")
+    return mining.root_path_grams(nodes, ["conv_id"], 2, 2)
+
+
+@query()
+def mine_frequent_rules(spark, d):
+    talks = _talks(spark, d)
+    grams = mining.grams(talks, "conv_id", p=2, q=2)
+    return mining.frequent_rules(grams, "conv_id", talks.count(), 0.2)
+
+
+@query()
+def mine_distinct_rules(spark, d):
+    talks = _talks(spark, d)
+    grams = mining.grams(talks, "conv_id", p=2, q=2)
+    rules = mining.frequent_rules(grams, "conv_id", talks.count(), 0.2)
+    return mining.without_doubles(mining.followers(grams, rules, "conv_id"), "rule", "conv_id")
+
+
+@query()
+def mine_gram_distance(spark, d):
+    grams = mining.grams(_talks(spark, d), "conv_id", bag=True)
+    ids = grams.select("conv_id").distinct()
+    pairs = ids.select(F.col("conv_id").alias("a"), (F.col("conv_id") + 1).alias("b")).join(ids.select(F.col("conv_id").alias("b")), "b")
+    return mining.gram_distance(grams, pairs, "conv_id").select("a", "b", F.round("distance", 9).alias("distance"))
+
+
+# --- exports ---
+@query(f"""WITH {LOG}, f AS (SELECT props, min(struct_pack(t := t, id := id)) AS o FROM log GROUP BY 1) SELECT props, row_number() OVER (ORDER BY o) - 1 AS code_id FROM f""")
+def export_code_dictionary(spark, d):
+    return sinks.code_dictionary(_log(spark, d), "props")
+
+
+@query(f"""WITH {LOG}, s AS (SELECT *, coalesce(lag(t // 86400) OVER {W} <> t // 86400, true) AS b, coalesce(lead(t // 86400) OVER {W} <> t // 86400, true) AS e FROM log),
+x AS (SELECT attempt, id, t, 0 AS k, 'Session.Start' AS event FROM s WHERE b UNION ALL SELECT attempt, id, t, 1, message FROM s UNION ALL SELECT attempt, id, t, 2, 'Session.End' FROM s WHERE e)
+SELECT attempt, row_number() OVER (PARTITION BY attempt ORDER BY t, id, k) AS "order", event, id, t FROM x""")
+def export_session_events(spark, d):
+    return sinks.session_events(_log(spark, d).withColumn("session", F.floor(F.col("t") / 86400)))
+
+
+@query(f"WITH {LOG} SELECT attempt, id, CASE WHEN lag(message) OVER {W} IS DISTINCT FROM message THEN message ELSE '' END AS shown FROM log")
+def export_change_rows(spark, d):
+    return sinks.change_rows(_log(spark, d), "message").select("attempt", "id", F.coalesce("shown", F.lit("")).alias("shown"))
+
+
+@query("SELECT user_id AS attempt, event_id AS id, upper(event_type) AS category FROM events WHERE event_type IN ('click', 'view')")
+def export_category_events(spark, d):
+    known = spark.createDataFrame([("click", "CLICK"), ("view", "VIEW"), ("error", None)], "message string, category string")
+    return sinks.category_events(_log(spark, d), known)
+
+
+@query("SELECT p_partkey, regexp_replace(p_name, '[^a-zA-Z0-9._-]+', '_', 'g') AS name FROM part")
+def export_safe_names(spark, d):
+    return table(spark, d, "part").select("p_partkey", sinks.safe_name(F.col("p_name")).alias("name"))
+
+
+@query()
+def export_grammar(spark, d):
+    nodes = trees.node_table(_pages(spark, d), keys=["page_id"])
+    return sinks.grammar(nodes, ["page_id"]).select("type", "flexible", F.to_json("children").alias("children"))
 
 
 def queries():
-    return {}
+    return QUERIES
 
 
 def oracle_sql():
-    return {}
+    return SQL
