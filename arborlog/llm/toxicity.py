@@ -38,9 +38,11 @@ THRESHOLD = 0.3
 SKETCH = 4
 STEMS = (4, 5, 6, 7, 8, 9)
 PURITY = 0.6
+#: That any word of the sample gets in by chance.
+CHANCE = 0.05
 #: Words after which a negation, report, target or intent no longer reaches.
 REACH = {"negation": 3, "report": 6, "target": 4, "intent": 4}
-OTHER, INSULT, THREAT, INTENT, TARGET, NEGATION, REPORT = "other", "insult", "threat", "intent", "target", "negation", "report"
+OTHER, INSULT, THREAT, INTENT, TARGET, NEGATION, REPORT = "other", "insult", "threat verb", "intent", "target", "negation", "report"
 #: Fixed lists, in English, French, German and Spanish.
 WORDS = {
     NEGATION: "not no never isn't aren't wasn't don't doesn't didn't without ne pas jamais sans nicht kein keine keinen nie ohne nunca jamás sin",
@@ -184,7 +186,7 @@ def chosen(rows: list[tuple[str, int, int]], n_pos: int, n_neg: int) -> dict[str
     A share of toxic texts must be so high that chance would not give it to any of the words. A beginning stands
     for its words where what it adds to the best of its continuations is toxic as well; else the continuations stand.
     """
-    share, least = n_pos / (n_pos + n_neg), math.log(max(2, len(rows)))
+    share, least = n_pos / (n_pos + n_neg), math.log(max(2, len(rows)) / CHANCE)
     table = {w: (pos, neg) for w, pos, neg in rows}
     below: dict[str, list[str]] = {}
     for w in table:

@@ -1,0 +1,465 @@
+"""Each operator on nulls, empty and long texts, ties, repeated rows, an empty table and columns with names that it uses itself."""
+
+import hashlib
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+
+from arborlog.llm import ann, decontam, line_dedup, pii, queries, sentencepiece_bpe, simhash, substring_dedup, suffix_dedup, superkmer, toxicity, warc_audit
+from arborlog.llm.graph import connected_components
+
+DOCS = "doc_id long, text string, source string, n_chars long, k string, t string, spans string, mark string"
+
+
+def docs(spark, rows):
+    """Rows of (doc_id, text[, source]) with more columns, of names the operators use inside."""
+    return spark.createDataFrame([(r[0], r[1], r[2] if len(r) > 2 else "s", len(r[1] or ""), "k", "t", "x", "m") for r in rows], DOCS)
+
+
+def words(n, seed):
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choices("abcdefgh", k=rng.randint(3, 7))) for _ in range(n))
+
+
+LONG = words(30_000, 1)
+ODD = [(1, None), (2, ""), (3, " \n\t "), (4, "one"), (5, "one"), (5, "one"), (6, LONG), (None, "no id at all here"), (7, "Ünï cödé ▁ 漢字 🤖\x00 <s>")]
+
+
+def rows_of(df, *cols):
+    return sorted((tuple(r[c] for c in cols) for r in df.collect()), key=repr)
+
+
+# --- 1 ---
+
+
+def brute_fingerprint(text, size=4, seed=42):
+    ws = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+    if not ws:
+        return 0
+    h = [xxhash.xxh64_intdigest(" ".join(ws[i : i + size]).encode(), seed) for i in range(max(1, len(ws) - size + 1))]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def brute_components(prints, radius):
+    """prints: (doc_id, fingerprint)"""
+    comp = {d: d for d, _ in prints if d is not None}
+    while True:
+        new = dict(comp)
+        for d, f in prints:
+            for e, g in prints:
+                if d is not None and e is not None and bin(f ^ g).count("1") <= radius:
+                    new[d] = min(new[d], new[e])
+        if new == comp:
+            return comp
+        comp = new
+
+
+def test_simhash_edges_and_brute_force(spark):
+    base = words(300, 2)
+    near = base.rsplit(" ", 1)[0] + " changed"
+    rows = [*ODD, (10, base), (11, base), (12, near), (13, words(300, 3)), (14, base.upper())]
+    got = rows_of(simhash.digest(simhash.components(docs(spark, rows))), "doc_id", "fingerprint", "component_id")
+    prints = [(d, brute_fingerprint(t)) for d, t in rows]
+    comp = brute_components(prints, 4)
+    assert len(got) == len(rows)
+    assert {(d, f"{p:016x}") for d, p in prints} == {(d, f) for d, f, _ in got}
+    assert {d: c for d, _, c in got if d is not None} == comp
+    assert comp[1] == comp[2] == comp[3] == 1 and comp[11] == comp[14] == 10
+
+
+def test_simhash_empty_table(spark):
+    assert simhash.components(docs(spark, [])).count() == 0
+
+
+def test_simhash_cut_shards(spark):
+    rng = random.Random(3)
+    base = words(40, 4).split()
+    rows = [(i, " ".join(w if rng.random() > 0.02 else "x" for w in base)) for i in range(120)]
+    got = dict(rows_of(simhash.components(docs(spark, rows), shard=8), "doc_id", "component_id"))
+    assert got == brute_components([(d, brute_fingerprint(t)) for d, t in rows], 4)
+
+
+@pytest.mark.parametrize("width", [1, 2])
+def test_bk_forest_finds_all_components(width):
+    rng = np.random.default_rng(width)
+    for _ in range(40):
+        n = int(rng.integers(2, 150))
+        fp = rng.integers(0, 2**63, (8, width), dtype=np.uint64)[rng.integers(0, 8, n)]
+        for _ in range(4):
+            fp[np.arange(n), rng.integers(0, width, n)] ^= np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)
+        fp = np.unique(fp, axis=0)
+        n = len(fp)
+        a, b = simhash.forest_links(fp, np.zeros(n, np.int64), 4)
+        d = sum(np.bitwise_count(fp[:, None, w] ^ fp[None, :, w]).astype(int) for w in range(width))
+        x, y = np.nonzero(d <= 4)
+        assert (d[a, b] <= 4).all()
+        assert (simhash.least_reached(n, a, b) == simhash.least_reached(n, x, y)).all()
+
+
+def test_similar_keeps_one_of_near_copies(spark):
+    base = words(400, 5).split()
+    edited = [*base[:200], "other", *base[201:]]
+    rows = [(1, " ".join(base)), (2, " ".join(edited)), (3, words(400, 6)), (4, " ".join(base)), (5, None)]
+    assert [r[0] for r in rows_of(simhash.keep_one(docs(spark, rows)), "doc_id")] == [1, 3, 5]
+
+
+def test_components_of_a_chain_and_a_hub(spark):
+    links = [(i, i + 1) for i in range(100, 140)] + [(7, i) for i in range(200, 260)] + [(5, 5), (None, 3)]
+    got = dict(rows_of(connected_components(spark.createDataFrame(links, "a long, b long")), "node", "component"))
+    assert {got[i] for i in range(101, 141)} == {100} and {got[i] for i in range(200, 260)} == {7} and 5 not in got
+
+
+# --- 2 ---
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def brute_base(text):
+    out = []
+    for kind, rx in PATTERNS.items():
+        for m in re.finditer(rx, text or ""):
+            d = re.sub("[^0-9]", "", m.group())
+            twice = sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(d[::-1]))
+            if kind == "ip" and any(int(x) > 255 for x in m.group().split(".")):
+                continue
+            if kind == "card" and not (13 <= len(d) <= 19 and twice % 10 == 0):
+                continue
+            if kind == "phone" and not 9 <= len(d) <= 15:
+                continue
+            out.append((kind, *m.span()))
+    return out
+
+
+def test_base_spans_are_those_of_the_patterns():
+    rng = random.Random(1)
+    for _ in range(20_000):
+        s = "".join(rng.choices("ab.@-+ é1%05(4)", k=rng.randint(0, 40)))
+        assert pii.base_spans(s) == brute_base(s), s
+
+
+def test_pii_edges(spark):
+    rows = [*ODD, (20, "call +1 (555) 555-3824 or a.b@mail.example.com, 10.1.2.3 and 4111 1111 1111 1111"), (21, "joe at mail dot example dot com"), (22, "password=aa91bc77de01ff2345 x")]
+    got = {r.doc_id: r for r in pii.digest(pii.personal_data(docs(spark, rows))).collect()}
+    assert [got[20][f"n_{k}"] for k in pii.BASE] == [1, 1, 1, 1]
+    for d, t in rows:
+        base = ",".join(f"{k}:{a}:{b}" for k, a, b in brute_base(t))
+        assert got[d].base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        assert set(filter(None, base.split(","))) <= set(got[d].spans.split(","))
+    assert got[21].spans == "email:0:31" and got[22].spans == "secret:9:27"
+    assert got[1].spans == "" and pii.personal_data(docs(spark, [])).count() == 0
+
+
+def test_field_segments_generated_sentences():
+    field = pii.trained()
+    right = [sorted(field.decode(pii.Region(t, 0, len(t)))) == sorted(s) for t, s in pii.generated(60, 77)]
+    assert sum(right) >= 54
+
+
+# --- 3 ---
+
+
+def brute_hits(items, text):
+    w, hit, found = decontam.words_of(text or ""), set(), set()
+    for i, t in items:
+        x = decontam.words_of(t or "")
+        n = min(10, len(x))
+        wins = {tuple(x[a : a + n]) for a in range(len(x) - n + 1)} if x else set()
+        for a in range(len(w) - n + 1):
+            if wins and tuple(w[a : a + n]) in wins:
+                hit |= set(range(a, a + n))
+                found.add(i)
+    return len(w), len(hit), sorted(found)
+
+
+@pytest.mark.parametrize("block", [10**9, 60])
+def test_decontamination_in_one_block_and_in_many(spark, block):
+    rng = random.Random(block)
+    line = lambda n: " ".join(rng.choices(["ab", "cd", "Éf", "x9"], k=n))
+    items = [(i, line(rng.choice([1, 3, 9, 10, 12]))) for i in range(12)] + [(50, None), (51, ""), (52, "ab, CD")]
+    bench = spark.createDataFrame([(i, t, "clash") for i, t in [*items, (0, items[0][1])]], "item_id long, text string, doc_id string")
+    rows = [*ODD, *[(100 + k, line(30) + " " + (items[k % 12][1] or "")) for k in range(20)], (100, "again"), (100, "again")]
+    got = decontam.digest(decontam.contamination(docs(spark, rows), bench, block_bytes=block)).collect()
+    want = Counter()
+    for d, t in rows:
+        n, h, found = brute_hits(items, t)
+        want[(d, n, h, len(found), hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest(), h > 0)] += 1
+    assert Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got) == want
+    kept = decontam.clean(docs(spark, rows), bench, block_bytes=block)
+    assert kept.columns == docs(spark, []).columns
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(d for d, t in rows if not brute_hits(items, t)[1])
+
+
+def test_decontamination_of_nothing(spark):
+    bench = spark.createDataFrame([], "item_id long, text string")
+    assert decontam.contamination(docs(spark, []), bench).count() == 0
+    assert not any(r.spans for r in decontam.contamination(docs(spark, ODD), bench).collect())
+
+
+# --- 4 ---
+
+
+def test_multi_index_recall_ties_and_bad_vectors(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(600, 8)).astype(np.float32)
+    x[100:300] = x[100]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(600, None), (620, [0.0] * 8), (640, [float("nan")] + [1.0] * 7), (660, [None] + [1.0] * 7), (680, [1.0]), (None, x[0].tolist()), (0, x[0].tolist())]
+    df = spark.createDataFrame([(i, v, "clash", 1) for i, v in rows], "vec_id long, embedding array<float>, key string, cell int")
+    got = ann.search(df, df["vec_id"] % 20 == 0).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert set(by) == set(range(0, 600, 20))
+    hits = 0
+    y = x.astype(np.float64)
+    for q, found in by.items():
+        found.sort()
+        assert [r for r, _, _ in found] == list(range(1, 21)) and q not in [v for _, v, _ in found]
+        assert [(-s, v) for _, v, s in found] == sorted((-s, v) for _, v, s in found)
+        s = y @ y[q]
+        s[q] = -np.inf
+        want = np.lexsort((np.arange(600), -s))[:20]
+        hits += len(set(want.tolist()) & {v for _, v, _ in found})
+    assert hits / (20 * len(by)) >= 0.9
+    same = [v for _, v, _ in by[100] if 100 <= v < 300]
+    assert same == list(range(101, 101 + len(same))) and 120 in by
+
+
+def test_multi_index_with_few_or_no_vectors(spark):
+    df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 1.0]), (20, [1.0, 1.0])], "vec_id long, embedding array<float>")
+    got = rows_of(ann.search(df, df["vec_id"] % 20 == 0), "query_id", "rank", "vec_id", "score")
+    assert got == [(0, 1, 1, 4.0), (0, 2, 20, 3.0), (20, 1, 0, 3.0), (20, 2, 1, 3.0)]
+    assert ann.search(df.limit(0), df["vec_id"] % 20 == 0).count() == 0
+
+
+def test_traversal_takes_cells_by_summed_distance():
+    book = ann.Codebook(np.random.default_rng(1).normal(size=(300, 6)), 8)
+    d1, d2 = (d[0] for d in book.distances(np.ones((1, 6))))
+    cells = book.traverse(d1, d2, np.ones(64, int), 64)
+    sums = [d1[c // 8] + d2[c % 8] for c in cells]
+    assert sorted(cells) == list(range(64)) and sums == sorted(sums)
+
+
+# --- 5 ---
+
+
+@pytest.fixture(scope="module")
+def pieces():
+    sentencepiece = pytest.importorskip("sentencepiece")
+    with open(queries.tokenizer_path(), "rb") as f:
+        data = f.read()
+    return data, sentencepiece.SentencePieceProcessor(model_proto=data)
+
+
+def test_encoding_is_the_librarys(pieces):
+    data, sp = pieces
+    rng = random.Random(5)
+    parts = ["▁", " ", "  ", "a", "the", "ing", "\n", "é", "漢", "🤖", "\x00", "<0xFC>", "</s>", "aaa", "    ", "1", "99", "ab", "ion", ".", ",", "etc."]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 60))) for _ in range(3000)] + [" " * n for n in range(70)] + ["x" + " " * n + "y" for n in range(40)] + ["".join(rng.choices("abcde", k=300)) for _ in range(300)]
+    m = sentencepiece_bpe.Model(data)
+    ids, lens = sentencepiece_bpe.Encoder(m).encode(texts)
+    got = [x.tolist() for x in np.split(ids, np.cumsum(lens)[:-1])]
+    assert got == sp.encode(texts, add_eos=True)
+    assert m.decode(ids, lens) == [sp.decode(x) for x in got]
+
+
+def test_encoding_edges(spark, pieces):
+    _, sp = pieces
+    got = sentencepiece_bpe.encode_decode(docs(spark, ODD), queries.tokenizer_path())
+    want = Counter((d, tuple(sp.encode(t or "", add_eos=True)), sp.decode(sp.encode(t or ""))) for d, t in ODD)
+    assert Counter((r.doc_id, tuple(r.ids), r.decoded) for r in got.collect()) == want
+    assert sentencepiece_bpe.digest(got).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert sentencepiece_bpe.encode_decode(docs(spark, []), queries.tokenizer_path()).count() == 0
+
+
+# --- 6 ---
+
+
+def pages(spark, n):
+    rows = [(i, f"http://h{i % 3}/p{i}", "<p>" + words(i % 50, i) + "</p>", "clash") for i in range(n)] + [(n, None, None, "c"), (n + 1, "", "", "c"), (None, "u", "x", "c")]
+    return spark.createDataFrame(rows, "page_id long, url string, html string, file string")
+
+
+def test_audit_finds_what_differs_and_nothing_else(spark):
+    primary = warc_audit.records(pages(spark, 300), 40)
+    assert warc_audit.audit(primary, primary, 2048, 4).count() == 0 and warc_audit.root(primary, 2048, 4) == warc_audit.root(primary, 2048, 4)
+    ids = rows_of(primary, "page_id", "file", "offset", "length", "sha256")
+    assert len(ids) == 302
+    bad = {3: "corrupt", 77: "missing", 250: "corrupt"}
+    changed = [(p, f, o, n, ("0" * 64 if bad.get(p) == "corrupt" else s)) for p, f, o, n, s in ids if bad.get(p) != "missing"]
+    replica = spark.createDataFrame([*changed, (999, 99, 0, 5, "1" * 64)], primary.schema)
+    place = {(f, o): p for p, f, o, _, _ in ids}
+    found = {place.get((r.file, r.offset), "new"): r.status for r in warc_audit.audit(primary, replica, 2048, 4).collect()}
+    assert found == bad | {"new": "extra"}
+    assert warc_audit.root(primary, 2048, 4) != warc_audit.root(replica, 2048, 4)
+    assert warc_audit.audit(primary.limit(0), primary.limit(0)).count() == 0
+
+
+def test_warc_files_are_read_back(spark, tmp_path):
+    recs = [b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Target-URI: http://x/%d\r\nContent-Length: %d\r\n\r\n" % (i, i) + b"y" * i + b"\r\n\r\n" for i in range(5)]
+    for name, packed in (("a.warc", False), ("b.warc.gz", True)):
+        (tmp_path / name).write_bytes(warc_audit.packed(recs, packed) + (b"" if packed else b"broken"))
+    got = rows_of(warc_audit.read_warc(spark, str(tmp_path)), "uri", "payload", "sha256")
+    assert got == sorted(2 * [(f"http://x/{i}", bytearray(b"y" * i), hashlib.sha256(recs[i]).hexdigest()) for i in range(5)], key=repr)
+
+
+# --- 7 ---
+
+
+def test_boilerplate_by_site(spark):
+    rows = [(i, f"Home\nown text {i}\n\nshared", "a" if i < 20 else "b") for i in range(24)] + [(100, None, "a"), (101, "", "a"), (102, "Home", None), (103, "Home\nHome", "a"), (103, "Home\nHome", "a")]
+    df = docs(spark, rows)
+    got = {(r.doc_id, r["__kept"], r["__lines"], r["__dropped"]) for r in line_dedup.drop_boilerplate(df).collect()}
+    assert (0, "own text 0\n", 4, 2) in got and (23, "Home\nown text 23\n\nshared", 4, 0) in got  # four pages of b are too few
+    assert (100, None, 0, 0) in got and (101, "", 1, 0) in got and (102, "Home", 1, 0) in got and (103, "", 2, 2) in got
+    clean = line_dedup.clean(df)
+    assert clean.columns == df.columns and clean.count() == len(rows)
+    assert {r.n_chars for r in clean.where("doc_id = 0").collect()} == {11}
+    assert line_dedup.clean(docs(spark, [])).count() == 0
+
+
+def test_hosts(spark):
+    urls = [("http://A.b:80/x",), ("https://u@h.org?q",), ("nothing",), (None,)]
+    df = spark.createDataFrame(urls, "u string")
+    assert [r[0] for r in df.select(line_dedup.host_of(df["u"])).collect()] == ["a.b", "h.org", None, None]
+
+
+# --- 8 and 9 ---
+
+
+def test_suffix_arrays():
+    rng = np.random.default_rng(2)
+    for k in range(200):
+        s = rng.integers(0, rng.integers(1, 6) + 1, rng.integers(1, 150)).astype(np.uint8)
+        s = np.tile(s, 3) if k % 3 == 0 else s
+        b = s.tobytes()
+        assert suffix_dedup.suffix_array(s).tolist() == sorted(range(len(b)), key=lambda i: b[i:])
+        assert suffix_dedup.doubled(s).tolist() == sorted(range(len(b)), key=lambda i: b[i:])
+
+
+def brute_bytes(texts, w):
+    data = [(t or "").encode() for t in texts]
+    n = Counter(d[i : i + w] for d in data for i in range(len(d) - w + 1))
+    out = []
+    for d in data:
+        gone = np.zeros(len(d), bool)
+        for i in range(len(d) - w + 1):
+            if n[d[i : i + w]] > 1:
+                gone[i : i + w] = True
+        out.append(gone)
+    return out
+
+
+@pytest.mark.parametrize("shard", [4_000_000, 100])
+def test_byte_windows_against_brute_force(shard):
+    rng = random.Random(shard)
+    for _ in range(120):
+        w = rng.choice([9, 12, 20])
+        base = "".join(rng.choices("abé", k=80))
+        texts = []
+        for _ in range(rng.randint(1, 8)):
+            s = list(base[rng.randint(0, 40) : rng.randint(40, 80)])
+            for _ in range(rng.randint(0, 3)):
+                if s:
+                    s[rng.randrange(len(s))] = rng.choice("abé")
+            texts.append("".join(s) + rng.choice(["", "ab" * 20, "é" * 20]))
+        got = [np.zeros(len(t.encode()), bool) for t in texts]
+        cut, parts = rng.randint(0, len(texts)), []
+        rows = list(enumerate(texts))
+        for part in (rows[:cut], rows[cut:]):
+            p, known = suffix_dedup.pack(part, w, 4)
+            parts.append(p)
+            for d, _, a, b in known:
+                got[d][a:b] = True
+        cols = [np.concatenate([getattr(p, f) for p in parts]) for f in ("h", "doc_id", "mark", "start", "n", "flag")]
+        for d, _, a, b in suffix_dedup.solve(superkmer.Packed(*cols, [s for p in parts for s in p.strings]), w, shard):
+            got[d][a:b] = True
+        assert all((x == y).all() for x, y in zip(got, brute_bytes(texts, w), strict=True))
+
+
+SIZES = {"pack_chars": 2000, "bucket_chars": 50}
+
+
+def test_suffix_dedup_edges(spark):
+    passage = words(60, 8)
+    rows = [*ODD[:-2], (20, words(20, 9) + passage + words(20, 10)), (21, passage), (22, "Ö" * 150), (23, "a" * 300), (24, words(50, 11)), (25, passage), (25, words(40, 12) + passage)]
+    got = {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.dedup(docs(spark, rows), **SIZES).collect()}
+    want = set()
+    for (d, t), gone in zip(rows, brute_bytes([t for _, t in rows], 200), strict=True):
+        data = (t or "").encode()
+        want.add((d, len(data), int(gone.sum()), int((np.diff(np.concatenate([[False], gone]).astype(int)) == 1).sum()), bytes(np.frombuffer(data, np.uint8)[~gone])))
+    assert got == want
+    assert suffix_dedup.dedup(docs(spark, [])).count() == 0
+
+
+def brute_words(rows, w=13):
+    split = [(d, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for d, t in rows]
+    low = {}
+    for d, ws in split:
+        for i in range(len(ws) - w + 1):
+            if d is not None:
+                key = tuple(ws[i : i + w])
+                low[key] = min(low.get(key, d), d)
+    out = []
+    for d, ws in split:
+        gone = set()
+        for i in range(len(ws) - w + 1):
+            if d is not None and low[tuple(ws[i : i + w])] < d:
+                gone |= set(range(i, i + w))
+        out.append((d, len(ws), len(gone), " ".join(x for i, x in enumerate(ws) if i not in gone)))
+    return out
+
+
+def test_substring_dedup_edges_and_brute_force(spark):
+    rng = random.Random(4)
+    passage = words(30, 13)
+    rows = [*ODD, (30, passage), (31, words(10, 14) + " " + passage + "\n" + words(5, 15)), (32, "the " * 400), (33, "the " * 50), (34, passage), (34, passage + " " + words(20, 16)), (8, "x y " * 30)]
+    rows += [(100 + k, " ".join(rng.choices(["a", "b", "c"], k=60))) for k in range(15)]
+    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring_dedup.dedup(docs(spark, rows), **SIZES).collect())
+    assert got == Counter(brute_words(rows))
+    assert substring_dedup.dedup(docs(spark, [])).count() == 0
+
+
+# --- 10 ---
+
+
+def test_grammar_composes():
+    f = lambda t: dict(zip(toxicity.OUTPUTS, toxicity.features(t, {"fool": 5.0, "rott*": 4.0})[::2], strict=True))
+    assert f("what a fool")["insult"] > 0
+    assert f("you are a fool")["targeted"] > 0
+    assert f("you are not a fool")["negated"] > 0 and f("you are not a fool")["targeted"] == 0
+    assert f("he said you are a fool")["reported"] > 0
+    assert f("i will really hurt you")["threat"] > 0 and f("they hurt")["threat"] == 0
+    assert f("he wrote that he will hurt them")["reported threat"] > 0
+    assert f("not here. a fool")["negated"] == 0 and f("rotten rottweil")["insult"] > 0
+    assert not any(f("").values())
+
+
+def test_toxicity_learns_and_holds_out(spark):
+    rng = random.Random(6)
+    clean = lambda: words(rng.randint(5, 40), rng.random())
+    rows, marks = [], []
+    for i in range(400):
+        bad = i % 5 == 0
+        rows.append((i, clean() + (" fool vile" + rng.choice(["ly", "st", "ness"]) + " " + clean() if bad else "")))
+        marks.append((i, 1, int(bad)))
+    rows += [(1000, None), (1001, ""), (1002, "FOOL!"), (5, "again"), (None, "fool")]
+    labels = spark.createDataFrame([*marks, (None, 1, 1), (9999, 0, None)], "doc_id long, quality int, toxic int")
+    df = docs(spark, rows)
+    got = toxicity.digest(toxicity.score(df, toxicity.fit(df, labels))).collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
+    by = {r.doc_id: r for r in got}
+    held = [by[i] for i in range(400) if i != 5 and toxicity.is_held_out(i)]
+    assert all(r.held_out for r in held) and sum(r.predicted == (r.doc_id % 5 == 0) for r in held) >= 0.95 * len(held)
+    assert by[1000].score == by[1001].score < 0.3
+    none = toxicity.fit(df, labels.limit(0))
+    assert {r.predicted for r in toxicity.digest(toxicity.score(df, none)).collect()} == {0}
+    assert toxicity.score(docs(spark, []), none).count() == 0
