@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TREE = "array<struct<type:string,value:string,ext_id:string,parent:int,idx:int>>"
+# Names of a block language.
 #: Two-argument operators whose arguments may be swapped, and those that are written as another with swapped arguments.
 SYMMETRIC = {"reportSum", "reportProduct", "reportRandom", "reportEquals", "reportAnd", "reportOr"}
 OPPOSITE = {"reportGreaterThan": "reportLessThan"}

@@ -39,7 +39,7 @@ def mapped_events(log: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataFr
 
 
 def change_rows(log: DataFrame, code: str) -> DataFrame:
-    """Adds ``shown``: the code where it isn't that of the row before, as DataShop rows have it."""
+    """Adds ``shown``: the code where it isn't that of the row before."""
     before = F.lag(code).over(Window.partitionBy("attempt").orderBy("t", "id"))
     return log.withColumn("shown", F.when(~F.col(code).eqNullSafe(before), F.col(code)))
 
