@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import joins, stats, trace
+from ..operators import evaluation, joins, stats, trace
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -181,6 +181,7 @@ def best_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- joins ---
 joins.register(query, table)
+evaluation.register(query, table)
 
 
 def queries() -> dict[str, Query]:
