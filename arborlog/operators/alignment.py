@@ -250,16 +250,29 @@ def aligned(pairs: DataFrame, a: str, b: str, cfg: Config = Config()) -> DataFra
 def nearest(queries: DataFrame, solutions: DataFrame, k: int = 10, query_id: str = "query", solution_id: str = "solution", tree: str = "tree", block: str | None = None, cfg: Config = Config()) -> DataFrame:  # noqa: B008
     """(query, solution, cost, edits, rank): the k solutions of least cost, ties to the smaller tree, then the lesser id.
 
-    The solutions of a problem are a stated set that every query is held against; ``block`` names a column (the problem) that both
-    sides must share, which makes the pairing an equi-join.
+    The solutions of a problem are a stated set that every query is held against, in blocks of ``BROADCAST_SOLUTIONS``; ``block``
+    names a column (the problem) that both sides must share, which makes the pairing an equi-join.
     """
     s = solutions.select(F.col(solution_id).alias("solution"), F.col(tree).alias("__s"), *([F.col(block).alias("__b")] if block else [F.lit(0).alias("__b")]))
     q = queries.select(F.col(query_id).alias("query"), F.col(tree).alias("__q"), *([F.col(block).alias("__b")] if block else [F.lit(0).alias("__b")]))
-    few = solutions.limit(BROADCAST_SOLUTIONS + 1).count() <= BROADCAST_SOLUTIONS
-    pairs = q.join(F.broadcast(s) if few else s, "__b").where(F.col("query") != F.col("solution"))
-    found = aligned(pairs, "__q", "__s", cfg).withColumn("size", F.size("__s"))
+    n = solutions.count()
+    if n <= BROADCAST_SOLUTIONS or block:
+        parts = [F.broadcast(s) if n <= BROADCAST_SOLUTIONS else s]
+    else:
+        many = -(-n // BROADCAST_SOLUTIONS)
+        parts = [F.broadcast(s.where(F.pmod(F.xxhash64("solution"), F.lit(many)) == k)) for k in range(many)]
     w = Window.partitionBy("query").orderBy("cost", "size", "solution")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "solution", "cost", "edits", "rank")
+
+    def best(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+    found = [best(aligned(q.join(p, "__b").where(F.col("query") != F.col("solution")), "__q", "__s", cfg).withColumn("size", F.size("__s"))).select("query", "solution", "cost", "edits", "size", "rank") for p in parts]
+    out = found[0]
+    if len(found) > 1:
+        for more in found[1:]:
+            out = out.unionByName(more)
+        out = best(out.drop("rank"))
+    return out.select("query", "solution", "cost", "edits", "rank")
 
 
 def consensus(near: DataFrame, share: float = 0.6) -> DataFrame:

@@ -101,13 +101,16 @@ def test_edits():
     assert alignment.align(a, same).cost < m.cost
 
 
-def test_nearest_solutions_and_votes(spark):
+def test_nearest_solutions_and_votes(spark, monkeypatch):
     sols = templates.solutions(spark, {"t": "script { a b @or { c d } @optional { e } }"})
     assert sols.count() == 4
     ask = spark.createDataFrame([("q", [tuple(x.values()) for x in trees.pack(J('{"type":"script","children":[{"type":"a"},{"type":"b"},{"type":"c"}]}'))])], f"query string, tree {trees.TREE}")
     near = alignment.nearest(ask, sols, 3)
     rows = near.orderBy("rank").collect()
     assert len(rows) == 3 and rows[0].edits == [] and [r["rank"] for r in rows] == [1, 2, 3]
+    whole = [tuple(r) for r in rows]
+    monkeypatch.setattr(alignment, "BROADCAST_SOLUTIONS", 2)
+    assert [tuple(r) for r in alignment.nearest(ask, sols, 3).orderBy("rank").collect()] == whole
     votes = alignment.consensus(near, 0.3).collect()
     assert all(v.priority >= 1 / 3 for v in votes)
 
