@@ -307,3 +307,40 @@ def trees_of(rows: Iterable[tuple[object, Node]]) -> list[tuple]:
 
 
 SOLUTIONS = f"solution string, tree {TREE}"
+
+
+# --- what mappings and edits say ---
+
+
+def value_mapping(a: Node, m: Mapping) -> dict[str, str]:
+    """Names of a to names of its partner: equal names first, the rest so that as many paired nodes as can be agree."""
+    seen: dict[tuple[str, str], int] = defaultdict(int)
+    for n in a.walk():
+        p = m.to.get(id(n))
+        if p is not None and n.value is not None and p.value is not None:
+            seen[(n.value, p.value)] += 1
+    left, right = sorted({x for x, _ in seen}), sorted({y for _, y in seen})
+    out = {x: x for x in left if x in right}
+    left, right = [x for x in left if x not in out], [y for y in right if y not in out]
+    if left and right:
+        pairs = hungarian(-np.array([[float(seen.get((x, y), 0)) for y in right] for x in left]))
+        out |= {x: right[j] for x, j in zip(left, pairs, strict=True) if j >= 0 and seen.get((x, right[j]))}
+    return out
+
+
+def with_replacements(found: list[dict]) -> list[dict]:
+    """An insertion and a deletion at one place of one parent become a replacement of the deleted node."""
+    gone = {(e["parent"], e["index"]): e for e in found if e["action"] == "delete"}
+    out, used = [], set()
+    for e in found:
+        old = gone.get((e["parent"], e["index"])) if e["action"] == "insert" else None
+        if old is not None and old["node"] not in used:
+            used.add(old["node"])
+            e = {**e, "action": "replace", "node": old["node"]}
+        out.append(e)
+    return [e for e in out if not (e["action"] == "delete" and e["node"] in used)]
+
+
+def closest_match(n: Node, m: Mapping) -> Node | None:
+    """The partner of the nearest ancestor of n (n itself first) that has one."""
+    return next((m.to[id(x)] for x in n.up() if id(x) in m.to), None)

@@ -136,3 +136,22 @@ def graphml(vertices: Sequence[tuple], edges: Sequence[tuple]) -> str:
     v = "".join(f'<node id={quoteattr(str(s))}><data key="nweight">{w}</data><data key="nvalue">{x}</data></node>' for s, w, x in vertices)
     e = "".join(f'<edge source={quoteattr(str(a))} target={quoteattr(str(b))}><data key="eweight">{w}</data><data key="ep">{p}</data><data key="ebest">{str(bool(x)).lower()}</data></edge>' for a, b, w, p, x in edges)
     return f'<graphml xmlns="http://graphml.graphdrawing.org/xmlns">{head}<graph edgedefault="directed">{v}{e}</graph></graphml>'
+
+
+def nearest_state(state: Sequence, known: dict, bound: float = 300, insert: float = 100, delete: float = 1, replace: float = 10_000):
+    """Of known states (tuples of types, with values) the one that is cheapest to reach within a bound, ties to the greater value."""
+    from ..functions.sequences import align_cost
+
+    costs = [(align_cost(list(state), list(s), insert, delete, replace), -v, s) for s, v in known.items()]
+    best = min(costs, default=None)
+    return best[2] if best and best[0] <= bound else None
+
+
+def hints(requests: DataFrame, steps: DataFrame) -> DataFrame:
+    """Requests (graph, state, ...) with the best next state, where the graph has one."""
+    return requests.join(steps.select("graph", F.col("source").alias("state"), F.col("target").alias("next"), "value"), ["graph", "state"], "left")
+
+
+def stays(edges: DataFrame) -> DataFrame:
+    """(graph, state, stayed): the share of what leaves a state that leads back to it."""
+    return edges.groupBy("graph", F.col("source").alias("state")).agg((F.sum(F.when(F.col("source") == F.col("target"), F.col("weight")).otherwise(0)) / F.sum("weight")).alias("stayed"))

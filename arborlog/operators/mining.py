@@ -133,3 +133,20 @@ def root_path_grams(nodes: DataFrame, keys: list[str], p: int, q: int) -> DataFr
     gram = F.transform(F.sequence(F.lit(1), F.size(row) - q + 1), lambda i: F.array_join(F.concat(stem, F.slice(row, i, q)), " "))
     each = nodes.select(*keys, F.explode(gram).alias("gram"))
     return each.groupBy(*keys, "gram").agg(F.count("*").alias("n"))
+
+
+def gram_edits(a: Node, b: Node, p: int = 2, q: int = 3) -> list[tuple[str, str, str]]:
+    """(action, parent, label): labels that the bags of grams gain or lose under a parent's label; a loss and a gain there are a relabel (old>new)."""
+    x, y = profile(a, p, q), profile(b, p, q)
+    lost, won = Counter(), Counter()
+    for bag, out in ((x - y, lost), (y - x, won)):
+        for g, n in bag.items():
+            if g[p] != EMPTY and all(t == EMPTY for t in g[p + 1 :]):  # each child ends one row of its parent once
+                out[(g[p - 1], g[p])] += n
+    edits = []
+    for parent in sorted({k[0] for k in lost} | {k[0] for k in won}):
+        old = sorted(x for (par, x), n in lost.items() if par == parent for _ in range(n))
+        new = sorted(x for (par, x), n in won.items() if par == parent for _ in range(n))
+        edits += [("relabel", parent, f"{o}>{n}") for o, n in zip(old, new, strict=False)]
+        edits += [("delete", parent, o) for o in old[len(new) :]] + [("insert", parent, n) for n in new[len(old) :]]
+    return edits

@@ -172,3 +172,18 @@ def test_log_source_and_sinks(spark, tmp_path):
     assert sorted((r.attempt, r.test, r.score) for r in logs.grades(spark, str(tmp_path / "g.csv")).collect()) == [("p", "t1", 2), ("p", "t2", 1), ("q", "t1", None), ("q", "t2", None)]
     (tmp_path / "bad.csv").write_text('a,b\n1,"x,y"\n1,2,3\n')
     assert [r.n for r in logs.broken_lines(spark, str(tmp_path / "bad.csv")).collect()] == [3]
+
+
+def test_values_replacements_and_hints(spark):
+    a = J('{"type":"script","children":[{"type":"set","value":"x"},{"type":"say","value":"y"},{"type":"p"}]}')
+    b = J('{"type":"script","children":[{"type":"set","value":"n"},{"type":"say","value":"y"},{"type":"q"}]}')
+    m = alignment.align(a, b)
+    assert alignment.value_mapping(a, m) == {"x": "n", "y": "y"}
+    found = alignment.with_replacements(alignment.edits(a, b, m))
+    assert [(e["action"], e["node"], e["type"]) for e in found] == [("replace", 3, "q")]
+    assert alignment.closest_match(a.children[2], m) is b
+    assert graphs.nearest_state(("a", "b", "x"), {("a", "b"): 1.0, ("a", "b", "c"): 5.0}) == ("a", "b")
+    assert graphs.nearest_state(("a",), {("b", "c", "d", "e"): 1.0}) is None
+    assert mining.gram_edits(J('{"type":"X","children":[{"type":"a"}]}'), J('{"type":"X","children":[{"type":"b"}]}')) == [("relabel", "X", "a>b")]
+    e = spark.createDataFrame([("g", "s", "s", 1), ("g", "s", "t", 3)], "graph string, source string, target string, weight long")
+    assert graphs.stays(e).first().stayed == 0.25
