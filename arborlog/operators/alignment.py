@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.sequences import align_pairs, missing_count, progress
 from .trees import TREE, Node, unpack
 
-#: Trees of solutions that are broadcast at most; beyond, queries meet them in blocks.
+#: Different trees of solutions that are broadcast at most; beyond, queries meet them in blocks.
 BROADCAST_SOLUTIONS = 10_000
 
 
@@ -250,28 +250,38 @@ def aligned(pairs: DataFrame, a: str, b: str, cfg: Config = Config()) -> DataFra
 def nearest(queries: DataFrame, solutions: DataFrame, k: int = 10, query_id: str = "query", solution_id: str = "solution", tree: str = "tree", block: str | None = None, cfg: Config = Config()) -> DataFrame:  # noqa: B008
     """(query, solution, cost, edits, rank): the k solutions of least cost, ties to the smaller tree, then the lesser id.
 
-    The solutions of a problem are a stated set that every query is held against, in blocks of ``BROADCAST_SOLUTIONS``; ``block``
-    names a column (the problem) that both sides must share, which makes the pairing an equi-join.
+    Every query is held against all solutions but its own id. Equal trees are grouped on both sides first, so each pair of different
+    trees is aligned once; different solutions are met in blocks of ``BROADCAST_SOLUTIONS``. ``block`` names a column (the problem) that
+    both sides must share, which makes the pairing an equi-join.
     """
-    s = solutions.select(F.col(solution_id).alias("solution"), F.col(tree).alias("__s"), *([F.col(block).alias("__b")] if block else [F.lit(0).alias("__b")]))
-    q = queries.select(F.col(query_id).alias("query"), F.col(tree).alias("__q"), *([F.col(block).alias("__b")] if block else [F.lit(0).alias("__b")]))
-    n = solutions.count()
+    place = F.col(block) if block else F.lit(0)
+    key = F.sha2(F.coalesce(F.to_json(F.col(tree)), F.lit("")), 256)
+    s = solutions.select(F.col(solution_id).alias("solution"), F.col(tree).alias("__s"), place.alias("__b"), key.alias("__sk")).where("solution is not null")
+    q = queries.select(F.col(query_id).alias("query"), F.col(tree).alias("__q"), place.alias("__b"), key.alias("__qk")).where("query is not null")
+    kinds = s.groupBy("__b", "__sk").agg(F.first("__s").alias("__s"), F.min("solution").alias("solution"))
+    asked = q.groupBy("__b", "__qk").agg(F.first("__q").alias("__q")).repartition(queries.sparkSession.sparkContext.defaultParallelism, "__b", "__qk")
+    n = kinds.count()
+    # so many rows are kept of a group that k are left once those of the query's own id are gone
+    spare = k + (s.groupBy("solution").count().agg(F.max("count")).first()[0] or 0)
     if n <= BROADCAST_SOLUTIONS or block:
-        parts = [F.broadcast(s) if n <= BROADCAST_SOLUTIONS else s]
+        parts = [F.broadcast(kinds) if n <= BROADCAST_SOLUTIONS else kinds]
     else:
         many = -(-n // BROADCAST_SOLUTIONS)
-        parts = [F.broadcast(s.where(F.pmod(F.xxhash64("solution"), F.lit(many)) == k)) for k in range(many)]
-    w = Window.partitionBy("query").orderBy("cost", "size", "solution")
+        parts = [F.broadcast(kinds.where(F.pmod(F.xxhash64("__sk"), F.lit(many)) == i)) for i in range(many)]
 
-    def best(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    def best(rows: DataFrame, most: int, *by: str) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy("cost", "size", "solution")
+        return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 
-    found = [best(aligned(q.join(p, "__b").where(F.col("query") != F.col("solution")), "__q", "__s", cfg).withColumn("size", F.size("__s"))).select("query", "solution", "cost", "edits", "size", "rank") for p in parts]
-    out = found[0]
+    found = [best(aligned(asked.join(p, "__b"), "__q", "__s", cfg).withColumn("size", F.size("__s")), spare, "__b", "__qk").select("__b", "__qk", "__sk", "solution", "cost", "edits", "size") for p in parts]
+    pairs = found[0]
     if len(found) > 1:
         for more in found[1:]:
-            out = out.unionByName(more)
-        out = best(out.drop("rank"))
+            pairs = pairs.unionByName(more)
+        pairs = best(pairs, spare, "__b", "__qk")
+    least = s.select("__b", "__sk", "solution", F.row_number().over(Window.partitionBy("__b", "__sk").orderBy("solution")).alias("n")).where(F.col("n") <= spare)
+    held = best(pairs.drop("solution", "rank").join(least, ["__b", "__sk"]), spare, "__b", "__qk").drop("rank")
+    out = best(q.select("query", "__b", "__qk").join(held, ["__b", "__qk"]).where(F.col("query") != F.col("solution")), k, "query")
     return out.select("query", "solution", "cost", "edits", "rank")
 
 

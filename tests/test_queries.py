@@ -35,6 +35,20 @@ def test_query(spark, name):
     assert shown(got, columns) == shown(want, columns)
 
 
+@needs_data
+def test_nearest_are_of_all_conversations(spark):
+    from arborlog.operators import alignment, trees
+    from arborlog.plans import more
+
+    talks = {r.conv_id: r.tree for r in more._talks(spark, DATA).collect()}
+    cost = {(a, b): alignment.align(trees.unpack(x), trees.unpack(y)).cost for a, x in talks.items() for b, y in talks.items() if a != b}
+    want = {(a, b, round(cost[a, b], 6), i + 1) for a in talks for i, b in enumerate(sorted((b for b in talks if b != a), key=lambda b: (cost[a, b], len(talks[b]), b))[:3])}
+    assert {(r.query, r.solution, r.cost, r["rank"]) for r in QUERIES["align_nearest"](spark, DATA).collect()} == want
+    near = alignment.nearest(*(more._talks(spark, DATA).withColumnRenamed("conv_id", x) for x in ("query", "solution")), 5)
+    votes = lambda rows: sorted((r.query, r.action, r.node, r.parent, r.type, r.votes) for r in rows.collect())
+    assert votes(QUERIES["align_consensus"](spark, DATA)) == votes(alignment.consensus(near))
+
+
 def test_entry_without_the_training_data_operators(monkeypatch):
     import builtins
     import importlib
