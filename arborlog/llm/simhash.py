@@ -9,16 +9,16 @@ A subtree whose edge is within the radius is linked to its parent as a whole, so
 parent passes it over: what is sought are the components, not each pair, and dense groups stay cheap. Shards of more
 than ``SHARD`` fingerprints are cut into parts of which each pair has its tree, so no task gets an unbounded shard.
 
-For radii too wide for blocks (``similar``: 128 bits, an estimated similarity of 0.8 or more of runs of five words), shards are
-formed by samples of bits instead, in as many tables as let a pair at the radius itself meet with a chance of ``MEET``;
-closer pairs meet almost surely.
+``similar`` links texts whose sets of runs of five words have a Jaccard similarity of 0.8 or more, counted exactly. Equal sets
+are grouped; different ones meet where a band of minima of hashes is equal (a pair at 0.8 misses all bands with a chance
+of 3e-6, whatever the number of texts); pairs whose 128-bit fingerprints differ in more than 44 bits (of a pair at 0.8, 19
+on average, with a deviation of 4) are passed over. The least spanning trees of the shards are checked first; then, all
+pairs not yet joined by a checked link. So a group of near copies costs about one check for each of its members and shard.
 """
 
 from __future__ import annotations
 
-import math
-import random
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -38,8 +38,10 @@ MEAN_SHARD = 256
 #: Rows of the list of large shards that are broadcast at most.
 BROADCAST_ROWS = 200_000
 FRONTIER = 400_000
-#: Of ``similar``: words of a shingle, bits that may differ of two fingerprints of 64 bits, least chance to meet at that radius.
-SIMILAR_SHINGLE, SIMILAR_RADIUS, SIMILAR_SEEDS, MEET = 5, 20, (42, 43), 0.98
+#: Of ``similar``: words of a shingle, least similarity, bands and minima in a band, bits that may differ of fingerprints of two words.
+SIMILAR_SHINGLE, SIMILARITY, BANDS, BAND, SIMILAR_RADIUS = 5, 0.8, 32, 5, 44
+#: Pairs that meet one copy of a set of shingles at most.
+HUB = 64
 
 
 def fingerprint(text: str, shingle: int = SHINGLE, seeds: tuple[int, ...] = (SEED,)) -> list[int]:
@@ -85,17 +87,6 @@ def masks(radius: int, agree: int) -> list[tuple[int, ...]]:
     return [(sum(block[k] for k in c),) for c in combinations(range(n), agree)]
 
 
-def sampled_masks(words: int, radius: int, n: int) -> list[tuple[int, ...]]:
-    """Masks of randomly drawn bits: enough of them to keep shards of n fingerprints small, in enough tables for ``MEET``."""
-    size = max(12, math.ceil(math.log2(max(1, n) / 64)))
-    alike = (1 - radius / (64 * words)) ** size
-    rng, out = random.Random(5), []
-    for _ in range(math.ceil(math.log(1 - MEET) / math.log(1 - alike))):
-        bits = rng.sample(range(64 * words), size)
-        out.append(tuple(sum(1 << (b % 64) for b in bits if b // 64 == w) for w in range(words)))
-    return out
-
-
 def forest_links(fp: np.ndarray, root: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that join what is within the radius, in trees of their own: root[i] is the first index of i's tree.
 
@@ -166,19 +157,8 @@ def least_reached(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _shard_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Rows (shard, node, fp0, ...) sorted by shard: links of each node to the least it reaches in its shard."""
-
-    def solve(shard: np.ndarray, node: np.ndarray, *fp: np.ndarray) -> pa.RecordBatch:
-        order = np.lexsort((node, shard))
-        shard, node = shard[order], node[order]
-        first = np.concatenate([[True], shard[1:] != shard[:-1]])
-        root = np.flatnonzero(first)[np.cumsum(first) - 1]
-        a, b = forest_links(np.stack([x[order].view(np.uint64) for x in fp], axis=1), root, radius)
-        label = least_reached(len(node), a, b)
-        far = np.flatnonzero(label != np.arange(len(node)))
-        return pa.RecordBatch.from_arrays([pa.array(node[far]), pa.array(node[label[far]])], names=["a", "b"])
-
+def _shards(batches: Iterator[pa.RecordBatch], solve: Callable[..., pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Calls ``solve`` with the columns of whole shards; rows (shard, ...) come sorted by shard."""
     held: list[list[np.ndarray]] = []
     size = 0
     for batch in batches:
@@ -196,10 +176,39 @@ def _shard_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.
         yield solve(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
+def _shard_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """Rows (shard, node, fp0, ...) sorted by shard: links of each node to the least it reaches in its shard."""
+
+    def solve(shard: np.ndarray, node: np.ndarray, *fp: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((node, shard))
+        shard, node = shard[order], node[order]
+        first = np.concatenate([[True], shard[1:] != shard[:-1]])
+        root = np.flatnonzero(first)[np.cumsum(first) - 1]
+        a, b = forest_links(np.stack([x[order].view(np.uint64) for x in fp], axis=1), root, radius)
+        label = least_reached(len(node), a, b)
+        far = np.flatnonzero(label != np.arange(len(node)))
+        return pa.RecordBatch.from_arrays([pa.array(node[far]), pa.array(node[label[far]])], names=["a", "b"])
+
+    return _shards(batches, solve)
+
+
 def _signed(m: int) -> int:
     return m - (1 << 64) if m >> 63 else m
 
 
+def _cut(parts: DataFrame, fps: list[str], shard: int) -> DataFrame:
+    """Rows (shard, node, fps, ...) in order of shards, where each pair of parts of a shard of too many rows is one of its own."""
+    rest = [c for c in parts.columns if c != "shard"]
+    big = saved(parts.groupBy("shard").count().where(F.col("count") > shard).select("shard", F.ceil(F.col("count") / shard).cast("int").alias("cuts")))
+    n_big = big.count()
+    if n_big:
+        parts = parts.join(F.broadcast(big) if n_big <= BROADCAST_ROWS else big, "shard", "left")
+        mine = F.pmod(F.xxhash64(*fps), F.col("cuts")).cast("int")
+        pairs = F.transform(F.filter(F.sequence(F.lit(0), F.col("cuts") - 1), lambda j: j != mine), lambda j: F.xxhash64("shard", F.least(mine, j), F.greatest(mine, j)))
+        parts = parts.select(*rest, F.explode(F.when(F.col("cuts").isNull(), F.array("shard")).otherwise(pairs)).alias("shard"))
+    return parts.select("shard", *rest).repartition("shard").sortWithinPartitions("shard")
+
+
 def components(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -207,7 +216,6 @@ def components(
     shingle: int = SHINGLE,
     radius: int = RADIUS,
     seeds: tuple[int, ...] = (SEED,),
-    sampled: bool = False,
     shard: int = SHARD,
 ) -> DataFrame:
     """(doc_id, fp0, ..., component_id): one row for each row of ``docs``.
@@ -215,30 +223,20 @@ def components(
     component_id is the least doc_id reached over links between fingerprints that differ in at most ``radius`` bits;
     a document linked to nothing is its own component. Null and empty texts share fingerprint zero and are linked like
     any other. Rows without an id have no part in links; they get the component of their fingerprint, or null. Rows
-    that repeat a doc_id with other texts link these texts. Ids must be integers. ``sampled`` shards by samples of bits.
+    that repeat a doc_id with other texts link these texts. Ids must be integers.
     """
     fps = [f"fp{k}" for k in range(len(seeds))]
     rows = saved(fingerprints(docs.select(docs[id_col].cast("long").alias("i"), docs[text_col].alias("t")), "i", "t", shingle, seeds))
     prints = saved(rows.where("doc_id is not null").groupBy(*fps).agg(F.min("doc_id").alias("node")))
     n = prints.count()
-    if sampled:
-        tables = sampled_masks(len(seeds), radius, n)
-    else:
-        agree = 1
-        while agree < 4 and n > MEAN_SHARD << (64 * agree // (radius + agree)):
-            agree += 1
-        tables = masks(radius, agree)
+    agree = 1
+    while agree < 4 and n > MEAN_SHARD << (64 * agree // (radius + agree)):
+        agree += 1
+    tables = masks(radius, agree)
     # an equal hash of two shards only makes them share a tree
     keys = F.explode(F.array(*[F.xxhash64(F.lit(k), *[F.col(x).bitwiseAND(_signed(m)) for x, m in zip(fps, mask, strict=True)]) for k, mask in enumerate(tables)]))
-    parts = prints.select(*fps, "node", keys.alias("shard"))
-    big = saved(parts.groupBy("shard").count().where(F.col("count") > shard).select("shard", F.ceil(F.col("count") / shard).cast("int").alias("cuts")))
-    n_big = big.count()
-    if n_big:
-        parts = parts.join(F.broadcast(big) if n_big <= BROADCAST_ROWS else big, "shard", "left")
-        mine = F.pmod(F.xxhash64(*fps), F.col("cuts")).cast("int")
-        pairs = F.transform(F.filter(F.sequence(F.lit(0), F.col("cuts") - 1), lambda j: j != mine), lambda j: F.xxhash64("shard", F.least(mine, j), F.greatest(mine, j)))
-        parts = parts.select(*fps, "node", F.explode(F.when(F.col("cuts").isNull(), F.array("shard")).otherwise(pairs)).alias("shard"))
-    parts = parts.select("shard", "node", *fps).repartition("shard").sortWithinPartitions("shard")
+    parts = prints.select("node", *fps, keys.alias("shard"))
+    parts = _cut(parts, fps, shard)
     links = parts.mapInArrow(lambda batches: _shard_links(batches, radius), "a long, b long")
     # an id with several texts links their fingerprints
     named = rows.where("doc_id is not null")
@@ -249,9 +247,188 @@ def components(
     return rows.join(labelled, fps, "left").select("doc_id", *fps, "component_id")
 
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """As components, for texts whose runs of five words are alike by an estimated 0.8 or more."""
-    return components(docs, id_col, text_col, SIMILAR_SHINGLE, SIMILAR_RADIUS, SIMILAR_SEEDS, sampled=True)
+# --- exact similarity ---
+
+
+def shingles(text: str) -> np.ndarray:
+    """Sorted different XXH64 of the runs of five words (of all words, if fewer); words are as in ``fingerprint``."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined, n = b" ".join(words), max(1, len(words) - SIMILAR_SHINGLE + 1)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])[:n].tolist()
+    last = ends[min(SIMILAR_SHINGLE, len(words)) - 1 :].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, last, strict=True)], "<u8"))
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+_RNG = np.random.default_rng(SEED)
+_XOR, _ODD = (_RNG.integers(0, 2**63, (BANDS * BAND, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+
+
+def sketch(h: np.ndarray) -> tuple[list[int], list[int]]:
+    """Of a set of shingles: the fingerprint of two words, and a key for each band of minima."""
+    low = np.full(BANDS * BAND, 2**64 - 1, np.uint64)
+    bits = np.zeros(128, np.int64)
+    for k in range(0, len(h), 4096):
+        x = h[k : k + 4096]
+        low = np.minimum(low, ((x ^ _XOR) * _ODD).min(axis=1))
+        both = np.stack([x, _mixed(x)], axis=1)
+        bits += np.unpackbits(both.view(np.uint8).reshape(-1, 16), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    fp = np.packbits(2 * bits > len(h), bitorder="little").view("<i8").tolist()
+    low = low.reshape(BANDS, BAND)
+    return fp, [xxhash.xxh64_intdigest(low[k].tobytes(), k) - (1 << 63) for k in range(BANDS)]
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted arrays of different values; two empty ones are equal."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    at = np.searchsorted(b, a)
+    common = int((b[np.minimum(at, len(b) - 1)] == a).sum())
+    return common / (len(a) + len(b) - common)
+
+
+def _hamming(fp: np.ndarray, i, j) -> np.ndarray:
+    return np.bitwise_count(fp[i, 0] ^ fp[j, 0]).astype(np.int16) + np.bitwise_count(fp[i, 1] ^ fp[j, 1])
+
+
+def spanning(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a least spanning forest of fingerprints of two words over distances of at most ``radius``."""
+    n = len(fp)
+    near, by = np.full(n, 999, np.int16), np.zeros(n, np.int64)
+    out = np.zeros(n, bool)
+    cur, a, b = 0, [], []
+    everyone = np.arange(n)
+    for _ in range(n - 1):
+        out[cur] = True
+        d = _hamming(fp, cur, everyone)
+        closer = (d < near) & ~out
+        near[closer], by[closer] = d[closer], cur
+        near[cur] = 1000
+        nxt = int(near.argmin())
+        if near[nxt] <= radius:
+            a.append(nxt)
+            b.append(int(by[nxt]))
+        cur = nxt
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], label: bool) -> Iterator[pa.RecordBatch]:
+    """Rows (shard, node, fp0, fp1[, label]) sorted by shard: edges of its spanning forest, or all pairs within the radius whose labels differ."""
+
+    def solve(shard: np.ndarray, node: np.ndarray, fp0: np.ndarray, fp1: np.ndarray, *labels: np.ndarray) -> pa.RecordBatch:
+        fp = np.stack([fp0, fp1], axis=1).view(np.uint64)
+        ends = np.append(np.flatnonzero(shard[1:] != shard[:-1]) + 1, len(shard))
+        starts = np.concatenate([[0], ends[:-1]])
+        size = ends - starts
+        two = starts[size == 2]
+        ok = _hamming(fp, two, two + 1) <= SIMILAR_RADIUS
+        if label:
+            ok &= labels[0][two] != labels[0][two + 1]
+        found = [(two[ok], two[ok] + 1)]
+        for s, e in zip(starts[size > 2].tolist(), ends[size > 2].tolist(), strict=True):
+            if not label:
+                a, b = spanning(fp[s:e], SIMILAR_RADIUS)
+                found.append((a + s, b + s))
+            elif (labels[0][s:e] != labels[0][s]).any():
+                step = max(1, 4_000_000 // (e - s))
+                for k in range(s, e, step):
+                    i, j = np.arange(k, min(e, k + step))[:, None], np.arange(s, e)[None]
+                    x, y = np.nonzero((i < j) & (labels[0][i] != labels[0][j]) & (_hamming(fp, i, j) <= SIMILAR_RADIUS))
+                    found.append((x + k, y + s))
+        a, b = (node[np.concatenate(x)] for x in zip(*found, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return _shards(batches, solve)
+
+
+def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets (node, h) are alike by ``SIMILARITY``; a node of many pairs is dealt out by salt."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    hubs = saved(ends.groupBy("node").count().where(F.col("count") > HUB).select("node", F.ceil(F.col("count") / HUB).cast("int").alias("cuts")))
+    few = hubs.count() <= BROADCAST_ROWS
+    one = F.coalesce("cuts", F.lit(1))
+
+    def with_cuts(rows: DataFrame, key: str) -> DataFrame:
+        named = hubs.withColumnRenamed("node", key)
+        return rows.join(F.broadcast(named) if few else named, key, "left")
+
+    copies = with_cuts(sets, "node").select("node", "h", F.explode(F.sequence(F.lit(0), one - 1)).alias("salt"))
+    rows = pairs
+    for key, other, name in (("a", "b", "x"), ("b", "a", "y")):
+        rows = with_cuts(rows, key).withColumn("salt", F.pmod(F.xxhash64(other), one).cast("int")).drop("cuts")
+        rows = rows.join(copies.select(F.col("node").alias(key), F.col("h").alias(name), "salt"), [key, "salt"]).drop("salt")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = zip(batch.column(2), batch.column(3), strict=True)
+            keep = [similarity(*(np.frombuffer(s.as_buffer(), "<u8") for s in xy)) >= SIMILARITY for xy in both]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return rows.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard: int = SHARD) -> DataFrame:
+    """(doc_id, component_id) of the rows with an id, linked where the runs of five words are alike by 0.8 or more.
+
+    Texts without a word are equal. Rows that repeat a doc_id with other texts link these texts. Ids must be integers.
+    """
+    texts = docs.select(docs[id_col].cast("long").alias("i"), docs[text_col].alias("t")).where("i is not null")
+
+    def make():
+        def work(ids: list, batch: list[str]) -> pa.RecordBatch:
+            keys, fps, bands = [], [], []
+            for t in batch:
+                h = shingles(t)
+                fp, band = sketch(h)
+                keys.append(xxhash.xxh64_intdigest(h.tobytes(), 1) - (1 << 63))
+                fps.append(fp)
+                bands.append(band)
+            fp = np.array(fps, np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(fp[:, 0]), pa.array(fp[:, 1]), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "node", "fp0", "fp1", "bands"])
+
+        return work
+
+    def make_sets():
+        def work(ids: list, batch: list[str]) -> pa.RecordBatch:
+            sets = [shingles(t).tobytes() for t in batch]
+            return pa.RecordBatch.from_arrays([pa.array([xxhash.xxh64_intdigest(h, 1) - (1 << 63) for h in sets], pa.int64()), pa.array(sets, pa.binary())], names=["node", "h"])
+
+        return work
+
+    rows = saved(map_texts(texts, make, "doc_id long, node long, fp0 long, fp1 long, bands array<long>", "i", "t"))
+    # ``node`` is a hash of the set of shingles
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp0").alias("fp0"), F.first("fp1").alias("fp1"), F.first("bands").alias("bands"))
+    nodes = saved(nodes)
+    met = nodes.select("node", "fp0", "fp1", F.posexplode("bands")).select("node", "fp0", "fp1", F.xxhash64("pos", "col").alias("shard"))
+    tree = saved(_cut(met, ["fp0", "fp1", "node"], shard).mapInArrow(lambda batches: _candidates(batches, False), "a long, b long").distinct())
+    # each text that has a candidate is in a tree; of equal texts the least id is read
+    part = tree.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    read = nodes.join(part, "node", "left_semi").select(F.col("least").alias("i")).distinct()
+    sets = map_texts(texts.join(read, "i", "left_semi"), make_sets, "node long, h binary", "i", "t")
+    sets = saved(sets.dropDuplicates(["node"]))
+    ties = rows.select("doc_id", "node").distinct()
+    ties = ties.join(ties.groupBy("doc_id").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1"), "doc_id").select(F.col("node").alias("a"), "b")
+    links = saved(_alike(tree, sets).union(ties))
+    found = connected_components(links)
+    label = F.coalesce("component", "node").alias("label")
+    marked = met.join(part, "node", "left_semi").join(found, "node", "left").select("shard", "node", "fp0", "fp1", label)
+    rest = _cut(marked, ["fp0", "fp1", "node"], shard).mapInArrow(lambda batches: _candidates(batches, True), "a long, b long").distinct()
+    rest = saved(rest.join(tree, ["a", "b"], "left_anti"))
+    if rest.count():
+        found = connected_components(links.union(_alike(rest, sets)))
+    labelled = nodes.join(found, "node", "left").select("node", "least", label)
+    least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
+    named = labelled.join(least, "label").select("node", "component_id")
+    return rows.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find=similar) -> DataFrame:

@@ -107,6 +107,32 @@ def test_similar_keeps_one_of_near_copies(spark):
     assert [r[0] for r in rows_of(simhash.keep_one(docs(spark, rows)), "doc_id")] == [1, 3, 5]
 
 
+@pytest.mark.parametrize("shard", [simhash.SHARD, 8])
+def test_similar_links_just_what_is_alike_by_exact_count(spark, shard):
+    rng = random.Random(8)
+    rows = []
+    for i in range(60):  # pairs on both sides of the bound
+        base = words(120, 500 + i).split()
+        rows.append((2 * i, " ".join(base)))
+        for at in rng.sample(range(2, 118), 1 + i % 5):
+            base[at] = "other"
+        rows.append((2 * i + 1, " ".join(base)))
+    base = words(200, 900).split()  # a group of near copies
+    rows += [(200 + k, " ".join(w if rng.random() > 0.01 else f"x{k}" for w in base)) for k in range(40)]
+    rows += [(300, None), (301, ""), (302, "one two"), (303, "one two"), (None, "one two"), (200, "another text of the same id")]
+    runs = lambda t: {tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} if t and t.split() else set()
+    sets = [(d, runs(t)) for d, t in rows if d is not None]
+    comp = {d: d for d, _ in sets}
+    alike = [(a, b) for a, x in sets for b, y in sets if a < b and (x == y or len(x & y) >= 0.8 * len(x | y))]
+    while any(comp[a] != comp[b] for a, b in alike):
+        for a, b in alike:
+            comp[a] = comp[b] = min(comp[a], comp[b])
+    assert 10 < sum((2 * i, 2 * i + 1) in alike for i in range(60)) < 50
+    got = set(rows_of(simhash.similar(docs(spark, rows), shard=shard), "doc_id", "component_id"))
+    assert got == set(comp.items())
+    assert simhash.similar(docs(spark, [])).count() == 0
+
+
 def test_components_of_a_chain_and_a_hub(spark):
     links = [(i, i + 1) for i in range(100, 140)] + [(7, i) for i in range(200, 260)] + [(5, 5), (None, 3)]
     got = dict(rows_of(connected_components(spark.createDataFrame(links, "a long, b long")), "node", "component"))
