@@ -2,10 +2,10 @@
 
 The patterns of the four base kinds give the base spans. The field adds what they don't meet: spelt-out mail
 addresses, phone numbers without a country code, secrets after a telling word. Around each trigger (a digit, an at
-sign, an equals sign, a spelt-out "at") a region of the text is cut into tokens; candidate segments of up to
+sign, an equals sign, a spelt-out "at", a telling word, a key, hexadecimal groups) a region of the text is cut into tokens; candidate segments of up to
 ``MAX_TOKENS`` tokens are scored by features of the whole span and of what stands beside it, and dynamic
-programming over (position, type) finds the boundaries and types of greatest joint score. Where there is no
-trigger no segment could be an entity, so leaving that text out changes nothing.
+programming over (position, type) finds the boundaries and types of greatest joint score. The triggers
+are derived from the features' own patterns, so that text without any has no segment that these favour.
 
 The weights are learnt on the driver from generated sentences, by gradient steps on the conditional likelihood
 (forward and backward sums over segmentations); seed and number of sentences are fixed, so runs agree.
@@ -90,14 +90,21 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 AT_WORD = r"(?: at |\s?[\[(]at[\])]\s?)"
 DOT_WORD = r"(?: dot |\s?[\[(]dot[\])]\s?|\.)"
 SPELT = re.compile(rf"[A-Za-z0-9_%+-]+(?:{DOT_WORD}[A-Za-z0-9_%+-]+)*(?:{AT_WORD}|@)[A-Za-z0-9-]+(?:{DOT_WORD}[A-Za-z0-9-]+)+", re.I)
-TRIGGER = re.compile(r"[0-9@=]|\bat\b(?=[\])])|\bat (?=\w+ dot )", re.I)
+SIGN = re.compile(r"[0-9@=]")
 TOKEN = re.compile(r"[A-Za-z0-9]+|[^\W_]+|\s+|.", re.S)
-TELLING = re.compile(r"(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)\s*[=:]\s*[\"']?\Z", re.I)
+TOLD = r"(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)\s*[=:]\s*[\"']?"
+TELLING = re.compile(TOLD + r"\Z", re.I)
 CALL = re.compile(r"(?:tel|phone|call|fon|mobile|téléphone|teléfono)[.:]?\s*\Z", re.I)
 NUMBER = re.compile(r"[+(]?[0-9][0-9 ().-]*[0-9]\Z")
 GROUPED = re.compile(r"(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}\Z")
-HEX6 = re.compile(r"[0-9a-fA-F]{0,4}(?::[0-9a-fA-F]{0,4}){4,7}\Z")
-KEY = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{12,20}\Z|gh[pousr]_[0-9A-Za-z]{20,}\Z|sk-[0-9A-Za-z]{20,}\Z")
+HEXES = r"[0-9a-fA-F]{0,4}(?::[0-9a-fA-F]{0,4}){4,7}"
+HEX6 = re.compile(HEXES + r"\Z")
+KEYS = r"(?:AKIA|ASIA)[0-9A-Z]{12,20}|gh[pousr]_[0-9A-Za-z]{20,}|sk-[0-9A-Za-z]{20,}"
+KEY = re.compile(rf"(?:{KEYS})\Z")
+#: What can be an entity without a sign: keys and runs of hexadecimal groups.
+BARE = re.compile(rf"{KEYS}|{HEXES}")
+#: One of these is in, or just before, each segment that SPELT, TELLING, KEY or the patterns of numbers favour.
+TRIGGER = re.compile(rf"{SIGN.pattern}|(?i:(?<=[A-Za-z0-9_%+-]){AT_WORD}(?=[A-Za-z0-9-]+{DOT_WORD}[A-Za-z0-9-])|{TOLD})|{BARE.pattern}")
 FEATURES = ("bias", "email", "spelt", "ip", "ipv6", "card", "phone", "grouped", "number_short", "number_long", "number_plain", "luhn", "told_secret", "key", "told_phone", "mixed", "long", "short", "space", "newline", "left_joined", "right_joined", "quote", "edge_sign", "trigger")
 
 
@@ -148,7 +155,7 @@ class Region:
         self.n = n
         from_, to, rows, cols, single = [], [], [], [], []
         blank = [text[self.at[i] : self.at[i + 1]].isspace() for i in range(n)]
-        telling = [bool(TRIGGER.search(text[self.at[i] : self.at[i + 1]])) or text[self.at[i] : self.at[i + 1]].lower() == "at" for i in range(n)]
+        telling = [bool(SIGN.search(text[self.at[i] : self.at[i + 1]])) or bool(BARE.match(text, self.at[i], end)) or text[self.at[i] : self.at[i + 1]].lower() == "at" for i in range(n)]
         for j in range(n):
             seen = False
             for i in range(j, max(-1, j - MAX_TOKENS), -1):
@@ -309,7 +316,7 @@ def regions(text: str) -> list[tuple[int, int]]:
     """Stretches around the triggers, cut at white space and joined where they meet."""
     out: list[list[int]] = []
     for m in TRIGGER.finditer(text):
-        if out and m.end() + SIDE <= out[-1][1] + SIDE and m.end() < out[-1][1] - SIDE // 2:
+        if out and m.end() + SIDE <= out[-1][1]:
             continue
         a, b = max(0, m.start() - SIDE), min(len(text), m.end() + SIDE)
         while a > 0 and not text[a - 1].isspace() and m.start() - a < 4 * SIDE:
