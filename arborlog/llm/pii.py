@@ -1,11 +1,14 @@
 """Personal data by exact patterns and a semi-Markov conditional random field.
 
 The patterns of the four base kinds give the base spans. The field adds what they don't meet: spelt-out mail
-addresses, phone numbers without a country code, secrets after a telling word. Around each trigger (a digit, an at
-sign, an equals sign, a spelt-out "at", a telling word, a key, hexadecimal groups) a region of the text is cut into tokens; candidate segments of up to
-``MAX_TOKENS`` tokens are scored by features of the whole span and of what stands beside it, and dynamic
-programming over (position, type) finds the boundaries and types of greatest joint score. The triggers
-are derived from the features' own patterns, so that text without any has no segment that these favour.
+addresses, phone numbers without a country code, cards within longer runs of digits, keys, and secrets after a telling word.
+
+``candidates`` is the one definition of where an entity may begin and end: shapes of bounded length, each of which looks at
+its own characters and at most ``BEFORE`` before them. Tokens that aren't in a candidate can only be of no type, so the field
+passes through "no type" between two stretches of touching candidates, and decoding each stretch by itself gives what decoding
+the whole text would; no text that stands elsewhere changes a span. Within a stretch, dynamic programming
+over (position, type) scores tokens and whole candidate spans by features of the span and of what stands beside it, and finds
+the boundaries and types of greatest joint score. Base spans are constraints: they are the only way through their text.
 
 The weights are learnt on the driver from generated sentences, by gradient steps on the conditional likelihood
 (forward and backward sums over segmentations); seed and number of sentences are fixed, so runs agree.
@@ -15,6 +18,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -27,16 +31,17 @@ from .common import map_texts
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret")
 LABELS = ("none", *KINDS)
-MAX_TOKENS = 17
-#: Characters of a region on each side of a trigger.
-SIDE = 48
+#: Characters before a span that its features see, and those of a secret's value, at most.
+BEFORE, SECRET_CHARS = 24, 256
+#: Parts of a spelt-out local part and of a spelt-out domain, and characters of a part, at most.
+LOCAL_PARTS, DOMAIN_PARTS, PART_CHARS = 4, 5, 64
 
-LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
+DOTTED = re.compile(r"[0-9][0-9.]*")
+CARD = re.compile(r"[0-9]+(?:[\x20-][0-9]+)*")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+NOT_DIGITS = {c: None for c in range(128) if not 48 <= c <= 57}
 
 
 def luhn(digits: str) -> bool:
@@ -48,36 +53,52 @@ def luhn(digits: str) -> bool:
 
 
 def digits_of(s: str) -> str:
-    return "".join(c for c in s if "0" <= c <= "9")
+    return s.translate(NOT_DIGITS) if s.isascii() else "".join(c for c in s if "0" <= c <= "9")
 
 
-def emails(text: str) -> list[tuple[int, int]]:
+def emails(text: str) -> Iterator[tuple[int, int]]:
     """Leftmost, non-overlapping matches of local part, at sign and domain, found from the at signs."""
-    out, done = [], 0
-    at = text.find("@")
+    done, at = 0, text.find("@")
     while at >= 0:
         start = at
         while start > done and text[start - 1] in LOCAL_CHARS:
             start -= 1
         if start < at and (m := DOMAIN.match(text, at + 1)):
-            out.append((start, m.end()))
+            yield start, m.end()
             done = m.end()
             at = text.find("@", done)
         else:
             at = text.find("@", at + 1)
-    return out
+
+
+def addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost, non-overlapping matches of four groups of digits joined by single dots, in one pass over the runs of digits and dots."""
+    for run in DOTTED.finditer(text):
+        begin, groups = run.start(), []
+        at = begin
+        for part in run.group().split("."):
+            if part:
+                groups.append((at, at + len(part)))
+                if len(groups) == 4:
+                    yield groups[0][0], groups[3][1]
+                    groups = []
+            else:
+                groups = []
+            at += len(part) + 1
+
+
+def byte_parts(s: str) -> bool:
+    return all(len(x.lstrip("0")) <= 3 and int(x.lstrip("0") or 0) <= 255 for x in s.split("."))
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """By kind as listed, then start: what the patterns match and the checks let pass; a failing match is not retried."""
     out = [("email", a, b) for a, b in emails(text)]
-    for m in IP.finditer(text):
-        if all(len(x.lstrip("0")) <= 3 and int(x.lstrip("0") or 0) <= 255 for x in m.group().split(".")):
-            out.append(("ip", *m.span()))
+    out += [("ip", a, b) for a, b in addresses(text) if byte_parts(text[a:b])]
     for m in CARD.finditer(text):
-        d = digits_of(m.group())
-        if 13 <= len(d) <= 19 and luhn(d):
-            out.append(("card", *m.span()))
+        a, b = m.span()
+        if 13 <= b - a <= 37 and 13 <= len(d := digits_of(m.group())) <= 19 and luhn(d):
+            out.append(("card", a, b))
     if "+" in text:
         for m in PHONE.finditer(text):
             if 9 <= len(digits_of(m.group())) <= 15:
@@ -85,159 +106,267 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+# --- where entities may be ---
+
+DOT_WORD = r"(?:\x20dot\x20|\x20?[\[(]dot[\])]\x20?|\.)"
+AT_WORD = re.compile(r"(?:\x20at\x20|\x20?[\[(]at[\])]\x20?|@)(?=[A-Za-z0-9])", re.I)
+AT_SIGNS = (" at ", "at]", "at)", "@")
+PART_BEFORE = re.compile(rf"(?<![A-Za-z0-9_%+-])[A-Za-z0-9_%+-]{{1,{PART_CHARS}}}\Z")
+DOT_BEFORE = re.compile(rf"{DOT_WORD}\Z", re.I)
+PART = re.compile(rf"[A-Za-z0-9-]{{1,{PART_CHARS}}}(?![A-Za-z0-9-])")
+DOT = re.compile(DOT_WORD, re.I)
+COLONS = re.compile(r"(?<![0-9A-Za-z:])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,8}(?![0-9A-Za-z:])")
+KEY_SIGNS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-")
+KEY = re.compile(rf"(?<![0-9A-Za-z_-])(?:(?:AKIA|ASIA)[0-9A-Z]{{12,20}}|gh[pousr]_[0-9A-Za-z]{{20,{SECRET_CHARS}}}|sk-[0-9A-Za-z]{{20,{SECRET_CHARS}}})(?![0-9A-Za-z])")
+TOLD = re.compile(r"(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)\s{0,2}\Z", re.I)
+TELLING = re.compile(r"(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)\s{0,2}[=:]\s{0,2}[\"']?\Z", re.I)
+SIGN = re.compile(r"[=:]")
+VALUE = re.compile(rf"\s{{0,2}}[\"']?([^\s\"'<>]{{1,{SECRET_CHARS}}})(?![^\s\"'<>])")
+TAIL = re.compile(r"[.,;:!?)\]}]*\Z")
+CALL = re.compile(r"(?:tel|phone|call|fon|mobile|téléphone|teléfono)[.:]?\s{0,2}\Z", re.I)
+RUN = re.compile(r"[+(]?[0-9][0-9 ().-]{5,}[0-9]")
+GROUP = re.compile(r"[0-9]+")
+GROUPED = re.compile(r"(?:1[ .-])?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])")
+PAIRS = re.compile(r"0[1-9](?:[ .-][0-9]{2}){4}(?![0-9])")
+CARDS = (
+    re.compile(r"[0-9]{4}(?:[ -][0-9]{4}){3}(?![0-9])"),
+    re.compile(r"[0-9]{4}(?:[ -][0-9]{4}){3}[ -][0-9]{3}(?![0-9])"),
+    re.compile(r"[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}(?![0-9])"),
+    re.compile(r"[0-9]{13,19}(?![0-9])"),
+)
+
+
+def spelt(text: str) -> Iterator[tuple[int, int]]:
+    """Each choice of first and last part around an "at" that has a dotted name behind it."""
+    low = text.lower()
+    if not any(x in low for x in AT_SIGNS):
+        return
+    for m in AT_WORD.finditer(text):
+        ends, at = [], m.end()
+        for k in range(DOMAIN_PARTS):
+            part = PART.match(text, at)
+            if not part:
+                break
+            if k:
+                ends.append(part.end())
+            dot = DOT.match(text, part.end())
+            if not dot:
+                break
+            at = dot.end()
+        if not ends:
+            continue
+        at = m.start()
+        for _ in range(LOCAL_PARTS):
+            low_at = max(0, at - PART_CHARS - 1)
+            part = PART_BEFORE.search(text[low_at:at])
+            if not part:
+                break
+            begin = low_at + part.start()
+            for end in ends:
+                yield begin, end
+            dot = DOT_BEFORE.search(text[max(0, begin - 7) : begin])
+            if not dot:
+                break
+            at = begin - len(dot.group())
+
+
+def is_ipv6(s: str) -> bool:
+    groups = s.split(":")
+    if "::" in s:
+        return s.count("::") == 1 and ":::" not in s and len(groups) <= 9 and any(groups) and (groups[0] != "" or s.startswith("::")) and (groups[-1] != "" or s.endswith("::"))
+    return len(groups) == 8 and all(groups)
+
+
+def numbers(text: str) -> Iterator[tuple[int, int]]:
+    """Phone numbers and cards within the runs of digits and separators."""
+    for run in RUN.finditer(text):
+        a, b = run.span()
+        for g in GROUP.finditer(text, a, b):
+            begin = g.start()
+            starts = (begin - 1, begin) if begin > a and text[begin - 1] == "(" else (begin,)
+            for s in starts:
+                if m := GROUPED.match(text, s):
+                    yield m.span()
+            if m := PAIRS.match(text, begin):
+                yield m.span()
+            for shape in CARDS:
+                if (m := shape.match(text, begin)) and luhn(digits_of(m.group())):
+                    yield m.span()
+        if CALL.search(text[max(0, a - BEFORE) : a]):
+            n = 0
+            for g in GROUP.finditer(text, a, b):
+                n += len(g.group())
+                if 7 <= n <= 15:
+                    yield a, g.end()
+                elif n > 15:
+                    break
+
+
+def candidates(text: str) -> list[tuple[int, int]]:
+    """All spans that may be an entity, sorted; each depends on its own characters and a few before and behind it."""
+    out = set(spelt(text))
+    if text.count(":") > 1:
+        out |= {m.span() for m in COLONS.finditer(text) if is_ipv6(m.group())}
+    if any(x in text for x in KEY_SIGNS):
+        out |= {m.span() for m in KEY.finditer(text)}
+    for sign in SIGN.finditer(text):
+        if TOLD.search(text[max(0, sign.start() - 16) : sign.start()]) and (m := VALUE.match(text, sign.end())):
+            out.add(m.span(1))
+            cut = TAIL.search(m.group(1))
+            if 0 < cut.start() < len(m.group(1)):
+                out.add((m.start(1), m.start(1) + cut.start()))
+    out |= set(numbers(text))
+    return sorted(out)
+
+
 # --- the field ---
 
-AT_WORD = r"(?: at |\s?[\[(]at[\])]\s?)"
-DOT_WORD = r"(?: dot |\s?[\[(]dot[\])]\s?|\.)"
-SPELT = re.compile(rf"[A-Za-z0-9_%+-]+(?:{DOT_WORD}[A-Za-z0-9_%+-]+)*(?:{AT_WORD}|@)[A-Za-z0-9-]+(?:{DOT_WORD}[A-Za-z0-9-]+)+", re.I)
-SIGN = re.compile(r"[0-9@=]")
 TOKEN = re.compile(r"[A-Za-z0-9]+|[^\W_]+|\s+|.", re.S)
-TOLD = r"(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)\s*[=:]\s*[\"']?"
-TELLING = re.compile(TOLD + r"\Z", re.I)
-CALL = re.compile(r"(?:tel|phone|call|fon|mobile|téléphone|teléfono)[.:]?\s*\Z", re.I)
-NUMBER = re.compile(r"[+(]?[0-9][0-9 ().-]*[0-9]\Z")
-GROUPED = re.compile(r"(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}\Z")
-HEXES = r"[0-9a-fA-F]{0,4}(?::[0-9a-fA-F]{0,4}){4,7}"
-HEX6 = re.compile(HEXES + r"\Z")
-KEYS = r"(?:AKIA|ASIA)[0-9A-Z]{12,20}|gh[pousr]_[0-9A-Za-z]{20,}|sk-[0-9A-Za-z]{20,}"
-KEY = re.compile(rf"(?:{KEYS})\Z")
-#: What can be an entity without a sign: keys and runs of hexadecimal groups.
-BARE = re.compile(rf"{KEYS}|{HEXES}")
-#: One of these is in, or just before, each segment that SPELT, TELLING, KEY or the patterns of numbers favour.
-TRIGGER = re.compile(rf"{SIGN.pattern}|(?i:(?<=[A-Za-z0-9_%+-]){AT_WORD}(?=[A-Za-z0-9-]+{DOT_WORD}[A-Za-z0-9-])|{TOLD})|{BARE.pattern}")
-FEATURES = ("bias", "email", "spelt", "ip", "ipv6", "card", "phone", "grouped", "number_short", "number_long", "number_plain", "luhn", "told_secret", "key", "told_phone", "mixed", "long", "short", "space", "newline", "left_joined", "right_joined", "quote", "edge_sign", "trigger")
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
+AT_INSIDE = re.compile(r" at |[\[(]at[\])]|@", re.I)
+FEATURES = ("bias", "email", "spelt", "ip", "ipv6", "card", "phone", "grouped", "pairs", "many_digits", "plain_digits", "luhn", "told_secret", "key", "told_phone", "mixed", "long", "short", "letters", "space", "newline", "left_joined", "right_joined", "quote", "edge_sign")
 
 
 def span_features(text: str, a: int, b: int) -> list[int]:
     """Indices of the features that text[a:b] has as one segment."""
     s = text[a:b]
+    if s.isspace():
+        return [FEATURES.index("bias"), FEATURES.index("space")]
     digits = digits_of(s)
-    before, after = text[max(0, a - 24) : a], text[b : b + 2]
-    number = bool(NUMBER.match(s)) if digits else False
-    email = "@" in s and bool(re.fullmatch(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", s))
-    told = bool(TELLING.search(before))
+    n = len(digits)
+    before, after = text[max(0, a - BEFORE) : a], text[b : b + 2]
+    email = "@" in s and bool(EMAIL.fullmatch(s))
     good = {
         "bias": True,
         "email": email,
-        "spelt": not email and bool(SPELT.fullmatch(s)),
-        "ip": bool(m := IP.fullmatch(s)) and all(int(x) <= 255 for x in m.group().split(".")),
-        "ipv6": ":" in s and bool(HEX6.match(s)),
-        "card": bool(digits) and 13 <= len(digits) <= 19 and bool(CARD.fullmatch(s)) and luhn(digits),
-        "phone": bool(PHONE.fullmatch(s)) and 9 <= len(digits) <= 15,
-        "grouped": bool(digits) and bool(GROUPED.match(s)),
-        "number_short": number and len(digits) < 7,
-        "number_long": number and len(digits) >= 7,
-        "number_plain": s.isascii() and s.isdigit(),
-        "luhn": len(digits) >= 13 and luhn(digits),
-        "told_secret": told,
-        "key": bool(KEY.match(s)),
+        "spelt": not email and len(s) > 6 and bool(AT_INSIDE.search(s)),
+        "ip": n > 3 and bool(IP.fullmatch(s)) and byte_parts(s),
+        "ipv6": ":" in s and is_ipv6(s),
+        "card": 13 <= n <= 19 and bool(CARD.fullmatch(s)) and luhn(digits),
+        "phone": 9 <= n <= 15 and bool(PHONE.fullmatch(s)),
+        "grouped": n > 9 and bool(GROUPED.fullmatch(s)),
+        "pairs": n == 10 and bool(PAIRS.fullmatch(s)),
+        "many_digits": n >= 7,
+        "plain_digits": n == len(s),
+        "luhn": 13 <= n <= 19 and luhn(digits),
+        "told_secret": bool(TELLING.search(before)),
+        "key": len(s) > 15 and bool(KEY.fullmatch(s)),
         "told_phone": bool(CALL.search(before)),
-        "mixed": s.isalnum() and bool(digits) and len(digits) < len(s),
-        "long": len(s) >= 8,
+        "mixed": 0 < n < len(s) and s.isalnum(),
+        "long": len(s) >= 12,
         "short": len(s) < 6,
+        "letters": s.isalpha(),
         "space": any(c.isspace() for c in s),
         "newline": "\n" in s,
-        "left_joined": bool(before) and (before[-1].isalnum() or before[-1] in "@._%+-") and s[0] != before[-1],
+        "left_joined": bool(before) and (before[-1].isalnum() or before[-1] in "@._%+-"),
         "right_joined": bool(after) and (after[0].isalnum() or (after[0] in "@.-_%+" and len(after) > 1 and after[1].isalnum())),
         "quote": '"' in s or "'" in s or "=" in s,
-        "edge_sign": not (s[-1].isalnum()) or not (s[0].isalnum() or s[0] in "+("),
-        "trigger": bool(digits) or "@" in s,
+        "edge_sign": not s[-1].isalnum() or not (s[0].isalnum() or s[0] in "+("),
     }
     return [k for k, f in enumerate(FEATURES) if good[f]]
 
 
-class Region:
-    """Candidate segments of a stretch of text: those of one token may be of no type; longer ones start and end in no white space."""
-
-    def __init__(self, text: str, start: int, end: int):
-        self.at = [m.start() + start for m in TOKEN.finditer(text[start:end])] + [end]
-        n = len(self.at) - 1
-        self.n = n
-        from_, to, rows, cols, single = [], [], [], [], []
-        blank = [text[self.at[i] : self.at[i + 1]].isspace() for i in range(n)]
-        telling = [bool(SIGN.search(text[self.at[i] : self.at[i + 1]])) or bool(BARE.match(text, self.at[i], end)) or text[self.at[i] : self.at[i + 1]].lower() == "at" for i in range(n)]
-        for j in range(n):
-            seen = False
-            for i in range(j, max(-1, j - MAX_TOKENS), -1):
-                if "\n" in text[self.at[i] : self.at[i + 1]] and i != j:
-                    break
-                seen |= telling[i]
-                if i != j and (blank[i] or blank[j] or not seen):
-                    continue
-                k = len(from_)
-                from_.append(i)
-                to.append(j + 1)
-                single.append(i == j)
-                f = span_features(text, self.at[i], self.at[j + 1]) if not (i == j and blank[i]) else [FEATURES.index("space")]
-                rows += [k] * len(f)
-                cols += f
-        self.start, self.end, self.single = np.array(from_), np.array(to), np.array(single, bool)
-        self.x = np.zeros((len(from_), len(FEATURES)))
-        self.x[rows, cols] = 1
-        self.into = [np.flatnonzero(self.end == j) for j in range(n + 1)]
+class Lattice:
+    """Segments of a stretch of text: tokens, of no type, and candidates, of some type; a forced span is the only way through its text."""
+
+    def __init__(self, text: str, start: int, end: int, spans: list[tuple[int, int]], forced: list[tuple[str, int, int]] = ()):
+        edges = {start, end, *(m.start() + start for m in TOKEN.finditer(text[start:end]))}
+        edges.update(x for s in spans for x in s)
+        edges.update(x for _, *s in forced for x in s)
+        self.at = sorted(edges)
+        number = {p: i for i, p in enumerate(self.at)}
+        shut = np.zeros(len(self.at) + 1, np.int64)
+        for _, a, b in forced:
+            shut[number[a]] += 1
+            shut[number[b]] -= 1
+        shut = np.cumsum(shut) > 0
+        segs = [(i, i + 1, 0) for i in range(len(self.at) - 1) if not shut[i]]
+        segs += [(number[a], number[b], -1) for a, b in spans if not shut[number[a] : number[b]].any()]
+        segs += [(number[a], number[b], LABELS.index(kind)) for kind, a, b in forced]
+        segs.sort(key=lambda s: (s[1], s[0]))
+        self.segs = segs
+        self.x = np.zeros((len(segs), len(FEATURES)), np.float32)
+        allowed = np.zeros((len(segs), len(LABELS)), bool)
+        for k, (i, j, label) in enumerate(segs):
+            self.x[k, span_features(text, self.at[i], self.at[j])] = 1
+            if label < 0:
+                allowed[k, 1:] = True
+            else:
+                allowed[k, label] = True
+        self.allowed = allowed
 
     def scores(self, w: np.ndarray) -> np.ndarray:
-        s = self.x @ w.T
-        s[~self.single, 0] = -np.inf
-        return s
+        return np.where(self.allowed, self.x @ w.T, -np.inf)
 
 
 class Field:
     def __init__(self, w: np.ndarray, t: np.ndarray):
         self.w, self.t = w, t
 
-    def decode(self, r: Region) -> list[tuple[str, int, int]]:
-        s = r.scores(self.w)
-        best = np.full((r.n + 1, len(LABELS)), -np.inf)
-        best[0, 0] = 0.0
-        back = [None] * (r.n + 1)
-        for j in range(1, r.n + 1):
-            into = r.into[j]
-            paths = best[r.start[into]][:, :, None] + self.t[None]  # segment, label before, label
-            prev = paths.argmax(axis=1)
-            total = np.take_along_axis(paths, prev[:, None, :], axis=1)[:, 0] + s[into]
-            top = total.argmax(axis=0)
-            best[j] = total[top, np.arange(len(LABELS))]
-            back[j] = (into[top], prev[top, np.arange(len(LABELS))])
-        out, j, y = [], r.n, int(best[r.n].argmax())
+    def decode(self, r: Lattice) -> list[tuple[str, int, int]]:
+        """The typed segments of the best segmentation; a stretch begins and ends in text of no type."""
+        t, y_all = self.t.tolist(), range(len(LABELS))
+        none = [-np.inf] * len(LABELS)
+        best = [none] * len(r.at)
+        best[0] = [0.0, *none[1:]]
+        back: list[list | None] = [None] * len(r.at)
+        for k, ((i, j, label), s) in enumerate(zip(r.segs, r.scores(self.w).tolist(), strict=True)):
+            if best[j] is none:
+                best[j], back[j] = list(none), [None] * len(LABELS)
+            from_, to, via = best[i], best[j], back[j]
+            for y in (label,) if label >= 0 else y_all[1:]:
+                prev = max(y_all, key=lambda p: from_[p] + t[p][y])  # noqa: B023
+                v = from_[prev] + t[prev][y] + s[y]
+                if v > to[y]:
+                    to[y], via[y] = v, (k, prev)
+        last = len(r.at) - 1
+        out, j, y = [], last, max(y_all, key=lambda p: best[last][p] + t[p][0])
         while j > 0:
-            seg, prev = back[j]
-            k = int(seg[y])
+            k, prev = back[j][y]
             if y:
-                out.append((LABELS[y], r.at[r.start[k]], r.at[r.end[k]]))
-            j, y = int(r.start[k]), int(prev[y])
+                out.append((LABELS[y], r.at[r.segs[k][0]], r.at[j]))
+            j, y = r.segs[k][0], prev
         return out[::-1]
 
-    def gradient(self, r: Region, gold: dict[tuple[int, int], int]) -> tuple[np.ndarray, np.ndarray, float]:
+    def gradient(self, r: Lattice, gold: dict[tuple[int, int], int]) -> tuple[np.ndarray, np.ndarray, float]:
         """Of the log likelihood of the gold segmentation: (weights, transitions, likelihood)."""
         s = r.scores(self.w)
-        n, m = r.n, len(LABELS)
+        n, m = len(r.at) - 1, len(LABELS)
+        start, end = np.array([x[0] for x in r.segs]), np.array([x[1] for x in r.segs])
         alpha, beta = np.full((n + 1, m), -np.inf), np.full((n + 1, m), -np.inf)
         alpha[0, 0] = 0.0
         for j in range(1, n + 1):
-            into = r.into[j]
-            alpha[j] = _lse((alpha[r.start[into]][:, :, None] + self.t[None] + s[into][:, None, :]).reshape(-1, m))
-        beta[n] = 0.0
-        outof = [np.flatnonzero(r.start == i) for i in range(n)]
+            into = np.flatnonzero(end == j)
+            alpha[j] = _lse((alpha[start[into]][:, :, None] + self.t[None] + s[into][:, None, :]).reshape(-1, m))
+        beta[n] = self.t[:, 0]
         for i in range(n - 1, -1, -1):
-            o = outof[i]
-            beta[i] = _lse((self.t[None] + (s[o] + beta[r.end[o]])[:, None, :]).transpose(0, 2, 1).reshape(-1, m))
-        z = _lse(alpha[n][:, None])[0]
-        p = np.exp(alpha[r.start][:, :, None] + self.t[None] + (s + beta[r.end])[:, None, :] - z)  # segment, before, label
+            o = np.flatnonzero(start == i)
+            beta[i] = _lse((self.t[None] + (s[o] + beta[end[o]])[:, None, :]).transpose(0, 2, 1).reshape(-1, m))
+        z = _lse((alpha[n] + self.t[:, 0])[:, None])[0]
+        p = np.exp(alpha[start][:, :, None] + self.t[None] + (s + beta[end])[:, None, :] - z)  # segment, before, label
         gw, gt = -p.sum(axis=1).T @ r.x, -p.sum(axis=0)
+        gt[:, 0] -= np.exp(alpha[n] + self.t[:, 0] - z)
         j, y, like = 0, 0, -z
-        segs = {(int(a), int(b)): k for k, (a, b) in enumerate(zip(r.start, r.end, strict=True))}
+        segs = {(a, b): k for k, (a, b, _) in enumerate(r.segs) if r.allowed[k, 0] or (a, b) in gold}
+        for k, (a, b, _) in enumerate(r.segs):
+            if (a, b) in gold and r.allowed[k, gold[(a, b)]]:
+                segs[(a, b)] = k
+        ends = {a: (b, label) for (a, b), label in gold.items()}
         while j < n:
-            end, label = next(((b, gold[(a, b)]) for a, b in gold if a == j), (j + 1, 0))
-            k = segs[(j, end)]
+            b, label = ends.get(j, (j + 1, 0))
+            k = segs[(j, b)]
             gw[label] += r.x[k]
             gt[y, label] += 1
             like += s[k, label] + self.t[y, label]
-            j, y = end, label
-        return gw, gt, like
+            j, y = b, label
+        gt[y, 0] += 1
+        return gw, gt, like + self.t[y, 0]
 
 
 def _lse(x: np.ndarray) -> np.ndarray:
+    if not len(x):
+        return np.full(x.shape[1], -np.inf)
     top = x.max(axis=0)
     safe = np.where(np.isfinite(top), top, 0.0)
     with np.errstate(divide="ignore"):
@@ -245,7 +374,7 @@ def _lse(x: np.ndarray) -> np.ndarray:
 
 
 def generated(n: int, seed: int) -> list[tuple[str, list[tuple[str, int, int]]]]:
-    """Sentences with entities of every type and with numbers that are none."""
+    """Sentences with entities of every type and with numbers, names and telling words that are none."""
     rng = random.Random(seed)
     d = lambda k: "".join(rng.choices("0123456789", k=k))
     word = lambda: "".join(rng.choices("abcdefghilmnoprstuv", k=rng.randint(2, 8)))
@@ -267,19 +396,19 @@ def generated(n: int, seed: int) -> list[tuple[str, list[tuple[str, int, int]]]]
             x = card(rng.choice([13, 15, 16, 16, 16, 19]))
             return kind, "", rng.choice([x, x, " ".join(x[i : i + 4] for i in range(0, len(x), 4)), "-".join(x[i : i + 4] for i in range(0, len(x), 4))])
         if kind == "phone":
-            a, b, c = d(3), d(3), d(4)
-            return kind, rng.choice(["", "", "tel: ", "call "]), rng.choice([f"+1 ({a}) {b}-{c}", f"+{d(2)} {a} {b}{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}"])
+            a, b, c = rng.choice("23456789") + d(2), d(3), d(4)
+            return kind, rng.choice(["", "", "tel: ", "call "]), rng.choice([f"+1 ({a}) {b}-{c}", f"+{d(2)} {a} {b}{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"0{rng.randint(1, 9)} {d(2)} {d(2)} {d(2)} {d(2)}"])
         tell = rng.choice(["password=", "token = \"", "secret: ", "api_key=", "pwd=", ""])
-        return kind, tell, hexa(rng.randint(16, 40)) if tell else "AKIA" + "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=16))
+        return kind, tell, rng.choice([hexa(rng.randint(16, 40)), f"{word()}{d(3)}{word()}"]) if tell else "AKIA" + "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=16))
 
     def none() -> str:
-        return rng.choice([d(rng.randint(1, 6)), f"{d(1)}.{d(2)}", f"19{d(2)}-0{rng.randint(1, 9)}-1{d(1)}", f"1{d(1)}:{d(2)}", f"v{d(1)}.{d(1)}.{d(2)}", f"{d(3)},{d(3)}", f"x={d(2)}", f"{word()}{d(2)}", f"at {word()}", "@", f"@{word()}", f"${d(3)}.{d(2)}", f"{word()} = {word()}", f"{d(4)}-{d(4)}", f"{d(8)}", f"3{d(2)}.9{d(2)}.4{d(2)}.{d(2)}", hexa(8)])
+        return rng.choice([d(rng.randint(1, 6)), f"{d(1)}.{d(2)}", f"19{d(2)}-0{rng.randint(1, 9)}-1{d(1)}", f"1{d(1)}:{d(2)}", f"v{d(1)}.{d(1)}.{d(2)}", f"{d(3)},{d(3)}", f"x={d(2)}", f"{word()}{d(2)}", f"at {word()}", "@", f"@{word()}", f"${d(3)}.{d(2)}", f"{word()} = {word()}", f"{d(4)}-{d(4)}", f"{d(8)}", f"3{d(2)}.9{d(2)}.4{d(2)}.{d(2)}", hexa(8), f"secret: {word()}", f"the token = {word()}", f"password: {word()}", f"call {d(3)}"])
 
     out = []
     for _ in range(n):
         text, spans = "", []
         for _ in range(rng.randint(2, 4)):
-            text += " ".join(word() for _ in range(rng.randint(1, 3))) + " "
+            text += " ".join(word() for _ in range(rng.randint(1, 3))) + ", "
             if rng.random() < 0.6:
                 kind, tell, x = entity()
                 text += tell
@@ -296,12 +425,13 @@ def trained(n: int = 240, rounds: int = 5, seed: int = 11) -> Field:
     field = Field(np.zeros((len(LABELS), len(FEATURES))), np.zeros((len(LABELS), len(LABELS))))
     cases = []
     for text, spans in generated(n, seed):
-        r = Region(text, 0, len(text))
+        every = sorted({*candidates(text), *((a, b) for _, a, b in base_spans(text))})
+        r = Lattice(text, 0, len(text), every)
         at = {p: i for i, p in enumerate(r.at)}
-        gold = {(at[a], at[b]): LABELS.index(kind) for kind, a, b in spans if a in at and b in at and at[b] - at[a] <= MAX_TOKENS}
+        gold = {(at[a], at[b]): LABELS.index(kind) for kind, a, b in spans if (a, b) in set(every)}
         cases.append((r, gold))
     gw2, gt2 = np.full_like(field.w, 1e-2), np.full_like(field.t, 1e-2)
-    for k in range(rounds):
+    for _ in range(rounds):
         for r, gold in cases:
             gw, gt, _ = field.gradient(r, gold)
             gw, gt = gw - 1e-3 * field.w, gt - 1e-3 * field.t
@@ -312,35 +442,46 @@ def trained(n: int = 240, rounds: int = 5, seed: int = 11) -> Field:
     return field
 
 
-def regions(text: str) -> list[tuple[int, int]]:
-    """Stretches around the triggers, cut at white space and joined where they meet."""
-    out: list[list[int]] = []
-    for m in TRIGGER.finditer(text):
-        if out and m.end() + SIDE <= out[-1][1]:
-            continue
-        a, b = max(0, m.start() - SIDE), min(len(text), m.end() + SIDE)
-        while a > 0 and not text[a - 1].isspace() and m.start() - a < 4 * SIDE:
-            a -= 1
-        while b < len(text) and not text[b].isspace() and b - m.end() < 4 * SIDE:
-            b += 1
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
+def forced_spans(base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Base spans without overlaps: of those that overlap, one span over all, of the kind that begins first."""
+    out: list[tuple[str, int, int]] = []
+    for kind, a, b in sorted(base, key=lambda s: (s[1], -s[2])):
+        if out and a < out[-1][2]:
+            out[-1] = (out[-1][0], out[-1][1], max(out[-1][2], b))
+        else:
+            out.append((kind, a, b))
+    return out
+
+
+def stretches(spans: list[tuple[int, int]], forced: list[tuple[str, int, int]]) -> Iterator[tuple[int, int, list[tuple[int, int]], list[tuple[str, int, int]]]]:
+    """(start, end, candidates, forced spans) of each run of candidates and forced spans that overlap or touch and has a candidate."""
+    held: tuple[int, int, list, list] | None = None
+    for a, b, kind in sorted([(a, b, "") for a, b in spans] + [(a, b, kind) for kind, a, b in forced]):
+        if held is None or a > held[1]:
+            if held and held[2]:
+                yield held
+            held = (a, b, [], [])
+        if kind:
+            held[3].append((kind, a, b))
         else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+            held[2].append((a, b))
+        held = (held[0], max(held[1], b), held[2], held[3])
+    if held and held[2]:
+        yield held
 
 
 def find(text: str, field: Field) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """(base spans, all spans), each by kind as listed and then start."""
     base = base_spans(text)
-    taken = sorted((a, b) for _, a, b in base)
+    spans = candidates(text)
+    if not spans:
+        return base, base
+    forced = forced_spans(base)
+    fixed = set(forced)
     more = []
-    for a, b in regions(text):
-        for kind, x, y in field.decode(Region(text, a, b)):
-            if all(y <= p or q <= x for p, q in taken):
-                more.append((kind, x, y))
-    every = sorted(base + more, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
-    return base, every
+    for a, b, inside, held in stretches(spans, forced):
+        more += [s for s in field.decode(Lattice(text, a, b, inside, held)) if s not in fixed]
+    return base, sorted(base + more, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
 
 SPANS = "array<struct<kind:string,start:int,end:int>>"
@@ -349,7 +490,9 @@ SPANS = "array<struct<kind:string,start:int,end:int>>"
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, base, spans): one row for each row of ``docs``; positions are code points, end exclusive.
 
-    A null or empty text has no spans. A span of the field that overlaps a base span is left out, so base spans stay.
+    A null or empty text has no spans; a repeated row gets its row again; other columns, of whatever name, aren't read. Base
+    spans stay as they are, and the field's spans don't overlap them. Time and memory grow with the length of a text, whatever
+    is in it: candidates have bounded lengths, and at most a fixed number of them begins at one place.
     """
     field = trained()
     kind = docs.schema[id_col].dataType.simpleString()
@@ -359,7 +502,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         shape = lambda found: [{"kind": k, "start": a, "end": b} for k, a, b in found]
 
         def work(ids: list, texts: list[str]) -> pa.RecordBatch:
-            found = [find(t, field) if TRIGGER.search(t) else ((), ()) for t in texts]
+            found = [find(t, field) for t in texts]
             return pa.RecordBatch.from_arrays([pa.array(ids), pa.array([shape(b) for b, _ in found], span), pa.array([shape(s) for _, s in found], span)], names=["doc_id", "base", "spans"])
 
         return work
@@ -375,4 +518,4 @@ def digest(found: DataFrame) -> DataFrame:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     counts = [count(k) for k in BASE]
-    return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
