@@ -1,12 +1,14 @@
 """Benchmark decontamination by winnowing.
 
 Documents and test items become sequences of words. Of each window of ``window`` words only the least hash of its
-k-grams is kept; equal windows have equal least hashes, so every shared span of at least that length is met. A
-document window whose fingerprint some item has is then compared word by word (adjoining windows extend the
-hit), so no hash collision gets into the result. Items shorter than a window are one window of their own length.
-
-The index of the items goes to every task, in blocks of at most ``BLOCK_BYTES`` of item text; a larger benchmark
-takes as many passes over the documents as it has blocks.
+k-grams is kept (the first of equals) as a fingerprint with its place; equal windows keep the same gram at the same place, so every
+shared span of at least that length has a fingerprint in common. The fingerprints of documents are joined with those of the items, and
+each meeting is extended word by word to both sides as far as document and item agree; an extended span of at least a window is a hit,
+so no hash collision gets into the result, and fingerprints that lie within a hit already extended cost nothing more. Items shorter
+than a window are one window of their own length.
+
+The index of the items (words as numbers, fingerprints, places) goes to every task, in blocks of at most ``BLOCK_BYTES`` of item
+text; a larger benchmark takes as many passes over the documents as it has blocks.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .common import filter_texts, map_texts, saved
 
 WINDOW, GRAM = 10, 5
-BLOCK_BYTES = 32_000_000
+BLOCK_BYTES = 16_000_000
 SPAN = "array<struct<start:int,end:int>>"
 #: Word characters are ASCII digits and letters, lower-cased, and all beyond ASCII.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -52,44 +54,70 @@ def gram_hashes(values: np.ndarray, known: np.ndarray, k: int) -> np.ndarray:
     return np.where(whole, h, TOP)
 
 
-def least(h: np.ndarray, w: int) -> np.ndarray:
+def kept(h: np.ndarray, w: int) -> np.ndarray:
+    """The places that hold the least of some ``w`` hashes in a row, the first of equals; stretches with an unknown word have none."""
     n = len(h) - w + 1
     if n <= 0:
-        return np.zeros(0, np.uint64)
-    out = h[:n].copy()
+        return np.zeros(0, np.int64)
+    low, at = h[:n].copy(), np.arange(n)
+    whole = low != TOP
     for j in range(1, w):
-        np.minimum(out, h[j : j + n], out=out)
-    return out
+        x = h[j : j + n]
+        whole &= x != TOP
+        less = x < low
+        low[less] = x[less]
+        at[less] = np.flatnonzero(less) + j
+    return np.unique(at[whole])
+
+
+def agreeing(a: np.ndarray, b: np.ndarray) -> int:
+    """How many values at the beginning of two arrays are equal."""
+    n, done, step = min(len(a), len(b)), 0, 32
+    while done < n:
+        stop = min(n, done + step)
+        off = np.flatnonzero(a[done:stop] != b[done:stop])
+        if len(off):
+            return done + int(off[0])
+        done, step = stop, step * 4
+    return n
 
 
 class Index:
-    """Fingerprints and windows of test items."""
+    """Words of the test items end to end, and their fingerprints by length of window."""
 
     def __init__(self, items: list[tuple[object, str]], window: int = WINDOW, gram: int = GRAM):
         self.vocab: dict[bytes, int] = {}
-        self.gram = gram
-        self.windows: dict[bytes, int] = {}
-        self.owners: list[set] = []
-        spans: dict[int, list[np.ndarray]] = defaultdict(list)
+        self.gram, self.window = gram, window
+        parts, self.items = [], []
         for item, text in items:
             words = words_of(text)
-            if not words:
-                continue
-            ids = np.array([self.vocab.setdefault(w, len(self.vocab)) for w in words], np.int32)
-            n = min(window, len(ids))
-            for i in range(len(ids) - n + 1):
-                key = ids[i : i + n].tobytes()
-                at = self.windows.setdefault(key, len(self.owners))
-                if at == len(self.owners):
-                    self.owners.append(set())
-                self.owners[at].add(item)
-            spans[n].append(ids)
+            if words:
+                self.items.append(item)
+                parts.append(np.array([self.vocab.setdefault(w, len(self.vocab)) for w in words], np.int32))
+        self.words = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        self.ends = np.cumsum([len(x) for x in parts], dtype=np.int64)
         self.values = np.array([xxhash.xxh64_intdigest(w, 7) for w in self.vocab] or [0], np.uint64)
-        self.prints = {}
-        for n, lists in spans.items():
-            k = min(gram, n)
-            found = [least(gram_hashes(self.values[x], np.ones(len(x), bool), k), n - k + 1) for x in lists]
-            self.prints[n] = np.unique(np.concatenate(found))
+        found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
+        at = 0
+        for x in parts:
+            n = min(window, len(x))
+            h = gram_hashes(self.values[x], np.ones(len(x), bool), min(gram, n))
+            own = kept(h, n - min(gram, n) + 1)
+            found[n].append((h[own], own + at))
+            at += len(x)
+        self.prints: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n, lists in found.items():
+            h, place = (np.concatenate(x) for x in zip(*lists, strict=True))
+            order = np.argsort(h, kind="stable")
+            self.prints[n] = (h[order], place[order])
+
+    def _extend(self, ids: np.ndarray, p: int, q: int, low: int, high: int) -> tuple[int, int, int]:
+        """(start, end, item) of the greatest span around word p of ids[low:high] that agrees with the item around word q."""
+        item = int(np.searchsorted(self.ends, q, "right"))
+        begin, end = int(self.ends[item - 1]) if item else 0, int(self.ends[item])
+        right = agreeing(ids[p:high], self.words[q:end])
+        left = agreeing(ids[low:p][::-1], self.words[begin:q][::-1])
+        return p - left, p + right, item
 
     def search(self, texts: list[str]) -> list[tuple[int, list[tuple[int, int]], list]]:
         """Of each text: how many words it has, the spans of words that are hit, the items."""
@@ -106,20 +134,30 @@ class Index:
         starts = np.cumsum([0, *(c + 1 for c in counts)])
         grams: dict[int, np.ndarray] = {}
         found: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-        for n, prints in self.prints.items():
+        for n, (prints, places) in self.prints.items():
             k = min(self.gram, n)
             if k not in grams:
                 grams[k] = gram_hashes(values, known, k)
-            low = least(grams[k], n - k + 1)
-            at = np.flatnonzero(low != TOP)
-            seen = prints[np.minimum(np.searchsorted(prints, low[at]), len(prints) - 1)] == low[at]
-            at = at[seen]
-            docs = np.searchsorted(starts, at, "right") - 1
-            for i, d in zip(at.tolist(), docs.tolist(), strict=True):
-                owner = self.windows.get(ids[i : i + n].tobytes())
-                if owner is not None:
-                    a = i - int(starts[d])
-                    found[d].append((a, a + n, owner))
+            at = kept(grams[k], n - k + 1)
+            first, last = (np.searchsorted(prints, grams[k][at], side) for side in ("left", "right"))
+            many = last - first
+            at, first, many = at[many > 0], first[many > 0], many[many > 0]
+            if not len(at):
+                continue
+            # the join of fingerprints: each place of a document with each place of an item
+            p = np.repeat(at, many)
+            q = places[np.arange(len(p)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)]
+            order = np.lexsort((p, p - q))
+            p, q = p[order], q[order]
+            docs = np.searchsorted(starts, p, "right") - 1
+            seen, until = None, -1
+            for x, y, d in zip(p.tolist(), q.tolist(), docs.tolist(), strict=True):
+                if x - y == seen and x < until:
+                    continue  # within the span that was extended on this diagonal
+                a, b, item = self._extend(ids, x, y, int(starts[d]), int(starts[d + 1]) - 1)
+                seen, until = x - y, max(b, x + 1)
+                if b - a >= n:
+                    found[d].append((a - int(starts[d]), b - int(starts[d]), item))
         out = []
         for d, n_words in enumerate(counts):
             spans: list[tuple[int, int]] = []
@@ -128,8 +166,7 @@ class Index:
                     spans[-1] = (spans[-1][0], max(b, spans[-1][1]))
                 else:
                     spans.append((a, b))
-            items = set().union(*(self.owners[x] for x in {x[2] for x in found.get(d, ())}))
-            out.append((n_words, spans, sorted(items)))
+            out.append((n_words, spans, sorted({self.items[x[2]] for x in found.get(d, ())})))
         return out
 
 
