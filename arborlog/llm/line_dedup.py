@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from .common import saved
 
 RATIO = 0.05
-#: Pages with a line, at least, before it can be boilerplate: on a small host a ratio says little.
-LEAST_PAGES = 5
+#: Pages with a line, at least, before it can be boilerplate: on a host of under 40 pages one or two would be above the ratio.
+LEAST_PAGES = 3
 #: Boilerplate digests (16 bytes each) that are broadcast at most; beyond, hosts are joined by salt.
 BROADCAST_LINES = 500_000
 SALTS = 32
@@ -45,44 +45,42 @@ def boilerplate(docs: DataFrame, host: Column, text_col: str = "text", ratio: fl
 
 
 def drop_boilerplate(docs: DataFrame, host: Column | None = None, text_col: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """The rows of ``docs`` with ``__kept`` (the text without its boilerplate lines), ``__lines`` and ``__dropped`` (how many).
+    """(row, kept, lines, dropped): for each row of ``docs`` itself as a struct, its text without its boilerplate lines, and how many lines it had and lost.
 
-    Every row stays, be its text empty afterwards. Blank lines are no boilerplate. A null text stays null, with no
-    lines; a row without a host keeps its text; an empty text has one empty line. Repeated rows count as so many pages.
+    The row is a struct, so columns of ``docs`` may have any names. Every row stays, be its text empty afterwards. Blank lines
+    are no boilerplate. A null text stays null, with no lines; a row without a host keeps its text; an empty text has one empty
+    line; a text of any length is one row throughout. Repeated rows count as so many pages; lines that are as frequent as the ratio stay.
     """
     host = docs["source"] if host is None else host
-    found = boilerplate(docs, host, text_col, ratio, least_pages).select("host", "line")
-    found = saved(found)
+    found = saved(boilerplate(docs, host, text_col, ratio, least_pages).select("host", "line"))
     n = found.count()
-    lists = found.groupBy("host").agg(F.collect_list("line").alias("__list")).withColumnRenamed("host", "__host")
-    rows = docs.withColumn("__host", host)
+    lists = found.groupBy("host").agg(F.collect_list("line").alias("bad"))
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), host.alias("host"), docs[text_col].alias("t"))
     if n <= BROADCAST_LINES:
-        rows = rows.join(F.broadcast(lists), "__host", "left")
+        rows = rows.join(F.broadcast(lists), "host", "left")
     else:
-        rows = rows.withColumn("__salt", F.pmod(F.xxhash64(text_col), F.lit(SALTS)).cast("int"))
-        lists = lists.withColumn("__salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-        rows = rows.join(lists, ["__host", "__salt"], "left").drop("__salt")
-    every = _lines(F.col(text_col))
-    kept = F.when(F.col("__list").isNull(), every).otherwise(F.filter(every, lambda x: (F.trim(x) == "") | ~F.array_contains("__list", _digest(x))))
-    rows = rows.withColumn("__keep", kept)
-    count = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(every)).cast("long")
-    return rows.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
-        F.when(F.col(text_col).isNotNull(), F.array_join("__keep", "\n")).alias("__kept"),
-        count.alias("__lines"),
-        (count - F.when(F.col(text_col).isNull(), 0).otherwise(F.size("__keep"))).cast("long").alias("__dropped"),
-    )
-
-
-def clean(docs: DataFrame, **how) -> DataFrame:
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("t"), F.lit(SALTS)).cast("int"))
+        lists = lists.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+        rows = rows.join(lists, ["host", "salt"], "left")
+    every = _lines(F.col("t"))
+    stay = F.when(F.col("bad").isNull(), every).otherwise(F.filter(every, lambda x: (F.trim(x) == "") | ~F.array_contains("bad", _digest(x))))
+    rows = rows.select("row", "t", every.alias("every"), stay.alias("stay"))
+    count = lambda c: F.when(F.col("t").isNull(), 0).otherwise(F.size(c)).cast("long")
+    return rows.select("row", F.when(F.col("t").isNotNull(), F.array_join("stay", "\n")).alias("kept"), count("every").alias("lines"), (count("every") - count("stay")).alias("dropped"))
+
+
+def clean(docs: DataFrame, text_col: str = "text", **how) -> DataFrame:
     """The documents with the text that is left, and ``n_chars`` (if they have it) of that text."""
-    rows = drop_boilerplate(docs, **how)
-    out = {"text": F.col("__kept"), "n_chars": F.when(F.col("__dropped") > 0, F.length("__kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {"text": F.col("__kept")}
-    return rows.select(*[out.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    rows = drop_boilerplate(docs, text_col=text_col, **how)
+    out = {c: F.col("row").getField(c) for c in docs.columns}
+    if "n_chars" in out:
+        out["n_chars"] = F.when(F.col("dropped") > 0, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(out["n_chars"])
+    out[text_col] = F.col("kept")
+    return rows.select(*[c.alias(name) for name, c in out.items()])
 
 
 def digest(rows: DataFrame) -> DataFrame:
-    return rows.select("doc_id", "source", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"), F.sha2(F.coalesce("__kept", F.lit("")), 256).alias("kept_sha256"))
+    return rows.select("row.doc_id", "row.source", F.col("lines").alias("n_lines"), F.col("dropped").alias("n_dropped"), F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
 
 
 def oracle(ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> str:
