@@ -28,6 +28,8 @@ K_NEAREST = 20
 SAMPLE = 20_000
 RECALL = 0.97
 BLOCK = 4096
+#: Vectors that a scan holds before it lets go of those that are no query's best.
+HELD = 65_536
 SALTS = 16
 
 
@@ -56,7 +58,7 @@ def closest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 class Codebook:
     def __init__(self, x: np.ndarray, k: int):
-        self.half = x.shape[1] // 2
+        self.half = (x.shape[1] + 1) // 2  # of one dimension, the second half is empty and has one cell
         self.k = k
         self.parts = [kmeans(p, k, seed=s) for s, p in enumerate(self.halves(x))]
 
@@ -136,6 +138,12 @@ class Best:
         keep = s >= self.least[q] - 1e-9  # ties and what rounding may have put behind stay
         self.q, self.v, self.s, self.new, self.size = q[keep], v[keep], s[keep], [], 0
 
+    def used(self) -> np.ndarray:
+        """Which vectors are still among the best; they are numbered anew in this order."""
+        self.shrink()
+        at, self.v = np.unique(self.v, return_inverse=True)
+        return at
+
 
 def search(
     rows: DataFrame,
@@ -157,7 +165,7 @@ def search(
     base = rows.where(F.col(id_col).isNotNull() & usable(F.col(vec_col))).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"), is_query.alias("asks"))
     sizes = base.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     out_schema = "query_id long, rank int, vec_id long, score double"
-    if sizes is None or sizes.n < 2:
+    if sizes is None:
         return spark.createDataFrame([], out_schema)
     dim = sizes.n
     base = base.where(F.size("v") == dim).withColumn("key", F.concat(F.hex(F.xxhash64("v")), F.lit("-"), F.hex(F.xxhash64(F.reverse("v"), F.lit(1)))))
@@ -221,6 +229,9 @@ def search(
                     if len(asks):
                         best.add(asks, run + base_at, q[asks] @ v[run].T)
                 base_at += len(v)
+                if base_at >= HELD:
+                    at = best.used()
+                    kept, ids, base_at = [np.concatenate(kept)[at]], [ids[i] for i in at.tolist()], len(at)
             best.shrink()
             if not len(best.q):
                 return
