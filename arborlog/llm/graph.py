@@ -22,6 +22,15 @@ def lookup(rows: DataFrame, key: str, table: DataFrame, value: str, n_table: int
     return rows.withColumn(salt, F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int")).join(many, [key, salt], "left").drop(salt)
 
 
+def salted(rows: DataFrame, table: DataFrame, keys: list[str], by: str, n_table: int) -> DataFrame:
+    """``rows`` left-joined with ``table`` on ``keys``: by broadcast where it has few rows, else rows of one key are dealt out by their ``by``."""
+    if n_table <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table), keys, "left")
+    salt = "__salt"
+    many = table.withColumn(salt, F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    return rows.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(many, [*keys, salt], "left").drop(salt)
+
+
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): for each id with a link to another, the least id that it reaches.
 

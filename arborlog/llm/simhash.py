@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_texts, saved
-from .graph import connected_components
+from .graph import connected_components, salted
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Fingerprints in a tree at most, but for two parts of a cut shard that share one.
@@ -244,7 +244,7 @@ def components(
     ties = named.join(several, "doc_id", "left_semi").join(prints, fps).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     found = connected_components(links.union(ties))
     labelled = prints.join(found, "node", "left").select(*fps, F.coalesce("component", "node").alias("component_id"))
-    return rows.join(labelled, fps, "left").select("doc_id", *fps, "component_id")
+    return salted(rows, labelled, fps, "doc_id", n).select("doc_id", *fps, "component_id")
 
 
 # --- exact similarity ---
