@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -52,12 +55,15 @@ def map_texts(
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; one of our own only where none is set."""
+    """The shared folder that the cluster names; where none is set, one of our own in local mode, which goes at the end, and else an error."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         if not shared:
-            shared = f"/tmp/checkpoints/{uuid.uuid4().hex}"
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            shared = tempfile.mkdtemp(prefix="checkpoints")
+            atexit.register(shutil.rmtree, shared, True)
         sc.setCheckpointDir(shared)
     return shared or sc._jsc.sc().getCheckpointDir().get()
 
