@@ -2,9 +2,9 @@
 
 A WARC file is a row for each record: file, offset, the record's bytes. Records are hashed; the records that start in
 the same range of ``RANGE`` bytes are hashed in order into one node, each ``FANOUT`` neighbouring nodes into a node of the
-next level, up to one root for each file and one for the replica. Two replicas with equal roots are equal. Else only
-the children of nodes that differ are compared on the next level down, until the ranges that differ, whose records
-alone are compared. Every group of the tree is bounded by the range and the fanout, however large a file is.
+next level, up to one root for each file; files are hashed in groups of ``FANOUT`` up to one root for the replica. The roots
+are compared first: two replicas with equal roots are equal. Else only the children of nodes that differ are compared on the next
+level down, until the ranges that differ, whose records alone are compared. Every group of the tree is bounded by the range and the fanout, however large a file is.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ FANOUT = 16
 #: Pages in a file.
 FILE_PAGES = 1000
 NONE = "0" * 64
+#: Bytes of a gzip file that are given to the decompressor at a time.
+PIECE = 1 << 20
 
 
 # --- records ---
@@ -54,48 +56,69 @@ def records(pages: DataFrame, file_pages: int = FILE_PAGES) -> DataFrame:
     return rows.select("page_id", "file", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset"), "length", "sha256")
 
 
-def parse(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes, bytes]]:
-    """(offset, headers, payload, record) of each record of a WARC file; gzip members may hold one record each. What isn't a record ends the file."""
-    at, plain = 0, data
+def members(data: bytes) -> Iterator[tuple[int, int, bytes, str]]:
+    """(offset, stop, content, status) of the gzip members of a file, in one pass; after a broken one, from the next that can be read."""
+    at, view = 0, memoryview(data)
+    while at < len(data):
+        d, parts, pos = zlib.decompressobj(wbits=31), [], at
+        try:
+            while not d.eof and pos < len(data):
+                part = view[pos : pos + PIECE]
+                parts.append(d.decompress(part))
+                pos += len(part) - len(d.unused_data)
+            status = "ok" if d.eof else "cut"
+        except zlib.error:
+            status = "broken"
+        if status != "ok":
+            found = data.find(b"\x1f\x8b\x08", at + 1)
+            pos = found if found >= 0 else len(data)
+        yield at, pos, b"".join(parts) if status != "broken" else b"", status
+        at = pos
+
+
+def parse(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes, bytes, str]]:
+    """(offset, headers, payload, record, status) of each record of a WARC file; gzip members may hold one record each.
+
+    What isn't a record has a row of its own with status "broken", from where it begins up to the next record; a record
+    that ends before its length is "cut". So an audit loses nothing behind a damaged place.
+    """
     if data[:2] == b"\x1f\x8b":
-        while at < len(data):
-            d = zlib.decompressobj(wbits=31)
-            try:
-                one = d.decompress(data[at:])
-            except zlib.error:
-                return
-            size = len(data) - at - len(d.unused_data)
-            for _, headers, payload, rec in parse(one):
-                yield at, headers, payload, rec
-            at += size
+        for at, stop, one, status in members(data):
+            if status == "broken" or not one:
+                yield at, {}, b"", data[at:stop], "broken"
+                continue
+            for _, headers, payload, rec, inner in parse(one):
+                yield at, headers, payload, rec, inner if status == "ok" else status
         return
-    while at < len(plain):
-        end = plain.find(b"\r\n\r\n", at)
-        if not plain.startswith(b"WARC/", at) or end < 0:
-            return
-        headers = dict((x.split(":", 1)[0].strip().lower(), x.split(":", 1)[1].strip()) for x in plain[at:end].decode("utf-8", "replace").split("\r\n")[1:] if ":" in x)
+    at = 0
+    while at < len(data):
+        end = data.find(b"\r\n\r\n", at) if data.startswith(b"WARC/", at) else -1
+        headers = dict((x.split(":", 1)[0].strip().lower(), x.split(":", 1)[1].strip()) for x in data[at:end].decode("utf-8", "replace").split("\r\n")[1:] if ":" in x) if end >= 0 else {}
         if not headers.get("content-length", "").isdigit():
-            return
-        size = int(headers["content-length"])
-        stop = end + 4 + size
-        tail = 4 if plain.startswith(b"\r\n\r\n", stop) else 0
-        yield at, headers, plain[end + 4 : stop], plain[at : stop + tail]
+            stop = data.find(b"WARC/1.", at + 1)
+            stop = stop if stop >= 0 else len(data)
+            yield at, {}, b"", data[at:stop], "broken"
+            at = stop
+            continue
+        stop = end + 4 + int(headers["content-length"])
+        tail = 4 if data.startswith(b"\r\n\r\n", stop) else 0
+        yield at, headers, data[end + 4 : stop], data[at : stop + tail], "ok" if stop <= len(data) else "cut"
         at = stop + tail
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(file, offset, uri, kind, payload, sha256) of the records of plain or gzip WARC files; one task reads a file at a time."""
+    """(file, offset, uri, kind, payload, sha256, status) of the records of plain or gzip WARC files; one task reads a file, of under 2 GB, at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for offset, h, payload, rec in parse(data):
-                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((name, pa.string()), (offset, pa.int64()), (h.get("warc-target-uri"), pa.string()), (h.get("warc-type"), pa.string()), (payload, pa.binary()), (hashlib.sha256(rec).hexdigest(), pa.string()))], names=["file", "offset", "uri", "kind", "payload", "sha256"])
+                for offset, h, payload, rec, status in parse(data):
+                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((name, pa.string()), (offset, pa.int64()), (h.get("warc-target-uri"), pa.string()), (h.get("warc-type"), pa.string()), (payload, pa.binary()), (hashlib.sha256(rec).hexdigest(), pa.string()), (status, pa.string()))], names=["file", "offset", "uri", "kind", "payload", "sha256", "status"])
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, "file string, offset long, uri string, kind string, payload binary, sha256 string")
+    return files.mapInArrow(run, "file string, offset long, uri string, kind string, payload binary, sha256 string, status string")
 
 
 def packed(recs: list[bytes], compress: bool = False) -> bytes:
@@ -111,41 +134,78 @@ def _node(items: Column) -> Column:
     return F.sha2(F.array_join(F.transform(F.array_sort(items), lambda x: x["h"]), ""), 256)
 
 
-def tree(recs: DataFrame, size: int = RANGE, fanout: int = FANOUT, levels: int | None = None) -> list[DataFrame]:
-    """From the ranges up to the file roots: (file, node, hash) of each level."""
+def _pair(*key: str) -> Column:
+    return F.struct(*[F.col(k).alias(f"o{i}") for i, k in enumerate(key)], F.concat(*[x for k in key for x in (F.col(k).cast("string"), F.lit(":"))], F.col("hash"), F.lit(";")).alias("h"))
+
+
+def ranges(recs: DataFrame, size: int = RANGE) -> DataFrame:
+    """The lowest level, (file, node, hash): the records that start in each range of offsets, hashed in order."""
     leaf = F.struct(F.col("offset").alias("o"), F.concat(F.col("offset").cast("string"), F.lit(":"), F.col("length").cast("string"), F.lit(":"), F.col("sha256"), F.lit(";")).alias("h"))
-    level = recs.groupBy("file", F.floor(F.col("offset") / size).cast("long").alias("node")).agg(_node(F.collect_list(leaf)).alias("hash"))
+    return recs.groupBy("file", F.floor(F.col("offset") / size).cast("long").alias("node")).agg(_node(F.collect_list(leaf)).alias("hash"))
+
+
+def tree(level: DataFrame, fanout: int, levels: int) -> list[DataFrame]:
+    """From the ranges up to the file roots: (file, node, hash) of each level."""
+    out = [level]
+    for _ in range(levels):
+        level = level.groupBy("file", F.floor(F.col("node") / fanout).cast("long").alias("node")).agg(_node(F.collect_list(_pair("node"))).alias("hash"))
+        out.append(level)
+    return out
+
+
+def _group(depth: int, fanout: int) -> Column:
+    return F.pmod(F.xxhash64("file"), F.lit(fanout**depth)).cast("long")
+
+
+def forest(files: DataFrame, fanout: int, depth: int) -> list[DataFrame]:
+    """From the file roots up to the root of the replica: (group, hash) of each level; ``fanout`` groups, by a hash of the file, make one of the next."""
+    level = files.groupBy(_group(depth, fanout).alias("group")).agg(_node(F.collect_list(_pair("file"))).alias("hash"))
     out = [level]
-    for _ in range(levels or 0):
-        pair = F.struct(F.col("node").alias("o"), F.concat(F.col("node").cast("string"), F.lit(":"), F.col("hash"), F.lit(";")).alias("h"))
-        level = level.groupBy("file", F.floor(F.col("node") / fanout).cast("long").alias("node")).agg(_node(F.collect_list(pair)).alias("hash"))
+    for k in range(depth - 1, -1, -1):
+        level = level.groupBy((F.col("group") % fanout**k).alias("g")).agg(_node(F.collect_list(_pair("group"))).alias("hash")).withColumnRenamed("g", "group")
         out.append(level)
     return out
 
 
+def _levels(n: int, fanout: int) -> int:
+    k = 0
+    while n >= fanout**k:
+        k += 1
+    return k
+
+
+def _differ(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    return a.alias("a").join(b.alias("b"), keys, "full").where(~F.col("a.hash").eqNullSafe(F.col("b.hash"))).select(*keys)
+
+
 def audit(primary: DataFrame, replica: DataFrame, size: int = RANGE, fanout: int = FANOUT) -> DataFrame:
     """(file, offset, primary_sha256, replica_sha256, status) of each record that isn't the same in both.
 
     Both have (file, offset, length, sha256). status: corrupt (other bytes at the same offset), missing (only the primary has
-    a record there) or extra. Equal replicas give no rows, and so do two empty ones. Rows without a file or offset have no place and
+    a record there) or extra. The roots of the replicas are compared first: equal replicas, two empty ones too, give no rows and nothing else
+    is read. Else only children of differing groups, files and nodes are compared. Rows without a file or offset have no place and
     are left out; repeated records of one offset are compared as a list.
     """
     sides = [saved(x.select("file", "offset", "length", "sha256").where("file is not null and offset is not null")) for x in (primary, replica)]
-    top = max(x.agg(F.max("offset")).first()[0] or 0 for x in sides) // size
-    levels = 0
-    while top >= fanout**levels:
-        levels += 1
-    trees = [tree(x, size, fanout, levels) for x in sides]
-    bad = None
-    for k in range(levels, -1, -1):
-        a, b = (t[k] for t in trees)
-        if bad is not None:  # only below the nodes that differ
-            under = F.floor(F.col("node") / fanout).cast("long")
-            a, b = (x.withColumn("up", under).join(bad.select("file", F.col("node").alias("up")), ["file", "up"], "left_semi").drop("up") for x in (a, b))
-        differ = a.alias("a").join(b.alias("b"), ["file", "node"], "full").where(F.coalesce("a.hash", F.lit(NONE)) != F.coalesce("b.hash", F.lit(NONE))).select("file", "node")
-        bad = saved(differ)
-        if bad.isEmpty():
-            break
+    found = [x.agg(F.max("offset"), F.count_distinct("file")).first() for x in sides]
+    levels = _levels(max(x[0] or 0 for x in found) // size, fanout)
+    depth = _levels(max(x[1] for x in found) // fanout, fanout)
+    trees = [tree(saved(ranges(x, size)), fanout, levels) for x in sides]
+    tops = [saved(t[-1].select("file", "hash")) for t in trees]
+    forests = [forest(t, fanout, depth) for t in tops]
+    kind = "file string, offset long, primary_sha256 string, replica_sha256 string, status string".replace("file string", f"file {sides[0].schema['file'].dataType.simpleString()}")
+    bad = saved(_differ(forests[0][-1], forests[1][-1], ["group"]))
+    if bad.isEmpty():
+        return sides[0].sparkSession.createDataFrame([], kind)
+    for k in range(1, depth + 1):
+        a, b = (f[-1 - k].join(bad.withColumnRenamed("group", "up"), F.col("group") % fanout ** (k - 1) == F.col("up"), "left_semi") for f in forests)
+        bad = saved(_differ(a, b, ["group"]))
+    a, b = (t.join(bad, _group(depth, fanout) == F.col("group"), "left_semi") for t in tops)
+    bad = saved(_differ(a, b, ["file"])).withColumn("node", F.lit(0).cast("long"))
+    for k in range(levels - 1, -1, -1):
+        under = F.floor(F.col("node") / fanout).cast("long")
+        a, b = (t[k].withColumn("up", under).join(bad.select("file", F.col("node").alias("up")), ["file", "up"], "left_semi").drop("up") for t in trees)
+        bad = saved(_differ(a, b, ["file", "node"]))
     inside = [x.withColumn("node", F.floor(F.col("offset") / size).cast("long")).join(bad, ["file", "node"], "left_semi").groupBy("file", "offset").agg(F.concat_ws(",", F.array_sort(F.collect_list("sha256"))).alias("h")) for x in sides]
     both = inside[0].alias("a").join(inside[1].alias("b"), ["file", "offset"], "full").where(~F.col("a.h").eqNullSafe(F.col("b.h")))
     status = F.when(F.col("b.h").isNull(), "missing").when(F.col("a.h").isNull(), "extra").otherwise("corrupt")
@@ -153,15 +213,11 @@ def audit(primary: DataFrame, replica: DataFrame, size: int = RANGE, fanout: int
 
 
 def root(recs: DataFrame, size: int = RANGE, fanout: int = FANOUT) -> str:
-    """The root of a replica: the hash of its file roots in order, which are as many as it has files."""
-    top = (recs.agg(F.max("offset")).first()[0] or 0) // size
-    levels = 0
-    while top >= fanout**levels:
-        levels += 1
-    files = tree(recs, size, fanout, levels)[-1].select(F.lit(0).alias("file"), F.dense_rank().over(Window.orderBy("file")).alias("node"), "hash")
-    pair = F.struct(F.col("node").alias("o"), F.concat(F.col("node").cast("string"), F.lit(":"), F.col("hash"), F.lit(";")).alias("h"))
-    found = files.agg(_node(F.collect_list(pair)).alias("hash")).first()
-    return found[0] if found else NONE
+    """The root of a replica; that of an empty one is 64 zeros."""
+    offset, files = recs.agg(F.max("offset"), F.count_distinct("file")).first()
+    top = tree(ranges(recs, size), fanout, _levels((offset or 0) // size, fanout))[-1].select("file", "hash")
+    found = forest(top, fanout, _levels(files // fanout, fanout))[-1].first()
+    return found["hash"] if found else NONE
 
 
 def fixity(recs: DataFrame, replica: DataFrame, size: int = RANGE, fanout: int = FANOUT) -> DataFrame:

@@ -331,6 +331,23 @@ def test_multi_index_with_few_or_no_vectors(spark):
     assert ann.search(df.limit(0), df["vec_id"] % 20 == 0).count() == 0
 
 
+def test_multi_index_of_one_dimension(spark):
+    df = spark.createDataFrame([(i, [float(i - 30)]) for i in range(60)], "vec_id long, embedding array<double>")
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in ann.search(df, df["vec_id"] % 20 == 0, nearest=3).collect()]
+    want = []
+    for q in (0, 20, 40):
+        best = sorted((-(q - 30.0) * (v - 30), v) for v in range(60) if v not in (q, 30))[:3]
+        want += [(q, k + 1, v, -s) for k, (s, v) in enumerate(best)]
+    assert sorted(got) == want
+
+
+def test_scan_lets_go_of_vectors(spark, monkeypatch):
+    df = spark.createDataFrame([(i, np.random.default_rng(i).normal(size=4).tolist()) for i in range(400)], "vec_id long, embedding array<double>")
+    want = rows_of(ann.search(df, df["vec_id"] % 20 == 0, visit=1.0), "query_id", "rank", "vec_id", "score")
+    monkeypatch.setattr(ann, "HELD", 1)
+    assert rows_of(ann.search(df, df["vec_id"] % 20 == 0, visit=1.0), "query_id", "rank", "vec_id", "score") == want and len(want) == 400
+
+
 def test_traversal_takes_cells_by_summed_distance():
     book = ann.Codebook(np.random.default_rng(1).normal(size=(300, 6)), 8)
     d1, d2 = (d[0] for d in book.distances(np.ones((1, 6))))
@@ -398,18 +415,40 @@ def test_warc_files_are_read_back(spark, tmp_path):
     recs = [b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Target-URI: http://x/%d\r\nContent-Length: %d\r\n\r\n" % (i, i) + b"y" * i + b"\r\n\r\n" for i in range(5)]
     for name, packed in (("a.warc", False), ("b.warc.gz", True)):
         (tmp_path / name).write_bytes(warc_audit.packed(recs, packed) + (b"" if packed else b"broken"))
-    got = rows_of(warc_audit.read_warc(spark, str(tmp_path)), "uri", "payload", "sha256")
+    read = warc_audit.read_warc(spark, str(tmp_path))
+    assert rows_of(read.where("status <> 'ok'"), "uri", "status") == [(None, "broken")]
+    got = rows_of(read.where("status = 'ok'"), "uri", "payload", "sha256")
     assert got == sorted(2 * [(f"http://x/{i}", bytearray(b"y" * i), hashlib.sha256(recs[i]).hexdigest()) for i in range(5)], key=repr)
 
 
+@pytest.mark.parametrize("compress", [False, True])
+def test_a_damaged_record_costs_only_itself(compress):
+    recs = [b"WARC/1.1\r\nWARC-Target-URI: http://x/%d\r\nContent-Length: 40\r\n\r\n" % i + b"y" * 40 + b"\r\n\r\n" for i in range(6)]
+    files = [warc_audit.packed([x], compress) for x in recs]
+    files[2] = files[2][:3] + b"\x00\xff" * 9 + files[2][21:]
+    got = [(h.get("warc-target-uri", "")[9:], status) for _, h, _, _, status in warc_audit.parse(b"".join(files))]
+    assert [x for x in got if x[1] == "ok"] == [(str(i), "ok") for i in (0, 1, 3, 4, 5)] and ("", "broken") in got
+    whole = b"".join(warc_audit.packed([x], compress) for x in recs)
+    assert [s for *_, s in warc_audit.parse(whole[:-20])][-1] == "cut" and list(warc_audit.parse(b"")) == []
+
+
+def test_a_file_of_many_members_is_read_in_one_pass():
+    import time
+
+    data = warc_audit.packed([b"WARC/1.1\r\nContent-Length: 2000\r\n\r\n" + random.Random(k).randbytes(2000) + b"\r\n\r\n" for k in range(8000)], True)
+    begin = time.process_time()
+    assert sum(1 for _ in warc_audit.parse(data)) == 8000 and time.process_time() - begin < 10
+
+
 # --- 7 ---
 
 
 def test_boilerplate_by_site(spark):
-    rows = [(i, f"Home\nown text {i}\n\nshared", "a" if i < 20 else "b") for i in range(24)] + [(100, None, "a"), (101, "", "a"), (102, "Home", None), (103, "Home\nHome", "a"), (103, "Home\nHome", "a")]
+    rows = [(i, f"Home\nown text {i}\n\nshared", "a" if i < 20 else "b") for i in range(24)] + [(100, None, "a"), (101, "", "a"), (102, "Home", None), (103, "Home\nHome", "a"), (103, "Home\nHome", "a"), *[(200 + k, f"Two\nown {200 + k}", "c") for k in range(2)], (300, LONG, "c")]
     df = docs(spark, rows)
-    got = {(r.doc_id, r["__kept"], r["__lines"], r["__dropped"]) for r in line_dedup.drop_boilerplate(df).collect()}
-    assert (0, "own text 0\n", 4, 2) in got and (23, "Home\nown text 23\n\nshared", 4, 0) in got  # four pages of b are too few
+    got = {(r.row.doc_id, r.kept, r.lines, r.dropped) for r in line_dedup.drop_boilerplate(df).collect()}
+    assert (0, "own text 0\n", 4, 2) in got and (23, "own text 23\n", 4, 2) in got
+    assert (201, "Two\nown 201", 2, 0) in got  # two pages of c are too few
     assert (100, None, 0, 0) in got and (101, "", 1, 0) in got and (102, "Home", 1, 0) in got and (103, "", 2, 2) in got
     clean = line_dedup.clean(df)
     assert clean.columns == df.columns and clean.count() == len(rows)
@@ -417,6 +456,14 @@ def test_boilerplate_by_site(spark):
     assert line_dedup.clean(docs(spark, [])).count() == 0
 
 
+def test_boilerplate_with_columns_of_any_names(spark):
+    names = ["doc_id", "text", "source", "row", "host", "bad", "t", "__host", "__keep", "__list", "a.b"]
+    df = spark.createDataFrame([(i, f"Home\n{i}", "s", *[f"v{k}" for k in range(8)]) for i in range(6)], names)
+    got = line_dedup.clean(df)
+    assert got.columns == names
+    assert sorted(tuple(r) for r in got.collect()) == [(i, str(i), "s", *[f"v{k}" for k in range(8)]) for i in range(6)]
+
+
 def test_hosts(spark):
     urls = [("http://A.b:80/x",), ("https://u@h.org?q",), ("nothing",), (None,)]
     df = spark.createDataFrame(urls, "u string")
