@@ -1,19 +1,20 @@
 """Repeated strings of bytes by suffix arrays.
 
 A window of ``WINDOW`` bytes that also starts anywhere else goes, in all its places. Windows meet by their minimisers (see
-superkmer): the strings of a bucket whose minimiser came more than once are a shard, laid end to end with a byte between them
-that UTF-8 never has. The shard's suffix array is built by induced sorting: suffixes are classified as larger or smaller
-than the next, the leftmost-smaller substrings are sorted and named, their order is found recursively, and all other suffixes
-are induced from it in two passes. The common prefix of each suffix with the one before it in the array, kept by text position, tells
-which windows are repeated.
-
-Induction runs over whole buckets of first bytes at a time in numpy: a bucket's entries induce their predecessors together, and only
-those that fall into the same bucket wait for another round. The recursion, whose alphabet is too large for that, ends in prefix
-doubling.
+superkmer): the different strings of a bucket whose minimiser came more than once are a shard, laid end to end with a byte between them
+that UTF-8 never has. The shard's suffix array is built by induced sorting: suffixes are
+classified as larger or smaller than the next, the leftmost-smaller substrings are sorted and named by their contents, their order is
+found recursively from the names, and all other suffixes are induced from it in two passes. The common prefix of each suffix with
+the one before it in the array, kept by text position, tells which windows are repeated.
+
+Of bytes, induction runs over whole buckets of first letters at a time in numpy: a bucket's entries induce their predecessors together, and
+only those that fall into the same bucket wait for another round. Names are written as one or two bytes each and sorted in the same way; entry by
+entry induction is left for short arrays and for more names than two bytes hold.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +27,11 @@ from .superkmer import Packed, covered, gram_hashes, runs, sliding_min, text_mar
 
 WINDOW, GRAM = 200, 32
 BETWEEN = 255
-#: Bytes of a shard at most.
+#: Bytes of a shard at most, and those up to which minimisers share one.
 SHARD_BYTES = 4_000_000
+SHARED_BYTES = 1_200_000
+#: Bytes below which a suffix array is induced entry by entry.
+FEW = 12_000
 #: Spans (8 bytes each) and documents with spans that are broadcast at most; beyond, documents are joined by id.
 BROADCAST_SPANS = 4_000_000
 #: Of a string: all its windows are known to go; its windows may be equal to one another.
@@ -125,86 +129,167 @@ def induce(s: np.ndarray, is_small: np.ndarray, lms: np.ndarray, k: int) -> np.n
     return sa
 
 
-def doubled(s: np.ndarray) -> np.ndarray:
-    """The suffix array by prefix doubling."""
+def _same_substrings(s: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether the substrings of bytes at a and b, of these lengths, are equal, by eight bytes at a time."""
+    word = _words(s)
+    same = np.ones(len(a), bool)
+    left = np.arange(len(a))
+    k = 0
+    while len(left):
+        x = word[a[left] + k] ^ word[b[left] + k]
+        rest = length[left] - k
+        x = np.where(rest < 8, x & ((np.uint64(1) << (np.minimum(rest, 7).astype(np.uint64) * np.uint64(8))) - np.uint64(1)), x)
+        same[left[x != 0]] = False
+        left = left[(x == 0) & (rest > 8)]
+        k += 8
+    return same
+
+
+def _words(text: np.ndarray) -> np.ndarray:
+    """Of each position, the eight bytes from it on as one number, the first lowest."""
+    padded = np.concatenate([text.astype(np.uint8), np.zeros(8, np.uint8)])
+    word = np.zeros(len(text), np.uint64)
+    for k in range(8):
+        word |= padded[k : k + len(text)].astype(np.uint64) << np.uint64(8 * k)
+    return word
+
+
+def names_array(s: list[int], k: int) -> list[int]:
+    """The suffix array of numbers below k by induced sorting, entry by entry."""
     n = len(s)
-    rank = np.unique(s, return_inverse=True)[1].astype(np.int64)
-    k = 1
-    while True:
-        key = rank * (n + 1)
-        key[:-k] += rank[k:] + 1
-        order = np.argsort(key, kind="stable")
-        new = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        k *= 2
-        if new[-1] == n - 1 or k >= n:
-            return order
+    if n < 2:
+        return list(range(n))
+    small = [False] * n
+    for i in range(n - 2, -1, -1):
+        small[i] = s[i] < s[i + 1] or (s[i] == s[i + 1] and small[i + 1])
+    ends = np.cumsum(np.bincount(np.array(s), minlength=k)).tolist()
+    begins = [0, *ends[:-1]]
+    lms = [i for i in range(1, n) if small[i] and not small[i - 1]]
+
+    # what an entry induces in each of the passes, or -1; the last one is for slots that are still empty
+    larger = [-1, *(i if not small[i] else -1 for i in range(n - 1)), -1]
+    lesser = [-1, *(i if small[i] else -1 for i in range(n - 1)), -1]
+
+    def spread(order: list[int]) -> list[int]:
+        sa, tail, head = [-1] * n, ends[:], begins[:]
+        for i in reversed(order):
+            tail[s[i]] -= 1
+            sa[tail[s[i]]] = i
+        sa[head[s[-1]]] = n - 1
+        head[s[-1]] += 1
+        for j in sa:  # grows ahead of the reading
+            i = larger[j]
+            if i >= 0:
+                c = s[i]
+                at = head[c]
+                sa[at] = i
+                head[c] = at + 1
+        tail = ends[:]
+        for j in reversed(sa):
+            i = lesser[j]
+            if i >= 0:
+                c = s[i]
+                at = tail[c] - 1
+                sa[at] = i
+                tail[c] = at
+        return sa
+
+    if not lms:
+        return spread(lms)
+    stop = dict(zip(lms, [*(x + 1 for x in lms[1:]), n], strict=True))
+    name, last, names = [-1] * n, None, -1
+    is_lms = bytearray(n)
+    for i in lms:
+        is_lms[i] = 1
+    order = [i for i in spread(lms) if is_lms[i]]
+    for i in order:
+        own = s[i : stop[i]]
+        if own != last or stop[i] == n:  # a substring that reaches the end is like no other
+            names += 1
+        name[i] = names
+        last = own if stop[i] < n else None
+    if names < len(lms) - 1:
+        order = [lms[j] for j in names_array([name[i] for i in lms], names + 1)]
+    return spread(order)
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
+    """Of bytes."""
     n = len(s)
-    if n < 2:
-        return np.arange(n)
+    if n < FEW:
+        return np.array(names_array(s.tolist(), 256), np.int64)
     k = int(s.max()) + 1
-    if n < 64 * k and k > 256:
-        return doubled(s)
-    s = s.astype(np.int64)
-    is_small = smaller(s)
+    wide = s.astype(np.int64)
+    is_small = smaller(wide)
     lms = np.flatnonzero(is_small[1:] & ~is_small[:-1]) + 1
+    sa = induce(wide, is_small, lms, k)
     if not len(lms):
-        return induce(s, is_small, lms, k)
-    # sort and name the substrings from one leftmost-smaller place to the next
-    sa = induce(s, is_small, lms, k)
+        return sa
+    # name the substrings from one leftmost-smaller place to the next in their order
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
     by = sa[is_lms[sa]]
     stop = np.full(n, n, np.int64)
     stop[lms[:-1]] = lms[1:] + 1
-    with np.errstate(over="ignore"):
-        base = np.uint64(0x9E3779B97F4A7C15)
-        power = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, base, np.uint64))])
-        total = np.concatenate([[np.uint64(0)], np.cumsum((VALUES[s & 255] + s.astype(np.uint64)) * power[:n])])
-        length = stop[by] - by
-        value = (total[stop[by]] - total[by]) * power[n - by]
-    # a substring that reaches the end of the text is like no other
-    new = np.concatenate([[True], (value[1:] != value[:-1]) | (length[1:] != length[:-1]) | (stop[by][1:] == n) | (stop[by][:-1] == n)])
-    names = np.cumsum(new) - 1
+    a, b = by[1:], by[:-1]
+    length = stop[a] - a
+    alike = (length == stop[b] - b) & (stop[a] < n) & (stop[b] < n)
+    alike[alike] = _same_substrings(s, a[alike], b[alike], length[alike])
+    names = np.concatenate([[0], np.cumsum(~alike)])
     if names[-1] < len(lms) - 1:
         name = np.zeros(n, np.int64)
         name[by] = names
-        by = lms[suffix_array(name[lms])]
-    return induce(s, is_small, by, k)
+        name = name[lms]
+        if names[-1] < 256 and 2 * len(name) < n:
+            order = suffix_array(name.astype(np.uint8))
+        elif names[-1] < 65536 and 5 * len(name) < 2 * n:
+            base = math.isqrt(int(names[-1])) + 1
+            order = suffix_array(np.stack([name // base, name % base], axis=1).astype(np.uint8).ravel())
+            order = order[order % 2 == 0] // 2  # only suffixes of whole names count
+        else:
+            order = np.array(names_array(name.tolist(), int(names[-1]) + 1))
+        by = lms[order]
+    return induce(wide, is_small, by, k)
+
+
+def common_prefixes(text: np.ndarray, sa: np.ndarray, most: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(permuted, before): by text position, how many bytes each wanted suffix shares with the one before it in the array, up to ``most``, and which that is."""
+    n = len(text)
+    before = np.full(n, -1, np.int64)
+    before[sa[1:]] = sa[:-1]
+    word = _words(text)
+    permuted = np.zeros(n, np.int32)
+    at = np.flatnonzero(wanted & (before >= 0))  # in text order, so the text is read in one direction
+    k = 0
+    while len(at) and k < most:
+        b = before[at]
+        ok = np.maximum(at, b) + k < n
+        at, b = at[ok], b[ok]
+        x = word[at + k] ^ word[b + k]
+        differ = x != 0
+        low = x[differ] & (~x[differ] + np.uint64(1))
+        permuted[at[differ]] += (np.bitwise_count(low - np.uint64(1)) // 8).astype(np.int32)
+        at = at[~differ]
+        permuted[at] += 8
+        k += 8
+    return np.minimum(permuted, n - np.maximum(np.arange(n), before)), before
 
 
 def repeated(text: np.ndarray, sa: np.ndarray, valid: np.ndarray, window: int) -> np.ndarray:
-    """Which valid positions share ``window`` bytes with their neighbour in the suffix array.
-
-    The common prefixes are taken by text position and only as far as the window.
-    """
-    ok = valid[sa]
-    pair = np.flatnonzero(ok[1:] & ok[:-1])
-    a, b = sa[pair + 1], sa[pair]
-    padded = np.concatenate([text, np.zeros(8, np.uint8)])
-    word = np.zeros(len(text), np.uint64)
-    for k in range(8):
-        word |= padded[k : k + len(text)].astype(np.uint64) << np.uint64(8 * k)
-    order = np.argsort(a)  # permuted: text order reads the text in one direction
-    a, b = a[order], b[order]
-    for k in [*range(0, window - 7, 8), window - 8]:
-        same = word[a + k] == word[b + k]
-        a, b = a[same], b[same]
+    """Which valid positions share ``window`` bytes with another: with their neighbour on either side in the suffix array."""
+    permuted, before = common_prefixes(text, sa, window, valid)
+    later = np.flatnonzero(valid & (permuted >= window))
     out = np.zeros(len(text), bool)
-    out[a] = True
-    out[b] = True
-    return out
+    out[later] = True
+    out[before[later]] = True
+    return out & valid
 
 
 # --- documents ---
 
 
 def pack(rows: list[tuple[int, str]], window: int = WINDOW, gram: int = GRAM) -> tuple[Packed, list[tuple[int, int, int, int]]]:
-    """Strings of a run of documents; those equal to another are known to go, and travel once, flagged."""
+    """Strings of a run of documents. Equal ones travel once, flagged; the others of them are known to go, as what their flagged copy finds in its shard is theirs."""
     first: dict[bytes, int] = {}
     known: list[tuple[int, int, int, int]] = []
     hs, ids, marks, starts, ns, strings = [], [], [], [], [], []
@@ -229,9 +314,7 @@ def pack(rows: list[tuple[int, str]], window: int = WINDOW, gram: int = GRAM) ->
             mine = len(hs)
             before = first.setdefault(s, mine)
             if before != mine:
-                if not flags[before] & KNOWN:
-                    flags[before] |= KNOWN
-                    known.append((ids[before], marks[before], starts[before], starts[before] + ns[before] + window - 1))
+                flags[before] |= KNOWN
                 know(doc_id, mark, i, i + k + window - 1)
                 continue
             hs.append(h)
@@ -261,8 +344,9 @@ def shard_repeats(strings: list[bytes], window: int = WINDOW) -> list[np.ndarray
 
 
 def solve(p: Packed, window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> Iterator[tuple[int, int, int, int]]:
+    """Spans of repeated windows of a bucket. Equal strings are grouped: a group of several is repeated as a whole, and stands once in its shard for what other strings share with it."""
     order = np.argsort(p.h, kind="stable")
-    waiting: list[list[int]] = []
+    waiting: list[int] = []
     size = 0
 
     def span(k: int, a: int = 0, n: int | None = None) -> tuple[int, int, int, int]:
@@ -270,41 +354,42 @@ def solve(p: Packed, window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> It
         return int(p.doc_id[k]), int(p.mark[k]), begin, begin + (int(p.n[k]) if n is None else n) + window - 1
 
     def shard() -> Iterator[tuple[int, int, int, int]]:
-        for k, hit in zip([g[0] for g in waiting], shard_repeats([p.strings[g[0]] for g in waiting], window), strict=True):
+        for k, hit in zip(waiting, shard_repeats([p.strings[k] for k in waiting], window), strict=True):
             edges = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
             for a, b in edges.reshape(-1, 2).tolist():
                 yield span(k, a, b - a)
 
     for group in np.split(order, np.flatnonzero(np.diff(p.h[order])) + 1):
-        if len(group) < 2 and p.flag[group[0]] != TURNS:
+        if len(group) < 2 and not p.flag[group[0]]:
             continue
         same: dict[bytes, list[int]] = {}
         for k in group.tolist():
             same.setdefault(p.strings[k], []).append(k)
-        for members in same.values():
-            if len(members) > 1:
-                yield from (span(k) for k in members if not p.flag[k] & KNOWN)
+        for g in same.values():
+            if len(g) > 1 or p.flag[g[0]] & KNOWN:
+                yield from (span(k) for k in g)
         if len(same) < 2 and (len(group) > 1 or p.flag[group[0]] & KNOWN):
             continue
-        held = sum(map(len, same))
+        members = [g[0] for g in same.values()]
+        held = sum(len(p.strings[k]) for k in members)
         if held > shard_bytes:
-            yield from _large(p, list(same.values()), window, shard_bytes, span)
+            yield from _large(p, members, window, shard_bytes, span)
             continue
-        if size + held > shard_bytes and waiting:
+        if size + held > min(SHARED_BYTES, shard_bytes) and waiting:
             yield from shard()
             waiting, size = [], 0
-        waiting += list(same.values())
+        waiting += members
         size += held
     if waiting:
         yield from shard()
 
 
-def _large(p: Packed, members: list[list[int]], window: int, shard_bytes: int, span) -> Iterator[tuple[int, int, int, int]]:
+def _large(p: Packed, copies: list[int], window: int, shard_bytes: int, span) -> Iterator[tuple[int, int, int, int]]:
     """One minimiser with more strings than a shard holds: its windows are dealt out by their own hash, so equal ones meet, and each part is a shard of pieces."""
-    windows = sum(int(p.n[g[0]]) for g in members)
+    windows = sum(int(p.n[k]) for k in copies)
     parts = max(2, -(-windows * window // (8 * shard_bytes)))
-    hashes = [gram_hashes(VALUES[np.frombuffer(p.strings[g[0]], np.uint8)], window) for g in members]
-    hits = [np.zeros(int(p.n[g[0]]), bool) for g in members]
+    hashes = [gram_hashes(VALUES[np.frombuffer(p.strings[k], np.uint8)], window) for k in copies]
+    hits = [np.zeros(int(p.n[k]), bool) for k in copies]
     for part in range(parts):
         where, value = [], []
         for x, h in enumerate(hashes):
@@ -321,13 +406,13 @@ def _large(p: Packed, members: list[list[int]], window: int, shard_bytes: int, s
         for at in range(0, len(where), shard_bytes // window):
             # windows of equal hash may lie on both sides of a cut, so each part overlaps the next by one hash
             piece = where[max(0, at - 1) : at + shard_bytes // window + 1]
-            found = shard_repeats([p.strings[members[x][0]][i : i + window] for x, i in piece.tolist()], window)
+            found = shard_repeats([p.strings[copies[x]][i : i + window] for x, i in piece.tolist()], window)
             for (x, i), f in zip(piece.tolist(), found, strict=True):
                 hits[x][i] |= bool(f[0])
-    for g, hit in zip(members, hits, strict=True):
+    for k, hit in zip(copies, hits, strict=True):
         edges = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
         for a, b in edges.reshape(-1, 2).tolist():
-            yield span(g[0], a, b - a)
+            yield span(k, a, b - a)
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, **sizes) -> DataFrame:

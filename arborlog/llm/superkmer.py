@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 #: Characters of text packed at a time, and those that a bucket gets.
 PACK_CHARS = 12_000_000
 BUCKET_CHARS = 3_000_000
+#: Buckets of a partition, and partitions at most; beyond, partitions get more buckets, which are read one after the other.
+BUCKETS_EACH, MOST_PARTS = 4, 20_000
 #: Windows in a string at most: a text that repeats itself has one minimiser for long.
 MAX_RUN = 512
 MARKS = "doc_id long, mark long, start int, stop int"
@@ -176,7 +178,9 @@ def windows_seen(
         if blobs:
             yield marks(np.array(list(solve(Packed.load(blobs))), np.int64))
 
-    packed = rows.mapInArrow(packing, "bucket long, blob binary").repartition("bucket").sortWithinPartitions("bucket")
+    # so many partitions that each gets few buckets, however many there are
+    parts = min(MOST_PARTS, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4, -(-buckets // BUCKETS_EACH)))
+    packed = rows.mapInArrow(packing, "bucket long, blob binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
     found = packed.mapInArrow(solving, MARKS)
     grouped = found.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     return grouped.mapInArrow(merged, "doc_id long, mark long, spans array<struct<start:int,stop:int>>")

@@ -475,12 +475,20 @@ def test_hosts(spark):
 
 def test_suffix_arrays():
     rng = np.random.default_rng(2)
-    for k in range(200):
+    for k in range(300):
         s = rng.integers(0, rng.integers(1, 6) + 1, rng.integers(1, 150)).astype(np.uint8)
         s = np.tile(s, 3) if k % 3 == 0 else s
         b = s.tobytes()
-        assert suffix_dedup.suffix_array(s).tolist() == sorted(range(len(b)), key=lambda i: b[i:])
-        assert suffix_dedup.doubled(s).tolist() == sorted(range(len(b)), key=lambda i: b[i:])
+        want = sorted(range(len(b)), key=lambda i: b[i:])
+        assert suffix_dedup.suffix_array(s).tolist() == want
+        assert suffix_dedup.names_array(s.tolist(), 8) == want
+        permuted, before = suffix_dedup.common_prefixes(s, np.array(want), 16, np.ones(len(s), bool))
+        for i, j in zip(want[1:], want, strict=False):
+            common = next((x for x in range(len(b)) if b[i + x : i + x + 1] != b[j + x : j + x + 1] or i + x >= len(b) or j + x >= len(b)), 0)
+            assert before[i] == j and permuted[i] >= 16 if common >= 16 else permuted[i] == common
+    long = np.frombuffer(LONG.encode(), np.uint8)
+    sa = suffix_dedup.suffix_array(long)
+    assert sorted(sa.tolist()) == list(range(len(long))) and all(LONG[i : i + 99] <= LONG[j : j + 99] for i, j in zip(sa[:-1].tolist(), sa[1:].tolist(), strict=True))
 
 
 def brute_bytes(texts, w):
