@@ -12,8 +12,9 @@ than ``SHARD`` fingerprints are cut into parts of which each pair has its tree,
 ``similar`` links texts whose sets of runs of five words have a Jaccard similarity of 0.8 or more, counted exactly. Equal sets
 are grouped; different ones meet where a band of minima of hashes is equal (a pair at 0.8 misses all bands with a chance
 of 3e-6, whatever the number of texts); pairs whose 128-bit fingerprints differ in more than 44 bits (of a pair at 0.8, 19
-on average, with a deviation of 4) are passed over. The least spanning trees of the shards are checked first; then, all
-pairs not yet joined by a checked link. So a group of near copies costs about one check for each of its members and shard.
+on average, with a deviation of 4) are passed over. The least spanning trees of the shards are checked first, so a group of
+near copies costs about one check for each of its members and shard. Where members of a shard are still apart, the sets travel to the
+shard and all its pairs are counted there by products of matrices; only links leave it.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ BROADCAST_ROWS = 200_000
 FRONTIER = 400_000
 #: Of ``similar``: words of a shingle, least similarity, bands and minima in a band, bits that may differ of fingerprints of two words.
 SIMILAR_SHINGLE, SIMILARITY, BANDS, BAND, SIMILAR_RADIUS = 5, 0.8, 32, 5, 44
+#: Rows and columns of a matrix at a time, where all pairs of a shard are counted.
+ROWS, COLUMNS = 1024, 4096
 #: Pairs that meet one copy of a set of shingles at most.
 HUB = 64
 
@@ -157,16 +160,16 @@ def least_reached(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _shards(batches: Iterator[pa.RecordBatch], solve: Callable[..., pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shards(batches: Iterator[pa.RecordBatch], solve: Callable[..., pa.RecordBatch], most: int = 4 * SHARD) -> Iterator[pa.RecordBatch]:
     """Calls ``solve`` with the columns of whole shards; rows (shard, ...) come sorted by shard."""
     held: list[list[np.ndarray]] = []
     size = 0
     for batch in batches:
         if not batch.num_rows:
             continue
-        held.append([c.to_numpy() for c in batch.columns])
+        held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
         size += batch.num_rows
-        if size >= 4 * SHARD:
+        if size >= most:
             cols = [np.concatenate(x) for x in zip(*held, strict=True)]
             cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last shard may go on
             if cut:
@@ -321,35 +324,71 @@ def spanning(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], label: bool) -> Iterator[pa.RecordBatch]:
-    """Rows (shard, node, fp0, fp1[, label]) sorted by shard: edges of its spanning forest, or all pairs within the radius whose labels differ."""
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (shard, node, fp0, fp1) sorted by shard: edges of its spanning forest."""
 
-    def solve(shard: np.ndarray, node: np.ndarray, fp0: np.ndarray, fp1: np.ndarray, *labels: np.ndarray) -> pa.RecordBatch:
+    def solve(shard: np.ndarray, node: np.ndarray, fp0: np.ndarray, fp1: np.ndarray) -> pa.RecordBatch:
         fp = np.stack([fp0, fp1], axis=1).view(np.uint64)
-        ends = np.append(np.flatnonzero(shard[1:] != shard[:-1]) + 1, len(shard))
-        starts = np.concatenate([[0], ends[:-1]])
+        starts, ends = _ends(shard)
         size = ends - starts
         two = starts[size == 2]
         ok = _hamming(fp, two, two + 1) <= SIMILAR_RADIUS
-        if label:
-            ok &= labels[0][two] != labels[0][two + 1]
         found = [(two[ok], two[ok] + 1)]
         for s, e in zip(starts[size > 2].tolist(), ends[size > 2].tolist(), strict=True):
-            if not label:
-                a, b = spanning(fp[s:e], SIMILAR_RADIUS)
-                found.append((a + s, b + s))
-            elif (labels[0][s:e] != labels[0][s]).any():
-                step = max(1, 4_000_000 // (e - s))
-                for k in range(s, e, step):
-                    i, j = np.arange(k, min(e, k + step))[:, None], np.arange(s, e)[None]
-                    x, y = np.nonzero((i < j) & (labels[0][i] != labels[0][j]) & (_hamming(fp, i, j) <= SIMILAR_RADIUS))
-                    found.append((x + k, y + s))
+            a, b = spanning(fp[s:e], SIMILAR_RADIUS)
+            found.append((a + s, b + s))
         a, b = (node[np.concatenate(x)] for x in zip(*found, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return _shards(batches, solve)
 
 
+def _ends(shard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    ends = np.append(np.flatnonzero(shard[1:] != shard[:-1]) + 1, len(shard))
+    return np.concatenate([[0], ends[:-1]]), ends
+
+
+def alike_pairs(sets: list[np.ndarray], label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions i < j of all sets of different labels whose similarity is enough, counted by products of matrices of members and values."""
+    n = len(sets)
+    size = np.array([len(x) for x in sets])
+    own = np.repeat(np.arange(n), size)
+    _, value, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = many[value] > 1
+    value, own = (np.cumsum(many > 1) - 1)[value[shared]], own[shared]
+    width = int((many > 1).sum())
+    kind = np.float32 if size.max(initial=0) < 1 << 20 else np.float64  # so that counts are exact
+    a, b = [], []
+    for low in range(0, n, ROWS):
+        high = min(n, low + ROWS)
+        common = np.zeros((high - low, n - low), kind)
+        for c in range(0, width, COLUMNS):
+            here = (value >= c) & (value < c + COLUMNS) & (own >= low)
+            x = np.zeros((n - low, min(COLUMNS, width - c)), kind)
+            x[own[here] - low, value[here] - c] = 1
+            common += x[: high - low] @ x.T
+        both = size[low:high, None] + size[None, low:] - common
+        i, j = np.nonzero((common >= SIMILARITY * both - 1e-9 * both) & (label[low:high, None] != label[None, low:]) & (np.arange(high - low)[:, None] < np.arange(n - low)[None]))
+        a.append(i + low)
+        b.append(j + low)
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (shard, node, label, h) sorted by shard: links between nodes of different labels whose sets are alike."""
+
+    def solve(shard: np.ndarray, node: np.ndarray, label: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for s, e in zip(*(x.tolist() for x in _ends(shard)), strict=True):
+            if (label[s:e] != label[s]).any():
+                a, b = alike_pairs([np.frombuffer(x, "<u8") for x in h[s:e]], label[s:e])
+                found.append((a + s, b + s))
+        a, b = (node[np.concatenate(x)] for x in zip(*found, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return _shards(batches, solve, SHARD)
+
+
 def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets (node, h) are alike by ``SIMILARITY``; a node of many pairs is dealt out by salt."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
@@ -409,7 +448,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sha
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp0").alias("fp0"), F.first("fp1").alias("fp1"), F.first("bands").alias("bands"))
     nodes = saved(nodes)
     met = nodes.select("node", "fp0", "fp1", F.posexplode("bands")).select("node", "fp0", "fp1", F.xxhash64("pos", "col").alias("shard"))
-    tree = saved(_cut(met, ["fp0", "fp1", "node"], shard).mapInArrow(lambda batches: _candidates(batches, False), "a long, b long").distinct())
+    tree = saved(_cut(met, ["fp0", "fp1", "node"], shard).mapInArrow(_candidates, "a long, b long").distinct())
     # each text that has a candidate is in a tree; of equal texts the least id is read
     part = tree.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     read = nodes.join(part, "node", "left_semi").select(F.col("least").alias("i")).distinct()
@@ -420,11 +459,12 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sha
     links = saved(_alike(tree, sets).union(ties))
     found = connected_components(links)
     label = F.coalesce("component", "node").alias("label")
-    marked = met.join(part, "node", "left_semi").join(found, "node", "left").select("shard", "node", "fp0", "fp1", label)
-    rest = _cut(marked, ["fp0", "fp1", "node"], shard).mapInArrow(lambda batches: _candidates(batches, True), "a long, b long").distinct()
-    rest = saved(rest.join(tree, ["a", "b"], "left_anti"))
-    if rest.count():
-        found = connected_components(links.union(_alike(rest, sets)))
+    marked = met.select("shard", "node").join(part, "node", "left_semi").join(found, "node", "left").select("shard", "node", label)
+    mixed = marked.groupBy("shard").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("shard")
+    open_ = marked.join(mixed, "shard", "left_semi").join(sets, "node").select("shard", "node", "label", "h")
+    rest = saved(_cut(open_, ["node"], shard).mapInArrow(_apart, "a long, b long").distinct())
+    if not rest.isEmpty():
+        found = connected_components(links.union(rest))
     labelled = nodes.join(found, "node", "left").select("node", "least", label)
     least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
     named = labelled.join(least, "label").select("node", "component_id")

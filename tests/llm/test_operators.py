@@ -107,6 +107,18 @@ def test_similar_keeps_one_of_near_copies(spark):
     assert [r[0] for r in rows_of(simhash.keep_one(docs(spark, rows)), "doc_id")] == [1, 3, 5]
 
 
+def test_pairs_of_a_shard_are_those_of_brute_force(monkeypatch):
+    rng = random.Random(6)
+    monkeypatch.setattr(simhash, "ROWS", 7)
+    monkeypatch.setattr(simhash, "COLUMNS", 11)
+    base = rng.sample(range(1000), 40)
+    sets = [np.array(sorted({*rng.sample(base, rng.randint(25, 40)), *rng.sample(range(1000), rng.randint(0, 6))}), "<u8") for _ in range(60)] + [np.zeros(0, "<u8")] * 2
+    label = np.array([rng.randint(0, 4) for _ in sets])
+    a, b = simhash.alike_pairs(sets, label)
+    want = {(i, j) for i in range(62) for j in range(i + 1, 62) if label[i] != label[j] and len(sets[i]) and len(sets[j]) and simhash.similarity(sets[i], sets[j]) >= 0.8}
+    assert {x for x in zip(a.tolist(), b.tolist(), strict=True) if len(sets[x[0]]) and len(sets[x[1]])} == want and want
+
+
 @pytest.mark.parametrize("shard", [simhash.SHARD, 8])
 def test_similar_links_just_what_is_alike_by_exact_count(spark, shard):
     rng = random.Random(8)
