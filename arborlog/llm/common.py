@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -68,6 +69,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return shared or sc._jsc.sc().getCheckpointDir().get()
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, n: int) -> Iterator[None]:
+    """Lets at most ``n`` rows go to Python at a time, for steps whose rows may be long and that are saved within."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(n, int(before)) if int(before) > 0 else n))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def saved(df: DataFrame) -> DataFrame:
     """The rows computed now and cut from their lineage, in the shared folder, so that a lost executor costs no recomputation."""
     checkpoint_dir(df.sparkSession)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, saved
+from .common import arrow_rows, map_texts, saved
 from .graph import connected_components, salted
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
@@ -41,8 +41,8 @@ BROADCAST_ROWS = 200_000
 FRONTIER = 400_000
 #: Of ``similar``: words of a shingle, least similarity, bands and minima in a band, bits that may differ of fingerprints of two words.
 SIMILAR_SHINGLE, SIMILARITY, BANDS, BAND, SIMILAR_RADIUS = 5, 0.8, 32, 5, 44
-#: Rows and columns of a matrix at a time, where all pairs of a shard are counted.
-ROWS, COLUMNS = 1024, 4096
+#: Rows and columns of a matrix, and values of a block of sets, at a time, where all pairs of a shard are counted.
+ROWS, COLUMNS, VALUES = 1024, 1024, 400_000
 #: Pairs that meet one copy of a set of shingles at most.
 HUB = 64
 
@@ -349,29 +349,52 @@ def _ends(shard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def alike_pairs(sets: list[np.ndarray], label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions i < j of all sets of different labels whose similarity is enough, counted by products of matrices of members and values."""
-    n = len(sets)
+    """Positions i < j of all sets of different labels whose similarity is enough, counted by products of matrices of members and values.
+
+    Sets are taken in blocks of bounded size, each pair of blocks once.
+    """
     size = np.array([len(x) for x in sets])
-    own = np.repeat(np.arange(n), size)
-    _, value, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = many[value] > 1
-    value, own = (np.cumsum(many > 1) - 1)[value[shared]], own[shared]
-    width = int((many > 1).sum())
-    kind = np.float32 if size.max(initial=0) < 1 << 20 else np.float64  # so that counts are exact
+    edge = np.flatnonzero(np.diff(np.cumsum(size) // VALUES)) + 1
+    blocks = np.split(np.arange(len(sets)), sorted({*edge.tolist(), *range(ROWS, len(sets), ROWS)}))
     a, b = [], []
-    for low in range(0, n, ROWS):
-        high = min(n, low + ROWS)
-        common = np.zeros((high - low, n - low), kind)
-        for c in range(0, width, COLUMNS):
-            here = (value >= c) & (value < c + COLUMNS) & (own >= low)
-            x = np.zeros((n - low, min(COLUMNS, width - c)), kind)
-            x[own[here] - low, value[here] - c] = 1
-            common += x[: high - low] @ x.T
-        both = size[low:high, None] + size[None, low:] - common
-        i, j = np.nonzero((common >= SIMILARITY * both - 1e-9 * both) & (label[low:high, None] != label[None, low:]) & (np.arange(high - low)[:, None] < np.arange(n - low)[None]))
-        a.append(i + low)
-        b.append(j + low)
-    return np.concatenate(a), np.concatenate(b)
+    for x, left in enumerate(blocks):
+        for right in blocks[x:]:
+            both = left if right is left else np.concatenate([left, right])
+            if (label[both] == label[both[0]]).all():
+                continue
+            i, j = _alike_in(sets, size, left, right)
+            ok = (label[i] != label[j]) & (i < j)
+            a.append(i[ok])
+            b.append(j[ok])
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(a or none), np.concatenate(b or none)
+
+
+def _alike_in(sets: list[np.ndarray], size: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a member of ``left`` and one of ``right`` that are alike."""
+    both = left if right is left else np.concatenate([left, right])
+    own = np.repeat(np.arange(len(both), dtype=np.int32), size[both])
+    value = np.concatenate([sets[k] for k in both.tolist()])
+    order = np.argsort(value, kind="stable")
+    value, own = value[order], own[order]
+    first = np.concatenate([[True], value[1:] != value[:-1]])
+    many = np.diff(np.append(np.flatnonzero(first), len(value)))
+    shared = np.repeat(many > 1, many)
+    column = (np.cumsum(many > 1) - 1).repeat(many)[shared]
+    own = own[shared]
+    kind = np.float32 if size[both].max(initial=0) < 1 << 20 else np.float64  # so that counts are exact
+    common = np.zeros((len(left), len(right)), kind)
+    at = 0
+    while at < len(column):
+        base = int(column[at])
+        stop = int(np.searchsorted(column, base + COLUMNS))
+        x = np.zeros((len(both), COLUMNS), kind)
+        x[own[at:stop], column[at:stop] - base] = 1
+        common += x[: len(left)] @ x[-len(right) :].T
+        at = stop
+    union = size[left][:, None] + size[right][None] - common
+    i, j = np.nonzero(common >= SIMILARITY * union - 1e-9 * union)
+    return left[i], right[j]
 
 
 def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -386,7 +409,7 @@ def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = (node[np.concatenate(x)] for x in zip(*found, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    return _shards(batches, solve, SHARD)
+    return _shards(batches, solve, ROWS)
 
 
 def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -453,16 +476,20 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sha
     part = tree.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     read = nodes.join(part, "node", "left_semi").select(F.col("least").alias("i")).distinct()
     sets = map_texts(texts.join(read, "i", "left_semi"), make_sets, "node long, h binary", "i", "t")
-    sets = saved(sets.dropDuplicates(["node"]))
+    spark = docs.sparkSession
+    with arrow_rows(spark, ROWS):
+        sets = saved(sets.dropDuplicates(["node"]))
     ties = rows.select("doc_id", "node").distinct()
     ties = ties.join(ties.groupBy("doc_id").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1"), "doc_id").select(F.col("node").alias("a"), "b")
-    links = saved(_alike(tree, sets).union(ties))
+    with arrow_rows(spark, ROWS // 4):
+        links = saved(_alike(tree, sets).union(ties))
     found = connected_components(links)
     label = F.coalesce("component", "node").alias("label")
     marked = met.select("shard", "node").join(part, "node", "left_semi").join(found, "node", "left").select("shard", "node", label)
     mixed = marked.groupBy("shard").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("shard")
     open_ = marked.join(mixed, "shard", "left_semi").join(sets, "node").select("shard", "node", "label", "h")
-    rest = saved(_cut(open_, ["node"], shard).mapInArrow(_apart, "a long, b long").distinct())
+    with arrow_rows(spark, ROWS):
+        rest = saved(_cut(open_, ["node"], shard).mapInArrow(_apart, "a long, b long").distinct())
     if not rest.isEmpty():
         found = connected_components(links.union(rest))
     labelled = nodes.join(found, "node", "left").select("node", "least", label)

@@ -111,6 +111,7 @@ def test_pairs_of_a_shard_are_those_of_brute_force(monkeypatch):
     rng = random.Random(6)
     monkeypatch.setattr(simhash, "ROWS", 7)
     monkeypatch.setattr(simhash, "COLUMNS", 11)
+    monkeypatch.setattr(simhash, "VALUES", 100)
     base = rng.sample(range(1000), 40)
     sets = [np.array(sorted({*rng.sample(base, rng.randint(25, 40)), *rng.sample(range(1000), rng.randint(0, 6))}), "<u8") for _ in range(60)] + [np.zeros(0, "<u8")] * 2
     label = np.array([rng.randint(0, 4) for _ in sets])
