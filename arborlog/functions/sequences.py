@@ -63,31 +63,46 @@ def matched(a: Sequence, b: Sequence) -> list[int]:
     return [places[t].popleft() if places[t] else -1 for t in a]
 
 
-def progress(a: Sequence, b: Sequence, groups: Sequence[int] | None = None, ordered: float = 2, unordered: float = 1, skip: float = 0.25, moved: dict[int, int] | None = None) -> float:
-    """How much of b a has: tokens met after the last one count ``ordered``, others ``unordered``, passed-over positions cost ``skip``.
+def places(a: Sequence, b: Sequence, groups: Sequence[int] | None = None) -> list[tuple[int, int]]:
+    """(own, place) of each token of a that b has, in a's order: the position it takes and the one it counts at.
 
-    Positions of b with the same positive group may stand in any order: a token takes the earliest of its group's neighbouring
-    places that wasn't passed, or the next one to come. ``moved`` gets the places so given. None tokens of b earn nothing.
+    The two differ only within an order group of b: there a token counts at the first place of its run of the group that lies
+    behind all places so far, and one that would step back counts at the next place, if that is of the group.
     """
-    total, last, furthest = 0.0, -1, -1
+    group = [0] * len(b) if groups is None else list(groups)
+    run = list(range(len(b)))  # where the neighbouring places of one group begin
+    for j in range(1, len(b)):
+        if group[j] > 0 and group[j] == group[j - 1]:
+            run[j] = run[j - 1]
+    out: list[tuple[int, int]] = []
+    reach = -1
     for own in matched(a, b):
         if own < 0:
             continue
-        at = own
-        if groups and groups[own] > 0:
-            g = groups[own]
-            low = at
-            while low - 1 > furthest and low > 0 and groups[low - 1] == g:
-                low -= 1
-            at = low
-            if at <= last and furthest + 1 < len(groups) and groups[furthest + 1] == g:
-                at = furthest + 1
-            if moved is not None and at != own:
-                moved[own] = at
-        if b[at] is not None:
-            total += (ordered if at > last else unordered) - skip * max(0, at - last - 1)
-        last, furthest = at, max(furthest, at)
-    return total
+        place = max(run[own], min(own, reach + 1))
+        behind = out and place <= out[-1][1]
+        if behind and group[own] > 0 and reach + 1 < len(b) and group[reach + 1] == group[own]:
+            place = reach + 1
+        out.append((own, place))
+        reach = max(reach, place)
+    return out
+
+
+def progress(a: Sequence, b: Sequence, groups: Sequence[int] | None = None, ordered: float = 2, unordered: float = 1, skip: float = 0.25) -> float:
+    """How much of b a has: tokens met after the last one count ``ordered``, others ``unordered``, passed-over positions cost ``skip``; None tokens of b earn nothing."""
+    at = np.array([place for _, place in places(a, b, groups)], np.int64)
+    if not len(at):
+        return 0.0
+    step = np.diff(at, prepend=-1)
+    worth = np.where(step > 0, ordered, unordered) - skip * np.maximum(step - 1, 0)
+    return float(worth[[b[j] is not None for j in at.tolist()]].sum())
+
+
+def reordered(a: Sequence, b: Sequence, groups: Sequence[int]) -> list[int]:
+    """An order of b's positions in which its order groups stand as a has them; positions that a lacks fill the gaps in rising order."""
+    moved = {place: own for own, place in places(a, b, groups)}
+    rest = iter([j for j in range(len(b)) if j not in set(moved.values())])
+    return [moved[j] if j in moved else next(rest) for j in range(len(b))]
 
 
 def missing_count(a: Sequence, b: Sequence) -> int:

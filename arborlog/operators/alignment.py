@@ -2,12 +2,13 @@
 
 Nodes are compared only with nodes whose parents stand on the same path of types (the block), so a tree's cost is the sum of its blocks'.
 Within a block, the cost of pairing two nodes is how little of the one's children the other has; the Hungarian method
-finds the pairing of least cost. All of it is one Arrow call for a pair of trees; pairs are formed by Spark, and solutions
-are broadcast only if they are few.
+finds the pairing of least cost. Different solutions are broadcast in blocks of bounded size; a query orders them by a lower bound of their cost,
+from the paths of types that both trees have, and aligns them only until no other can be among its nearest.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
@@ -22,6 +23,8 @@ from .trees import TREE, Node, unpack
 
 #: Different trees of solutions that are broadcast at most; beyond, queries meet them in blocks.
 BROADCAST_SOLUTIONS = 10_000
+#: And of what size, as JSON.
+BROADCAST_MB = 64
 
 
 @dataclass(frozen=True)
@@ -35,6 +38,8 @@ class Config:
     unordered: float = 1.0
     missing: float = 0.25
     unmatched: float = 0.25
+    #: What of a value counts: "ignore" it, "mapped" (names that the first round pairs count as equal, others don't count), "exact".
+    values: str = "ignore"
 
     def fixed(self, n: Node) -> bool:
         return n.type not in self.flexible
@@ -84,6 +89,8 @@ class Mapping:
     cost: float = 0.0
     to: dict[int, Node] = field(default_factory=dict)
     back: dict[int, Node] = field(default_factory=dict)
+    #: Nodes below one that is paired with a wildcard: they stay as they are.
+    free: set[int] = field(default_factory=set)
 
     def pair(self, a: Node, b: Node) -> None:
         """One to one: earlier partners of both are let go."""
@@ -94,11 +101,11 @@ class Mapping:
         self.to[id(a)], self.back[id(b)] = b, a
 
 
-def child_cost(a: Node, b: Node, cfg: Config) -> float:
-    """Less, the more of b's children a has. Children with fixed places are compared place by place."""
+def child_cost(a: Node, b: Node, cfg: Config, x: list[str] | None = None, y: list[str] | None = None) -> float:
+    """Less, the more of b's children (labels y) a has (labels x). Children with fixed places are compared place by place."""
     if b.any_children:
         return 0.0
-    x, y = a.types, b.types
+    x, y = a.types if x is None else x, b.types if y is None else y
     if not cfg.fixed(a):
         return cfg.missing * missing_count(x, y) - progress(x, y, [c.order_group for c in b.children], cfg.ordered, cfg.unordered, cfg.missing)
     same = sum(-cfg.ordered if p == q and p not in cfg.valueless else 0.0 if p == q else cfg.missing for p, q in zip(x, y))  # noqa: B905
@@ -106,34 +113,59 @@ def child_cost(a: Node, b: Node, cfg: Config) -> float:
 
 
 def align(a: Node, b: Node, cfg: Config = Config()) -> Mapping:  # noqa: B008
-    """The pairing of two trees and its cost."""
+    """The pairing of two trees and its cost. Where names are mapped, a first round without them finds which names belong together."""
+    if cfg.values == "ignore":
+        return _round(a, b, cfg, {id(n): n.type for root in (a, b) for n in root.walk()})
+    valued = lambda n, value: n.type if value is None else f"{n.type}:{value}"
+    if cfg.values == "exact":
+        return _round(a, b, cfg, {id(n): valued(n, n.value) for root in (a, b) for n in root.walk()})
+    first = _round(a, b, cfg, {id(n): n.type for root in (a, b) for n in root.walk()})
+    names = value_mapping(a, first)
+    known = set(names.values())
+    label = {id(n): valued(n, names.get(n.value)) for n in a.walk()}
+    label |= {id(n): valued(n, n.value if n.value in known else None) for n in b.walk()}
+    return _round(a, b, cfg, label)
+
+
+def _round(a: Node, b: Node, cfg: Config, label: dict[int, str]) -> Mapping:
     out = Mapping()
     out.pair(a, b)
     blocks: dict[tuple, tuple[list[Node], list[Node]]] = defaultdict(lambda: ([], []))
+    kids, walks = {}, {}
     for side, root in enumerate((a, b)):
+        path: dict[int, tuple] = {}
         for n in root.walk():
-            if n.children or not cfg.fixed(n):
-                blocks[(len(n.path), *n.path)][side].append(n)
-    for key in sorted(blocks, key=lambda k: k[0]):
+            path[id(n)] = (path[id(n.parent)] if n is not root else ()) + (label[id(n)],)
+            kids[id(n)] = [label[id(c)] for c in n.children]
+            if n.children or not cfg.fixed(n) or n.any_children:
+                blocks[path[id(n)]][side].append(n)
+    whole = lambda n: walks.setdefault(id(n), [label[id(x)] for x in n.walk()])
+    for key in sorted(blocks, key=len):
         left, right = blocks[key]
         if not left or not right:
             if right:
                 out.cost += cfg.unmatched * sum(n.size - 1 for n in right)
             continue
-        cost = np.array([[child_cost(p, q, cfg) for q in right] for p in left])
-        tie = np.array([[0.001 * -progress([n.type for n in p.walk()], [n.type for n in q.walk()], None, cfg.ordered, cfg.unordered, cfg.missing) - (0.0001 if out.to.get(id(p)) is q else 0.0) for q in right] for p in left])
+        cost = np.array([[child_cost(p, q, cfg, kids[id(p)], kids[id(q)]) for q in right] for p in left])
+        if len(left) == len(right) == 1:
+            pairs = [0]
+        else:
+            tie = np.array([[0.001 * -progress(whole(p), whole(q), None, cfg.ordered, cfg.unordered, cfg.missing) - (0.0001 if out.to.get(id(p)) is q else 0.0) for q in right] for p in left])
+            pairs = hungarian(cost + tie - (cost + tie).min())
         known = {id(p) for p in left if id(p) in out.to}, {id(q) for q in right if id(q) in out.back}
-        pairs = hungarian(cost + tie - (cost + tie).min())
         taken = set(pairs)
-        for p, j in zip(left, pairs, strict=True):
+        for i, (p, j) in enumerate(zip(left, pairs, strict=True)):
             if j < 0:
                 continue
             q = right[j]
-            out.cost += child_cost(p, q, cfg)
+            out.cost += float(cost[i, j])
             if id(p) not in known[0] and id(q) not in known[1] and p.type not in cfg.valueless:
                 out.cost -= cfg.unordered + cfg.missing
             out.pair(p, q)
-            _pair_children(p, q, out)
+            if q.any_children:
+                out.free |= {id(x) for x in p.walk()} - {id(p)}
+            else:
+                _pair_children(p, q, out)
         out.cost += sum(cfg.unmatched * (q.size - 1) for j, q in enumerate(right) if j not in taken)
     return out
 
@@ -159,72 +191,208 @@ def _pair_children(p: Node, q: Node, out: Mapping) -> None:
 
 
 def edits(a: Node, b: Node, m: Mapping, cfg: Config = Config()) -> list[dict]:  # noqa: B008
-    """What turns a into b: delete, move, reorder and insert rows, the most telling first.
+    """What turns a into b: reorder, insert, move, relabel and delete rows, the most telling first; ``applied`` carries them out.
 
-    An insertion of what is deleted elsewhere (same type) names the deleted node as its candidate.
+    ``node`` and ``parent`` are numbers of a's nodes in pre-order (-1: none; a parent that is inserted itself is known by ``pair_parent``);
+    ``pair`` and ``pair_parent`` are numbers of b's nodes, ``place`` the place among the parent's children in b, ``index`` where in a that would be.
+    An insertion of what is deleted elsewhere (same type) names the deleted node as its candidate. A reorder that stays within an order group is none.
     """
-    number = {id(n): i for i, n in enumerate(a.walk())}
+    number, target = ({id(n): i for i, n in enumerate(x.walk())} for x in (a, b))
+    at = {id(c): i for x in (a, b) for n in x.walk() for i, c in enumerate(n.children)} | {id(a): 0, id(b): 0}
     out: list[dict] = []
 
-    def row(action: str, n: Node | None, parent: Node | None, index: int, kind: str, value: str | None, candidate: Node | None = None) -> dict:
-        return {"action": action, "node": number[id(n)] if n is not None else -1, "parent": number[id(parent)] if parent is not None else -1, "index": index, "type": kind, "value": value, "candidate": number[id(candidate)] if candidate is not None else -1}
+    def row(action: str, n: Node | None, parent: Node | None, index: int, q: Node, pair: Node | None, candidate: Node | None = None) -> dict:
+        up = pair.parent if pair is not None else None
+        return {
+            "action": action, "node": number[id(n)] if n is not None else -1, "parent": number[id(parent)] if parent is not None else -1, "index": index, "type": q.type, "value": q.value,
+            "candidate": number[id(candidate)] if candidate is not None else -1, "pair": target[id(pair)] if pair is not None else -1, "pair_parent": target[id(up)] if up is not None else -1, "place": at[id(pair)] if pair is not None else -1,
+        }
 
     gone = []
     for n in a.walk():
         pair = m.to.get(id(n))
         if pair is None:
-            gone.append(n)
+            if id(n) not in m.free:
+                gone.append(n)
             continue
+        if n.type != pair.type or (cfg.values == "exact" and n.value != pair.value):
+            out.append(row("relabel", n, n.parent, at[id(n)], pair, pair))
         if n.parent is None or pair.parent is None:
             continue
         home = m.back.get(id(pair.parent))
         if home is not n.parent:
-            out.append(row("move", n, home, _slot(pair, home, m), n.type, n.value))
-        elif cfg.fixed(n.parent):
-            if n.index != pair.index and pair.index < len(n.parent.children):
-                out.append(row("reorder", n, n.parent, pair.index, n.type, n.value))
+            out.append(row("move", n, home, _slot(pair, home, m, at), n, pair))
     for n in a.walk():
-        if not cfg.fixed(n) and id(n) in m.to:
+        if id(n) in m.to:
             own = [c for c in n.children if id(c) in m.to and m.to[id(c)].parent is m.to[id(n)]]
-            want = sorted(range(len(own)), key=lambda k: m.to[id(own[k])].index)
-            for i, j in align_pairs(list(range(len(own))), want, 1, 1, 100):
-                if i >= 0 > j:
-                    out.append(row("reorder", own[i], n, _slot(m.to[id(own[i])], n, m), own[i].type, own[i].value))
+            stay = set(_rising([at[id(m.to[id(c)])] for c in own]))
+            for k, c in enumerate(own):
+                pair = m.to[id(c)]
+                if k not in stay and not _within_group(pair, [m.to[id(x)] for x in own], k):
+                    out.append(row("reorder", c, n, at[id(pair)] if cfg.fixed(n) else _slot(pair, n, m, at), c, pair))
     for q in b.walk():
         if id(q) in m.back or q.parent is None:
             continue
         home = m.back.get(id(q.parent))
         reuse = min((g for g in gone if g.type == q.type), key=lambda g: (g.value != q.value, child_cost(g, q, cfg)), default=None)
         if reuse is not None:
-            gone.remove(reuse)
-        index = q.index if home is not None and cfg.fixed(home) else _slot(q, home, m)
-        out.append(row("insert", None, home, index, q.type, q.value, reuse))
-    out += [row("delete", n, n.parent, n.index if n.parent else 0, n.type, n.value) for n in gone]
-    rank = {"reorder": 0, "insert": 1, "move": 1, "delete": 2}
+            gone = [g for g in gone if g is not reuse]
+        index = at[id(q)] if home is not None and cfg.fixed(home) else _slot(q, home, m, at)
+        out.append(row("insert", None, home, index, q, q, reuse))
+    out += [row("delete", n, n.parent, at[id(n)], n, None) for n in gone]
+    rank = {"reorder": 0, "insert": 1, "move": 1, "relabel": 1, "delete": 2}
     return sorted(out, key=lambda e: rank[e["action"]])
 
 
-def _slot(q: Node, home: Node | None, m: Mapping) -> int:
+def _rising(values: list[int]) -> list[int]:
+    """Positions of a longest rising subsequence."""
+    tails: list[int] = []
+    tops: list[int] = []
+    before: list[int] = []
+    for k, v in enumerate(values):
+        i = bisect_left(tops, v)
+        before.append(tails[i - 1] if i else -1)
+        tails[i : i + 1], tops[i : i + 1] = [k], [v]
+    out, k = [], tails[-1] if tails else -1
+    while k >= 0:
+        out.append(k)
+        k = before[k]
+    return out[::-1]
+
+
+def _within_group(pair: Node, others: list[Node], k: int) -> bool:
+    """Whether all that ``pair`` stands on the wrong side of are of its own order group."""
+    at = pair.index
+    wrong = [o for i, o in enumerate(others) if (i < k) != (o.index < at) and i != k]
+    return pair.order_group > 0 and all(o.order_group == pair.order_group for o in wrong)
+
+
+def _slot(q: Node, home: Node | None, m: Mapping, at: dict[int, int]) -> int:
     """After the nearest earlier sibling of q that has a partner under ``home``."""
     if home is None or q.parent is None:
         return 0
-    for s in reversed(q.parent.children[: q.index]):
+    for s in reversed(q.parent.children[: at[id(q)]]):
         p = m.back.get(id(s))
         if p is not None and p.parent is home:
-            return p.index + 1
+            return at[id(p)] + 1
     return 0
 
 
-def apply_mapping(a: Node, b: Node, m: Mapping) -> Node:
-    """What a is after all its edits: b's shape, with a's ids where nodes are paired."""
-    new = b.copy()
-    for q, n in zip(b.walk(), new.walk(), strict=True):
-        p = m.back.get(id(q))
-        n.ext_id = p.ext_id if p is not None else None
-    return new
+def applied(a: Node, found: list[dict]) -> Node:
+    """A copy of a with the edits carried out.
+
+    What moves, is reordered, reused or deleted is taken out first; then, from the outside in and from left to right, each is put, and each new
+    node made, at its place under its parent: a node of a, or one that an earlier insertion made. A place beyond the end is the end.
+    An edit whose parent there isn't is passed over.
+    """
+    root = a.copy()
+    nodes = list(root.walk())
+    made: dict[int, Node] = {}
+
+    def take(n: Node) -> None:
+        if n.parent is not None:
+            n.parent.children = [c for c in n.parent.children if c is not n]
+            n.parent = None
 
+    for e in found:
+        if e["action"] == "relabel":
+            nodes[e["node"]].type, nodes[e["node"]].value = e["type"], e["value"]
+            if e["pair"] >= 0:
+                made[e["pair"]] = nodes[e["node"]]
+    puts = [e for e in found if e["action"] in ("insert", "move", "reorder")]
+    used = {e["candidate"] for e in puts if e["candidate"] >= 0}
+    for e in found:
+        if e["action"] == "delete" and e["node"] not in used or e["action"] in ("move", "reorder"):
+            take(nodes[e["node"]])
+    for k in used:
+        take(nodes[k])
+    for e in sorted(puts, key=lambda e: e["pair"]):  # pre-order of the target: parents and earlier siblings come first
+        if e["action"] == "insert" and e["candidate"] < 0:
+            n = Node(e["type"], e["value"])
+        else:
+            n = nodes[e["node"] if e["action"] != "insert" else e["candidate"]]
+            if e["action"] == "insert":
+                n.value = e["value"]
+        made[e["pair"]] = n
+        parent = nodes[e["parent"]] if e["parent"] >= 0 else made.get(e["pair_parent"])
+        if parent is None or any(x is n for x in parent.up()):
+            continue
+        n.parent = parent
+        parent.children.insert(min(e["place"], len(parent.children)), n)
+    return root
 
-EDITS = "array<struct<action:string,node:int,parent:int,index:int,type:string,value:string,candidate:int>>"
+
+def edit_key(e: dict, nodes: list[Node]) -> str:
+    """Equal for edits of two alignments of one tree that ask for the same: by action, parent, place, and what is put or taken."""
+    name = lambda k: "-" if k < 0 else nodes[k].ext_id or f"{nodes[k].type}#{k}"
+    return "|".join([e["action"], name(e["parent"]), str(e["index"]), e["type"], e["value"] or "", name(e["node"]), name(e["candidate"])])
+
+
+def shown(e: dict, nodes: list[Node]) -> dict:
+    """What an edit looks like: (message, parent, from, to), the child types of the parent before and after it alone."""
+    parent = nodes[e["parent"]] if e["parent"] >= 0 else None
+    before = parent.types if parent is not None else []
+    after = list(before)
+    if e["node"] >= 0 and nodes[e["node"]].parent is parent and parent is not None:
+        del after[nodes[e["node"]].index]
+    if e["action"] == "relabel" and e["node"] >= 0 and parent is not None:
+        after.insert(nodes[e["node"]].index, e["type"])
+    if e["action"] in ("insert", "move", "reorder"):
+        after.insert(min(e["index"], len(after)), e["type"])
+    return {"message": e["action"], "parent": parent.type if parent is not None else None, "from": before, "to": after}
+
+
+def priority(e: dict) -> float:
+    """Reorders before insertions (with a known parent first) before deletions."""
+    return {"reorder": 5.0, "move": 3.5, "relabel": 3.4, "insert": 3.3 if e["parent"] >= 0 else 3.0, "delete": 1.0}[e["action"]]
+
+
+def displayed(found: list[dict], first_only: bool = False) -> list[dict]:
+    """Insertions and moves with a known parent, in their order; on wish only the first for each place."""
+    kept, seen = [], set()
+    for e in found:
+        if e["action"] in ("insert", "move") and e["parent"] >= 0:
+            if first_only and (e["parent"], e["index"]) in seen:
+                continue
+            seen.add((e["parent"], e["index"]))
+            kept.append(e)
+    return kept
+
+
+def cleaned(found: list[dict], nodes: list[Node], harmless: frozenset = frozenset()) -> list[dict]:
+    """Without insertions that have neither parent nor candidate, and without deletions of harmless types or below what goes or moves anyway."""
+    gone = {e["node"] for e in found if e["action"] in ("delete", "move", "replace")} | {e["candidate"] for e in found if e["candidate"] >= 0}
+    number = {id(n): i for i, n in enumerate(nodes)}
+    out = []
+    for e in found:
+        if e["action"] == "insert" and e["parent"] < 0 and e["candidate"] < 0:
+            continue
+        if e["action"] == "delete":
+            n = nodes[e["node"]]
+            if n.type in harmless or any(number[id(u)] in gone for u in n.up() if u is not n):
+                continue
+        out.append(e)
+    return out
+
+
+def nested(found: list[dict]) -> list[tuple[int, int]]:
+    """(edit, within): of each insertion whose parent is inserted itself, the edit that inserts the parent; edits are numbered as they stand."""
+    makes = {e["pair"]: i for i, e in enumerate(found) if e["action"] == "insert"}
+    return [(i, makes[e["pair_parent"]]) for i, e in enumerate(found) if e["action"] in ("insert", "move") and e["parent"] < 0 and e["pair_parent"] in makes]
+
+
+def by_ids(a: Node, b: Node) -> Mapping:
+    """The pairing of two trees by the ids that their nodes share."""
+    out = Mapping()
+    out.pair(a, b)
+    there = {n.ext_id: n for n in b.walk() if n.ext_id is not None and n is not b}
+    for n in a.walk():
+        if n is not a and n.ext_id in there and there[n.ext_id].type == n.type:
+            out.pair(n, there.pop(n.ext_id))
+    return out
+
+
+EDITS = "array<struct<action:string,node:int,parent:int,index:int,type:string,value:string,candidate:int,pair:int,pair_parent:int,place:int>>"
 
 
 def aligned(pairs: DataFrame, a: str, b: str, cfg: Config = Config()) -> DataFrame:  # noqa: B008
@@ -247,41 +415,108 @@ def aligned(pairs: DataFrame, a: str, b: str, cfg: Config = Config()) -> DataFra
     return pairs.withColumn("__r", run(a, b)).select("*", "__r.cost", "__r.edits").drop("__r")
 
 
+class Solutions:
+    """Trees of solutions, with the paths of types that each has."""
+
+    def __init__(self, rows: list[tuple], cfg: Config):
+        self.cfg = cfg
+        self.rows = [(key, solution, place) for key, solution, _, place in rows]
+        self.packed = [tree for _, _, tree, _ in rows]
+        self.trees: dict[int, Node] = {}
+        self.size = np.array([len(t) for t in self.packed])
+        self.members: dict[object, np.ndarray] = {}
+        for place in {x[2] for x in self.rows}:
+            self.members[place] = np.array([i for i, x in enumerate(self.rows) if x[2] == place])
+        counts: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
+        for i, tree in enumerate(self.packed):
+            for path, n in type_paths(tree).items():
+                counts[path].append((i, n))
+        self.counts = {path: tuple(np.array(x) for x in zip(*found, strict=True)) for path, found in counts.items()}
+
+    def bounds(self, query) -> np.ndarray:
+        """Of each solution, what its cost is at least: each node of a path that both have earns at most a match and a pairing, all others cost a miss."""
+        common = np.zeros(len(self.rows))
+        for path, n in type_paths(query).items():
+            if path in self.counts:
+                i, many = self.counts[path]
+                common[i] += np.minimum(many, n)
+        c = self.cfg
+        return -(c.ordered + c.unordered + c.missing) * common + min(c.missing, c.unmatched) * np.maximum(0, self.size - 1 - common)
+
+    def tree(self, i: int) -> Node:
+        if i not in self.trees:
+            self.trees[i] = unpack(self.packed[i])
+        return self.trees[i]
+
+    def best(self, query, place, most: int) -> list[tuple[float, int, object, int, list[dict]]]:
+        """(cost, size, solution, row, edits) of the solutions of least cost, ties to the smaller and the lesser."""
+        own = self.members.get(place, np.zeros(0, np.int64))
+        low = self.bounds(query)[own]
+        root = unpack(query)
+        found: list[tuple[float, int, object, int]] = []
+        for k in np.argsort(low, kind="stable").tolist():
+            if len(found) >= most and low[k] > found[most - 1][0] + 1e-9:
+                break
+            i = int(own[k])
+            insort(found, (align(root, self.tree(i), self.cfg).cost, int(self.size[i]), self.rows[i][1], i))
+            del found[most:]
+        return [(*f, edits(root, self.tree(f[3]), align(root, self.tree(f[3]), self.cfg), self.cfg)) for f in found]
+
+
+def type_paths(tree) -> dict[tuple, int]:
+    """How many nodes of a packed tree stand on each path of types."""
+    path: list[tuple] = []
+    out: dict[tuple, int] = defaultdict(int)
+    for x in tree:
+        path.append((path[x["parent"]] if x["parent"] >= 0 else ()) + (x["type"],))
+        out[path[-1]] += 1
+    return out
+
+
 def nearest(queries: DataFrame, solutions: DataFrame, k: int = 10, query_id: str = "query", solution_id: str = "solution", tree: str = "tree", block: str | None = None, cfg: Config = Config()) -> DataFrame:  # noqa: B008
     """(query, solution, cost, edits, rank): the k solutions of least cost, ties to the smaller tree, then the lesser id.
 
     Every query is held against all solutions but its own id. Equal trees are grouped on both sides first, so each pair of different
-    trees is aligned once; different solutions are met in blocks of ``BROADCAST_SOLUTIONS``. ``block`` names a column (the problem) that
-    both sides must share, which makes the pairing an equi-join.
+    trees is aligned at most once; different solutions are met in blocks of ``BROADCAST_SOLUTIONS``. ``block`` names a column (the problem)
+    that both sides must share. A query with a null tree has no solutions.
     """
-    place = F.col(block) if block else F.lit(0)
-    key = F.sha2(F.coalesce(F.to_json(F.col(tree)), F.lit("")), 256)
-    s = solutions.select(F.col(solution_id).alias("solution"), F.col(tree).alias("__s"), place.alias("__b"), key.alias("__sk")).where("solution is not null")
-    q = queries.select(F.col(query_id).alias("query"), F.col(tree).alias("__q"), place.alias("__b"), key.alias("__qk")).where("query is not null")
-    kinds = s.groupBy("__b", "__sk").agg(F.first("__s").alias("__s"), F.min("solution").alias("solution"))
-    asked = q.groupBy("__b", "__qk").agg(F.first("__q").alias("__q")).repartition(queries.sparkSession.sparkContext.defaultParallelism, "__b", "__qk")
-    n = kinds.count()
+    spark = queries.sparkSession
+    place = F.col(block).cast("string") if block else F.lit("")
+    key = F.sha2(F.to_json(F.col(tree)), 256)
+    s = solutions.select(F.col(solution_id).alias("solution"), F.col(tree).alias("t"), place.alias("b"), key.alias("sk")).where("solution is not null and size(t) > 0")
+    q = queries.select(F.col(query_id).alias("query"), F.col(tree).alias("t"), place.alias("b"), key.alias("qk")).where("query is not null and size(t) > 0")
+    kinds = s.groupBy("b", "sk").agg(F.first("t").alias("t"), F.min("solution").alias("solution"))
+    asked = q.groupBy("b", "qk").agg(F.first("t").alias("t")).repartition(spark.sparkContext.defaultParallelism * 2, "b", "qk")
+    n, mb = kinds.agg(F.count("*"), F.coalesce(F.sum(F.length(F.to_json("t"))), F.lit(0)) / 1e6).first()
     # so many rows are kept of a group that k are left once those of the query's own id are gone
     spare = k + (s.groupBy("solution").count().agg(F.max("count")).first()[0] or 0)
-    if n <= BROADCAST_SOLUTIONS or block:
-        parts = [F.broadcast(kinds) if n <= BROADCAST_SOLUTIONS else kinds]
-    else:
-        many = -(-n // BROADCAST_SOLUTIONS)
-        parts = [F.broadcast(kinds.where(F.pmod(F.xxhash64("__sk"), F.lit(many)) == i)) for i in range(many)]
+    kind = s.schema["solution"].dataType.simpleString()
+    many = max(1, -(-n // BROADCAST_SOLUTIONS), int(-(-mb // BROADCAST_MB)))
+
+    def one(part: int) -> DataFrame:
+        held = kinds.where(F.pmod(F.xxhash64("sk"), F.lit(many)) == part) if many > 1 else kinds
+        sent = spark.sparkContext.broadcast([(r.sk, r.solution, [x.asDict() for x in r.t], r.b) for r in held.collect()])
+
+        def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+            known = Solutions(sent.value, cfg)
+            for batch in batches:
+                rows = [(b, qk, known.rows[i][0], solution, cost, found, size) for b, qk, t in zip(batch["b"], batch["qk"], batch["t"], strict=True) for cost, size, solution, i, found in known.best(t, b, spare)]
+                yield pd.DataFrame(rows, columns=["b", "qk", "sk", "solution", "cost", "edits", "size"])
+
+        return asked.mapInPandas(run, f"b string, qk string, sk string, solution {kind}, cost double, edits {EDITS}, size int")
 
     def best(rows: DataFrame, most: int, *by: str) -> DataFrame:
         w = Window.partitionBy(*by).orderBy("cost", "size", "solution")
         return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 
-    found = [best(aligned(asked.join(p, "__b"), "__q", "__s", cfg).withColumn("size", F.size("__s")), spare, "__b", "__qk").select("__b", "__qk", "__sk", "solution", "cost", "edits", "size") for p in parts]
-    pairs = found[0]
-    if len(found) > 1:
-        for more in found[1:]:
-            pairs = pairs.unionByName(more)
-        pairs = best(pairs, spare, "__b", "__qk")
-    least = s.select("__b", "__sk", "solution", F.row_number().over(Window.partitionBy("__b", "__sk").orderBy("solution")).alias("n")).where(F.col("n") <= spare)
-    held = best(pairs.drop("solution", "rank").join(least, ["__b", "__sk"]), spare, "__b", "__qk").drop("rank")
-    out = best(q.select("query", "__b", "__qk").join(held, ["__b", "__qk"]).where(F.col("query") != F.col("solution")), k, "query")
+    pairs = one(0)
+    for part in range(1, many):
+        pairs = pairs.unionByName(one(part))
+    if many > 1:
+        pairs = best(pairs, spare, "b", "qk").drop("rank")
+    least = s.select("b", "sk", "solution", F.row_number().over(Window.partitionBy("b", "sk").orderBy("solution")).alias("n")).where(F.col("n") <= spare)
+    held = best(pairs.drop("solution").join(least, ["b", "sk"]), spare, "b", "qk").drop("rank")
+    out = best(q.select("query", "b", "qk").join(held, ["b", "qk"]).where(F.col("query") != F.col("solution")), k, "query")
     return out.select("query", "solution", "cost", "edits", "rank")
 
 

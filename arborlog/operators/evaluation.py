@@ -132,9 +132,10 @@ SELECT attempt, count_if(message = 'error')::BIGINT AS hints, count_if(message =
 
     @query(f"""WITH {log_sql}, c AS (SELECT attempt, count(*) AS n FROM log GROUP BY 1), r AS (SELECT n, row_number() OVER (ORDER BY n) AS r, count(*) OVER () AS m FROM c) SELECT min(n) AS least, max(CASE WHEN r = m // 2 + 1 THEN n END) AS median, max(n) AS most FROM r""")
     def eval_edit_counts(spark, d):
-        from .stats import upper_median
+        from .stats import upper_median_of
 
-        return log(spark, d).groupBy("attempt").agg(F.count("*").alias("n")).agg(F.min("n").alias("least"), upper_median(F.col("n")).alias("median"), F.max("n").alias("most"))
+        rows = log(spark, d).groupBy("attempt").agg(F.count("*").alias("n"))
+        return rows.agg(F.min("n").alias("least"), F.max("n").alias("most")).join(F.broadcast(upper_median_of(rows, [], "n"))).select("least", "median", "most")
 
     @query("SELECT c_custkey, right(c_name, 8) AS suffix, CASE WHEN c_acctbal < 0 THEN 'HOMEWORK' ELSE 'IN-LAB' END AS level FROM customer")
     def level_and_suffix(spark, d):

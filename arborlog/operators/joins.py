@@ -46,6 +46,12 @@ def greedy_match(left: DataFrame, right: DataFrame, keys: list[str], place: str)
     return same.select(*keys, F.col(place).alias("left_place"), F.col(place).alias("right_place")).unionByName(other.select(*keys, "left_place", "right_place"))
 
 
+def leave_one_out(rows: DataFrame, key: str, owner: str) -> DataFrame:
+    """(key, n, others): how many pairs of different owners share a key, and how many owners have another beside them; counted without making the pairs."""
+    n = F.count("*")
+    return rows.select(key, owner).distinct().groupBy(key).agg((n * (n - 1)).alias("n"), n.alias("others")).where("others > 1")
+
+
 def bag_overlap(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """(key, common, only_left, only_right) with multiplicities."""
     a, b = left.groupBy(key).agg(F.count("*").alias("a")), right.groupBy(key).agg(F.count("*").alias("b"))
@@ -57,11 +63,11 @@ def register(query, table) -> None:
     """Queries of the joins."""
     from .trace import log_of
 
-    @query("""WITH l AS (SELECT user_id AS attempt, count(*) AS n FROM events GROUP BY 1), s AS (SELECT c_custkey AS attempt, c_mktsegment AS location FROM customer WHERE c_custkey < 400)
+    @query("""WITH l AS (SELECT user_id AS attempt, count(*) AS n FROM events GROUP BY 1), s AS (SELECT c_custkey AS attempt, c_mktsegment AS location FROM customer)
 SELECT attempt, coalesce(n, 0) AS n, coalesce(location, '') AS location, CASE WHEN n IS NULL THEN 'right' WHEN location IS NULL THEN 'left' ELSE 'both' END AS side FROM l FULL JOIN s USING (attempt)""")
     def join_completed(spark, d):
         logs = log_of(table(spark, d, "events")).groupBy("attempt").agg(F.count("*").alias("n"))
-        known = table(spark, d, "customer").where("c_custkey < 400").select(F.col("c_custkey").alias("attempt"), F.col("c_mktsegment").alias("location"))
+        known = table(spark, d, "customer").select(F.col("c_custkey").alias("attempt"), F.col("c_mktsegment").alias("location"))
         return completed(logs, known, "attempt").select("attempt", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("location", F.lit("")).alias("location"), "side")
 
     @query("SELECT e.event_id AS id, e.user_id AS attempt, c.c_mktsegment AS segment FROM events e LEFT JOIN customer c ON c.c_custkey = e.user_id")
@@ -98,9 +104,7 @@ SELECT k, p AS left_place, p AS right_place FROM s UNION ALL SELECT k, a.p, b.p
 
     @query("""WITH a AS (SELECT user_id AS attempt, props FROM events WHERE event_type = 'view') SELECT x.props, count(*) AS n, count(DISTINCT y.attempt) AS others FROM (SELECT DISTINCT attempt, props FROM a) x JOIN (SELECT DISTINCT attempt, props FROM a) y ON x.props = y.props AND x.attempt <> y.attempt GROUP BY 1""")
     def join_leave_one_out(spark, d):
-        seen = log_of(table(spark, d, "events")).where("message = 'view'").select("attempt", "props").distinct()
-        other = seen.withColumnRenamed("attempt", "other")
-        return seen.join(other, "props").where("attempt <> other").groupBy("props").agg(F.count("*").alias("n"), F.count_distinct("other").alias("others"))
+        return leave_one_out(log_of(table(spark, d, "events")).where("message = 'view'"), "props", "attempt")
 
     @query("""WITH a AS (SELECT l_partkey AS k, count(*) AS a FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1), b AS (SELECT l_partkey AS k, count(*) AS b FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1)
 SELECT k, least(coalesce(a, 0), coalesce(b, 0)) AS common, greatest(coalesce(a, 0) - coalesce(b, 0), 0) AS only_left, greatest(coalesce(b, 0) - coalesce(a, 0), 0) AS only_right FROM a FULL JOIN b USING (k)""")

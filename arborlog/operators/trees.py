@@ -1,13 +1,14 @@
 """Trees as columns.
 
-A packed tree is an array of nodes in pre-order: struct(type, value, ext_id, parent, idx), parent being the position in the
-array (-1 of the root). It goes through one Arrow call as a whole. The node table has a row for each node with its path from
+A packed tree is an array of nodes in pre-order: struct(type, value, ext_id, parent, idx, order_group, any_children), parent being the
+position in the array (-1 of the root). It goes through one Arrow call as a whole. The node table has a row for each node with its path from
 the root and its interval (pre, post), so ancestors are a range predicate and paths are arrays.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -17,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TREE = "array<struct<type:string,value:string,ext_id:string,parent:int,idx:int>>"
+TREE = "array<struct<type:string,value:string,ext_id:string,parent:int,idx:int,order_group:int,any_children:boolean>>"
 # Names of a block language.
 #: Two-argument operators whose arguments may be swapped, and those that are written as another with swapped arguments.
 SYMMETRIC = {"reportSum", "reportProduct", "reportRandom", "reportEquals", "reportAnd", "reportOr"}
@@ -35,6 +36,7 @@ class Node:
     parent: Node | None = None
     order_group: int = 0
     any_children: bool = False
+    hint: str | None = None
 
     def add(self, child: Node) -> Node:
         child.parent = self
@@ -71,14 +73,27 @@ class Node:
         return [c.type for c in self.children]
 
     def text(self) -> str:
-        own = self.type if self.value is None else f"{self.type}={self.value}"
-        return own + (":[" + ", ".join(c.text() for c in self.children) + "]" if self.children else "")
+        """type=value:[children], written without recursion, so a tree may be of any depth."""
+        out, todo = [], [self]
+        while todo:
+            n = todo.pop()
+            if isinstance(n, str):
+                out.append(n)
+                continue
+            out.append(n.type if n.value is None else f"{n.type}={n.value}")
+            if n.children:
+                out.append(":[")
+                todo.append("]")
+                todo += [x for c in reversed(n.children) for x in (c, ", ")][:-1]
+        return "".join(out)
 
     def copy(self) -> Node:
-        new = Node(self.type, self.value, self.ext_id, order_group=self.order_group, any_children=self.any_children)
-        for c in self.children:
-            new.add(c.copy())
-        return new
+        made: dict[int, Node] = {}
+        for n in self.walk():
+            made[id(n)] = Node(n.type, n.value, n.ext_id, order_group=n.order_group, any_children=n.any_children, hint=n.hint)
+            if n is not self:
+                made[id(n.parent)].add(made[id(n)])
+        return made[id(self)]
 
 
 # --- conversions ---
@@ -91,14 +106,14 @@ def pack(root: Node | None) -> list[dict] | None:
     out = []
     for n in root.walk():
         at[id(n)] = len(out)
-        out.append({"type": n.type, "value": n.value, "ext_id": n.ext_id, "parent": at[id(n.parent)] if n is not root else -1, "idx": n.index if n is not root else 0})
+        out.append({"type": n.type, "value": n.value, "ext_id": n.ext_id, "parent": at[id(n.parent)] if n is not root else -1, "idx": n.index if n is not root else 0, "order_group": n.order_group, "any_children": n.any_children})
     return out
 
 
 def unpack(rows) -> Node | None:
     if rows is None or not len(rows):
         return None
-    nodes = [Node(r["type"], r["value"], r["ext_id"]) for r in rows]
+    nodes = [Node(r["type"], r["value"], r["ext_id"], order_group=r["order_group"] or 0, any_children=bool(r["any_children"])) for r in rows]
     for n, r in zip(nodes, rows, strict=True):
         if r["parent"] >= 0:
             nodes[r["parent"]].add(n)
@@ -109,26 +124,35 @@ def from_json(text: str | None) -> Node | None:
     """{type, value?, id?, children?}; null if it isn't that."""
     try:
         top = json.loads(text or "null")
-    except ValueError:
+    except (ValueError, RecursionError):
         return None
 
-    def make(x) -> Node:
-        n = Node(str(x["type"]), None if x.get("value") is None else str(x["value"]), None if x.get("id") is None else str(x["id"]))
-        for c in x.get("children") or []:
-            n.add(make(c) if c is not None else Node("null"))
-        return n
-
     try:
-        return make(top) if top else None
+        if not top:
+            return None
+        root = shell(top)
+        todo = [(root, top)]
+        while todo:
+            n, x = todo.pop()
+            for c in x.get("children") or []:
+                kid = n.add(shell(c) if c is not None else Node("null"))
+                if c is not None:
+                    todo.append((kid, c))
+        return root
     except (TypeError, KeyError, AttributeError):
         return None
 
 
-def to_json(n: Node) -> str:
-    def shape(x: Node) -> dict:
-        return {k: v for k, v in (("type", x.type), ("value", x.value), ("id", x.ext_id), ("children", [shape(c) for c in x.children])) if v not in (None, [])}
+def shell(x: dict) -> Node:
+    """A node of {type, value?, id?} without its children."""
+    return Node(str(x["type"]), None if x.get("value") is None else str(x["value"]), None if x.get("id") is None else str(x["id"]))
+
 
-    return json.dumps(shape(n), ensure_ascii=False)
+def to_json(root: Node) -> str:
+    made: dict[int, dict] = {}
+    for n in reversed(list(root.walk())):  # children before their parents
+        made[id(n)] = {k: v for k, v in (("type", n.type), ("value", n.value), ("id", n.ext_id), ("children", [made.pop(id(c)) for c in n.children])) if v not in (None, [])}
+    return json.dumps(made[id(root)], ensure_ascii=False)
 
 
 SKIPPED = {"watcher", "comment", "autolambda", "variables", "receiver"}
@@ -175,7 +199,14 @@ class _Html(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("document")
 
+    #: A tag that ends what is open of these tags, as their end tags may be left out.
+    ENDS = {"p": {"p"}, "li": {"li"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
+    #: Tags within which another list or table begins.
+    BARRIERS = {"ul", "ol", "table", "dl", "select", "document"}
+
     def handle_starttag(self, tag, attrs):
+        while self.at.type in self.ENDS.get(tag, ()) and self.at.type not in self.BARRIERS:
+            self.at = self.at.parent
         n = self.at.add(Node(tag, None, dict(attrs).get("id")))
         if tag not in self.VOID:
             self.at = n
@@ -210,7 +241,7 @@ def packed(text: Column, kind: str) -> Column:
 
 
 def node_table(df: DataFrame, tree: str = "tree", keys: list[str] | None = None) -> DataFrame:
-    """A row for each node: keys, node (pre-order), parent, idx, type, value, ext_id, depth, post, tree_size, path, types."""
+    """A row for each node: keys, node (pre-order), parent, idx, type, value, ext_id, depth, post, tree_size, path, types, order_group, any_children."""
     keys = keys if keys is not None else [c for c in df.columns if c != tree]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -232,19 +263,19 @@ def node_table(df: DataFrame, tree: str = "tree", keys: list[str] | None = None)
                         kids[p].append(x["type"])
                 for i in range(n - 1, 0, -1):
                     size[nodes[i]["parent"]] += size[i]
-                out += [(*own, i, x["parent"], x["idx"], x["type"], x["value"], x["ext_id"], depth[i], i + size[i] - 1, size[i], path[i], kids[i]) for i, x in enumerate(nodes)]
-            yield pd.DataFrame(out, columns=[*keys, "node", "parent", "idx", "type", "value", "ext_id", "depth", "post", "tree_size", "path", "types"])
+                out += [(*own, i, x["parent"], x["idx"], x["type"], x["value"], x["ext_id"], depth[i], i + size[i] - 1, size[i], path[i], kids[i], x["order_group"], x["any_children"]) for i, x in enumerate(nodes)]
+            yield pd.DataFrame(out, columns=[*keys, "node", "parent", "idx", "type", "value", "ext_id", "depth", "post", "tree_size", "path", "types", "order_group", "any_children"])
 
     kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-    schema = f"{kinds}, node int, parent int, idx int, type string, value string, ext_id string, depth int, post int, tree_size int, path array<string>, types array<string>"
+    schema = f"{kinds}, node int, parent int, idx int, type string, value string, ext_id string, depth int, post int, tree_size int, path array<string>, types array<string>, order_group int, any_children boolean"
     return df.select(*keys, F.col(tree).alias("tree__")).mapInPandas(run, schema)
 
 
 def repacked(nodes: DataFrame, keys: list[str]) -> DataFrame:
     """The packed trees of a node table."""
-    cell = F.struct("node", "type", "value", "ext_id", "parent", "idx")
+    cell = F.struct("node", "type", "value", "ext_id", "parent", "idx", "order_group", "any_children")
     rows = nodes.groupBy(*keys).agg(F.array_sort(F.collect_list(cell)).alias("tree"))
-    return rows.withColumn("tree", F.transform("tree", lambda x: F.struct(x["type"].alias("type"), x["value"].alias("value"), x["ext_id"].alias("ext_id"), x["parent"].alias("parent"), x["idx"].alias("idx"))))
+    return rows.withColumn("tree", F.transform("tree", lambda x: F.struct(x["type"].alias("type"), x["value"].alias("value"), x["ext_id"].alias("ext_id"), x["parent"].alias("parent"), x["idx"].alias("idx"), x["order_group"].alias("order_group"), x["any_children"].alias("any_children"))))
 
 
 # --- columns of the node table ---
@@ -256,17 +287,15 @@ def root_path(n: int | None = None) -> Column:
 
 
 def backbone(pattern: list[str], path: str = "path") -> Column:
-    """Whether the end of a node's path fits: a type, alternatives ``a|b``, or ``...`` (any nodes) after what it repeats up to.
+    """Whether the end of a node's path fits: a type, alternatives ``a|b``, or ``...`` between two of them.
 
-    The pattern is a regular expression over the joined path, matched JVM-side. ``...`` stands between an earlier and a later type and skips
-    whatever is between them; a leading ``...`` accepts every ancestor.
+    The path is matched upwards from the node, and ``...`` climbs to the nearest node that fits what stands before it, without
+    trying farther ones; a leading ``...`` accepts every ancestor. The pattern is a regular expression over the joined path, matched JVM-side:
+    the gap is a run of nodes none of which fits what stands before the gap.
     """
-    import re as _re
-
-    one = lambda p: "(?:" + "|".join(_re.escape(x) for x in p.split("|")) + ")/"
-    rx = ""
-    for i, p in enumerate(pattern):
-        rx += (r"(?:[^/]+/)*" if i else "") if p == "..." else one(p)
+    one = lambda p: "(?:" + "|".join(re.escape(x) for x in p.split("|")) + ")/"
+    parts = [p for k, p in enumerate(pattern) if p != "..." or k == 0 or pattern[k - 1] != "..."]
+    rx = "".join((rf"(?:(?!{one(parts[k - 1])})[^/]+/)*" if k else "") if p == "..." else one(p) for k, p in enumerate(parts))
     return F.concat(F.array_join(path, "/"), F.lit("/")).rlike(r"(?:^|/)" + rx + "$")
 
 
@@ -301,10 +330,8 @@ def canonical(root: Node) -> Node:
 
 def pruned_leaves(root: Node, types: set[str]) -> Node:
     """Without leaves of these types, from the bottom up."""
-    for c in list(root.children):
-        pruned_leaves(c, types)
-        if not c.children and c.type in types and c.value is None:
-            root.children.remove(c)
+    for n in reversed(list(root.walk())):  # children before their parents
+        n.children = [c for c in n.children if c.children or c.type not in types or c.value is not None]
     return root
 
 
@@ -339,24 +366,26 @@ def canonical_text(tree: Column) -> Column:
 # --- distances ---
 
 
+def _after_children(root: Node) -> list[Node]:
+    """The nodes in post-order."""
+    out, todo = [], [root]
+    while todo:
+        n = todo.pop()
+        out.append(n)
+        todo += n.children
+    return out[::-1]
+
+
 def tree_distance(a: Node, b: Node, insert: float = 1, delete: float = 1, rename: float = 1) -> float:
     """Ordered tree edit distance (Zhang and Shasha 1989)."""
 
     def order(root: Node):
-        nodes, left, at = [], [], {}
-
-        def visit(n: Node) -> int:
-            first = None
-            for c in n.children:
-                x = visit(c)
-                first = x if first is None else first
-            at[id(n)] = len(nodes)
-            nodes.append(n)
-            left.append(len(nodes) - 1 if first is None else first)
-            return left[-1]
-
-        visit(root)
-        keys = sorted({left[i]: i for i in range(len(nodes))}.values())
+        nodes = [n for n in _after_children(root)]
+        at = {id(n): i for i, n in enumerate(nodes)}
+        left = []
+        for i, n in enumerate(nodes):
+            left.append(left[at[id(n.children[0])]] if n.children else i)
+        keys = sorted({x: i for i, x in enumerate(left)}.values())
         return nodes, left, keys
 
     (x, lx, kx), (y, ly, ky) = order(a), order(b)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sequences
@@ -38,8 +38,8 @@ SELECT attempt, levenshtein(m, lag(m) OVER (ORDER BY attempt))::DOUBLE AS cost F
 def seq_align_cost(spark, d):
     """An attempt's actions against those of the attempt before it, found by an equi-join on its number."""
     s = _log(spark, d).groupBy("attempt").agg(F.array_sort(F.collect_list(F.struct("t", "id", "message"))).alias("m")).select("attempt", F.col("m.message").alias("m"))
-    ids = s.select("attempt", F.lag("attempt").over(Window.orderBy("attempt")).alias("before")).where("before is not null")
-    pairs = s.join(ids, "attempt").join(s.select(F.col("attempt").alias("before"), F.col("m").alias("b")), "before")
+    s = stats.numbered(s, ["attempt"])
+    pairs = s.join(s.select((F.col("number") + 1).alias("number"), F.col("m").alias("b")), "number")
     return pairs.select("attempt", sequences.align_cost_col(F.col("b"), F.col("m")).alias("cost"))
 
 
@@ -85,12 +85,16 @@ def _pages(spark, d):
 
 
 def _talks(spark, d):
-    """A tree for each conversation: its turns, and under each the sign it ends with."""
-    rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.substring(F.trim("text"), -1, 1).alias("last")))).alias("t"))
-    node = lambda kind, value, parent, idx: F.struct(kind.alias("type"), value.alias("value"), F.lit(None).cast("string").alias("ext_id"), parent.cast("int").alias("parent"), idx.cast("int").alias("idx"))
+    """A tree for each conversation: its turns, and under each the tone of its whole text: whether it asks, exclaims or tells."""
+    tone = F.when(F.contains("text", F.lit("?")), "asks").when(F.contains("text", F.lit("!")), "exclaims").otherwise("tells")
+    rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", tone.alias("tone")))).alias("t"))
     none = F.lit(None).cast("string")
-    turns = F.flatten(F.transform("t", lambda x, i: F.array(node(x["role"], none, F.lit(0), i), node(F.when(x["last"].rlike("[.!?]"), x["last"]).otherwise("other"), none, 2 * i + 1, F.lit(0)))))
-    return rows.select("conv_id", F.concat(F.array(node(F.lit("script"), none, F.lit(-1), F.lit(0))), turns).alias("tree"))
+    node = lambda kind, parent, idx: F.struct(kind.alias("type"), none.alias("value"), none.alias("ext_id"), parent.cast("int").alias("parent"), idx.cast("int").alias("idx"), F.lit(0).alias("order_group"), F.lit(False).alias("any_children"))
+    turns = F.flatten(F.transform("t", lambda x, i: F.array(node(x["role"], F.lit(0), i), node(x["tone"], 2 * i + 1, F.lit(0)))))
+    return rows.select("conv_id", F.concat(F.array(node(F.lit("script"), F.lit(-1), F.lit(0))), turns).alias("tree"))
+
+
+TONE = "CASE WHEN contains(text, '?') THEN 'asks' WHEN contains(text, '!') THEN 'exclaims' ELSE 'tells' END"
 
 
 @query()
@@ -105,10 +109,10 @@ def tree_sizes(spark, d):
     return nodes.groupBy("conv_id").agg(F.count("*").alias("nodes"), F.count_if(F.col("depth") == 1).alias("turns"), F.max("depth").alias("depth"))
 
 
-@query("""SELECT role, CASE WHEN regexp_matches(trim(text, ' '), '[.!?]$') THEN right(trim(text, ' '), 1) ELSE 'other' END AS sign, count(*) AS n FROM conversations GROUP BY 1, 2""")
+@query(f"SELECT role, {TONE} AS tone, count(*) AS n FROM conversations GROUP BY 1, 2")
 def tree_backbone(spark, d):
-    nodes = trees.node_table(_talks(spark, d), keys=["conv_id"]).where(trees.backbone(["script", "user|assistant|system|tool", ".|!|?|other"]))
-    return nodes.groupBy(F.element_at("path", 2).alias("role"), F.col("type").alias("sign")).agg(F.count("*").alias("n"))
+    nodes = trees.node_table(_talks(spark, d), keys=["conv_id"]).where(trees.backbone(["script", "...", "user|assistant|system|tool", "asks|exclaims|tells"]))
+    return nodes.groupBy(F.element_at("path", 2).alias("role"), F.col("type").alias("tone")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT conv_id, turn AS idx, count(*) OVER (PARTITION BY conv_id, role ORDER BY turn) - 1 AS rank FROM conversations")
@@ -182,16 +186,20 @@ def graph_union(spark, d):
 
 
 # --- mining ---
-@query()
+GRAMS = f"""t AS (SELECT conv_id, turn, role, {TONE} AS tone FROM conversations), p AS (SELECT conv_id, list_concat(['*'], list_concat(list(role ORDER BY turn), ['*'])) AS r FROM t GROUP BY 1),
+e AS (SELECT conv_id, '* script ' || r[i] || ' ' || r[i + 1] AS gram FROM (SELECT conv_id, r, unnest(range(1, len(r))) AS i FROM p)
+UNION ALL SELECT conv_id, 'script ' || role || ' * ' || tone FROM t UNION ALL SELECT conv_id, 'script ' || role || ' ' || tone || ' *' FROM t)"""
+
+
+@query(f"WITH {GRAMS}, l AS (SELECT DISTINCT conv_id, role || ' ' || tone || ' * *' AS gram FROM t) SELECT conv_id, gram, count(*) AS n FROM e GROUP BY 1, 2 UNION ALL SELECT conv_id, gram, 1 FROM l")
 def mine_grams(spark, d):
     return mining.grams(_talks(spark, d), "conv_id", p=2, q=2)
 
 
-@query("""WITH t AS (SELECT conv_id, turn, role FROM conversations), p AS (SELECT conv_id, list_concat(['*'], list_concat(list(role ORDER BY turn), ['*'])) AS r FROM t GROUP BY 1),
-g AS (SELECT conv_id, '* script ' || r[i] || ' ' || r[i + 1] AS gram FROM (SELECT conv_id, r, unnest(range(1, len(r))) AS i FROM p)) SELECT conv_id, gram, count(*) AS n FROM g GROUP BY 1, 2""")
-def mine_root_grams(spark, d):
-    nodes = trees.node_table(_talks(spark, d), keys=["conv_id"]).where("depth = 0")
-    return mining.root_path_grams(nodes, ["conv_id"], 2, 2)
+@query(f"WITH {GRAMS}, l AS (SELECT conv_id, role || ' ' || tone || ' * *' AS gram FROM t) SELECT conv_id, gram, count(*) AS n FROM (FROM e UNION ALL FROM l) GROUP BY 1, 2")
+def mine_path_grams(spark, d):
+    """The bag of grams of all nodes, JVM-side."""
+    return mining.root_path_grams(trees.node_table(_talks(spark, d), keys=["conv_id"]), ["conv_id"], 2, 2)
 
 
 @query()

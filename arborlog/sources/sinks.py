@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.stats import numbered
 from .logs import safe_name
 
 
@@ -15,9 +16,9 @@ def split_by_project(log: DataFrame, path: str) -> None:
 
 
 def code_dictionary(log: DataFrame, code: str = "code") -> DataFrame:
-    """(code, code_id): ids from 0 in the order in which codes first appear; only distinct codes are ranked."""
+    """(code, code_id): ids from 0 in the order in which codes first appear; only distinct codes are numbered."""
     first = log.where(F.col(code).isNotNull()).groupBy(code).agg(F.min(F.struct("t", "id")).alias("o"))
-    return first.select(code, (F.row_number().over(Window.orderBy("o")) - 1).cast("long").alias("code_id"))
+    return numbered(first, ["o"], "code_id").select(code, "code_id")
 
 
 def session_events(log: DataFrame, session: str = "session") -> DataFrame:

@@ -19,11 +19,17 @@ STATE = "last long, active long, idle long, segments long"
 PROFILE = "attempt long, active long, idle long, segments long, last long"
 
 
-def time_profile(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """After each micro-batch, the profile so far of the attempts it touched: (attempt, active, idle, segments, last)."""
+def time_profile(events: DataFrame, delay: str = "10 minutes", forget: int = 30 * 86400) -> DataFrame:
+    """After each micro-batch, the profile so far of the attempts it touched: (attempt, active, idle, segments, last).
+
+    An attempt's state goes ``forget`` seconds after its last action, once the watermark has passed that; what comes later begins anew.
+    """
     log = events.withWatermark("ts", delay).select(F.col("user_id").alias("attempt"), F.col("event_id").alias("id"), F.col("ts"), F.unix_timestamp("ts").alias("t"))
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(batches)).sort_values(["t", "id"])
         last, active, idle, segments = state.get if state.exists else (None, 0, 0, 0)
         for t in rows["t"].tolist():
@@ -38,9 +44,10 @@ def time_profile(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
                     segments += 1
             last = t if last is None else max(last, t)
         state.update((last, active, idle, segments))
+        state.setTimeoutTimestamp(max((last + forget) * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"attempt": [key[0]], "active": [active], "idle": [idle], "segments": [segments], "last": [last]})
 
-    return log.groupBy("attempt").applyInPandasWithState(update, PROFILE, STATE, "update", GroupStateTimeout.NoTimeout)
+    return log.groupBy("attempt").applyInPandasWithState(update, PROFILE, STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def counts(events: DataFrame, width: str = "1 hour", delay: str = "10 minutes") -> DataFrame:

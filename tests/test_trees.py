@@ -23,6 +23,7 @@ def test_sequence_functions_on_known_cases():
     assert q.context_distance("abc", 1, "axd", 1) == 0.5
     assert [round(q.distance_weight(d), 4) for d in (0, 0.5, 1)] == [1, 0.25, 0.1111]
     assert q.norm_align_cost("", "") == 0 and q.align_score("ab", "ab") == 1
+    assert q.reordered("ba", "abc", [1, 1, 0]) == [1, 0, 2]
     assert q.progress("ba", "ab", [1, 1]) == 4 and q.progress("ba", "ab") == 2 + 1 - 0.25
 
 
@@ -48,7 +49,7 @@ def test_parsers_and_packing():
     assert trees.unpack(trees.pack(t)).text() == t.text() and J(trees.to_json(t)).text() == t.text()
     assert trees.from_xml("<a>") is None and trees.from_xml("") is None and trees.from_xml(None) is None and trees.from_xml("<a>" + "x" * 64993 + "</a>") is None
     assert J("{") is None and J(None) is None and J('{"value": 1}') is None
-    assert trees.from_html("<p>a<br><b>c</p></i><p>").text() == "document:[p:[br, b], p]"
+    assert trees.from_html("<p>a<br><b>c</p></i><p>").text() == "document:[p:[br, b], p]" and trees.from_html("<ul><li>a<li>b<ul><li>c</ul></ul>").text() == "document:[ul:[li, li:[ul:[li]]]]"
 
 
 def test_canonical_forms():
@@ -69,8 +70,10 @@ def test_node_table(spark):
     nodes = trees.node_table(packed)
     assert nodes.count() == 5
     leaf = nodes.where("type = 'doAsk'")
-    for pattern, want in ((["sprite|customBlock", "...", "script", "doAsk"], 1), (["script", "doAsk"], 1), (["sprite", "doAsk"], 0), (["sprite", "script", "...", "doAsk"], 1)):
+    for pattern, want in ((["sprite|customBlock", "...", "script", "doAsk"], 1), (["script", "doAsk"], 1), (["sprite", "doAsk"], 0), (["sprite", "script", "...", "doAsk"], 0), (["sprite", "...", "doAsk"], 1)):
         assert leaf.where(trees.backbone(pattern)).count() == want, pattern
+    paths = spark.createDataFrame([(list("abxbc"),), (list("abc"),), (list("abxc"),), (list("abbc"),)], "path array<string>")
+    assert [r[0] for r in paths.select(trees.backbone(["a", "b", "...", "c"])).collect()] == [False, True, True, False]
     assert leaf.select(trees.root_path(2)).first()[0] == "script->doAsk"
     assert trees.descendants(nodes.where("type = 'doIf'"), nodes, ["k"]).count() == 2
     assert trees.repacked(nodes, ["k"]).first().tree == packed.where("k = 1").first().tree
@@ -97,10 +100,71 @@ def test_edits():
     assert kinds in (["delete:x", "insert:c", "reorder:a"], ["delete:x", "insert:c", "reorder:b"])
     same = a.copy()
     assert alignment.edits(a, same, alignment.align(a, same)) == []
-    assert alignment.apply_mapping(a, b, m).text() == b.text()
+    assert alignment.applied(a, alignment.edits(a, b, m)).text() == b.text()
     assert alignment.align(a, same).cost < m.cost
 
 
+def random_tree(rng, n):
+    root = trees.Node("script")
+    every = [root]
+    for _ in range(n):
+        p, c = rng.choice(every), trees.Node(rng.choice(["script", "say", "ask", "literal", "doIf"]), rng.choice([None, "1", "x"]))
+        c.parent = p
+        p.children.insert(rng.randint(0, len(p.children)), c)
+        every.append(c)
+    return root
+
+
+@pytest.mark.parametrize("values", ["ignore", "mapped", "exact"])
+def test_applied_edits_give_the_target(values):
+    rng, cfg = random.Random(3), alignment.Config(values=values)
+    for _ in range(600):
+        a = random_tree(rng, rng.randint(0, 12))
+        b = random_tree(rng, rng.randint(0, 12)) if rng.random() < 0.5 else a.copy()
+        if rng.random() < 0.5:
+            rng.shuffle(b.children)
+        text = a.text()
+        got, want = alignment.applied(a, alignment.edits(a, b, alignment.align(a, b, cfg), cfg)), b.copy()
+        if values != "exact":
+            for n in (*got.walk(), *want.walk()):
+                n.value = None
+        assert got.text() == want.text() and a.text() == text
+
+
+def test_edits_respect_groups_wildcards_and_ids():
+    a = J('{"type":"script","children":[{"type":"b"},{"type":"a"},{"type":"loop","children":[{"type":"x"},{"type":"y"}]}]}')
+    b = templates.variants("script { @anyOrder { a b } loop { @anything } }")[0]
+    b = trees.unpack(trees.pack(b))
+    assert alignment.edits(a, b, alignment.align(a, b)) == []
+    c, d = J('{"type":"script","children":[{"type":"say","id":"1"},{"type":"say","id":"2"}]}'), J('{"type":"script","children":[{"type":"say","id":"2"},{"type":"say","id":"1"},{"type":"ask","id":"3"}]}')
+    found = alignment.edits(c, d, alignment.by_ids(c, d))
+    assert sorted(e["action"] for e in found) == ["insert", "reorder"] and alignment.applied(c, found).text() == d.text()
+    nodes = list(c.walk())
+    assert len({alignment.edit_key(e, nodes) for e in found}) == 2
+    put = next(e for e in found if e["action"] == "insert")
+    assert alignment.shown(put, nodes) == {"message": "insert", "parent": "script", "from": ["say", "say"], "to": ["say", "ask", "say"]} or alignment.shown(put, nodes)["to"].count("ask") == 1
+    assert [e["action"] for e in alignment.displayed(found)] == ["insert"]
+
+
+def test_deletions_below_deletions_are_implied():
+    a, b = J('{"type":"script","children":[{"type":"doIf","children":[{"type":"say"}]},{"type":"x"}]}'), J('{"type":"script"}')
+    found = alignment.edits(a, b, alignment.align(a, b))
+    left = alignment.cleaned(found, list(a.walk()), frozenset({"x"}))
+    assert [e["type"] for e in left] == ["doIf"] and len(found) == 3
+    c = J('{"type":"script","children":[{"type":"doIf","children":[{"type":"ask","children":[{"type":"y"}]}]}]}')
+    more = alignment.edits(b, c, alignment.align(b, c))
+    assert alignment.nested(more) == [(1, 0), (2, 1)]
+
+
+def test_nearest_bound_is_below_the_cost():
+    rng = random.Random(8)
+    cfg = alignment.Config()
+    for _ in range(400):
+        a, b = random_tree(rng, rng.randint(0, 10)), random_tree(rng, rng.randint(0, 10))
+        known = alignment.Solutions([("k", 1, trees.pack(b), "")], cfg)
+        assert known.bounds(trees.pack(a))[0] <= alignment.align(a, b, cfg).cost + 1e-9
+
+
 def test_nearest_solutions_and_votes(spark, monkeypatch):
     sols = templates.solutions(spark, {"t": "script { a b @or { c d } @optional { e } }"})
     assert sols.count() == 4
@@ -159,6 +223,17 @@ def test_templates():
             templates.variants(bad)
 
 
+def test_template_hints():
+    text = "@defHint(h, `say hello`) script { @hint(h) { say } @hint(`ask now`) { ask { x } } }"
+    assert templates.hints(text) == [(0, 1, "say hello"), (0, 2, "ask now")]
+
+
+def test_deep_trees():
+    t = trees.from_html("<div>" * 3000 + "x")
+    assert t.copy().size == 3001 and t.text().count("div") == 3000 and trees.pruned_leaves(t.copy(), {"div"}).size == 1
+    assert trees.tree_distance(trees.from_html("<p>a<p>b"), trees.from_html("<p>a<p>b<br>")) == 1
+
+
 def test_log_source_and_sinks(spark, tmp_path):
     (tmp_path / "log.csv").write_text('id,time,message,jsonData,projectID,sessionID,code\n1,2020-01-02 03:04:05,go,"{""a"": 1}",p 1,s,"<a>\n</a>"\nx,2020-01-02 03:04:06,stop,,p 1,s,\n3,,none,,,s,\n')
     rows = logs.action_log(spark, str(tmp_path / "log.csv")).orderBy("time").collect()
