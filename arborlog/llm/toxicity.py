@@ -1,9 +1,10 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 A lexicon transducer turns the words of a clause into classes: insult, threat verb, intent, target, negation,
-report, or other. Transducers for reported speech, negation, targets and threats each rewrite classes
-that stand within their reach, and their composition (one deterministic machine, built once) reads each clause that
-has an insult or a threat. What it puts out is summed by class, and a logistic model turns the sums into
+report, or other. Weighted transducers for reported speech, negation, targets and threats each rewrite classes that stand within their
+reach; an arc's weight fades towards 1 with the distance. Two of them read a clause from its end, for what follows ("..., he said",
+"kill yourself"); their composition and that of the others (two deterministic machines, built once) read each clause that
+has an insult or a threat. What comes out is summed by class, and a logistic model turns the sums into
 a score, so an insult that is negated or reported counts by a weight of its own.
 
 Insults are learnt: words and word beginnings that toxic training documents have and others lack, with their
@@ -31,8 +32,6 @@ from .common import chunks, filter_texts, map_texts, saved
 
 #: Labelled rows that the lexicon and the model are fitted on, at most.
 FIT_ROWS = 20_000
-#: Entries of the lexicon, at most: those of greatest evidence.
-LEXICON = 5_000
 THRESHOLD = 0.3
 #: Lengths of word beginnings, and the least share of toxic texts among those that have an entry.
 SKETCH = 4
@@ -40,22 +39,24 @@ STEMS = (4, 5, 6, 7, 8, 9)
 PURITY = 0.6
 #: That any word of the sample gets in by chance.
 CHANCE = 0.05
-#: Words after which a negation, report, target or intent no longer reaches.
-REACH = {"negation": 3, "report": 6, "target": 4, "intent": 4}
+#: Words after which a negation, report, target or intent no longer reaches, and the weight of what it rewrites next to it; by each word's distance the weight fades by FADE.
+REACH = {"negation": (3, 0.9), "report": (6, 0.9), "target": (4, 1.1), "intent": (4, 1.2), "told": (3, 0.9), "aimed": (3, 1.1)}
+FADE = 0.8
 OTHER, INSULT, THREAT, INTENT, TARGET, NEGATION, REPORT = "other", "insult", "threat verb", "intent", "target", "negation", "report"
+CLASSES = [OTHER, INSULT, THREAT, INTENT, TARGET, NEGATION, REPORT]
 #: Fixed lists, in English, French, German and Spanish.
 WORDS = {
     NEGATION: "not no never isn't aren't wasn't don't doesn't didn't without ne pas jamais sans nicht kein keine keinen nie ohne nunca jamás sin",
     REPORT: "said says say called calls wrote writes quoted quote allegedly reportedly dit disait écrit appelle sagte sagt schrieb nannte angeblich dijo dice escribió llamó",
-    TARGET: "you your you're u he she they him her them tu vous toi ils du dich ihr euch sie ihn ustedes usted vosotros él ella ellos",
+    TARGET: "you your you're u he she they him her them tu vous toi ils du dich ihr euch sie ihn ustedes usted vosotros él ella ellos yourself yourselves himself herself themselves",
     THREAT: "kill killing hurt destroy murder beat burn shoot stab tuer frapper détruire brûler töten umbringen schlagen zerstören verbrennen matar golpear destruir quemar",
-    INTENT: "will going gonna i'll we'll shall vais allons va werde werden wird voy vamos iré",
+    INTENT: "will want wanna hope must going gonna i'll we'll shall vais allons va werde werden wird voy vamos iré",
 }
 CLASS = {w: c for c, words in WORDS.items() for w in words.split()}
 CLAUSE = re.compile(r"[.!?;\n\r]+")
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 #: What the composed machine may put out, and the weight that each has before any label is seen.
-OUTPUTS = {"insult": 1.0, "targeted": 1.2, "negated": 0.3, "reported": 0.4, "threat": 1.5, "reported threat": 0.5}
+OUTPUTS = {"insult": 1.0, "targeted": 1.2, "negated": 0.3, "reported": 0.4, "threat": 1.5, "reported threat": 0.5, "aimed": 0.2}
 PRIOR = [y for x in OUTPUTS.values() for y in (x, 0.0)]
 
 
@@ -84,7 +85,7 @@ class Transducer:
         return Transducer(arcs, {}, (self.start, after.start))
 
 
-def within(trigger: str, reach: int, rewrite: dict[str, str]) -> Transducer:
+def within(trigger: str, reach: int, rewrite: dict[str, str], weight: float = 1.0) -> Transducer:
     """Rewrites classes that come at most ``reach`` words after a trigger; state = words left."""
     arcs, rest = {}, {0: 0}
     for left in range(reach + 1):
@@ -92,27 +93,56 @@ def within(trigger: str, reach: int, rewrite: dict[str, str]) -> Transducer:
         rest[left] = max(0, left - 1)
         if left:
             for symbol, out in rewrite.items():
-                arcs[(left, symbol)] = (left - 1, out, 1.0)
+                arcs[(left, symbol)] = (left - 1, out, 1 + (weight - 1) * FADE ** (reach - left))
     return Transducer(arcs, rest)
 
 
+def renamed(names: dict[str, str]) -> Transducer:
+    return Transducer({(0, symbol): (0, out, 1.0) for symbol, out in names.items()}, {})
+
+
+def rules() -> tuple[list[Transducer], list[Transducer]]:
+    """What reads a clause from its end, and what then reads it from its beginning, in order."""
+    told = within(REPORT, REACH["told"][0], {INSULT: "insult told", THREAT: "threat told"}, REACH["told"][1])
+    aimed = within(TARGET, REACH["aimed"][0], {THREAT: "threat aimed"}, REACH["aimed"][1])
+    threats = within(INTENT, REACH["intent"][0], {THREAT: "threat made", "threat aimed": "threat made"}, REACH["intent"][1])
+    targets = within(TARGET, REACH["target"][0], {INSULT: "targeted"}, REACH["target"][1])
+    negations = within(NEGATION, REACH["negation"][0], {INSULT: "negated", "targeted": "negated", "threat made": OTHER, "threat aimed": OTHER}, REACH["negation"][1])
+    reports = within(REPORT, REACH["report"][0], {INSULT: "reported", "targeted": "reported", "threat made": "reported threat", "threat aimed": OTHER}, REACH["report"][1])
+    last = renamed({"threat made": "threat", "threat aimed": "aimed", "insult told": "reported", "threat told": "reported threat"})
+    return [told, aimed], [threats, targets, negations, reports, last]
+
+
+def composed(machines: list[Transducer], alphabet: list[str]) -> Transducer:
+    out = machines[0]
+    for more in machines[1:]:
+        out = out.compose(more, alphabet)
+    return out.compose(Transducer({}, {}), alphabet)
+
+
 @lru_cache(maxsize=1)
-def grammar() -> Transducer:
-    alphabet = [OTHER, INSULT, THREAT, INTENT, TARGET, NEGATION, REPORT]
-    threats = within(INTENT, REACH["intent"], {THREAT: "threat made"})
-    targets = within(TARGET, REACH["target"], {INSULT: "targeted"})
-    negations = within(NEGATION, REACH["negation"], {INSULT: "negated", "targeted": "negated", "threat made": OTHER})
-    reports = within(REPORT, REACH["report"], {INSULT: "reported", "targeted": "reported", "negated": "negated", "threat made": "reported threat"})
-    last = Transducer({(0, "threat made"): (0, "threat", 1.0)}, {})
-    machine = threats
-    for more in (targets, negations, reports, last):
-        machine = machine.compose(more, alphabet)
-    return machine
+def grammar() -> tuple[Transducer, Transducer]:
+    behind, ahead = rules()
+    return composed(behind, CLASSES), composed(ahead, [*CLASSES, "insult told", "threat told", "threat aimed"])
+
+
+def read(symbols: list[str]) -> list[tuple[str, float]]:
+    """(output, weight) of each symbol of a clause."""
+    behind, ahead = grammar()
+    back, state = [], behind.start
+    for symbol in reversed(symbols):
+        state, out, factor = behind.step(state, symbol)
+        back.append((out, factor))
+    found, state = [], ahead.start
+    for symbol, before in reversed(back):
+        state, out, factor = ahead.step(state, symbol)
+        found.append((out, before * factor))
+    return found
 
 
 def features(text: str, lexicon: dict[str, float]) -> list[float]:
     """By output, the summed weights of what the grammar finds in the clauses of a text: their logarithm and, up to a bound, themselves."""
-    machine, sums = grammar(), dict.fromkeys(OUTPUTS, 0.0)
+    sums = dict.fromkeys(OUTPUTS, 0.0)
     low = text.lower()
     words = set(WORD.findall(low))
     hits = {}
@@ -131,11 +161,8 @@ def features(text: str, lexicon: dict[str, float]) -> list[float]:
             found = WORD.findall(clause)
             if hits.keys().isdisjoint(found):
                 continue
-            state = machine.start
-            for w in found:
-                weight = hits.get(w)
-                symbol = INSULT if weight else CLASS.get(w, OTHER)
-                state, out, factor = machine.step(state, symbol)
+            weights = [hits.get(w) for w in found]
+            for weight, (out, factor) in zip(weights, read([INSULT if x else CLASS.get(w, OTHER) for w, x in zip(found, weights, strict=True)]), strict=True):
                 if out in sums:
                     sums[out] += factor * (weight or 5.0)
     return [y for x in sums.values() for y in (math.log1p(x), min(x, 40.0) / 10)]
@@ -180,13 +207,23 @@ def evidence(pos: float, neg: float, share: float) -> float:
     return n * (k * math.log(k / share) + ((1 - k) * math.log((1 - k) / (1 - share)) if k < 1 else 0.0))
 
 
-def chosen(rows: list[tuple[str, int, int]], n_pos: int, n_neg: int) -> dict[str, float]:
-    """The lexicon from (word or beginning, toxic texts with it, others).
+def tried(sizes: list[tuple[int, int]], share: float) -> int:
+    """How many words count as tried (Tarone 1990), of (texts with a word, such words): those in so few texts that even all toxic ones would be chance don't."""
+    left = sum(n for _, n in sizes)
+    for texts, n in sorted(sizes):
+        if texts * math.log(1 / share) >= math.log(max(2, left) / CHANCE):
+            break
+        left -= n
+    return left
+
+
+def chosen(rows: list[tuple[str, int, int]], n_pos: int, n_neg: int, n_tried: int) -> dict[str, float]:
+    """The lexicon from (word or beginning, toxic texts with it, others), of which so many count as tried.
 
     A share of toxic texts must be so high that chance would not give it to any of the words. A beginning stands
     for its words where what it adds to the best of its continuations is toxic as well; else the continuations stand.
     """
-    share, least = n_pos / (n_pos + n_neg), math.log(max(2, len(rows)) / CHANCE)
+    share, least = n_pos / (n_pos + n_neg), math.log(max(2, n_tried) / CHANCE)
     table = {w: (pos, neg) for w, pos, neg in rows}
     below: dict[str, list[str]] = {}
     for w in table:
@@ -210,8 +247,7 @@ def chosen(rows: list[tuple[str, int, int]], n_pos: int, n_neg: int) -> dict[str
         more = (pos - table[best][0], neg - table[best][1])
         return [w] if len(found) > 1 and evidence(pos, neg, share) > evidence(*table[best], share) and good(*more, least / 2) else found
 
-    out = {x: math.log((table[x][0] + 0.5) / (n_pos + 1)) - math.log((table[x][1] + 0.5) / (n_neg + 1)) for w in below.get("", []) for x in pick(w)}
-    return dict(sorted(out.items(), key=lambda x: (-evidence(*table[x[0]], share), x[0]))[:LEXICON])
+    return {x: math.log((table[x][0] + 0.5) / (n_pos + 1)) - math.log((table[x][1] + 0.5) / (n_neg + 1)) for w in below.get("", []) for x in pick(w)}
 
 
 def logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, strength: float = 1.0) -> np.ndarray:
@@ -273,9 +309,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not n_pos or not n_neg:
         p = min(max(share, 1e-4), 1 - 1e-4)
         return Scorer({}, [math.log(p / (1 - p)), *PRIOR])
-    words = rows.mapInArrow(counted, "w string, pos long, neg long").groupBy("w").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    # as many rows as words of the sample, which is bounded
-    lexicon = chosen([tuple(r) for r in words.where("pos >= 3").collect()], n_pos, n_neg)
+    words = saved(rows.mapInArrow(counted, "w string, pos long, neg long").groupBy("w").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
+    # words that can be in the lexicon; as many rows as words of the sample at most, which is bounded
+    sizes_of = [tuple(r) for r in words.groupBy((F.col("pos") + F.col("neg")).alias("n")).count().collect()]
+    lexicon = chosen([tuple(r) for r in words.where(F.col("pos") >= PURITY * (F.col("pos") + F.col("neg"))).collect()], n_pos, n_neg, tried(sizes_of, share))
 
     def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -598,10 +598,41 @@ def test_grammar_composes():
     assert f("he said you are a fool")["reported"] > 0
     assert f("i will really hurt you")["threat"] > 0 and f("they hurt")["threat"] == 0
     assert f("he wrote that he will hurt them")["reported threat"] > 0
+    assert f("you are a fool, he said")["reported"] > 0 and f("you are a fool, he said")["targeted"] == 0
+    assert f("kill yourself")["aimed"] > 0 and f("do not kill yourself")["aimed"] == 0 and f("i want to hurt you")["threat"] > 0
+    assert f("you fool")["targeted"] > f("you are such a fool")["targeted"] > f("fool")["insult"]  # arcs have weights
     assert f("not here. a fool")["negated"] == 0 and f("rotten rottweil")["insult"] > 0
     assert not any(f("").values())
 
 
+def test_composed_machines_are_the_machines_in_turn():
+    rng = random.Random(12)
+    behind, ahead = toxicity.rules()
+    for _ in range(3000):
+        symbols = rng.choices(toxicity.CLASSES, k=rng.randint(0, 14))
+        rows = [(x, 1.0) for x in reversed(symbols)]
+        for turn, machines in enumerate((behind, ahead)):
+            rows = rows[::-1] if turn else rows
+            for m in machines:
+                state, out = m.start, []
+                for symbol, weight in rows:
+                    state, new, factor = m.step(state, symbol)
+                    out.append((new, weight * factor))
+                rows = out
+        assert [x for x, _ in toxicity.read(symbols)] == [x for x, _ in rows]
+        assert np.allclose([w for _, w in toxicity.read(symbols)], [w for _, w in rows])
+
+
+def test_toxicity_on_very_long_texts_ties_and_odd_columns(spark):
+    rows = [(i, ("fool " if i % 5 == 0 else "") + words(20, i)) for i in range(100)] + [(200, LONG + " fool"), (201, "fool fool"), (201, "fool fool")]
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(100)] + [(0, 1), (0, 1)], "doc_id long, toxic int")
+    scorer = toxicity.fit(docs(spark, rows), labels)
+    got = toxicity.score(docs(spark, rows), scorer).collect()
+    by = {r.doc_id: r.score for r in got}
+    assert len(got) == len(rows) and by[200] > 0.3 and by[201] > by[1]
+    assert toxicity.keep_clean(docs(spark, rows), scorer).columns == docs(spark, []).columns
+
+
 def test_toxicity_learns_and_holds_out(spark):
     rng = random.Random(6)
     clean = lambda: words(rng.randint(5, 40), rng.random())
