@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import saved
 from .superkmer import Packed, covered, gram_hashes, runs, sliding_min, text_mark, windows_seen, with_spans
 
-WINDOW, GRAM = 200, 32
+WINDOW, GRAM = 200, 48
 BETWEEN = 255
 #: Bytes of a shard at most, and those up to which minimisers share one.
 SHARD_BYTES = 4_000_000
