@@ -85,6 +85,47 @@ def graded(nodes: DataFrame, key: str, tests: list[Test]) -> DataFrame:
     return rows.unpivot([key], list(hits), "test", "score")
 
 
+def hit_sweep(log: DataFrame, at: Column, state: str, most: int) -> DataFrame:
+    """(within, asked, hits): of the rows where ``at`` holds, how many have their state again within 1, 2, ... rows; each row is looked at once."""
+    w = trace().rowsBetween(1, most)
+    rows = log.withColumn("ahead", F.collect_list(state).over(w)).where(at).select(F.array_position("ahead", F.col(state)).alias("n"))
+    by = rows.groupBy("n").agg(F.count("*").alias("c"))
+    sweep = by.sparkSession.range(1, most + 1).withColumnRenamed("id", "within")
+    total = F.sum("c").alias("asked")
+    return sweep.join(F.broadcast(by)).groupBy("within").agg(total, F.sum(F.when((F.col("n") > 0) & (F.col("n") <= F.col("within")), F.col("c")).otherwise(0)).alias("hits"))
+
+
+def hint_set(rows: DataFrame) -> DataFrame:
+    """(request, outcome, weight): equal outcomes of a request together, weights in shares of the request's whole."""
+    each = rows.groupBy("request", "outcome").agg(F.sum("weight").alias("w"))
+    return each.select("request", "outcome", (F.col("w") / F.sum("w").over(Window.partitionBy("request"))).alias("weight"))
+
+
+def by_outcome(hints: DataFrame, text: Column) -> DataFrame:
+    """(outcome, n, first, agreed): hints grouped by what they lead to (a digest of the normalised text); whether all give it the same priority."""
+    rows = hints.withColumn("outcome", F.md5(F.lower(F.regexp_replace(F.trim(text), r"\s+", " "))))
+    return rows.groupBy("outcome").agg(F.count("*").alias("n"), F.min("hint").alias("first"), (F.min("priority") == F.max("priority")).alias("agreed"))
+
+
+def looked_up(rows: DataFrame, digests: DataFrame, text: str) -> DataFrame:
+    """Rows whose text's digest is on a list (digest)."""
+    return rows.withColumn("digest", F.md5(F.col(text))).join(digests.select("digest").distinct(), "digest", "left_semi")
+
+
+def to_grade(attempts: DataFrame, grades: DataFrame, least: int) -> DataFrame:
+    """Attempts with enough rows that have no grade yet."""
+    return attempts.where(F.col("rows") >= least).join(grades.select("attempt"), "attempt", "left_anti")
+
+
+def attributes(log: DataFrame, names: list[str], minutes: int, grades: DataFrame) -> DataFrame:
+    """(attempt, a column for each name, average): how often each action came in the first minutes of active time, beside the grade."""
+    from .trace import running_time
+
+    rows = running_time(log).where(F.col("active") < 60 * minutes)
+    counts = rows.groupBy("attempt").pivot("message", names).agg(F.count(F.lit(1))).na.fill(0, names)
+    return counts.join(grades.select("attempt", "average"), "attempt")
+
+
 def register(query, table) -> None:
     from .trace import log_of
 

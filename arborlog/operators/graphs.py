@@ -155,3 +155,163 @@ def hints(requests: DataFrame, steps: DataFrame) -> DataFrame:
 def stays(edges: DataFrame) -> DataFrame:
     """(graph, state, stayed): the share of what leaves a state that leads back to it."""
     return edges.groupBy("graph", F.col("source").alias("state")).agg((F.sum(F.when(F.col("source") == F.col("target"), F.col("weight")).otherwise(0)) / F.sum("weight")).alias("stayed"))
+
+
+# --- from traces to graphs ---
+
+
+def interactions(nodes: DataFrame) -> DataFrame:
+    """(attempt, graph, source, target) of rows (attempt, step, node, graph, state), steps numbered from 1 without gaps.
+
+    A node that both of two neighbouring snapshots have gives an edge where its state changed, in the graph it is in afterwards; one that is new gives an edge from the
+    empty state, one that is gone an edge to it.
+    """
+    last = nodes.groupBy("attempt").agg(F.max("step").alias("__last"))
+    rows = nodes.join(last, "attempt")
+    a = rows.where("step < __last").select("attempt", F.col("step"), "node", F.col("graph").alias("ga"), F.col("state").alias("source"))
+    b = rows.where("step > 1").select("attempt", (F.col("step") - 1).alias("step"), "node", F.col("graph").alias("gb"), F.col("state").alias("target"))
+    both = a.join(b, ["attempt", "step", "node"], "full").select("attempt", F.coalesce("gb", "ga").alias("graph"), F.coalesce("source", F.lit("")).alias("source"), F.coalesce("target", F.lit("")).alias("target"))
+    return both.where("source <> target")
+
+
+def interaction_edges(steps: DataFrame) -> DataFrame:
+    """(graph, source, target, weight): how many attempts make each step."""
+    return steps.distinct().groupBy("graph", "source", "target").agg(F.count("*").alias("weight"))
+
+
+def swept(vertices: DataFrame, edges: DataFrame, sweeps: int, least: int = 2) -> DataFrame:
+    """(graph, state, value) after so many sweeps in which all states see the values of the sweep before.
+
+    For graphs of any size: a sweep is a join of edges with values and a partial aggregate by source. Weights are whole and values are 64ths, so sums
+    are exact in any order. Lineage is cut every eight sweeps where a checkpoint folder is set.
+    """
+    spark = vertices.sparkSession
+    worth = F.when(F.col("goals") >= least, GOAL * F.col("goals")).otherwise(0.0)
+    base = vertices.select("graph", "state", worth.cast("double").alias("worth"))
+    steps = edges.where("source <> target").select("graph", "source", "target", "weight")
+    value = base.withColumn("value", F.col("worth"))
+    can_cut = not spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty()
+    for k in range(sweeps):
+        v = value.select("graph", F.col("state").alias("target"), "value")
+        next_ = steps.join(v, ["graph", "target"]).groupBy("graph", F.col("source").alias("state")).agg((F.sum(F.col("weight") * F.col("value")) / F.sum("weight")).alias("mean"))
+        new = F.greatest(F.floor(F.col("mean") * DISCOUNT * GRAIN + 0.5) / GRAIN, F.col("worth"))
+        value = base.join(next_, ["graph", "state"], "left").select("graph", "state", "worth", F.when(F.col("mean").isNull(), F.col("worth")).otherwise(new).alias("value"))
+        if can_cut and k % 8 == 7:
+            value = value.checkpoint()
+    return value.select("graph", "state", "value")
+
+
+def finished(vertices: DataFrame, edges: DataFrame, sweeps: int, prune: int = 2) -> DataFrame:
+    """Values of a graph whose states that few attempts reach (and none ends in) are left out: vertices (graph, state, weight, goals)."""
+    fine = vertices.where((F.col("weight") >= prune) | (F.col("goals") > 0))
+    names = fine.select("graph", "state")
+    kept = edges.join(names.withColumnRenamed("state", "source"), ["graph", "source"], "left_semi").join(names.withColumnRenamed("state", "target"), ["graph", "target"], "left_semi")
+    return swept(fine, kept, sweeps)
+
+
+def goal_contexts(nodes: DataFrame, keys: list[str], most: int = 3) -> DataFrame:
+    """(keys, graph, state, before, after) of the nodes of final trees: child types, and the types of up to ``most`` siblings on each side."""
+    up = nodes.select(*keys, F.col("node").alias("parent"), F.col("types").alias("row"))
+    rows = nodes.where("parent >= 0").join(up, [*keys, "parent"])
+    begin = F.greatest(F.col("idx") - most, F.lit(0))
+    return rows.select(*keys, F.array_join("path", "->").alias("graph"), F.array_join("types", ",").alias("state"), F.slice("row", begin + 1, F.col("idx") - begin).alias("before"), F.slice("row", F.col("idx") + 2, F.lit(most)).alias("after"))
+
+
+def contextual(goals: DataFrame, contexts: DataFrame, requests: DataFrame, least: int = 2) -> DataFrame:
+    """(request, graph, state, value): a goal's value for a request by how alike the contexts are in which it was reached.
+
+    goals (graph, state, value); contexts (graph, state, before, after); requests (request, graph, before, after); contexts are strings with a letter for each
+    type. The weight of a context is 0.25 / (0.5 + d)^2, d the mean of the two normalised distances; a goal with fewer than ``least`` contexts is worth 0.
+    Equal contexts are counted first, and requests meet only those of their graph.
+    """
+    many = contexts.groupBy("graph", "state", "before", "after").agg(F.count("*").alias("n"))
+    asked = requests.select("request", "graph", F.col("before").alias("b"), F.col("after").alias("a"))
+
+    def far(x: str, y: str):
+        longer = F.greatest(F.length(x), F.length(y))
+        return F.when(longer > 0, F.levenshtein(F.col(x), F.col(y)) / longer).otherwise(0.0)
+
+    d = (far("before", "b") + far("after", "a")) / 2
+    met = asked.join(many, "graph").withColumn("w", F.lit(0.25) / F.pow(F.lit(0.5) + d, F.lit(2.0)))
+    mean = met.groupBy("request", "graph", "state").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("w")) / F.sum("n")).alias("mean"))
+    return mean.join(goals, ["graph", "state"]).select("request", "graph", "state", F.when(F.col("n") >= least, F.col("mean") * F.col("value")).otherwise(0.0).alias("value"))
+
+
+def feature_edges(log: DataFrame, features: list[str]) -> DataFrame:
+    """(source, target, weight) between vectors of features (0/1 columns that stay true): only steps that flip a single one, by attempts that make them."""
+    vector = F.concat_ws("", *[F.col(f).cast("string") for f in features])
+    w = Window.partitionBy("attempt").orderBy("t", "id")
+    rows = log.withColumn("target", vector).withColumn("source", F.coalesce(F.lag("target").over(w), F.lit("0" * len(features))))
+    ones = sum(F.length(F.regexp_replace(c, "0", "")) * k for c, k in (("target", 1), ("source", -1)))
+    return rows.where(ones == 1).select("attempt", "source", "target").distinct().groupBy("source", "target").agg(F.count("*").alias("weight"))
+
+
+def paths(log: DataFrame, state: str) -> DataFrame:
+    """(attempt, path, steps): the states an attempt goes through, in order, without repeats in a row. Traces are bounded by what a user does."""
+    from .trace import changes
+
+    rows = changes(log, state).groupBy("attempt").agg(F.array_sort(F.collect_list(F.struct("t", "id", F.col(state).alias("s")))).alias("p"))
+    return rows.select("attempt", F.array_join(F.col("p.s"), ">").alias("path"), F.size("p").alias("steps"))
+
+
+def ways(steps: DataFrame, starts: DataFrame, most: int) -> DataFrame:
+    """(graph, start, n, state): the states reached from each start along best steps (graph, source, target), a join for each step."""
+    at = starts.select("graph", F.col("state").alias("start"), F.lit(0).alias("n"), "state")
+    out = at
+    s = steps.select("graph", F.col("source").alias("state"), F.col("target").alias("__next"))
+    for _ in range(most):
+        at = at.join(s, ["graph", "state"]).select("graph", "start", (F.col("n") + 1).alias("n"), F.col("__next").alias("state"))
+        out = out.unionByName(at)
+    return out
+
+
+def hints_or_neighbours(requests: DataFrame, steps: DataFrame, known: DataFrame, bound: int = 3) -> DataFrame:
+    """Requests (request, graph, state) with the best next state; one whose state has none gets that of the nearest known state with a step.
+
+    known (graph, state, value); states are strings with a letter for each child. Ties go to the greater value, then the lesser name; a neighbour farther than
+    ``bound`` is none. Equal states ask once.
+    """
+    have = steps.select("graph", F.col("source").alias("state"), F.col("target").alias("next"))
+    open_ = requests.select("graph", "state").distinct().join(have, ["graph", "state"], "left_anti")
+    targets = known.join(have, ["graph", "state"]).select("graph", F.col("state").alias("near"), "value", "next")
+    length = F.abs(F.length("state") - F.length("near")) <= bound
+    met = open_.join(targets, "graph").where(length).withColumn("d", F.levenshtein("state", "near")).where(F.col("d") <= bound)
+    best = met.withColumn("r", F.row_number().over(Window.partitionBy("graph", "state").orderBy("d", F.desc("value"), "near"))).where("r = 1")
+    every = have.withColumn("via", F.lit("state")).unionByName(best.select("graph", "state", "next", F.lit("neighbour").alias("via")))
+    return requests.join(every, ["graph", "state"], "left").select("request", "graph", "state", "next", "via")
+
+
+def reused(before: Sequence[str], after: Sequence[str]) -> list[int]:
+    """For each child of a state hinted at, which child there is now takes the place (the first unused of its type), or -1 for a new one."""
+    free: dict[str, list[int]] = {}
+    for i, x in enumerate(before):
+        free.setdefault(x, []).append(i)
+    return [free[x].pop(0) if free.get(x) else -1 for x in after]
+
+
+def linked(found: list[dict], ratio: float = 2.0) -> list[dict]:
+    """Hints (parent, from, to) for one request without those that only add a script beside others, and with the parents from which each may take what it adds.
+
+    A hint may take blocks of a parent that others would have fewer of, as long as it adds at most ``ratio`` times what is left over there.
+    """
+    from collections import Counter
+
+    out = []
+    left = {h["parent"]: Counter(h["from"]) - Counter(h["to"]) for h in found}
+    for h in found:
+        new = Counter(h["to"]) - Counter(h["from"])
+        if set(new) == {"script"} and "script" in h["from"]:
+            continue
+        takes = [p for p, spare in sorted(left.items()) if p != h["parent"] and (common := sum((new & spare).values())) and sum(new.values()) <= ratio * common]
+        out.append({**h, "takes": takes})
+    return out
+
+
+def script_goals(counts: DataFrame) -> DataFrame:
+    """(graph, item, median): of goal states (graph, state, item, n, goals) the upper median of how often an item is in them; states without it count as zero."""
+    from .stats import median_by_weight
+
+    states = counts.select("graph", "state", "goals").distinct()
+    items = counts.select("graph", "item").distinct()
+    every = states.join(items, "graph").join(counts.select("graph", "state", "item", "n"), ["graph", "state", "item"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return median_by_weight(every, ["graph", "item"], "n", "goals")

@@ -52,6 +52,50 @@ def leave_one_out(rows: DataFrame, key: str, owner: str) -> DataFrame:
     return rows.select(key, owner).distinct().groupBy(key).agg((n * (n - 1)).alias("n"), n.alias("others")).where("others > 1")
 
 
+def with_prefix(log: DataFrame, earlier: DataFrame) -> DataFrame:
+    """The log with the rows that its attempts have in an earlier assignment's log, marked."""
+    rows = earlier.join(log.select("attempt").distinct(), "attempt", "left_semi").select(*log.columns)
+    return log.withColumn("earlier", F.lit(False)).unionByName(rows.withColumn("earlier", F.lit(True)))
+
+
+def resolved_parent(hints: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
+    """(hint, node): the node a hint means: the one with its parent id, else the one with its root id, else the first of its root type.
+
+    hints (hint, key, parent_id, root_id, root_type), nodes (key, node, ext_id, type); of several the first in pre-order.
+    """
+    by = lambda col, name: nodes.where(F.col(col).isNotNull()).groupBy(key, F.col(col).alias(name)).agg(F.min("node").alias(f"__{name}"))
+    rows = hints.join(by("ext_id", "parent_id"), [key, "parent_id"], "left").join(by("ext_id", "root_id"), [key, "root_id"], "left").join(by("type", "root_type"), [key, "root_type"], "left")
+    return rows.select("hint", F.coalesce("__parent_id", "__root_id", "__root_type").alias("node"))
+
+
+def in_copy(nodes: DataFrame, copy: DataFrame, key: str) -> DataFrame:
+    """(key, node, there): for each node the one of a copy with its id, if that comes once in both, else the one at its place."""
+    once = lambda rows, name: rows.where("ext_id is not null").groupBy(key, "ext_id").agg(F.min("node").alias(name), F.count("*").alias("__n")).where("__n = 1").drop("__n")
+    ids = once(nodes, "node").join(once(copy, "__id"), [key, "ext_id"]).select(key, "node", "__id")
+    at = nodes.select(key, "node", "places").join(copy.select(key, F.col("node").alias("__at"), "places"), [key, "places"], "left").select(key, "node", "__at")
+    return at.join(ids, [key, "node"], "left").select(key, "node", F.coalesce("__id", "__at").alias("there"))
+
+
+def nearest_of(rows: DataFrame, medoids: DataFrame, key: str, vector: str, distance) -> DataFrame:
+    """(key, medoid, distance): the nearest of a bounded number of medoids (medoid, vector), ties to the lesser."""
+    met = rows.select(key, F.col(vector).alias("__v")).join(F.broadcast(medoids.select("medoid", F.col(vector).alias("__m"))))
+    best = met.withColumn("__d", distance("__v", "__m")).groupBy(key).agg(F.min(F.struct("__d", "medoid")).alias("b"))
+    return best.select(key, "b.medoid", F.col("b.__d").alias("distance"))
+
+
+def pair_distances(pairs: DataFrame, rows: DataFrame, a: str, b: str, key: str, text: str) -> DataFrame:
+    """Pairs of keys with the edit distance of their rows' texts: two equi-joins."""
+    x, y = rows.select(F.col(key).alias(a), F.col(text).alias("__x")), rows.select(F.col(key).alias(b), F.col(text).alias("__y"))
+    return pairs.join(x, a).join(y, b).withColumn("distance", F.levenshtein("__x", "__y")).drop("__x", "__y")
+
+
+def with_required(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """Rows joined with what must be known of their key; fails when read if it isn't."""
+    found = rows.join(known.withColumn("__found", F.lit(True)), key, "left")
+    fine = F.when(F.col("__found").isNull(), F.raise_error(F.concat(F.lit("nothing is known of "), F.col(key).cast("string")))).otherwise(F.lit(True))
+    return found.withColumn("__fine", fine).where("__fine").drop("__found", "__fine")
+
+
 def bag_overlap(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """(key, common, only_left, only_right) with multiplicities."""
     a, b = left.groupBy(key).agg(F.count("*").alias("a")), right.groupBy(key).agg(F.count("*").alias("b"))

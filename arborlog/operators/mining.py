@@ -150,3 +150,86 @@ def gram_edits(a: Node, b: Node, p: int = 2, q: int = 3) -> list[tuple[str, str,
         edits += [("relabel", parent, f"{o}>{n}") for o, n in zip(old, new, strict=False)]
         edits += [("delete", parent, o) for o in old[len(new) :]] + [("insert", parent, n) for n in new[len(old) :]]
     return edits
+
+
+def minimised(found: list[tuple[str, str, str]]) -> list[tuple[str, str, str]]:
+    """Edits (action, parent, label) without pairs that undo one another, and with a deletion and an insertion of one label elsewhere as a move (from>to)."""
+    count: Counter = Counter(found)
+    for action, parent, label in list(count):
+        if action == "relabel":
+            old, new = label.split(">")
+            back = ("relabel", parent, f"{new}>{old}")
+            n = min(count[(action, parent, label)], count.get(back, 0))
+            if old < new and n:
+                count[(action, parent, label)] -= n
+                count[back] -= n
+    for (_, parent, label), n in sorted((k, v) for k, v in count.items() if k[0] == "delete"):
+        for k in sorted(k for k in count if k[0] == "insert" and k[2] == label):
+            m = min(n, count[k])
+            if m:
+                count[k] -= m
+                count[("delete", parent, label)] -= m
+                n -= m
+                if k[1] != parent:
+                    count[("move", f"{parent}>{k[1]}", label)] += m
+    return sorted(x for x in count.elements())
+
+
+def contained(small: tuple[str, ...], large: tuple[str, ...], p: int) -> bool:
+    """Whether a gram (p stem labels, then base labels) is part of another of at least its size: its stem ends the other's, its base stands in a row of the other's."""
+    stem, base = small[:p], small[p:]
+    for q in range(p, len(large)):
+        head, row = large[:q], large[q:]
+        if head[-len(stem) :] == stem and any(row[i : i + len(base)] == base for i in range(len(row) - len(base) + 1)):
+            return True
+    return False
+
+
+def conjunctions(bridge: DataFrame, rule: str, follower: str, least: int) -> DataFrame:
+    """(a, b, followers): pairs of rules that at least so many follow together."""
+    return follower_overlap(bridge, rule, follower).where(F.col("both") >= least).select("a", "b", F.col("both").alias("followers"))
+
+
+def shapes(grams_: DataFrame, key: str, n: int, support: float = 0.1) -> DataFrame:
+    """(gram, support): shapes that enough of n trees have at all."""
+    found = grams_.select("gram", key).distinct().groupBy("gram").agg(F.count("*").alias("followers"))
+    return found.where(F.col("followers") >= support * n).select("gram", (F.col("followers") / n).alias("support"))
+
+
+def cluster_features(features: DataFrame, clusters: DataFrame, key: str) -> DataFrame:
+    """(key, cluster, has): whether a tree follows all rules of a cluster; features (key, rule, ok), clusters (rule, cluster)."""
+    return features.join(F.broadcast(clusters), "rule").groupBy(key, "cluster").agg(F.min(F.col("ok").cast("int")).alias("has"))
+
+
+def mean_jaccard(sets: list[set]) -> float:
+    """The mean over the pairs of rules of a disjunction; one more is counted than there are pairs, so a single rule has 0."""
+    total, n = 0.0, 1
+    for i, a in enumerate(sets):
+        for b in sets[:i]:
+            total += len(a & b) / len(a | b) if a | b else 0.0
+            n += 1
+    return total / n
+
+
+def plausible(ranked: DataFrame, follows: DataFrame, query_follows: DataFrame, share: float = 0.15) -> DataFrame:
+    """Of ranked solutions (query, solution) those that are left when, rule by rule, the followers of a rule that the query doesn't follow go if they are some but under ``share`` of what is left.
+
+    follows (solution, rule), query_follows (query, rule). The set shrinks as it goes, so a query's few solutions are one group.
+    """
+    rows = ranked.select("query", "solution").join(follows, "solution").groupBy("query", "solution").agg(F.collect_set("rule").alias("rules"))
+    rows = ranked.select("query", "solution").join(rows, ["query", "solution"], "left")
+    own = query_follows.groupBy("query").agg(F.collect_set("rule").alias("own"))
+    rows = rows.join(own, "query", "left")
+    kinds = ", ".join(f"{c} {ranked.schema[c].dataType.simpleString()}" for c in ("query", "solution"))
+
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        own = set(x if (x := group["own"].iloc[0]) is not None else ())
+        has = {s: set(r if r is not None else ()) for s, r in zip(group["solution"], group["rules"], strict=True)}
+        left = set(has)
+        for rule in sorted(set().union(*has.values()) - own):
+            gone = {s for s in left if rule in has[s]}
+            if 0 < len(gone) < share * len(left):
+                left -= gone
+        return group[group["solution"].isin(left)][["query", "solution"]]
+
+    return rows.groupBy("query").applyInPandas(one, kinds)

@@ -157,3 +157,59 @@ def hashed_sample(rows: DataFrame, keys: list[str], by: str, n: int, seed: str =
     """``n`` rows of each group in the order of a hash, the same in every run."""
     order = F.md5(F.concat(F.lit(seed), F.col(by).cast("string")))
     return rows.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(order, by))).where(F.col("__r") <= n).drop("__r")
+
+
+def state_summary(log: DataFrame, state: str, grades: DataFrame) -> DataFrame:
+    """One row: different states, rows, different last states, and of the grades (attempt, average) the mean, the least and how many are perfect."""
+    n = log.agg(F.count_distinct(state).alias("states"), F.count("*").alias("rows"))
+    last = last_states(log, state).agg(F.count("*").alias("last_states"))
+    g = grades.agg(F.avg("average").alias("mean"), F.min("average").alias("least"), F.count_if(F.col("average") >= 1).alias("perfect"))
+    return n.join(F.broadcast(last)).join(F.broadcast(g))
+
+
+def dominance(bridge: DataFrame, rule: str, follower: str) -> DataFrame:
+    """(a, b, share): of those who follow a, the share that follow b; pairs without a common follower are left out."""
+    size = bridge.select(rule, follower).distinct().groupBy(F.col(rule).alias("a")).agg(F.count("*").alias("n"))
+    both = follower_overlap(bridge, rule, follower).select("a", "b", "both")
+    ways = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"), "both"))
+    return ways.join(size, "a").select("a", "b", (F.col("both") / F.col("n")).alias("share"))
+
+
+def timing_differences(times: DataFrame, key: str = "feature") -> DataFrame:
+    """(a, b, n, mean): over the attempts that have both, the mean of the seconds from b to a."""
+    x, y = times.select("attempt", F.col(key).alias("a"), F.col("t").alias("ta")), times.select("attempt", F.col(key).alias("b"), F.col("t").alias("tb"))
+    return x.join(y, "attempt").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("n"), F.avg(F.col("ta") - F.col("tb")).alias("mean"))
+
+
+def order_matrix(log: DataFrame, label: str) -> DataFrame:
+    """(a, b, sd): the deviation, over attempts, of how many places a label first comes behind another."""
+    first = log.groupBy("attempt", label).agg(F.min(F.struct("t", "id")).alias("o"))
+    ranked = first.withColumn("r", F.row_number().over(Window.partitionBy("attempt").orderBy("o")))
+    x, y = ranked.select("attempt", F.col(label).alias("a"), F.col("r").alias("ra")), ranked.select("attempt", F.col(label).alias("b"), F.col("r").alias("rb"))
+    return x.join(y, "attempt").where("a <> b").groupBy("a", "b").agg(F.stddev_pop(F.col("ra") - F.col("rb")).alias("sd"))
+
+
+def copeland(order: DataFrame) -> DataFrame:
+    """(a, wins, place) of pairs (a, b, before): labels by how many others they come before more often than not, ties to the lesser name.
+
+    Precedence by pairs need not be transitive, so labels aren't compared two at a time but by this score.
+    """
+    wins = order.groupBy("a").agg(F.count_if(F.col("before") > 0.5).alias("wins"))
+    return wins.withColumn("place", F.row_number().over(Window.orderBy(F.desc("wins"), "a")).cast("long"))  # as many rows as labels
+
+
+def early_late(rows: DataFrame, key: str, early: Column, by: str, seed: str = "s") -> DataFrame:
+    """One row of each half of a group, by a hash; where a half is empty, a second one of the other half."""
+    order = F.md5(F.concat(F.lit(seed), F.col(by).cast("string")))
+    half = rows.withColumn("__half", early.cast("int")).withColumn("__r", F.row_number().over(Window.partitionBy(key, "__half").orderBy(order, by)))
+    w = Window.partitionBy(key).orderBy("__r", F.desc("__half"))
+    return half.withColumn("__k", F.row_number().over(w)).where("__k <= 2").select(*rows.columns)
+
+
+def median_by_weight(rows: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
+    """(keys, median): the upper median of values that count as often as their weight says."""
+    many = rows.where((F.col(weight) > 0) & F.col(value).isNotNull()).groupBy(*keys, value).agg(F.sum(weight).alias("__n"))
+    w = Window.partitionBy(*keys)
+    summed = many.withColumns({"__to": F.sum("__n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)), "__all": F.sum("__n").over(w)})
+    middle = F.floor(F.col("__all") / 2) + 1
+    return summed.where((F.col("__to") >= middle) & (F.col("__to") - F.col("__n") < middle)).select(*keys, F.col(value).alias("median"))

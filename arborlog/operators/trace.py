@@ -6,7 +6,7 @@ ordered by (t, id). All operators are windows or aggregates on the attempt, so o
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -187,17 +187,70 @@ def between_ids(log: DataFrame, bounds: DataFrame) -> DataFrame:
     return rows.where((F.col("after").isNull() | (F.col("id") > F.col("after"))) & (F.col("start").isNull() | (F.col("id") >= F.col("start")))).select(*log.columns)
 
 
+# --- slices, spans, subgoals ---
+
+
+def slices(log: DataFrame, n: int = 50) -> DataFrame:
+    """Adds slice, which of ``n`` equal parts of its trace a row lies in (from 0), and done, the share of the trace's active time up to it."""
+    rows = running_time(positions(log)).withColumn("__n", F.count("*").over(Window.partitionBy("attempt")))
+    total = F.max("active").over(Window.partitionBy("attempt"))
+    return rows.withColumns({"slice": F.floor((F.col("place") - 1) * n / F.col("__n")).cast("long"), "done": F.when(total > 0, F.col("active") / total).otherwise(0.0)}).drop("__n")
+
+
+def spans(log: DataFrame, begins: Column, ends: Column, value: str, name: str) -> DataFrame:
+    """Adds what ``value`` was where the latest span began, from that row to the one that ends it; null outside."""
+    w = so_far()
+    mark = F.when(begins, F.struct(F.lit(True).alias("open"), F.col(value).alias("v"))).when(ends, F.struct(F.lit(False).alias("open"), F.lit(None).cast(log.schema[value].dataType).alias("v")))
+    rows = log.withColumn("__mark", mark).withColumn("__ends", ends)
+    before = F.last("__mark", ignorenulls=True).over(trace().rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumns({"__now": F.last("__mark", ignorenulls=True).over(w), "__was": before})
+    held = F.when(F.col("__ends"), F.col("__was")).otherwise(F.col("__now"))
+    return rows.withColumn("__held", held).withColumn(name, F.when(F.col("__held.open"), F.col("__held.v"))).drop("__mark", "__ends", "__now", "__was", "__held")
+
+
+def lasting_times(log: DataFrame, features: dict[str, Column], hold: int = 3) -> DataFrame:
+    """(attempt, feature, t): when a feature first came and still held in the next ``hold`` rows (or up to the end)."""
+    cells = F.array(*[F.struct(F.lit(k).alias("feature"), F.coalesce(c, F.lit(False)).cast("int").alias("ok")) for k, c in features.items()])
+    each = log.select("attempt", "id", "t", F.explode(cells).alias("x")).select("attempt", "id", "t", "x.feature", "x.ok")
+    lasts = F.min("ok").over(trace("feature").rowsBetween(0, hold))
+    return each.withColumn("__l", lasts).where("__l = 1").groupBy("attempt", "feature").agg(F.min(F.struct("t", "id")).alias("o")).select("attempt", "feature", F.col("o.t").alias("t"))
+
+
+def subgoals(log: DataFrame, tests: dict[str, Column]) -> DataFrame:
+    """(attempt, test, finish, at_end): when a test first held, and whether it holds in the last row."""
+    cells = F.array(*[F.struct(F.lit(k).alias("test"), F.coalesce(c, F.lit(False)).alias("ok")) for k, c in tests.items()])
+    each = log.select("attempt", "id", "t", F.explode(cells).alias("x")).select("attempt", "id", "t", "x.test", "x.ok")
+    return each.groupBy("attempt", "test").agg(F.min(F.when(F.col("ok"), F.col("t"))).alias("finish"), F.max_by("ok", F.struct("t", "id")).alias("at_end"))
+
+
 # --- sequential operators ---
 
 
 def _each_trace(log: DataFrame, keep: Callable[[pd.DataFrame], Iterable[bool]]) -> DataFrame:
+    """Rows that a function of a trace keeps. Traces lie in order in their partitions and are read as a stream, with no call into Spark for each."""
     columns = log.columns
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(list(ORDER), kind="stable")
-        return rows[list(keep(rows))][columns]
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+
+        def whole(rows: pd.DataFrame) -> pd.DataFrame:
+            marks = [m for _, one in rows.groupby("attempt", sort=False, dropna=False) for m in keep(one)]
+            return rows[marks][columns]
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = pd.concat([*held, batch]) if held else batch
+            end = rows["attempt"].iloc[-1]
+            last = rows["attempt"].isna() if pd.isna(end) else rows["attempt"].eq(end)
+            done, rest = rows[~last], rows[last]
+            if len(done):
+                yield whole(done)
+            held = [rest]
+        if held:
+            yield whole(held[0])
 
-    return log.groupBy("attempt").applyInPandas(one, log.schema)
+    return log.repartition("attempt").sortWithinPartitions("attempt", *ORDER).mapInPandas(run, log.schema)
 
 
 def thinned(log: DataFrame, interval: int, state: str) -> DataFrame:
@@ -208,7 +261,7 @@ def thinned(log: DataFrame, interval: int, state: str) -> DataFrame:
 
     def keep(rows: pd.DataFrame) -> list[bool]:
         out, t0, s0 = [], None, None
-        for k, (t, s) in enumerate(zip(rows["t"], rows[state], strict=True)):
+        for k, (t, s) in enumerate(zip(rows["t"].tolist(), rows[state].tolist(), strict=True)):
             use = t0 is None or k == len(rows) - 1 or (t - t0 >= interval and s != s0)
             out.append(use)
             if use:
@@ -222,9 +275,10 @@ def rate_limited(log: DataFrame, wait: int, state: str, fraction: float = 0.2) -
     """A row is kept if ``wait`` seconds have gone by since the last kept one, its state wasn't kept before, and it lies past that share of the trace's time."""
 
     def keep(rows: pd.DataFrame) -> list[bool]:
-        begin, end = rows["t"].iloc[0], rows["t"].iloc[-1]
+        times = rows["t"].tolist()
+        begin, end = times[0], times[-1]
         out, t0, seen = [], None, set()
-        for t, s in zip(rows["t"], rows[state], strict=True):
+        for t, s in zip(times, rows[state].tolist(), strict=True):
             use = (t0 is None or t - t0 >= wait) and s not in seen and (end == begin or (t - begin) / (end - begin) >= fraction)
             out.append(use)
             if use:

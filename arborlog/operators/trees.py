@@ -241,7 +241,7 @@ def packed(text: Column, kind: str) -> Column:
 
 
 def node_table(df: DataFrame, tree: str = "tree", keys: list[str] | None = None) -> DataFrame:
-    """A row for each node: keys, node (pre-order), parent, idx, type, value, ext_id, depth, post, tree_size, path, types, order_group, any_children."""
+    """A row for each node: keys, node (pre-order), parent, idx, type, value, ext_id, depth, post, tree_size, path, types, order_group, any_children, places (among siblings, from below the root)."""
     keys = keys if keys is not None else [c for c in df.columns if c != tree]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -254,20 +254,21 @@ def node_table(df: DataFrame, tree: str = "tree", keys: list[str] | None = None)
                 own = tuple(getattr(row, k) for k in keys)
                 n = len(nodes)
                 size, kids = [1] * n, [[] for _ in range(n)]
-                depth, path = [0] * n, [None] * n
+                depth, path, places = [0] * n, [None] * n, [None] * n
                 for i, x in enumerate(nodes):
                     p = x["parent"]
                     path[i] = [*path[p], x["type"]] if p >= 0 else [x["type"]]
+                    places[i] = [*places[p], x["idx"]] if p >= 0 else []
                     depth[i] = depth[p] + 1 if p >= 0 else 0
                     if p >= 0:
                         kids[p].append(x["type"])
                 for i in range(n - 1, 0, -1):
                     size[nodes[i]["parent"]] += size[i]
-                out += [(*own, i, x["parent"], x["idx"], x["type"], x["value"], x["ext_id"], depth[i], i + size[i] - 1, size[i], path[i], kids[i], x["order_group"], x["any_children"]) for i, x in enumerate(nodes)]
-            yield pd.DataFrame(out, columns=[*keys, "node", "parent", "idx", "type", "value", "ext_id", "depth", "post", "tree_size", "path", "types", "order_group", "any_children"])
+                out += [(*own, i, x["parent"], x["idx"], x["type"], x["value"], x["ext_id"], depth[i], i + size[i] - 1, size[i], path[i], kids[i], x["order_group"], x["any_children"], places[i]) for i, x in enumerate(nodes)]
+            yield pd.DataFrame(out, columns=[*keys, "node", "parent", "idx", "type", "value", "ext_id", "depth", "post", "tree_size", "path", "types", "order_group", "any_children", "places"])
 
     kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-    schema = f"{kinds}, node int, parent int, idx int, type string, value string, ext_id string, depth int, post int, tree_size int, path array<string>, types array<string>, order_group int, any_children boolean"
+    schema = f"{kinds}, node int, parent int, idx int, type string, value string, ext_id string, depth int, post int, tree_size int, path array<string>, types array<string>, order_group int, any_children boolean, places array<int>"
     return df.select(*keys, F.col(tree).alias("tree__")).mapInPandas(run, schema)
 
 

@@ -258,11 +258,3 @@ def export_safe_names(spark, d):
 def export_grammar(spark, d):
     nodes = trees.node_table(_pages(spark, d), keys=["page_id"])
     return sinks.grammar(nodes, ["page_id"]).select("type", "flexible", F.to_json("children").alias("children"))
-
-
-def queries():
-    return QUERIES
-
-
-def oracle_sql():
-    return SQL

@@ -184,13 +184,21 @@ joins.register(query, table)
 evaluation.register(query, table)
 
 
-def queries() -> dict[str, Query]:
-    from . import more
+def _modules() -> list:
+    from . import attempts, more, outputs, shapes
 
-    return QUERIES | more.queries()
+    return [more, attempts, outputs, shapes]
 
 
-def oracle_sql() -> dict[str, str]:
-    from . import more
+def queries() -> dict[str, Query]:
+    out = dict(QUERIES)
+    for m in _modules():
+        out |= m.QUERIES
+    return out
 
-    return SQL | more.oracle_sql()
+
+def oracle_sql() -> dict[str, str]:
+    out = dict(SQL)
+    for m in _modules():
+        out |= m.SQL
+    return out
