@@ -26,8 +26,14 @@ def _log(spark, d):
     return trace.log_of(table(spark, d, "events"))
 
 
-BOUGHT = F.col("message") == "purchase"
-FAILED = F.col("message") == "error"
+def _bought():
+    return F.col("message") == "purchase"
+
+
+def _failed():
+    return F.col("message") == "error"
+
+
 START = 1704067200  # the first day of 2024
 
 
@@ -35,13 +41,13 @@ START = 1704067200  # the first day of 2024
 @query(f"""WITH {LOG}, a AS (SELECT attempt, bool_or(message = 'purchase') AS s, min(t) AS b, count(*) AS n FROM log WHERE attempt NOT IN (1, 2, 3) GROUP BY 1)
 SELECT attempt, id FROM log JOIN a USING (attempt) WHERE s AND b > {START + 600} AND n > 3""")
 def filter_by_attempts(spark, d):
-    how = [filters.submitted_only(BOUGHT), filters.started_after(START + 600), filters.more_rows_than(3)]
+    how = [filters.submitted_only(_bought()), filters.started_after(START + 600), filters.more_rows_than(3)]
     return filters.kept(_log(spark, d), how, (1, 2, 3)).select("attempt", "id")
 
 
 @query(f"""WITH {LOG}, a AS (SELECT attempt FROM log GROUP BY 1 HAVING bool_or(message = 'purchase') OR count(*) >= 12) SELECT attempt, id FROM log SEMI JOIN a USING (attempt)""")
 def filter_likely_submitted(spark, d):
-    return filters.kept(_log(spark, d), [filters.likely_submitted(BOUGHT, 12)]).select("attempt", "id")
+    return filters.kept(_log(spark, d), [filters.likely_submitted(_bought(), 12)]).select("attempt", "id")
 
 
 PARTS = "s AS (SELECT o_custkey AS attempt, year(o_orderdate) AS ord, arg_max(o_orderpriority, o_orderkey) AS location, max(o_orderkey) AS r FROM orders GROUP BY 1, 2)"
@@ -57,7 +63,7 @@ def filter_prequel_ends(spark, d):
 @query(f"""WITH {LOG}, p AS (SELECT *, row_number() OVER {W} AS place FROM log), s AS (SELECT *, max(CASE WHEN message = 'view' THEN place END) OVER (PARTITION BY attempt) AS last, min(CASE WHEN message = 'purchase' THEN place END) OVER (PARTITION BY attempt) AS stop FROM p)
 SELECT attempt, id FROM s WHERE place <= last AND (stop IS NULL OR place <= stop)""")
 def filter_export_gated(spark, d):
-    return filters.export_gated(_log(spark, d), F.col("message") == "view", BOUGHT).select("attempt", "id")
+    return filters.export_gated(_log(spark, d), F.col("message") == "view", _bought()).select("attempt", "id")
 
 
 @query(f"""WITH {GAPS}, a AS (SELECT attempt, count(*) AS n, max(t) - min(t) AS d, sum(CASE WHEN gap < 300 THEN gap - greatest(gap - 60, 0) ELSE 0 END)::BIGINT AS active FROM g GROUP BY 1)
@@ -70,7 +76,7 @@ GRADES = "gr AS (SELECT attempt, count_if(score = 2) / count(score) AS average F
 
 
 def _grades(log):
-    score = F.when(BOUGHT, 2).when(F.col("message") == "click", 1).when(FAILED, 0)
+    score = F.when(_bought(), 2).when(F.col("message") == "click", 1).when(_failed(), 0)
     return stats.grade(log.select("attempt", score.alias("score")).where("score is not null"))
 
 
@@ -115,7 +121,7 @@ def trace_slices(spark, d):
 c AS (SELECT *, last_value(CASE WHEN mark IS NOT NULL THEN struct_pack(o := mark, v := id) END IGNORE NULLS) OVER {UP} AS now, last_value(CASE WHEN mark IS NOT NULL THEN struct_pack(o := mark, v := id) END IGNORE NULLS) OVER (PARTITION BY attempt ORDER BY t, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was FROM m),
 h AS (SELECT attempt, id, CASE WHEN message = 'purchase' THEN was ELSE now END AS held FROM c) SELECT attempt, id, coalesce(CASE WHEN held.o = 1 THEN held.v END, -1) AS opened FROM h""")
 def trace_spans(spark, d):
-    rows = trace.spans(_log(spark, d), F.col("message") == "view", BOUGHT, "id", "opened")
+    rows = trace.spans(_log(spark, d), F.col("message") == "view", _bought(), "id", "opened")
     return rows.select("attempt", "id", F.coalesce("opened", F.lit(-1)).alias("opened"))
 
 
@@ -127,7 +133,7 @@ def trace_switches(spark, d):
 @query(f"""WITH {LOG}, e AS (SELECT attempt, id, t, 'large' AS test, coalesce(value > 50, false) AS ok FROM log UNION ALL SELECT attempt, id, t, 'bought', message = 'purchase' FROM log)
 SELECT attempt, test, coalesce(min(CASE WHEN ok THEN t END), -1) AS finish, arg_max(ok, struct_pack(t := t, id := id)) AS at_end FROM e GROUP BY 1, 2""")
 def trace_subgoals(spark, d):
-    found = trace.subgoals(_log(spark, d), {"large": F.col("value") > 50, "bought": BOUGHT})
+    found = trace.subgoals(_log(spark, d), {"large": F.col("value") > 50, "bought": _bought()})
     return found.select("attempt", "test", F.coalesce("finish", F.lit(-1)).alias("finish"), "at_end")
 
 
@@ -136,7 +142,7 @@ l AS (SELECT *, min(ok) OVER (PARTITION BY attempt, feature ORDER BY t, id ROWS
 
 
 def _times(spark, d):
-    return trace.lasting_times(_log(spark, d), {"small": F.col("value") < 30, "calm": ~FAILED})
+    return trace.lasting_times(_log(spark, d), {"small": F.col("value") < 30, "calm": ~_failed()})
 
 
 @query(f"WITH {TIMES} SELECT attempt, feature, t FROM ft")
@@ -160,7 +166,7 @@ def agg_state_summary(spark, d):
 @query(f"""WITH {LOG}, b AS (SELECT DISTINCT props, attempt FROM log WHERE message = 'purchase'), n AS (SELECT props, count(*) AS n FROM b GROUP BY 1)
 SELECT x.props AS a, y.props AS b, round(count(*) / any_value(n.n), 9) AS share FROM b x JOIN b y ON x.attempt = y.attempt AND x.props <> y.props JOIN n ON n.props = x.props GROUP BY 1, 2""")
 def agg_dominance(spark, d):
-    return stats.dominance(_log(spark, d).where(BOUGHT), "props", "attempt").select("a", "b", *_r("share"))
+    return stats.dominance(_log(spark, d).where(_bought()), "props", "attempt").select("a", "b", *_r("share"))
 
 
 FIRST = f"{LOG}, f AS (SELECT attempt, message, min(struct_pack(t := t, id := id)) AS o FROM log GROUP BY 1, 2), r AS (SELECT attempt, message, row_number() OVER (PARTITION BY attempt ORDER BY o) AS r FROM f)"
@@ -208,7 +214,7 @@ def agg_solve_difference(spark, d):
     """At which step an attempt was solved, and how much later than the middle one."""
     from ..operators import evaluation
 
-    steps = evaluation.solve_step(_log(spark, d), BOUGHT)
+    steps = evaluation.solve_step(_log(spark, d), _bought())
     middle = stats.upper_median_of(steps.where("step > 0"), [], "step")
     return steps.join(F.broadcast(middle), how="left").select("attempt", "step", F.when(F.col("step") > 0, F.col("step") - F.col("median")).otherwise(0).alias("behind"))
 
