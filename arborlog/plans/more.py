@@ -156,7 +156,7 @@ def align_tree_distance(spark, d):
     return alignment.edit_distance_columns(pairs, "before", "tree", trees.tree_distance).select("conv_id", "distance")
 
 
-@query()
+@query("""SELECT 'greet' AS template, 'greet-' || k AS solution, text FROM (VALUES (0, 'script:[ask, say, a, b]'), (1, 'script:[ask, shout, a, b]'), (2, 'script:[ask, wait, say, a, b]'), (3, 'script:[ask, wait, shout, a, b]')) v(k, text)""")
 def template_solutions(spark, d):
     rows = templates.solutions(spark, {"greet": "script { ask @optional { wait } @or { say shout } @anyOrder { a b } }"})
     return rows.select("template", "solution", trees.canonical_text(F.col("tree")).alias("text"))
@@ -202,14 +202,19 @@ def mine_path_grams(spark, d):
     return mining.root_path_grams(trees.node_table(_talks(spark, d), keys=["conv_id"]), ["conv_id"], 2, 2)
 
 
-@query()
+RULES = f"""{GRAMS}, l AS (SELECT DISTINCT conv_id, role || ' ' || tone || ' * *' AS gram FROM t), gc AS (SELECT conv_id, gram, count(*) AS n FROM e GROUP BY 1, 2 UNION ALL SELECT conv_id, gram, 1 FROM l), nt AS (SELECT count(DISTINCT conv_id) AS n FROM t),
+ru AS (SELECT gram, least, count(*) AS followers FROM (SELECT conv_id, gram, unnest(range(1, n + 1)) AS least FROM gc) GROUP BY 1, 2 HAVING count(*) >= ceil(0.2 * (SELECT n FROM nt)) AND count(*) < (SELECT n FROM nt))"""
+
+
+@query(f"WITH {RULES} SELECT gram, least, followers FROM ru")
 def mine_frequent_rules(spark, d):
     talks = _talks(spark, d)
     grams = mining.grams(talks, "conv_id", p=2, q=2)
     return mining.frequent_rules(grams, "conv_id", talks.count(), 0.2)
 
 
-@query()
+@query(f"""WITH {RULES}, f AS (SELECT gram || '#' || least AS rule, conv_id FROM ru JOIN gc USING (gram) WHERE gc.n >= least), s AS (SELECT rule, count(*) AS n FROM f GROUP BY 1), j AS (SELECT x.rule AS a, y.rule AS b, count(*) AS c FROM f x JOIN f y ON x.conv_id = y.conv_id AND x.rule < y.rule GROUP BY 1, 2),
+w AS (SELECT CASE WHEN p.n >= q.n THEN b ELSE a END AS rule FROM j JOIN s p ON p.rule = a JOIN s q ON q.rule = b WHERE c / (p.n + q.n - c) >= 0.975) SELECT rule, n FROM s WHERE rule NOT IN (FROM w)""")
 def mine_distinct_rules(spark, d):
     talks = _talks(spark, d)
     grams = mining.grams(talks, "conv_id", p=2, q=2)
@@ -217,9 +222,10 @@ def mine_distinct_rules(spark, d):
     return mining.without_doubles(mining.followers(grams, rules, "conv_id"), "rule", "conv_id")
 
 
-@query()
+@query(f"""WITH {GRAMS}, l AS (SELECT conv_id, role || ' ' || tone || ' * *' AS gram FROM t), bg AS (SELECT conv_id, gram, count(*) AS n FROM (FROM e UNION ALL FROM l) GROUP BY 1, 2), tt AS (SELECT conv_id, sum(n) AS total FROM bg GROUP BY 1),
+c AS (SELECT x.conv_id AS a, sum(least(x.n, y.n)) AS common FROM bg x JOIN bg y ON y.conv_id = x.conv_id + 1 AND x.gram = y.gram GROUP BY 1) SELECT p.conv_id AS a, p.conv_id + 1 AS b, round(1 - 2 * coalesce(common, 0) / (p.total + q.total), 9) AS distance FROM tt p JOIN tt q ON q.conv_id = p.conv_id + 1 LEFT JOIN c ON c.a = p.conv_id""")
 def mine_gram_distance(spark, d):
-    grams = mining.grams(_talks(spark, d), "conv_id", bag=True)
+    grams = mining.grams(_talks(spark, d), "conv_id", p=2, q=2, bag=True)
     ids = grams.select("conv_id").distinct()
     pairs = ids.select(F.col("conv_id").alias("a"), (F.col("conv_id") + 1).alias("b")).join(ids.select(F.col("conv_id").alias("b")), "b")
     return mining.gram_distance(grams, pairs, "conv_id").select("a", "b", F.round("distance", 9).alias("distance"))

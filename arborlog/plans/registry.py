@@ -75,7 +75,10 @@ on_log("trace_thinned", lambda x: trace.thinned(x.select("attempt", "id", "t", "
 r AS (SELECT attempt, id, n, m, t AS t0, message AS s0, true AS kept FROM o WHERE n = 1
 UNION ALL SELECT o.attempt, o.id, o.n, o.m, CASE WHEN o.n = o.m OR (o.t - r.t0 >= 3600 AND o.message <> r.s0) THEN o.t ELSE r.t0 END, CASE WHEN o.n = o.m OR (o.t - r.t0 >= 3600 AND o.message <> r.s0) THEN o.message ELSE r.s0 END,
 o.n = o.m OR (o.t - r.t0 >= 3600 AND o.message <> r.s0) FROM r JOIN o ON o.attempt = r.attempt AND o.n = r.n + 1) SELECT attempt, id FROM r WHERE kept""")
-on_log("trace_rate_limited", lambda x: trace.rate_limited(x.select("attempt", "id", "t", "message"), 30, "message").select("attempt", "id"))
+on_log("trace_rate_limited", lambda x: trace.rate_limited(x.select("attempt", "id", "t", "message"), 30, "message").select("attempt", "id"), f"""WITH RECURSIVE {LOG}, o AS (SELECT attempt, id, t, message, row_number() OVER {W} AS n, min(t) OVER (PARTITION BY attempt) AS b, max(t) OVER (PARTITION BY attempt) AS e FROM log),
+r AS (SELECT attempt, id, n, CASE WHEN b = e THEN t END AS t0, CASE WHEN b = e THEN [message] ELSE []::VARCHAR[] END AS seen, b = e AS kept FROM o WHERE n = 1
+UNION ALL SELECT o.attempt, o.id, o.n, CASE WHEN k.ok THEN o.t ELSE r.t0 END, CASE WHEN k.ok THEN list_append(r.seen, o.message) ELSE r.seen END, k.ok
+FROM r JOIN o ON o.attempt = r.attempt AND o.n = r.n + 1, LATERAL (SELECT (r.t0 IS NULL OR o.t - r.t0 >= 30) AND NOT list_contains(r.seen, o.message) AND (o.b = o.e OR (o.t - o.b) / (o.e - o.b) >= 0.2) AS ok) k) SELECT attempt, id FROM r WHERE kept""")
 on_log("trace_unstable", lambda x: trace.unstable(x.select("attempt", "id", "t", "message", "props"), F.col("message") == "view", "props").select("attempt", "id", "fresh"), f"""WITH {GAPS}, n AS (SELECT *, (row_number() OVER (PARTITION BY attempt, props ORDER BY t, id) = 1)::INT AS new, message = 'view' AS s FROM g),
 c AS (SELECT *, sum(new) OVER {UP}::BIGINT AS seen FROM n), l AS (SELECT *, seen - coalesce(last_value(CASE WHEN s THEN seen END IGNORE NULLS) OVER (PARTITION BY attempt ORDER BY t, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS fresh FROM c)
 SELECT attempt, id, fresh FROM l WHERE s AND gap >= 20 AND fresh >= 5""")
