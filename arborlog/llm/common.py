@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -33,6 +34,15 @@ def chunks(ids: list, texts: list, limit: int = CHUNK_CHARS) -> Iterator[tuple[l
         yield ids[start:], [t or "" for t in texts[start:]]
 
 
+def release() -> None:
+    """Gives memory that a task has let go of back to the system, as worker processes live on."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        return
+
+
 def map_texts(
     df: DataFrame,
     make: Callable[[], Callable[[list, list[str]], pa.RecordBatch | Iterable[pa.RecordBatch]]],
@@ -51,6 +61,8 @@ def map_texts(
             for ids, texts in chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 out = work(ids, texts)
                 yield from [out] if isinstance(out, pa.RecordBatch) else out
+        del work
+        release()
 
     return df.select(df[id_col].alias("k"), df[text_col].alias("t")).mapInArrow(run, schema)
 
@@ -105,5 +117,7 @@ def filter_texts(df: DataFrame, make: Callable[[], Callable[[list[str]], list[bo
             for _, texts in chunks([None] * batch.num_rows, batch.column(at).to_pylist()):
                 yield batch.slice(start, len(texts)).filter(pa.array(keep(texts), pa.bool_()))
                 start += len(texts)
+        del keep
+        release()
 
     return df.mapInArrow(run, df.schema)

@@ -27,7 +27,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 NONE = np.iinfo(np.int64).max
 #: Distinct segments kept by a task; beyond it they are forgotten and merged anew.
-CACHE = 500_000
+CACHE = 300_000
 
 
 class Model:

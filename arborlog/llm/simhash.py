@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, map_texts, saved
+from .common import arrow_rows, map_texts, release, saved
 from .graph import connected_components, salted
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
@@ -177,6 +177,8 @@ def _shards(batches: Iterator[pa.RecordBatch], solve: Callable[..., pa.RecordBat
             held, size = [[x[cut:] for x in cols]], size - cut
     if size:
         yield solve(*(np.concatenate(x) for x in zip(*held, strict=True)))
+    held.clear()
+    release()
 
 
 def _shard_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:

@@ -20,6 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release
+
 #: Characters of text packed at a time, and those that a bucket gets.
 PACK_CHARS = 12_000_000
 BUCKET_CHARS = 3_000_000
@@ -158,6 +160,8 @@ def windows_seen(
                     held, size = [], 0
         if held:
             yield out(held)
+        held = []
+        release()
 
     def solving(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def marks(found: np.ndarray) -> pa.RecordBatch:
@@ -177,6 +181,8 @@ def windows_seen(
                 blobs.append(blob)
         if blobs:
             yield marks(np.array(list(solve(Packed.load(blobs))), np.int64))
+        blobs = []
+        release()
 
     # so many partitions that each gets few buckets, however many there are
     parts = min(MOST_PARTS, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4, -(-buckets // BUCKETS_EACH)))
