@@ -126,6 +126,38 @@ def best_progress(a: Sequence, solutions: Sequence[Sequence]) -> float:
     return max((-align_cost(a, s, 2, 2, 1) / (2 * len(s)) for s in solutions if len(s)), default=float("nan"))
 
 
+def directed_distance(a: Sequence, b: Sequence) -> float:
+    """How far a is from b where deleting costs nothing: what of b is to be inserted, over its length."""
+    return align_cost(a, b, 1, 0, 1) / len(b) if len(b) else 0.0
+
+
+def next_edit(a: Sequence, b: Sequence) -> list:
+    """a after one step towards b: a token that stands in both but out of order moves, else one that b has is added, else one that b lacks goes."""
+    now, goal = list(a), list(b)
+    if now == goal:
+        return now
+    pairs = align_pairs(now, goal, 1, 1, 2)
+    loose = [i for i, j in pairs if j < 0]
+    open_ = [j for i, j in pairs if i < 0]
+
+    def slot(j: int, without: int = -1) -> int:
+        """Behind the last aligned token before place j of the goal."""
+        before = [i for i, k in pairs if i >= 0 and 0 <= k < j]
+        at = max(before) + 1 if before else 0
+        return at - (0 <= without < at)
+
+    for i in loose:
+        j = next((j for j in open_ if goal[j] == now[i]), None)
+        if j is not None:
+            token, at = now[i], slot(j, i)
+            rest = now[:i] + now[i + 1 :]
+            return rest[:at] + [token] + rest[at:]
+    if open_:
+        at = slot(open_[0])
+        return now[:at] + [goal[open_[0]]] + now[at:]
+    return now[: loose[0]] + now[loose[0] + 1 :]
+
+
 # --- columns ---
 
 

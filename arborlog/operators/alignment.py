@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequences import align_pairs, missing_count, progress
+from ..functions.sequences import align_cost, align_pairs, missing_count, progress
 from .trees import TREE, Node, unpack
 
 #: Different trees of solutions that are broadcast at most; beyond, queries meet them in blocks.
@@ -589,3 +589,37 @@ def with_replacements(found: list[dict]) -> list[dict]:
 def closest_match(n: Node, m: Mapping) -> Node | None:
     """The partner of the nearest ancestor of n (n itself first) that has one."""
     return next((m.to[id(x)] for x in n.up() if id(x) in m.to), None)
+
+
+def nearest_by_text(root: Node, solutions: list[Node]) -> Node | None:
+    """The solution whose types in pre-order are nearest by edit distance, the first of equals."""
+    own = [n.type for n in root.walk()]
+    return min(solutions, key=lambda s: align_cost(own, [n.type for n in s.walk()]), default=None)
+
+
+def with_priorities(found: list[dict], nodes: list[Node], others: list[list[dict]]) -> list[tuple[dict, float]]:
+    """Edits with the share of alignments (each a list of edits) that ask for the same."""
+    keys = [{edit_key(e, nodes) for e in edits_} for edits_ in others]
+    return [(e, sum(edit_key(e, nodes) in k for k in keys) / len(keys) if keys else 0.0) for e in found]
+
+
+def by_order(found: list[dict], present: set[str], before: dict[tuple[str, str], float], threshold: float = 0.85) -> list[tuple[dict, int, int]]:
+    """Insertions with how many labels that usually come before theirs are missing, and how many that usually come after are there already.
+
+    ``before`` has, of pairs of labels, the share of attempts in which the first comes before the second.
+    """
+    out = []
+    for e in found:
+        if e["action"] == "insert":
+            own = e["type"]
+            missing = sum(1 for (a, b), p in before.items() if b == own and p >= threshold and a not in present)
+            late = sum(1 for (a, b), p in before.items() if a == own and p >= threshold and b in present)
+            out.append((e, missing, late))
+    return sorted(out, key=lambda x: (x[1], -x[2]))
+
+
+def cost_matrix(requests: DataFrame, traces: DataFrame, names: list[str], cfg: Config = Config()) -> DataFrame:  # noqa: B008
+    """A row for each request (query, tree) and a column for each of a bounded list of solutions (solution, tree): what aligning them costs."""
+    known = traces.where(F.col("solution").isin(names))
+    rows = nearest(requests, known, len(names), cfg=cfg)
+    return rows.groupBy("query").pivot("solution", names).agg(F.first("cost"))

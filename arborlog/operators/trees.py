@@ -155,13 +155,16 @@ def to_json(root: Node) -> str:
     return json.dumps(made[id(root)], ensure_ascii=False)
 
 
+#: Tags of a project's file that are read; containers among them have no node type of their own.
+TAGS = {"project", "stage", "sprites", "sprite", "scripts", "script", "block", "custom-block", "block-definition", "blocks", "inputs", "input", "header", "code", "l", "color", "list", "item", "ref", "option", "bool"}
 SKIPPED = {"watcher", "comment", "autolambda", "variables", "receiver"}
 
 
 def from_xml(text: str | None, known: set[str] | None = None) -> Node | None:
     """A project's XML as a tree; null if it is empty, cut off or broken.
 
-    Elements are nodes named by their type attribute ``s`` or their tag; texts are values; a ``ref`` stands for the element with its id.
+    Elements are nodes named by their type attribute ``s`` or their tag; texts are values; a ``ref`` stands for the element with its id. Where
+    ``known`` tags are given (as TAGS), another tag is an error, and so is a ref to nothing that isn't the input of a block.
     """
     if not text or len(text) == CUT_LENGTH:
         return None
@@ -169,13 +172,15 @@ def from_xml(text: str | None, known: set[str] | None = None) -> Node | None:
         top = ET.fromstring(text.replace("\r", "").replace("\n", ""))
     except ET.ParseError:
         return None
-    by_id = {e.get("id"): e for e in top.iter() if e.get("id")}
+    by_id = {e.get("id"): e for e in top.iter() if e.get("id") and e.tag != "ref"}
 
-    def make(e: ET.Element, open_: frozenset) -> Node | None:
+    def make(e: ET.Element, open_: frozenset, within: str = "") -> Node | None:
         if e.tag in SKIPPED:
             return None
         if e.tag == "ref":
             target = by_id.get(e.get("id") or e.get("mediaID"))
+            if target is None and known is not None and within not in ("block", "custom-block"):
+                raise ValueError(f"nothing has the id of a ref within {within}")
             return make(target, open_ | {e.get("id")}) if target is not None and target is not e and e.get("id") not in open_ else None
         if known is not None and e.tag not in known:
             raise ValueError(f"unknown tag {e.tag}")
@@ -184,7 +189,7 @@ def from_xml(text: str | None, known: set[str] | None = None) -> Node | None:
         else:
             n = Node(e.get("s") or e.tag, e.get("var") or e.get("name"), e.get("guid") or e.get("id"))
         for c in e:
-            got = make(c, open_)
+            got = make(c, open_, e.tag)
             if got is not None:
                 n.add(got)
         return n
@@ -411,3 +416,61 @@ def tree_distance(a: Node, b: Node, insert: float = 1, delete: float = 1, rename
                     else:
                         f[p][q] = min(best, f[lx[s] - lx[i]][ly[t] - ly[j]] + d[s][t])
     return d[-1][-1]
+
+
+def reference(n: Node) -> str:
+    """Where a node is, as JSON: its label, its place, and its parent in the same way up to the root."""
+    out = None
+    for x in list(n.up())[::-1]:
+        out = {"label": x.type, "index": x.index, "parent": out}
+    return json.dumps(out)
+
+
+def pretty(n: Node, indent: str = "  ") -> str:
+    """A line for each node, set in by its depth."""
+    out, todo = [], [(n, 0)]
+    while todo:
+        x, depth = todo.pop()
+        out.append(indent * depth + (x.type if x.value is None else f"{x.type}: {x.value}"))
+        todo += [(c, depth + 1) for c in reversed(x.children)]
+    return "\n".join(out)
+
+
+def one_step(a: Node, b: Node) -> Node | None:
+    """a after one renaming, insertion or deletion of a node that brings it nearer to b by tree distance; null if they are equal.
+
+    A deleted node's children take its place; an inserted one is a leaf or takes over a run of children.
+    """
+    far = tree_distance(a, b)
+    if not far:
+        return None
+    labels = sorted({(x.type, x.value or "") for x in b.walk()})
+
+    def tries() -> Iterator[Node]:
+        for i, n in enumerate(a.walk()):
+            for t, v in labels:
+                if (t, v) != (n.type, n.value or ""):
+                    new = a.copy()
+                    x = list(new.walk())[i]
+                    x.type, x.value = t, v or None
+                    yield new
+            if n.parent is not None:
+                new = a.copy()
+                x = list(new.walk())[i]
+                at = x.index
+                for c in x.children:
+                    c.parent = x.parent
+                x.parent.children[at : at + 1] = x.children
+                yield new
+            for t, v in labels:
+                for low in range(len(n.children) + 1):
+                    for high in range(low, len(n.children) + 1):
+                        new = a.copy()
+                        x = list(new.walk())[i]
+                        put = Node(t, v or None, parent=x, children=x.children[low:high])
+                        for c in put.children:
+                            c.parent = put
+                        x.children[low:high] = [put]
+                        yield new
+
+    return next((t for t in tries() if tree_distance(t, b) < far), None)

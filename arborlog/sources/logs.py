@@ -15,7 +15,7 @@ TIME = "yyyy-MM-dd HH:mm:ss"
 def action_log(spark: SparkSession, path: str, options: dict[str, str] | None = None) -> DataFrame:
     """A CSV log with a header: id, time, message, data (or jsonData), userID, sessionID, projectID, assignmentID, code; what is absent is null.
 
-    Ids that aren't numbers are -1; rows without a project are dropped; the file's name is kept as ``file``.
+    Ids that aren't numbers are -1; rows without a project are dropped; the file's name is kept as ``file``, without its ending as ``attempt``.
     """
     raw = spark.read.options(header=True, multiLine=True, escape='"', mode="PERMISSIVE", **(options or {})).csv(path)
     has = {c.lower(): c for c in raw.columns}
@@ -32,10 +32,34 @@ def action_log(spark: SparkSession, path: str, options: dict[str, str] | None =
         col("assignmentID").alias("assignment_id"),
         F.nullif(col("code"), F.lit("")).alias("code"),
         F.col("_metadata.file_name").alias("file"),
+        F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("attempt"),
     )
     return rows.where("coalesce(project_id, '') <> ''")
 
 
+def cross_rows(log: DataFrame, assignment: str, attempts: DataFrame) -> DataFrame:
+    """The rows that attempts (attempt) have in the log of another assignment."""
+    return log.where(F.col("assignment_id") == assignment).join(attempts.select("attempt").distinct(), "attempt", "left_semi")
+
+
+def tree_states(spark: SparkSession, path: str) -> DataFrame:
+    """(student, file, tree, correct) of a folder of students' folders of JSON trees; a file that can't be read, and what a student has after it, is left out."""
+    from ..operators.trees import packed
+
+    raw = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+    name = F.col("_metadata.file_path")
+    rows = raw.select(F.regexp_extract(name, r"([^/]+)/[^/]+$", 1).alias("student"), F.col("_metadata.file_name").alias("file"), packed(F.col("value"), "json").alias("tree"), F.coalesce(F.get_json_object("value", "$.correct").cast("boolean"), F.lit(False)).alias("correct"))
+    broken = rows.where("tree is null").groupBy("student").agg(F.min("file").alias("__first"))
+    return rows.join(broken, "student", "left").where("__first is null or file < __first").drop("__first")
+
+
+def hint_requests(rows: DataFrame, body: str = "body") -> DataFrame:
+    """Requests as a service gets them (JSON with xml, assignmentID, dataset, minGrade, hintTypes, hint) with their parts as columns; works on streams too."""
+    kind = "xml string, assignmentID string, dataset string, minGrade double, hintTypes string, hint string"
+    parts = rows.withColumn("__r", F.from_json(body, kind))
+    return parts.select(*rows.columns, F.col("__r.xml").alias("xml"), F.col("__r.assignmentID").alias("assignment"), F.coalesce("__r.dataset", F.lit("")).alias("dataset"), F.coalesce("__r.minGrade", F.lit(1.0)).alias("min_grade"), F.split(F.coalesce("__r.hintTypes", F.lit("")), ",").alias("hint_types"), F.col("__r.hint").alias("hint"))
+
+
 def jdbc_log(spark: SparkSession, url: str, assignment: str, before: str | None = None, table: str = "trace", **options: str) -> DataFrame:
     """The log of an assignment in a database; both predicates are pushed down."""
     rows = spark.read.format("jdbc").options(url=url, dbtable=table, **options).load().where(F.col("assignmentID") == assignment)
@@ -53,8 +77,13 @@ def submissions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def grades(spark: SparkSession, path: str, ignored: tuple[str, ...] = ("rowNum", "Extra code", "Comment")) -> DataFrame:
-    """(attempt, graded_id, outlier, test, score): a row for each test; pass is 2, fail 0, numbers as they are; an empty cell makes an outlier."""
-    raw = spark.read.csv(path, header=True)
+    """(attempt, graded_id, outlier, test, score): a row for each test; pass is 2, fail 0, numbers as they are; an empty cell makes an outlier.
+
+    The table ends at the first row without a project.
+    """
+    lines = spark.read.csv(path, header=True).withColumn("__line", F.monotonically_increasing_id())
+    stop = F.broadcast(lines.agg(F.min(F.when(F.col("`Project ID`").isNull(), F.col("__line"))).alias("__stop")))
+    raw = lines.join(stop).where("__stop is null or __line < __stop").drop("__line", "__stop")
     fixed = ["Project ID", "Graded ID", "Outlier?"]
     tests = [c for c in raw.columns if c not in fixed and c not in ignored]
     cell = lambda c: F.when(F.lower(F.trim(F.col(f"`{c}`"))) == "pass", 2).when(F.lower(F.trim(F.col(f"`{c}`"))) == "fail", 0).otherwise(F.expr(f"try_cast(`{c}` AS int)"))

@@ -59,3 +59,20 @@ def counts(events: DataFrame, width: str = "1 hour", delay: str = "10 minutes")
 def with_model(requests: DataFrame, model: DataFrame, key: str) -> DataFrame:
     """A stream of requests joined with a model that is read anew in each micro-batch."""
     return requests.join(model, key, "left")
+
+
+def growing_counts(events: DataFrame, path: str, keys: list[str], checkpoint: str):
+    """A query that adds each micro-batch's counts by ``keys`` to a table of its own under ``path``; ``grown`` sums them up.
+
+    A batch's table is overwritten if the batch is run again, so each counts once.
+    """
+
+    def add(batch: DataFrame, number: int) -> None:
+        batch.groupBy(*keys).agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return events.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def grown(spark, path: str, keys: list[str]) -> DataFrame:
+    """The model so far: (keys, n) over all batches."""
+    return spark.read.parquet(path).groupBy(*keys).agg(F.sum("n").alias("n"))

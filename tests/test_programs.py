@@ -167,3 +167,77 @@ def test_alignment_with_names():
     a, b = tree("script { set:x say:x }"), tree("script { set:n say:n }")
     exact, mapped = (alignment.edits(a, b, alignment.align(a, b, c), c) for c in (alignment.Config(values="exact"), alignment.Config(values="mapped")))
     assert mapped == [] and exact
+
+
+def test_steps_and_references():
+    from arborlog.functions import sequences as q
+
+    rng = random.Random(9)
+    for _ in range(400):
+        a, b = rng.choices("abc", k=rng.randint(0, 6)), rng.choices("abcd", k=rng.randint(0, 6))
+        for n in range(40):
+            if a == b:
+                break
+            a = q.next_edit(a, b)
+        assert a == b
+    assert q.directed_distance("abx", "ab") == 0 and q.directed_distance("a", "ab") == 0.5
+    t = tree("script { a:1 b { c } }")
+    assert trees.reference(t.children[1].children[0]) == '{"label": "c", "index": 0, "parent": {"label": "b", "index": 1, "parent": {"label": "script", "index": 0, "parent": null}}}'
+    assert trees.pretty(t) == "script\n  a: 1\n  b\n    c"
+    a, b = tree("script { a b { c } }"), tree("script { b { c d } e }")
+    n = 0
+    while a is not None and a.text() != b.text():
+        a, n = trees.one_step(a, b), n + 1
+    assert a.text() == b.text() and n <= 3
+
+
+def test_priorities(spark):
+    t, sols = tree("script { a }"), [tree("script { a b }"), tree("script { a b c }"), tree("script { x }")]
+    others = [alignment.edits(t, s, alignment.align(t, s)) for s in sols]
+    found = alignment.with_priorities(others[0], list(t.walk()), others)
+    assert [(e["type"], round(p, 2)) for e, p in found] == [("b", 0.67)]
+    assert alignment.nearest_by_text(t, sols) is sols[2] or alignment.nearest_by_text(t, sols) is sols[0]
+    ordered = alignment.by_order(others[1], {"a"}, {("b", "c"): 0.9, ("a", "b"): 1.0})
+    assert [(e["type"], m) for e, m, _ in ordered] == [("b", 0), ("c", 1)]
+    rows = [(k, [tuple(x.values()) for x in trees.pack(n)]) for k, n in (("s0", sols[0]), ("s1", sols[1]))]
+    asked = spark.createDataFrame([("q", [tuple(x.values()) for x in trees.pack(t)])], f"query string, tree {trees.TREE}")
+    got = alignment.cost_matrix(asked, spark.createDataFrame(rows, f"solution string, tree {trees.TREE}"), ["s0", "s1"]).first()
+    assert got.s0 == alignment.align(t, sols[0]).cost and got.s1 == alignment.align(t, sols[1]).cost
+
+
+def test_functions_in_sql(spark):
+    from arborlog.functions import sql
+
+    sql.register(spark)
+    one = spark.sql("SELECT align_cost(array('a', 'b'), array('a')) AS c, tree_distance('{\"type\":\"a\"}', '{\"type\":\"b\"}') AS d").first()
+    assert tuple(one) == (1.0, 1.0)
+    assert sorted(tuple(r) for r in spark.sql("SELECT * FROM aligned_pairs(array('a', 'b'), array('b'))").collect()) == [(0, -1), (1, 0)]
+    assert [tuple(r) for r in spark.sql("SELECT * FROM tree_edits('{\"type\":\"script\"}', '{\"type\":\"script\",\"children\":[{\"type\":\"x\"}]}')").collect()] == [("insert", -1, 0, "x")]
+    assert spark.sql("SELECT * FROM tree_grams('{\"type\":\"a\"}', 1, 1)").first().gram == "a *"
+
+
+def test_more_sources(spark, tmp_path):
+    import pytest
+
+    from arborlog.sources import logs
+    from arborlog.streaming import traces
+
+    for s, name, text in (("amy", "1.json", '{"type":"a","correct":true}'), ("amy", "2.json", "{"), ("amy", "3.json", '{"type":"b"}'), ("bob", "1.json", '{"type":"c"}')):
+        (tmp_path / "ast" / s).mkdir(parents=True, exist_ok=True)
+        (tmp_path / "ast" / s / name).write_text(text)
+    assert sorted((r.student, r.file, r.correct) for r in logs.tree_states(spark, str(tmp_path / "ast")).collect()) == [("amy", "1.json", True), ("bob", "1.json", False)]
+    body = spark.createDataFrame([('{"xml":"<a/>","assignmentID":"h","hintTypes":"x,y"}',), (None,)], "body string")
+    got = logs.hint_requests(body).collect()
+    assert (got[0].assignment, got[0].min_grade, got[0].hint_types) == ("h", 1.0, ["x", "y"]) and got[1].xml is None
+    (tmp_path / "p7.csv").write_text("id,time,message,projectID,assignmentID\n1,2020-01-01 00:00:00,go,p,h\n")
+    log = logs.action_log(spark, str(tmp_path / "p7.csv"))
+    assert log.first().attempt == "p7"
+    assert logs.cross_rows(log, "h", spark.createDataFrame([("p7",)], "attempt string")).count() == 1 and logs.cross_rows(log, "x", log).count() == 0
+    (tmp_path / "g.csv").write_text("Project ID,Graded ID,Outlier?,t1\np,5,,pass\n,,,\nq,6,,fail\n")
+    assert [r.attempt for r in logs.grades(spark, str(tmp_path / "g.csv")).collect()] == ["p"]
+    with pytest.raises(ValueError):
+        trees.from_xml('<project><ref id="9"/></project>', trees.TAGS)
+    assert trees.from_xml('<project><block s="x"><ref id="9"/></block></project>', trees.TAGS).text() == "project:[x]"
+    spark.createDataFrame([("a",), ("b",), ("a",)], "m string").write.parquet(str(tmp_path / "in"))
+    traces.growing_counts(spark.readStream.schema("m string").parquet(str(tmp_path / "in")), str(tmp_path / "model"), ["m"], str(tmp_path / "c")).awaitTermination()
+    assert sorted(tuple(r) for r in traces.grown(spark, str(tmp_path / "model"), ["m"]).collect()) == [("a", 2), ("b", 1)]
