@@ -19,7 +19,7 @@ from .common import saved
 from .superkmer import Packed, covered, gram_hashes, runs, sliding_min, text_mark, windows_seen, with_spans
 
 WINDOW, GRAM = 13, 3
-#: Spans (8 bytes each) and documents with spans that are broadcast at most; beyond, documents are joined by id.
+#: Spans and documents with spans that are broadcast at most (about 32 bytes each); beyond, documents are joined by id.
 BROADCAST_SPANS = 4_000_000
 
 

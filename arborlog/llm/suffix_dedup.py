@@ -32,7 +32,7 @@ SHARD_BYTES = 4_000_000
 SHARED_BYTES = 1_200_000
 #: Bytes below which a suffix array is induced entry by entry.
 FEW = 12_000
-#: Spans (8 bytes each) and documents with spans that are broadcast at most; beyond, documents are joined by id.
+#: Spans and documents with spans that are broadcast at most (about 32 bytes each); beyond, documents are joined by id.
 BROADCAST_SPANS = 4_000_000
 #: Of a string: all its windows are known to go; its windows may be equal to one another.
 KNOWN, TURNS = 1, 2
