@@ -71,7 +71,9 @@ def date_functions(spark, d):
     return table(spark, d, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("shown"), day.cast("long").alias("day"))
 
 
-@query()
+@query(f"""WITH {LOG}, f AS (SELECT attempt, message, min(struct_pack(t := t, id := id)) AS o FROM log GROUP BY 1, 2), p AS (SELECT attempt, o, list_position(['signup', 'view', 'click', 'purchase'], message) - 1 AS p FROM f WHERE message IN ('signup', 'view', 'click', 'purchase')),
+l AS (SELECT attempt, p, coalesce(lag(p) OVER (PARTITION BY attempt ORDER BY o), -1) AS last FROM p), g AS (SELECT attempt, sum(CASE WHEN p > last THEN 2 ELSE 1 END - 0.25 * greatest(0, p - last - 1))::DOUBLE AS progress FROM l GROUP BY 1)
+SELECT attempt, coalesce(progress, 0.0)::DOUBLE AS progress FROM (SELECT DISTINCT attempt FROM log) LEFT JOIN g USING (attempt)""")
 def seq_progress(spark, d):
     """How far an attempt's first actions go along the usual order of first actions."""
     firsts = trace.first_seen(_log(spark, d), "message").groupBy("attempt").agg(F.array_sort(F.collect_list(F.struct("code", "message"))).alias("m")).select("attempt", F.col("m.message").alias("m"))

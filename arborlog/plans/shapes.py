@@ -47,6 +47,28 @@ def tree_parent_types(spark, d):
     return nodes.groupBy("conv_id", filters.parent_type(F.col("path")).alias("parent"), "type").agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH {TALK} SELECT conv_id, 0 AS node, -1 AS parent, 0 AS idx, 'script' AS type, 0 AS depth, (2 * max(n))::INT AS post, (2 * max(n) + 1)::INT AS tree_size, 'script' AS path FROM t GROUP BY 1
+UNION ALL SELECT conv_id, (2 * i + 1)::INT, 0, i::INT, role, 1, (2 * i + 2)::INT, 2, 'script->' || role FROM t UNION ALL SELECT conv_id, (2 * i + 2)::INT, (2 * i + 1)::INT, 0, tone, 2, (2 * i + 2)::INT, 1, 'script->' || role || '->' || tone FROM t""")
+def tree_talk_nodes(spark, d):
+    return _nodes(spark, d).select("conv_id", "node", "parent", "idx", "type", "depth", "post", "tree_size", trees.root_path().alias("path"))
+
+
+@query(f"WITH {TALK} SELECT conv_id, (2 * i + 2)::INT AS node, tone AS type FROM t WHERE role = 'user'")
+def tree_talk_descendants(spark, d):
+    nodes = _nodes(spark, d)
+    return trees.descendants(nodes.where("type = 'user'"), nodes, ["conv_id"]).select("conv_id", "node", "type")
+
+
+@query(f"""WITH {TALK}, c AS (SELECT 'script' AS type, i AS place, role AS child FROM t UNION ALL SELECT role, 0, tone FROM t), k AS (SELECT type, place, string_agg(DISTINCT child, '|' ORDER BY child) AS kinds FROM c GROUP BY 1, 2),
+x AS (SELECT type, string_agg(place || ':' || kinds, ' ' ORDER BY place) AS children FROM k GROUP BY 1) SELECT type, CASE WHEN type = 'script' THEN (SELECT count(DISTINCT n) > 1 FROM t) ELSE false END AS flexible, children FROM x UNION ALL SELECT DISTINCT tone, false, '' FROM t""")
+def export_talk_grammar(spark, d):
+    from ..sources import sinks
+
+    rows = sinks.grammar(_nodes(spark, d), ["conv_id"])
+    shown = F.array_join(F.transform("children", lambda x: F.concat(x["place"].cast("string"), F.lit(":"), F.array_join(x["kinds"], "|"))), " ")
+    return rows.select("type", "flexible", F.coalesce(shown, F.lit("")).alias("children"))
+
+
 @query(f"WITH {TALK} SELECT conv_id, 'Tree:' || i AS place, role AS type FROM t UNION ALL SELECT conv_id, 'Tree:' || i || ':0', tone FROM t UNION ALL SELECT DISTINCT conv_id, 'Tree:', 'script' FROM t")
 def tree_locations(spark, d):
     return _nodes(spark, d).select("conv_id", payloads.location(F.col("places")).alias("place"), "type")
