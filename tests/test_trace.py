@@ -61,8 +61,22 @@ def test_grade_and_medians(spark):
     scores = spark.createDataFrame([(1, 2), (1, 0), (1, 1), (2, None)], "attempt long, score int")
     assert sorted((r.attempt, round(r.average, 6), r.partial) for r in stats.grade(scores).collect()) == [(1, round(1 / 3, 6), 0.5), (2, 0.0, 0.0)]
     rows = spark.createDataFrame([(0, v) for v in (4, 1, 3, 2)], "k int, v int")
-    assert rows.agg(stats.upper_median(F.col("v"))).first()[0] == 3
+    assert stats.upper_median_of(rows, [], "v").first().median == 3
     assert stats.upper_median_of(rows, ["k"], "v").first().median == 3
+    assert stats.median_by_weight(rows.withColumn("w", F.when(F.col("v") == 1, 9).otherwise(1)), ["k"], "v", "w").first().median == 1
+
+
+def test_numbers_without_a_single_task(spark):
+    rows = spark.range(500).select((F.col("id") * 7919 % 1009).alias("v")).repartition(7)
+    got = {r.v: r.number for r in stats.numbered(rows, ["v"]).collect()}
+    assert [got[v] for v in sorted(got)] == list(range(500))
+    assert stats.numbered(rows.limit(0), ["v"]).count() == 0
+
+
+def test_samples_of_both_halves(spark):
+    rows = spark.createDataFrame([(1, k, k < 3) for k in range(6)] + [(2, k, True) for k in range(3)] + [(3, 9, False)], "a int, k int, early boolean")
+    got = stats.early_late(rows, "a", F.col("early"), "k").collect()
+    assert sorted((r.a, r.early) for r in got) == [(1, False), (1, True), (2, True), (2, True), (3, False)]
 
 
 def test_duplicate_keys_fail(spark):
