@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A goal is worth so much for each attempt that ends in it; a step costs a hundredth; values are kept to 1/64.
 GOAL, DISCOUNT, GRAIN, SWEEPS = 100.0, 0.99, 64.0, 1000
+#: From this share of staying on, a hint to leave a state needs care.
+CAUTION = 0.67
 
 
 def backup(states: Sequence, goals: Sequence[int], edges: Sequence[tuple], least: int = 2) -> dict:
@@ -153,8 +155,9 @@ def hints(requests: DataFrame, steps: DataFrame) -> DataFrame:
 
 
 def stays(edges: DataFrame) -> DataFrame:
-    """(graph, state, stayed): the share of what leaves a state that leads back to it."""
-    return edges.groupBy("graph", F.col("source").alias("state")).agg((F.sum(F.when(F.col("source") == F.col("target"), F.col("weight")).otherwise(0)) / F.sum("weight")).alias("stayed"))
+    """(graph, state, stayed, caution): the share of what leaves a state that leads back to it, and whether that is so much that a hint away from it needs care."""
+    rows = edges.groupBy("graph", F.col("source").alias("state")).agg((F.sum(F.when(F.col("source") == F.col("target"), F.col("weight")).otherwise(0)) / F.sum("weight")).alias("stayed"))
+    return rows.withColumn("caution", F.col("stayed") >= CAUTION)
 
 
 # --- from traces to graphs ---

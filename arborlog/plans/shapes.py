@@ -452,3 +452,88 @@ def eval_policy_scores(spark, d):
 
     rows = trace.positions(_log(spark, d)).select(F.col("attempt").alias("key"), F.col("place").alias("step"), "message")
     return policies.policy_scores(rows, {"bought": F.col("message") == "purchase", "calm": F.col("message") != "error"})
+
+
+@query("""WITH a AS (SELECT doc_id, CASE quality WHEN 1 THEN 'insert' ELSE 'delete' END AS l FROM labels), b AS (SELECT doc_id, CASE toxic WHEN 1 THEN 'delete' ELSE 'insert' END AS r FROM labels WHERE doc_id > 10)
+SELECT coalesce(l, 'keep') AS left, coalesce(r, 'keep') AS right, count(*) AS n FROM a FULL JOIN b USING (doc_id) GROUP BY 1, 2""")
+def join_agreement(spark, d):
+    """How two raters' edits agree."""
+    from ..operators import alignment
+
+    lab = table(spark, d, "labels")
+    a = lab.select("doc_id", F.when(F.col("quality") == 1, "insert").otherwise("delete").alias("action"))
+    b = lab.where("doc_id > 10").select("doc_id", F.when(F.col("toxic") == 1, "delete").otherwise("insert").alias("action"))
+    return alignment.agreement(a, b, ["doc_id"], "action")
+
+
+@query("SELECT o_custkey, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS orders FROM orders GROUP BY 1")
+def agg_lists(spark, d):
+    lists = table(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("l"))
+    return lists.select("o_custkey", F.array_join(F.transform("l", lambda x: x.cast("string")), ",").alias("orders"))
+
+
+@query(f"WITH {TALK}, x AS (SELECT conv_id, role AS type FROM t UNION ALL SELECT conv_id, tone FROM t) SELECT conv_id, count(*) AS n FROM x WHERE type IN ('user', 'asks') GROUP BY 1")
+def tree_of_types(spark, d):
+    """Nodes that are of some types, or stand below such a one directly under the root: predicates are columns."""
+    of_type = F.col("type").isin("user", "asks")
+    return _nodes(spark, d).where(of_type & (F.col("depth") > 0)).groupBy("conv_id").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {TALK} SELECT conv_id, min(2 * i + 2)::INT AS node FROM t WHERE tone = 'tells' GROUP BY 1")
+def tree_first_of_type(spark, d):
+    return _nodes(spark, d).where("type = 'tells'").groupBy("conv_id").agg(F.min("node").alias("node"))
+
+
+@query(f"WITH {TALK} SELECT conv_id, 'script,' || string_agg(role || ',' || tone, ',' ORDER BY i) AS types FROM t GROUP BY 1")
+def tree_preorder(spark, d):
+    return _talks(spark, d).select("conv_id", F.array_join(F.transform("tree", lambda x: x["type"]), ",").alias("types"))
+
+
+@query("SELECT p_partkey, round(levenshtein(p_brand, p_type) / greatest(len(p_brand), len(p_type)), 9) AS cost, round((greatest(len(p_brand), len(p_type)) - levenshtein(p_brand, p_type) + 1) / (greatest(len(p_brand), len(p_type)) + 1), 9) AS score FROM part")
+def seq_normalised(spark, d):
+    """The cost over the longer length, and the score made of it."""
+    longer, cost = F.greatest(F.length("p_brand"), F.length("p_type")), F.levenshtein("p_brand", "p_type")
+    return table(spark, d, "part").select("p_partkey", F.round(cost / longer, 9).alias("cost"), F.round((longer - cost + 1) / (longer + 1), 9).alias("score"))
+
+
+NEAR = f"""{STEPS}, ed AS (SELECT source, target, count(DISTINCT attempt) AS weight FROM ix WHERE source <> target GROUP BY 1, 2), st AS (SELECT DISTINCT state FROM nd)"""
+
+
+@query(f"""WITH {NEAR}, kept AS (SELECT source, target, weight FROM ed WHERE levenshtein(source, target) <= 2), near AS (SELECT a.state AS source, b.state AS target, 1 AS weight FROM st a JOIN st b ON a.state <> b.state AND levenshtein(a.state, b.state) <= 1)
+SELECT source, target, weight FROM kept UNION ALL SELECT * FROM near n WHERE NOT EXISTS (FROM kept k WHERE k.source = n.source AND k.target = n.target)""")
+def graph_near_states(spark, d):
+    """Edges that aren't too long, and such between states next to one another."""
+    from ..functions import sequences
+
+    states = _states(spark, d)
+    comma = lambda c: F.array_join(F.split(c, ""), ",")
+    edges = graphs.interaction_edges(graphs.interactions(states)).select("graph", comma("source").alias("source"), comma("target").alias("target"), "weight")
+    far = lambda p, q: sequences.align_cost(p.split(",") if p else [], q.split(",") if q else [])
+    found = graphs.near_states(edges, states.select("graph", comma("state").alias("state")).distinct(), far)
+    plain = lambda c: F.regexp_replace(c, ",", "").alias(c)
+    return found.select(plain("source"), plain("target"), "weight")
+
+
+@query(f"""WITH {NEAR}, have AS (SELECT source, min(target) AS next FROM ed WHERE source <> '' AND target <> '' GROUP BY 1), asked AS (SELECT DISTINCT state || 'F' AS state FROM st), c AS (SELECT a.state, h.source, h.next, levenshtein(a.state, h.source) AS d FROM asked a JOIN have h ON abs(len(a.state) - len(h.source)) <= 3 WHERE levenshtein(a.state, h.source) <= 3 AND a.state NOT IN (SELECT source FROM have)),
+b AS (SELECT state, next FROM c QUALIFY row_number() OVER (PARTITION BY state ORDER BY d, len(source) DESC, source) = 1) SELECT a.state, coalesce(h.next, b.next, '') AS next, CASE WHEN h.next IS NOT NULL THEN 'state' WHEN b.next IS NOT NULL THEN 'neighbour' ELSE '' END AS via FROM asked a LEFT JOIN have h ON h.source = a.state LEFT JOIN b ON b.state = a.state""")
+def graph_neighbour_hints(spark, d):
+    """For states that may not be known, the next state of the nearest known one."""
+    states = _states(spark, d)
+    edges = graphs.interaction_edges(graphs.interactions(states)).where("source <> '' and target <> ''")
+    steps = edges.groupBy("graph", "source").agg(F.min("target").alias("target"))
+    known = steps.select("graph", F.col("source").alias("state"), F.length("source").cast("double").alias("value"))
+    asked = states.select("graph", F.concat("state", F.lit("F")).alias("state")).distinct().withColumn("request", F.col("state"))
+    found = graphs.hints_or_neighbours(asked, steps, known)
+    return found.select("state", F.coalesce("next", F.lit("")).alias("next"), F.coalesce("via", F.lit("")).alias("via"))
+
+
+@query(f"WITH {LOG}, {EDGES}, lo AS (SELECT props, count(*) AS n FROM (SELECT DISTINCT attempt, props FROM (SELECT attempt, props, lag(props) OVER {W} AS b FROM log) WHERE b = props) GROUP BY 1), o AS (SELECT source, target, weight FROM e UNION ALL SELECT props, props, n FROM lo), s AS (SELECT source AS state, sum(CASE WHEN source = target THEN weight ELSE 0 END) / sum(weight) AS stayed FROM o GROUP BY 1) SELECT 'all' AS graph, state, round(stayed, 9) AS stayed, stayed >= 0.67 AS caution FROM s")
+def graph_stays(spark, d):
+    """How often a state is left for itself."""
+    from pyspark.sql import Window
+
+    log = _log(spark, d)
+    before = F.lag("props").over(Window.partitionBy("attempt").orderBy("t", "id"))
+    loops = log.withColumn("b", before).where("b = props").select("attempt", "props").distinct().groupBy(F.col("props").alias("source")).agg(F.count("*").alias("weight")).withColumn("target", F.col("source"))
+    edges = stats.edge_weights(log, "props").unionByName(loops).withColumn("graph", F.lit("all"))
+    return graphs.stays(edges).select("graph", "state", *_r("stayed"), "caution")

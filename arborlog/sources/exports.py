@@ -193,3 +193,20 @@ def cached(spark, path: str, version: int, make, mode: str = "use") -> DataFrame
                 raise
     make().write.mode("overwrite").parquet(at)
     return spark.read.parquet(at)
+
+
+def to_database(rows: DataFrame, url: str, table: str, **options: str) -> None:
+    """Rows added to a table of a database, by prepared statements and never as text."""
+    rows.write.mode("append").format("jdbc").options(url=url, dbtable=table, **options).save()
+
+
+def prepared(spark, raw: str, path: str, version: int = 1) -> DataFrame:
+    """A big log read once, split by assignment and project, and kept as a table for what follows."""
+    from . import logs, sinks
+
+    def make() -> DataFrame:
+        log = logs.action_log(spark, raw)
+        sinks.split_by_project(log, f"{path}/split")
+        return log
+
+    return cached(spark, f"{path}/log", version, make)

@@ -241,3 +241,38 @@ def test_more_sources(spark, tmp_path):
     spark.createDataFrame([("a",), ("b",), ("a",)], "m string").write.parquet(str(tmp_path / "in"))
     traces.growing_counts(spark.readStream.schema("m string").parquet(str(tmp_path / "in")), str(tmp_path / "model"), ["m"], str(tmp_path / "c")).awaitTermination()
     assert sorted(tuple(r) for r in traces.grown(spark, str(tmp_path / "model"), ["m"]).collect()) == [("a", 2), ("b", 1)]
+
+
+def test_models_are_built_in_order(spark):
+    import pytest
+
+    from arborlog.plans import models, templates
+
+    log = spark.createDataFrame([(1, "a"), (2, "a"), (2, "b")], "attempt int, message string")
+    counts = models.Model("counts", lambda x, _: x.groupBy("message").count(), finish=lambda rows: rows.where("count > 1"))
+    share = models.Model("share", lambda x, made: made["counts"].withColumn("n", F.lit(x.count())), ("counts",))
+    got = models.built(log, [share, counts])
+    assert [tuple(r) for r in got["counts"].collect()] == [("a", 2)] and got["share"].count() == 2
+    with pytest.raises(ValueError):
+        models.in_order([models.Model("x", None, ("y",))])
+    assert templates.with_defaults(tree("script { ask say }"), tree("stage { ask { literal:hi } say { var } }")).text() == "script:[ask:[literal=hi], say]"
+
+
+def test_tables_of_catalogs_and_grades(spark, tmp_path):
+    from arborlog.sources import logs, sinks
+
+    (tmp_path / "e.csv").write_text("Message,Translated Event,Ignore\na,EDIT,\nb,EDIT,yes\nc,,\n")
+    assert sorted((r.message, r.category) for r in logs.categories(spark, str(tmp_path / "e.csv")).collect()) == [("a", "EDIT"), ("b", None), ("c", None)]
+    (tmp_path / "b.json").write_text('{"move":{"type":"command","category":"motion"},"not":{"type":"predicate","category":"ops"}}')
+    assert sorted((r.type, r.category, r.kind) for r in logs.block_catalog(spark, str(tmp_path / "b.json")).collect()) == [("move", "motion", "command"), ("not", "ops", "reporter")]
+    (tmp_path / "c.csv").write_text("AnonID,hw1,hw2\nx,5,\n")
+    (tmp_path / "t.csv").write_text("AnonID,hw1,hw2\ntotal,10,20\n")
+    assert sorted((r.assignment, r.grade) for r in logs.class_grades(spark, str(tmp_path / "c.csv"), str(tmp_path / "t.csv")).collect()) == [("hw1", 0.5), ("hw2", None)]
+    main = spark.createDataFrame([(1, "s")], "id int, CodeStateID string")
+    assert logs.code_states(main, spark.createDataFrame([("s", "code")], "CodeStateID string, Code string")).first().Code == "code"
+    assert sinks.model_path("m", "hw", 0.5, "d") == "m/hw-g050-d"
+    sinks.save_model({"edges": spark.range(2)}, str(tmp_path / "model"))
+    assert spark.read.parquet(str(tmp_path / "model/edges")).count() == 2
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x/1.xml").write_text("<project><stage/></project>")
+    assert logs.documents(spark, str(tmp_path / "x"), "xml").first().tree[1].type == "stage"
