@@ -37,8 +37,8 @@ THRESHOLD = 0.3
 SKETCH = 4
 STEMS = (4, 5, 6, 7, 8, 9)
 PURITY = 0.6
-#: How many words of the sample get in by chance, on average, at most.
-CHANCE = 1.0
+#: That any word of the sample gets in by chance.
+CHANCE = 0.05
 #: Words after which a negation, report, target or intent no longer reaches, and the weight of what it rewrites next to it; by each word's distance the weight fades by FADE.
 REACH = {"negation": (3, 0.9), "report": (6, 0.9), "target": (4, 1.1), "intent": (4, 1.2), "told": (3, 0.9), "aimed": (3, 1.1)}
 FADE = 0.8
