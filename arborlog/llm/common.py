@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
@@ -13,6 +10,8 @@ from contextlib import contextmanager
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import checkpoint_dir, saved  # noqa: F401
+
 #: Characters of text that a Python step works on at a time, however large the Arrow batch is.
 CHUNK_CHARS = 4_000_000
 
@@ -67,20 +66,6 @@ def map_texts(
     return df.select(df[id_col].alias("k"), df[text_col].alias("t")).mapInArrow(run, schema)
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; where none is set, one of our own in local mode, which goes at the end, and else an error."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        if not shared:
-            if not sc.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-            shared = tempfile.mkdtemp(prefix="checkpoints")
-            atexit.register(shutil.rmtree, shared, True)
-        sc.setCheckpointDir(shared)
-    return shared or sc._jsc.sc().getCheckpointDir().get()
-
-
 @contextmanager
 def arrow_rows(spark: SparkSession, n: int) -> Iterator[None]:
     """Lets at most ``n`` rows go to Python at a time, for steps whose rows may be long and that are saved within."""
@@ -93,12 +78,6 @@ def arrow_rows(spark: SparkSession, n: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """The rows computed now and cut from their lineage, in the shared folder, so that a lost executor costs no recomputation."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame) -> DataFrame:
     """As saved, as a compressed table of the shared folder: for rows with texts."""
     path = f"{checkpoint_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"

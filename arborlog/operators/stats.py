@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import saved
 from .trace import transitions
 
 
@@ -21,12 +22,13 @@ def numbered(rows: DataFrame, order: list, name: str = "number") -> DataFrame:
     """Adds dense numbers from 0 in that order, without a single task for all rows.
 
     The rows are sorted by ranges, each partition is numbered by itself, and what stands before it is added; what is collected has a row for
-    each partition.
+    each partition. Which small partitions are put together hangs on the columns that a run reads, so the sorted rows are saved before they are counted.
     """
     spark = rows.sparkSession
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     # the number within its partition is in the lower 33 bits
     marked = ranged.withColumn("__id", F.monotonically_increasing_id()).withColumns({"__part": F.shiftrightunsigned("__id", 33), "__at": F.col("__id").bitwiseAND((1 << 33) - 1)}).drop("__id")
+    marked = saved(marked)
     sizes = sorted((r["__part"], r["n"]) for r in marked.groupBy("__part").agg(F.count("*").alias("n")).collect())
     before, total = [], 0
     for part, n in sizes:

@@ -68,6 +68,28 @@ def test_entry_without_the_training_data_operators(monkeypatch):
     assert set(entry.queries()) == set(QUERIES) and set(entry.oracle_sql()) == set(SQL)
 
 
+def on_events(spark, name, rows, at):
+    """What a query and its SQL give on a table of events (event_id, second, user_id, event_type, props)."""
+    import duckdb
+
+    events = spark.createDataFrame(rows, "event_id long, s long, user_id long, event_type string, props string")
+    events.selectExpr("event_id", "timestampadd(SECOND, s, timestamp_ntz'2024-01-01 00:00:00') AS ts", "user_id", "event_type", "1.0D AS value", "props").write.parquet(f"{at}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{at}/events.parquet/*.parquet'")
+    want = con.sql(SQL[name])
+    assert sorted(QUERIES[name](spark, str(at)).columns) == sorted(want.columns)
+    got = QUERIES[name](spark, str(at)).select(*want.columns).collect()
+    return sorted(repr(tuple(r)) for r in got), sorted(repr(r) for r in want.fetchall())
+
+
+def test_align_cost_on_odd_events(spark, tmp_path):
+    """No user, no action, no time, actions of one letter and an empty one."""
+    rows = [(i, 5 * i % 17, u, m, "p") for i, (u, m) in enumerate([(1, "view"), (1, "vote"), (2, "vote"), (2, None), (3, None), (4, "click"), (4, ""), (5, ""), (6, "error"), (None, "view"), (None, "click"), (2, "click")])]
+    rows += [(90, None, 1, "click", "p"), (None, 3, 2, "signup", "p"), (91, 3, 2, "error", "p")]
+    got, want = on_events(spark, "seq_align_cost", rows, tmp_path)
+    assert got == want and len(want) > 4
+
+
 @needs_data
 def test_stream_ends_at_the_batch_profile(spark, tmp_path):
     events = spark.read.parquet(f"{DATA}/events.parquet").selectExpr("event_id", "cast(ts as timestamp) ts", "user_id", "event_type")

@@ -73,6 +73,20 @@ def test_numbers_without_a_single_task(spark):
     assert stats.numbered(rows.limit(0), ["v"]).count() == 0
 
 
+def test_numbers_do_not_hang_on_partitions(spark):
+    """Columns that a run doesn't read make other partitions, as small ones are put together by size."""
+    small = {"spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "200k"}
+    for key, value in small.items():
+        spark.conf.set(key, value)
+    try:
+        numbers = stats.numbered(spark.range(20_000).select((F.col("id") * 7919 % 20_000).alias("v"), F.sha2(F.col("id").cast("string"), 512).alias("rest")), ["v"])
+        got = [(r.v, r.number) for r in numbers.where("length(rest) = 128").collect()]
+    finally:
+        for key in small:
+            spark.conf.unset(key)
+    assert sorted(got) == [(v, v) for v in range(20_000)]
+
+
 def test_samples_of_both_halves(spark):
     rows = spark.createDataFrame([(1, k, k < 3) for k in range(6)] + [(2, k, True) for k in range(3)] + [(3, 9, False)], "a int, k int, early boolean")
     got = stats.early_late(rows, "a", F.col("early"), "k").collect()
