@@ -3,15 +3,25 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
+from itertools import pairwise
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stats import follower_overlap, rule_support
+from ..storage import saved
+from .stats import follower_overlap, numbered, rule_support
 from .trees import Node, unpack
 
 EMPTY = "*"
+#: Of ``agreeing``: different sets and their values in a part at most (a longer set is a part of its own), sets held against a part, rules and pairs counted at a time.
+PART, VALUES, ROWS, COLUMNS, PAIRS = 8192, 4_000_000, 1024, 1024, 4_000_000
+#: A rule is counted by matrices where its pairs are at least this share of a block's.
+DENSE = 1 / 128
 
 
 def pq_grams(root: Node, p: int, q: int) -> dict[tuple[str, ...], int]:
@@ -112,10 +122,107 @@ def disjunctions(follow: dict[str, set], n: int, overlap: float = 0.15, ratio: f
     return sorted(out)
 
 
+class _Part:
+    """Solutions' sets of rules, to hold queries' sets against; rows (class, weight, rules)."""
+
+    def __init__(self, rows: pa.Table):
+        self.ids, self.weight = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+        self.n = len(self.ids)
+        own = np.repeat(np.arange(self.n), pc.list_value_length(rows.column(2)).to_numpy())
+        self.rules, code = np.unique(pc.list_flatten(rows.column(2)).to_numpy(), return_inverse=True)
+        order = np.argsort(code, kind="stable")
+        self.code, self.own = code[order], own[order]
+        self.many = np.bincount(code, minlength=len(self.rules))
+        self.start = np.cumsum(self.many) - self.many
+
+    def common(self, rows: pa.RecordBatch) -> np.ndarray:
+        """How many rules each of the queries' sets shares with each of the part's: frequent rules by products of matrices, rare ones by their pairs."""
+        own = np.repeat(np.arange(rows.num_rows), pc.list_value_length(rows.column(2)).to_numpy())
+        value = pc.list_flatten(rows.column(2)).to_numpy()
+        code = np.minimum(np.searchsorted(self.rules, value), len(self.rules) - 1)
+        known = self.rules[code] == value
+        own, code = own[known], code[known]
+        kind = np.float32 if len(self.rules) < 1 << 24 else np.float64  # so that counts are exact
+        out = np.zeros((rows.num_rows, self.n), kind)
+        often = np.bincount(code, minlength=len(self.rules)) * self.many >= DENSE * out.size
+        frequent = np.flatnonzero(often)
+        for k in range(0, len(frequent), COLUMNS):
+            chunk = frequent[k : k + COLUMNS]
+            at = np.full(len(self.rules), -1)
+            at[chunk] = np.arange(len(chunk))
+            x, y = np.zeros((rows.num_rows, len(chunk)), kind), np.zeros((self.n, len(chunk)), kind)
+            for m, o, c in ((x, own, at[code]), (y, self.own, at[self.code])):
+                m[o[c >= 0], c[c >= 0]] = 1
+            out += x @ y.T
+        own, code = own[~often[code]], code[~often[code]]
+        many, flat = self.many[code], out.reshape(-1)
+        ends = np.cumsum(many)
+        cuts = np.flatnonzero(np.diff(ends // PAIRS, prepend=0))
+        for low, high in pairwise([0, *cuts.tolist(), len(code)]):
+            m = many[low:high]
+            before = np.cumsum(m) - m
+            other = self.own[np.arange(m.sum()) + np.repeat(self.start[code[low:high]] - before, m)]
+            np.add.at(flat, np.repeat(own[low:high] * self.n, m) + other, 1)
+        return out
+
+    def best(self, rows: pa.RecordBatch, least: int) -> pa.RecordBatch:
+        """(a, b, agreed, weight): of each of the queries' sets the sets that can be among its best, which are those of the part with ties."""
+        common = self.common(rows)
+        last = self.n - max(1, min(least, self.n))
+        low = np.maximum(np.partition(common, last, axis=1)[:, last], 1)
+        i, j = np.nonzero(common >= low[:, None])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (rows.column(0).to_numpy()[i], self.ids[j], common[i, j].astype(np.int64), self.weight[j])], names=["a", "b", "agreed", "weight"])
+
+
+def _best(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Rows (part, split, asks, class, weight, rules) in order of the first three: what ``best`` gives for each split of queries and part of solutions."""
+    now, held, part = None, [], None
+    for batch in batches:
+        keys = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)], axis=1)
+        edges = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+        for low, high in pairwise(sorted({0, *edges.tolist(), len(keys)})):
+            rows = batch.select([3, 4, 5]).slice(low, high - low)
+            if (keys[low, :2] != now).any():
+                now, held, part = keys[low, :2], [], None
+            if not keys[low, 2]:
+                held.append(rows)
+                continue
+            if part is None:
+                part, held = _Part(pa.Table.from_batches(held)), []
+            for k in range(0, rows.num_rows, ROWS):
+                yield part.best(rows.slice(k, ROWS), least)
+
+
 def agreeing(query_rules: DataFrame, solution_rules: DataFrame, least: int = 5) -> DataFrame:
-    """(query, solution, agreed): solutions ranked by the decisions they share with a query; the best ``least`` with ties."""
-    both = query_rules.join(solution_rules, "rule").groupBy("query", "solution").agg(F.count("*").alias("agreed"))
-    return both.withColumn("r", F.rank().over(Window.partitionBy("query").orderBy(F.desc("agreed")))).where(F.col("r") <= least).drop("r")
+    """(query, solution, agreed): solutions ranked by the decisions they share with a query; the best ``least`` with ties.
+
+    Exact: queries and solutions with equal sets of rules are grouped, and each different set of a query is held against each of the
+    solutions, a bounded part of them at a time; of a part only those travel that are among its best. A null is no rule.
+    """
+    known = numbered(solution_rules.select("rule").where("rule is not null").distinct(), ["rule"])
+
+    def sets(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+        """(key, rules), and the different sets (class, weight, rules) with how many have them, numbered by size."""
+        named = saved(rows.join(known, "rule").groupBy(key).agg(F.sort_array(F.collect_set("number")).alias("rules")))
+        return named, numbered(named.groupBy(F.size("rules").alias("size"), "rules").agg(F.count("*").alias("weight")), ["size", "rules"], "class")
+
+    queries, asked = sets(query_rules, "query")
+    solutions, found = sets(solution_rules, "solution")
+    bits = F.floor(F.log2("size")).cast("int")
+    found = found.withColumn("bits", bits).withColumn("part", F.expr(f"bits * (1L << 48) + class div greatest(1, least({PART}, {VALUES} div (2L << bits)))"))
+    asked = asked.withColumn("split", F.expr(f"class div {PART}"))
+    parts, splits = saved(found.select("part").distinct()), saved(asked.select("split").distinct())
+    columns = ["part", "split", "asks", "class", "weight", "rules"]
+    rows = found.crossJoin(F.broadcast(splits)).withColumn("asks", F.lit(0).cast("long")).select(columns)
+    rows = rows.unionByName(asked.crossJoin(F.broadcast(parts)).withColumn("asks", F.lit(1).cast("long")).select(columns))
+    tasks = max(1, min(parts.count() * splits.count(), 10_000))
+    rows = rows.repartition(tasks, "part", "split").sortWithinPartitions("part", "split", "asks")
+    pairs = rows.mapInArrow(lambda batches: _best(batches, least), "a long, b long, agreed long, weight long")
+    better = F.sum("weight").over(Window.partitionBy("a").orderBy(-F.col("agreed")).rangeBetween(Window.unboundedPreceding, -1))
+    pairs = pairs.withColumn("better", F.coalesce(better, F.lit(0))).where(F.col("better") < least).select("a", "b", "agreed")
+    queries = queries.join(asked.select("rules", F.col("class").alias("a")), "rules").select("query", "a")
+    solutions = solutions.join(found.select("rules", F.col("class").alias("b")), "rules").select("solution", "b")
+    return pairs.join(queries, "a").join(solutions, "b").select("query", "solution", "agreed")
 
 
 def feature_columns(bridge: DataFrame, rules: list[str], key: str) -> DataFrame:

@@ -1,10 +1,15 @@
 """Every query of the library against its SQL, on the smallest tables; and a stream against the batch."""
 
 import os
+import random
+import time
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 
-from arborlog.operators import trace
+from arborlog.operators import mining, trace
 from arborlog.plans import registry
 from arborlog.streaming import traces
 
@@ -90,6 +95,48 @@ def test_align_cost_on_odd_events(spark, tmp_path):
     assert got == want and len(want) > 4
 
 
+def test_agreeing_on_odd_events(spark, tmp_path):
+    """No user, no rule, equal sets, a rule that all have and rules of one's own."""
+    rng = random.Random(4)
+    rows = [(i, i, rng.choice([*range(30), None]), "view", rng.choice([*"aaaabcdefghij", f"own{i}", None])) for i in range(300)]
+    rows += [(1000 + 10 * u + k, 0, 100 + u, "view", p) for u in range(12) for k, p in enumerate("xyza")] + [(5000, 0, 200, "view", "alone"), (5001, 0, 201, "view", None)]
+    got, want = on_events(spark, "mine_agreeing", rows, tmp_path)
+    assert got == want and len(want) > 200
+    nothing = spark.createDataFrame([], "query int, solution int, rule string")
+    assert mining.agreeing(nothing, nothing).count() == 0
+
+
+def test_agreeing_does_not_join_by_rule(spark):
+    """2,500 sets of 300 of 400 rules, which have 1.4 billion rows of common rules."""
+    rng = np.random.default_rng(8)
+    has = np.argsort(rng.random((2500, 400)), axis=1) < 300
+    rows = spark.createDataFrame(pd.DataFrame({"attempt": np.nonzero(has)[0], "rule": np.nonzero(has)[1]}))
+    begun = time.monotonic()
+    got = mining.agreeing(rows.withColumnRenamed("attempt", "query"), rows.withColumnRenamed("attempt", "solution"), 3).collect()
+    assert time.monotonic() - begun < 45
+    common = (has.astype(np.float32) @ has.T.astype(np.float32)).astype(int)
+    q, s = np.nonzero(common >= np.sort(common, axis=1)[:, [-3]])
+    assert sorted(map(tuple, got)) == list(zip(q.tolist(), s.tolist(), common[q, s].tolist(), strict=True))
+
+
+@pytest.mark.parametrize("dense", [0, 0.2, 2])
+def test_agreeing_in_blocks(monkeypatch, dense):
+    for name, value in {"ROWS": 7, "COLUMNS": 5, "PAIRS": 50, "DENSE": dense}.items():
+        monkeypatch.setattr(mining, name, value)
+    rng = random.Random(3)
+    sets = [sorted(set(rng.choices(range(40), weights=range(1, 41), k=rng.randint(1, 9)))) for _ in range(90)]
+    rows = [(part, split, asks, i, 1, x) for part in range(2) for split in range(2) for asks in range(2) for i, x in enumerate(sets) if i % 2 == (split if asks else part)]
+    names = ["part", "split", "asks", "class", "weight", "rules"]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows[k : k + 33]]) for k in range(0, len(rows), 33)]
+    got = {(a, b): n for x in mining._best(iter([*batches[:1], batches[0].slice(0, 0), *batches[1:]]), 4) for a, b, n in zip(*(x.column(k).to_pylist() for k in range(3)), strict=True)}
+    common = {(a, b): len({*x} & {*y}) for a, x in enumerate(sets) for b, y in enumerate(sets)}
+    assert all(common[p] == n > 0 for p, n in got.items())
+    for a in range(90):
+        for part in range(2):
+            last = sorted((common[a, b] for b in range(part, 90, 2)), reverse=True)[3]
+            assert {b for b in range(part, 90, 2) if (a, b) in got} == {b for b in range(part, 90, 2) if common[a, b] >= max(last, 1)}
+
+
 @needs_data
 def test_stream_ends_at_the_batch_profile(spark, tmp_path):
     events = spark.read.parquet(f"{DATA}/events.parquet").selectExpr("event_id", "cast(ts as timestamp) ts", "user_id", "event_type")
