@@ -9,12 +9,12 @@ A subtree whose edge is within the radius is linked to its parent as a whole, so
 parent passes it over: what is sought are the components, not each pair, and dense groups stay cheap. Shards of more
 than ``SHARD`` fingerprints are cut into parts of which each pair has its tree, so no task gets an unbounded shard.
 
-``similar`` links texts whose sets of runs of five words have a Jaccard similarity of 0.8 or more, counted exactly. Equal sets
-are grouped; different ones meet where a band of minima of hashes is equal (a pair at 0.8 misses all bands with a chance
-of 3e-6, whatever the number of texts); pairs whose 128-bit fingerprints differ in more than 44 bits (of a pair at 0.8, 19
-on average, with a deviation of 4) are passed over. The least spanning trees of the shards are checked first, so a group of
-near copies costs about one check for each of its members and shard. Where members of a shard are still apart, the sets travel to the
-shard and all its pairs are counted there by products of matrices; only links leave it.
+``similar`` links texts whose sets of runs of five words have a Jaccard similarity of 0.8 or more, by fingerprints of 128 bits, BK-trees
+and an exact count. Equal sets are grouped. At that similarity 19 bits differ on average (24 of the shortest sets, with a deviation of 4), too many for
+blocks of bits, so the shards are those that agree in a band of minima of hashes (a pair at 0.8 misses all bands with a chance
+of 3e-6, whatever the number of texts). Each shard has a BK-tree, searched at radii that rise to 52 bits; its least
+spanning forest is counted exactly, about one pair for each member and shard. Where members of a shard are still apart then, the sets travel to the
+shard, its BK-tree gives all near pairs of theirs, and blocks with such pairs are counted by products of matrices; only links leave it.
 """
 
 from __future__ import annotations
@@ -39,8 +39,10 @@ MEAN_SHARD = 256
 #: Rows of the list of large shards that are broadcast at most.
 BROADCAST_ROWS = 200_000
 FRONTIER = 400_000
-#: Of ``similar``: words of a shingle, least similarity, bands and minima in a band, bits that may differ of fingerprints of two words.
-SIMILAR_SHINGLE, SIMILARITY, BANDS, BAND, SIMILAR_RADIUS = 5, 0.8, 32, 5, 44
+#: Of ``similar``: words of a shingle, least similarity, bands and minima in a band.
+SIMILAR_SHINGLE, SIMILARITY, BANDS, BAND = 5, 0.8, 32, 5
+#: Bits of 128 that may differ, as radii at which a BK-tree is searched one after the other.
+SIMILAR_RADII = (4, 8, 12, 16, 20, 24, 30, 40, 52)
 #: Rows and columns of a matrix, and values of a block of sets, at a time, where all pairs of a shard are counted.
 ROWS, COLUMNS, VALUES = 1024, 1024, 400_000
 #: Pairs that meet one copy of a set of shingles at most.
@@ -90,58 +92,71 @@ def masks(radius: int, agree: int) -> list[tuple[int, ...]]:
     return [(sum(block[k] for k in c),) for c in combinations(range(n), agree)]
 
 
-def forest_links(fp: np.ndarray, root: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join what is within the radius, in trees of their own: root[i] is the first index of i's tree.
+def _distance(fp: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return sum(np.bitwise_count(fp[a, w] ^ fp[b, w]).astype(np.int64) for w in range(fp.shape[1]))
+
+
+class Forest:
+    """BK-trees, one of each root: root[i] is the first index of i's tree. ``fp`` has a row of words for each fingerprint; those of a tree must differ.
 
-    ``fp`` has a row of words for each fingerprint; those of a tree must differ.
+    ``above[i]`` has the links of points to the first point on their way down that is within the radius, if one is given.
     """
-    fp = fp.reshape(len(fp), -1)
-    n = len(fp)
 
-    def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return sum(np.bitwise_count(fp[a, w] ^ fp[b, w]).astype(np.int64) for w in range(fp.shape[1]))
-
-    at = np.arange(n)
-    points, cur = at[root != at], root[root != at]
-    linked = np.zeros(n, bool)
-    links, edges = [], []
-    while len(points):
-        d = distance(points, cur)
-        near = (d <= radius) & ~linked[points]
-        links.append((points[near], cur[near]))
-        linked[points[near]] = True
-        key = cur * 256 + d
-        order = np.argsort(key, kind="stable")
-        points, key = points[order], key[order]
-        first = np.concatenate([[True], key[1:] != key[:-1]])
-        child = points[first][np.cumsum(first) - 1]
-        edges.append((key[first], points[first]))
-        points, cur = points[~first], child[~first]
-    if edges:
-        keys = np.concatenate([k for k, _ in edges])
-        kids = np.concatenate([c for _, c in edges])
+    def __init__(self, fp: np.ndarray, root: np.ndarray, radius: int = -1):
+        self.fp, self.root, self.radius = fp.reshape(len(fp), -1), root, radius
+        at = np.arange(len(fp))
+        points, cur = at[root != at], root[root != at]
+        linked = np.zeros(len(fp), bool)
+        self.above: list[tuple[np.ndarray, np.ndarray]] = []
+        edges = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        while len(points):
+            d = _distance(self.fp, points, cur)
+            near = (d <= radius) & ~linked[points]
+            self.above.append((points[near], cur[near]))
+            linked[points[near]] = True
+            key = cur * 256 + d
+            order = np.argsort(key, kind="stable")
+            points, key = points[order], key[order]
+            first = np.concatenate([[True], key[1:] != key[:-1]])
+            child = points[first][np.cumsum(first) - 1]
+            edges.append((key[first], points[first]))
+            points, cur = points[~first], child[~first]
+        keys, kids = (np.concatenate(x) for x in zip(*edges, strict=True))
         order = np.argsort(keys)
-        keys, kids = keys[order], kids[order]
-        stack = [(at[k : k + 20_000], root[k : k + 20_000]) for k in range(0, n, 20_000)]
+        self.keys, self.kids = keys[order], kids[order]
+
+    def search(self, ask: np.ndarray, radius: int, whole: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (q, v) of those who ask and what is within the radius of them in their tree: all, or, if not ``whole``, without what is below a near edge of a v."""
+        stack = [(ask[k : k + 20_000], self.root[ask[k : k + 20_000]]) for k in range(0, len(ask), 20_000)]
         while stack:
             q, v = stack.pop()
             if len(q) > FRONTIER:
                 stack += [(q[k : k + FRONTIER // 2], v[k : k + FRONTIER // 2]) for k in range(0, len(q), FRONTIER // 2)]
                 continue
-            d = distance(q, v)
+            d = _distance(self.fp, q, v)
             near = d <= radius
             other = near & (q != v)
-            links.append((q[other], v[other]))
-            low = np.searchsorted(keys, v * 256 + np.where(near, radius + 1, d - radius))
-            high = np.searchsorted(keys, v * 256 + np.minimum(d + radius, 255), "right")
+            yield q[other], v[other]
+            low = np.searchsorted(self.keys, v * 256 + np.maximum(np.where(near & (not whole), radius + 1, d - radius), 0))
+            high = np.searchsorted(self.keys, v * 256 + np.minimum(d + radius, 255), "right")
             many = np.maximum(high - low, 0)
             total = int(many.sum())
             if total:
                 ends = np.cumsum(many)
-                stack.append((np.repeat(q, many), kids[np.arange(total) + np.repeat(low - (ends - many), many)]))
-    if not links:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate([a for a, _ in links]), np.concatenate([b for _, b in links])
+                stack.append((np.repeat(q, many), self.kids[np.arange(total) + np.repeat(low - (ends - many), many)]))
+
+    def links(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Links that join what is within the radius of the trees."""
+        yield from self.above
+        if len(self.keys):
+            yield from self.search(np.arange(len(self.fp)), self.radius, False)
+
+
+def forest_links(fp: np.ndarray, root: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join what is within the radius, in trees of their own: root[i] is the first index of i's tree."""
+    none = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    a, b = (np.concatenate(x) for x in zip(none, *Forest(fp, root, radius).links(), strict=True))
+    return a, b
 
 
 def least_reached(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -301,45 +316,72 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(a) + len(b) - common)
 
 
-def _hamming(fp: np.ndarray, i, j) -> np.ndarray:
-    return np.bitwise_count(fp[i, 0] ^ fp[j, 0]).astype(np.int16) + np.bitwise_count(fp[i, 1] ^ fp[j, 1])
+def _joining(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the links, earlier ones first, join groups that are apart, and the labels (least index) afterwards."""
+    at, x, y = np.arange(len(a)), label[a], label[b]
+    taken = [at[:0]]
+    while (apart := x != y).any():
+        at, x, y = at[apart], x[apart], y[apart]
+        least = np.full(len(label), len(x))
+        np.minimum.at(least, x, np.arange(len(x)))
+        np.minimum.at(least, y, np.arange(len(x)))
+        pick = np.unique(least[least < len(x)])
+        taken.append(at[pick])
+        new = least_reached(len(label), x[pick], y[pick])
+        label, x, y = new[label], new[x], new[y]
+    return label, np.concatenate(taken)
 
 
-def spanning(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a least spanning forest of fingerprints of two words over distances of at most ``radius``."""
+def spanning(fp: np.ndarray, root: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of the least spanning forests of fingerprints over distances of at most the last radius, one of each root.
+
+    BK-trees are searched at rising radii for those outside the largest group of their tree, until a tree's points are together. Ties go
+    by node, so trees that share members share edges.
+    """
     n = len(fp)
-    near, by = np.full(n, 999, np.int16), np.zeros(n, np.int64)
-    out = np.zeros(n, bool)
-    cur, a, b = 0, [], []
-    everyone = np.arange(n)
-    for _ in range(n - 1):
-        out[cur] = True
-        d = _hamming(fp, cur, everyone)
-        closer = (d < near) & ~out
-        near[closer], by[closer] = d[closer], cur
-        near[cur] = 1000
-        nxt = int(near.argmin())
-        if near[nxt] <= radius:
-            a.append(nxt)
-            b.append(int(by[nxt]))
-        cur = nxt
-    return np.array(a, np.int64), np.array(b, np.int64)
+    forest, label = Forest(fp, root), np.arange(n)
+    edges = [(label[:0], label[:0])]
+
+    def least(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((np.maximum(node[a], node[b]), np.minimum(node[a], node[b]), _distance(fp, a, b)))
+        new, taken = _joining(label, a[order], b[order])
+        return new, a[order][taken], b[order][taken]
+
+    for radius in SIMILAR_RADII:
+        score = np.bincount(label, minlength=n)[label] * n + label
+        most = np.zeros(n, np.int64)
+        np.maximum.at(most, root, score)
+        ask = np.flatnonzero(score != most[root])
+        if not len(ask):
+            break
+        held, size = [(ask[:0], ask[:0])], 0
+        for a, b in forest.search(ask, radius, True):
+            apart = label[a] != label[b]
+            held.append((a[apart], b[apart]))
+            size += len(held[-1][0])
+            if size > 4 * FRONTIER:  # links that lie on no least forest of some lie on none of all
+                held, size = [least(held)[1:]], 0
+        label, a, b = least(held)
+        edges.append((a, b))
+    a, b = (np.concatenate(x) for x in zip(*edges, strict=True))
+    return a, b
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (shard, node, fp0, fp1) sorted by shard: edges of its spanning forest."""
+    """Rows (shard, node, fp0, fp1) sorted by shard: edges of its members, of equal fingerprints to the first of them and of different ones by the shard's BK-tree."""
 
     def solve(shard: np.ndarray, node: np.ndarray, fp0: np.ndarray, fp1: np.ndarray) -> pa.RecordBatch:
-        fp = np.stack([fp0, fp1], axis=1).view(np.uint64)
-        starts, ends = _ends(shard)
-        size = ends - starts
-        two = starts[size == 2]
-        ok = _hamming(fp, two, two + 1) <= SIMILAR_RADIUS
-        found = [(two[ok], two[ok] + 1)]
-        for s, e in zip(starts[size > 2].tolist(), ends[size > 2].tolist(), strict=True):
-            a, b = spanning(fp[s:e], SIMILAR_RADIUS)
-            found.append((a + s, b + s))
-        a, b = (node[np.concatenate(x)] for x in zip(*found, strict=True))
+        order = np.lexsort((node, fp1, fp0, shard))
+        shard, node, fp = shard[order], node[order], np.stack([fp0[order], fp1[order]], axis=1).view(np.uint64)
+        begins = np.concatenate([[True], shard[1:] != shard[:-1]])
+        differs = begins | np.concatenate([[True], (fp[1:] != fp[:-1]).any(axis=1)])
+        first = np.flatnonzero(differs)  # of equal fingerprints
+        same = np.flatnonzero(~differs)
+        root = np.flatnonzero(begins[first])[np.cumsum(begins[first]) - 1]
+        a, b = spanning(fp[first], root, node[first])
+        a, b = np.concatenate([first[a], same]), np.concatenate([first[b], first[np.cumsum(differs) - 1][same]])
+        a, b = node[a], node[b]
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return _shards(batches, solve)
@@ -350,22 +392,44 @@ def _ends(shard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[0], ends[:-1]]), ends
 
 
-def alike_pairs(sets: list[np.ndarray], label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def near_pairs(fp: np.ndarray, label: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """For positions in a row, which of all fingerprints a BK-tree finds within the last radius of them, where the labels differ."""
+    _, first, group = np.unique(fp, axis=0, return_index=True, return_inverse=True)
+    group = group.reshape(-1)
+    forest = Forest(fp[first], np.zeros(len(first), np.int64))
+
+    def search(ask: np.ndarray) -> np.ndarray:
+        if (label[ask[0] :] == label[ask[0]]).all():
+            return np.zeros((len(ask), len(fp)), bool)
+        asked, own = np.unique(group[ask], return_inverse=True)
+        found = np.zeros((len(asked), len(first)), bool)
+        found[np.arange(len(asked)), asked] = True
+        for q, v in forest.search(asked, SIMILAR_RADII[-1], True):
+            found[np.searchsorted(asked, q), v] = True
+        return found[own.reshape(-1)][:, group] & (label[ask][:, None] != label)
+
+    return search
+
+
+def alike_pairs(sets: list[np.ndarray], label: np.ndarray, near: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Positions i < j of all sets of different labels whose similarity is enough, counted by products of matrices of members and values.
 
-    Sets are taken in blocks of bounded size, each pair of blocks once.
+    Sets are taken in blocks of bounded size, each pair of blocks once. ``near`` says for a block's positions which others are candidates.
     """
     size = np.array([len(x) for x in sets])
     edge = np.flatnonzero(np.diff(np.cumsum(size) // VALUES)) + 1
     blocks = np.split(np.arange(len(sets)), sorted({*edge.tolist(), *range(ROWS, len(sets), ROWS)}))
     a, b = [], []
     for x, left in enumerate(blocks):
+        met = near(left) if near and len(left) else None
         for right in blocks[x:]:
             both = left if right is left else np.concatenate([left, right])
-            if (label[both] == label[both[0]]).all():
+            if (label[both] == label[both[0]]).all() or (met is not None and not met[:, right].any()):
                 continue
             i, j = _alike_in(sets, size, left, right)
             ok = (label[i] != label[j]) & (i < j)
+            if met is not None:
+                ok &= met[i - left[0], j]
             a.append(i[ok])
             b.append(j[ok])
     none = [np.zeros(0, np.int64)]
@@ -400,14 +464,17 @@ def _alike_in(sets: list[np.ndarray], size: np.ndarray, left: np.ndarray, right:
 
 
 def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (shard, node, label, h) sorted by shard: links between nodes of different labels whose sets are alike."""
+    """Rows (shard, node, label, fp0, fp1, h) sorted by shard: links between nodes of different labels that the shard's BK-tree finds near and whose sets are alike."""
 
-    def solve(shard: np.ndarray, node: np.ndarray, label: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
+    def solve(shard: np.ndarray, node: np.ndarray, label: np.ndarray, fp0: np.ndarray, fp1: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
+        fp = np.stack([fp0, fp1], axis=1).view(np.uint64)
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         for s, e in zip(*(x.tolist() for x in _ends(shard)), strict=True):
-            if (label[s:e] != label[s]).any():
-                a, b = alike_pairs([np.frombuffer(x, "<u8") for x in h[s:e]], label[s:e])
-                found.append((a + s, b + s))
+            names, own, many = np.unique(label[s:e], return_inverse=True, return_counts=True)
+            if len(names) > 1:
+                order = s + np.argsort(own == many.argmax(), kind="stable")  # the largest group comes last, so nothing is sought for its blocks
+                a, b = alike_pairs([np.frombuffer(x, "<u8") for x in h[order]], label[order], near_pairs(fp[order], label[order]))
+                found.append((order[a], order[b]))
         a, b = (node[np.concatenate(x)] for x in zip(*found, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
@@ -487,9 +554,9 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sha
         links = saved(_alike(tree, sets).union(ties))
     found = connected_components(links)
     label = F.coalesce("component", "node").alias("label")
-    marked = met.select("shard", "node").join(part, "node", "left_semi").join(found, "node", "left").select("shard", "node", label)
+    marked = met.join(part, "node", "left_semi").join(found, "node", "left").select("shard", "node", label, "fp0", "fp1")
     mixed = marked.groupBy("shard").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("shard")
-    open_ = marked.join(mixed, "shard", "left_semi").join(sets, "node").select("shard", "node", "label", "h")
+    open_ = marked.join(mixed, "shard", "left_semi").join(sets, "node").select("shard", "node", "label", "fp0", "fp1", "h")
     with arrow_rows(spark, ROWS):
         rest = saved(_cut(open_, ["node"], shard).mapInArrow(_apart, "a long, b long").distinct())
     if not rest.isEmpty():

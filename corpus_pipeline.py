@@ -25,7 +25,7 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (runs of five words, similarity 0.8 or more) the least doc_id stays; texts without words are copies of one another, rows without an id stay."""
+    """Of each group of near copies (runs of five words, similarity 0.8 or more; found by fingerprints in BK-trees, then counted) the least doc_id stays; texts without words are copies of one another, rows without an id stay."""
     return simhash.keep_one(docs)
 
 

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -120,6 +121,37 @@ def test_pairs_of_a_shard_are_those_of_brute_force(monkeypatch):
     assert {x for x in zip(a.tolist(), b.tolist(), strict=True) if len(sets[x[0]]) and len(sets[x[1]])} == want and want
 
 
+def test_near_copies_are_found_by_trees(monkeypatch):
+    """Candidates and pairs come from BK-trees, and are what brute force finds within the radius."""
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 2**63, (6, 2), dtype=np.uint64)
+    flips = np.packbits(rng.random((300, 128)) < rng.choice([0.02, 0.1, 0.2], (300, 1)), axis=1).view(np.uint64)
+    fp = base[rng.integers(0, 6, 300)] ^ flips
+    fp[250:] = fp[:50]
+    shard, node = np.sort(rng.integers(0, 9, 300)), rng.permutation(300)
+    trees = []
+    grow = simhash.Forest.__init__
+    monkeypatch.setattr(simhash.Forest, "__init__", lambda self, *x: (trees.append(x), grow(self, *x))[1])
+    monkeypatch.setattr(simhash, "FRONTIER", 500)
+    d = np.bitwise_count(fp[:, None] ^ fp[None]).sum(axis=2)
+    rows = pa.RecordBatch.from_arrays([pa.array(shard), pa.array(node), *(pa.array(fp[:, k].view(np.int64)) for k in (0, 1))], names=["shard", "node", "fp0", "fp1"])
+    at = np.argsort(node)
+    got = [tuple(at[x.column(k).to_numpy()] for k in (0, 1)) for x in simhash._candidates(iter([rows.slice(0, 130), rows.slice(130)]))]
+    a, b = (np.concatenate(x) for x in zip(*got, strict=True))
+    assert trees and (shard[a] == shard[b]).all()
+    for radius in simhash.SIMILAR_RADII:
+        x, y = np.nonzero((d <= radius) & (shard[:, None] == shard))
+        near = d[a, b] <= radius
+        assert (simhash.least_reached(300, a[near], b[near]) == simhash.least_reached(300, x, y)).all()
+    assert len(a) == 300 - len(set(simhash.least_reached(300, a, b).tolist()))  # no edge too many
+    label = rng.integers(0, 3, 300)
+    near = simhash.near_pairs(fp, label)
+    for k in range(0, 300, 70):
+        ask = np.arange(k, min(k + 70, 300))
+        assert (near(ask) == (d[ask] <= simhash.SIMILAR_RADII[-1]) & (label[ask][:, None] != label)).all()
+    assert not simhash.near_pairs(fp, np.zeros(300, np.int64))(np.arange(5)).any()
+
+
 @pytest.mark.parametrize("shard", [simhash.SHARD, 8])
 def test_similar_links_just_what_is_alike_by_exact_count(spark, shard):
     rng = random.Random(8)
