@@ -8,6 +8,9 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's option to remove shuffle files at the end of an execution.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names; where none is set, one of our own in local mode, which goes at the end, and else an error."""
@@ -24,6 +27,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """The rows computed now and cut from their lineage, in the shared folder, so that a lost executor costs no recomputation."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The rows computed now and cut from their lineage, in the shared folder, so that a lost executor costs no recomputation.
+
+    What was shuffled for them goes then, and doesn't wait until the driver happens to collect its garbage.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # the option holds for plans made while it is on
+    finally:
+        spark.conf.set(CLEANUP, before)

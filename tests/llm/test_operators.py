@@ -3,15 +3,19 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from arborlog.llm import ann, decontam, line_dedup, pii, queries, sentencepiece_bpe, simhash, substring_dedup, suffix_dedup, superkmer, toxicity, warc_audit
+from arborlog.llm import ann, decontam, graph, line_dedup, pii, queries, sentencepiece_bpe, simhash, substring_dedup, suffix_dedup, superkmer, toxicity, warc_audit
 from arborlog.llm.graph import connected_components
+from arborlog.storage import CLEANUP, saved
 
 DOCS = "doc_id long, text string, source string, n_chars long, k string, t string, spans string, mark string"
 
@@ -184,6 +188,38 @@ def test_components_of_a_chain_and_a_hub(spark):
     assert {got[i] for i in range(101, 141)} == {100} and {got[i] for i in range(200, 260)} == {7} and 5 not in got
 
 
+def test_few_links_make_few_tasks(spark, monkeypatch):
+    monkeypatch.setattr(graph, "TASK_LINKS", 40)
+    rows = [(i, i + 1) for i in range(100, 140)] + [(7, i) for i in range(200, 260)]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    for k, v in zip(before, ("30", "false"), strict=True):
+        spark.conf.set(k, v)
+    try:
+        found = connected_components(spark.createDataFrame(rows, "a long, b long"))
+        got = dict(rows_of(found, "node", "component"))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {i: 100 for i in range(101, 141)} | {i: 7 for i in range(200, 260)}
+    assert found.rdd.getNumPartitions() <= 3
+
+
+def test_saved_rows_leave_no_shuffle_files(spark):
+    def files():
+        folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+        return {f for top in folders for f in Path(top.getPath()).rglob("shuffle_*")}
+
+    before = files()
+    rows = spark.range(1000).selectExpr("id % 100 AS k", "id").groupBy("k").agg(F.sum("id").alias("s")).select("s").distinct()
+    kept = saved(rows)
+    end = time.time() + 20  # they go in the background
+    while (left := files() - before) and time.time() < end:
+        time.sleep(0.2)
+    assert not left
+    assert kept.count() == rows.count() == 100
+    assert spark.conf.get(CLEANUP, "false") == "false"
+
+
 # --- 2 ---
 
 PATTERNS = {
